@@ -6,7 +6,8 @@ scores are only comparable with existing results when they are equal to these.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 # File names of a raw dataset folder.
 RAW_TRANSACTIONS_FILE = "transactions_train.csv"
@@ -59,7 +60,7 @@ ARTICLE_COLUMNS = {
 IMPUTE_STRATEGIES = ("median", "mean")
 IQR_THRESHOLD = 1.5
 HISTOGRAM_BINS = 40
-RFM_PARTITIONS = 64
+CUSTOMER_BUCKETS = 64
 WEAK_CORRELATION = 0.1
 MASK = "<masked>"
 SEGMENTS = ("VIP", "Loyal", "New", "Churned", "Potential")
@@ -72,30 +73,59 @@ INSIGHT_METRICS = {
 }
 
 
+# Subfolders in which precomputed results may lie.
+PRECOMPUTED_FOLDERS = ("", "processed", "features", "aggregates")
+
+
 @dataclass(frozen=True)
 class TableContract:
-    """Columns a stored table must have, and obsolete columns it must not have."""
+    """Columns a stored table must have, and obsolete columns it must not have.
+
+    ``types`` says how the columns of a text copy are read.
+    """
 
     name: str
     required: tuple[str, ...]
     forbidden: tuple[str, ...] = ()
+    types: Mapping[str, str] = field(default_factory=dict)
 
 
-TRANSACTIONS = TableContract(
-    "transactions", tuple(TRANSACTION_COLUMNS.values()), ("sales_channel_id",)
+def _typed(name: str, types: Mapping[str, str], forbidden: tuple[str, ...] = ()) -> TableContract:
+    return TableContract(name, tuple(types), forbidden, types)
+
+
+TRANSACTIONS = _typed(
+    "transactions",
+    {
+        "customer_id": "string",
+        "product_id": "string",
+        "order_date": "timestamp_ntz",
+        "unit_price": "double",
+    },
+    ("sales_channel_id",),
 )
-CUSTOMERS = TableContract(
-    "customers", tuple(CUSTOMER_COLUMNS.values()), ("fashion_news_frequency", "age_was_missing")
+CUSTOMERS = _typed(
+    "customers",
+    {"customer_id": "string", "age": "double", "club_member_status": "string"},
+    ("fashion_news_frequency", "age_was_missing"),
 )
-ARTICLES = TableContract(
-    "articles", (*ARTICLE_COLUMNS.values(), "image_path"), ("category",)
+ARTICLES = _typed(
+    "articles",
+    {"product_id": "string", "product_name": "string", "image_path": "string"},
+    ("category",),
 )
-PRODUCT_FEATURES = TableContract(
+PRODUCT_FEATURES = _typed(
     "product_features",
-    ("product_id", "image_path", "product_name_length", "image_mean", "image_std"),
+    {
+        "product_id": "string",
+        "image_path": "string",
+        "product_name_length": "double",
+        "image_mean": "double",
+        "image_std": "double",
+    },
     ("image_status",),
 )
-MONTHLY_SUMMARY = TableContract("monthly_summary", ("order_month", "monetary"))
+MONTHLY_SUMMARY = _typed("monthly_summary", {"order_month": "string", "monetary": "double"})
 EDA_SUMMARY = TableContract(
     "eda_summary",
     (
@@ -108,23 +138,27 @@ EDA_SUMMARY = TableContract(
         "image_text_correlation",
     ),
 )
-IQR = TableContract(
-    "iqr", ("column", "threshold", "q1", "q3", "lower_fence", "upper_fence", "outlier_count")
-)
+
+
+def iqr_contract(column: str) -> TableContract:
+    return TableContract(
+        f"iqr_{column}",
+        ("column", "threshold", "q1", "q3", "lower_fence", "upper_fence", "outlier_count"),
+    )
 
 
 def rfm_contract(customer_col: str) -> TableContract:
     """The score table carries whatever the customer column was called in the facts."""
-    return TableContract(
+    return _typed(
         "rfm",
-        (
-            customer_col,
-            "recency",
-            "frequency",
-            "monetary",
-            "r_score",
-            "f_score",
-            "m_score",
-            "segment",
-        ),
+        {
+            customer_col: "string",
+            "recency": "bigint",
+            "frequency": "bigint",
+            "monetary": "double",
+            "r_score": "int",
+            "f_score": "int",
+            "m_score": "int",
+            "segment": "string",
+        },
     )

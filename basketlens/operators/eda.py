@@ -131,9 +131,11 @@ def boxplot_after(
     max_task_rows: int = MAX_TASK_ROWS,
 ) -> DataFrame:
     """Boxplot of the inliers: quartiles and fences are those of what is left."""
-    first = first or fences(df, column, IQR_THRESHOLD, max_task_rows=max_task_rows)
+    rows = df.count()
+    first = first or fences(df, column, IQR_THRESHOLD, rows=rows, max_task_rows=max_task_rows)
     kept = inliers(df, column, first)
-    return boxplot(kept, column, "After IQR", fences(kept, column, max_task_rows=max_task_rows))
+    second = fences(kept, column, IQR_THRESHOLD, rows=rows, max_task_rows=max_task_rows)
+    return boxplot(kept, column, "After IQR", second)
 
 
 def fact_correlation(
@@ -146,13 +148,11 @@ def fact_correlation(
     one row, and no fact is shuffled. Deviations are taken from an observed value, which
     changes nothing in the result but keeps large offsets from cancelling digits.
     """
-    pairs = (
-        lookup.select(F.col(lookup_key).alias("_key"), F.col(y).cast("double").alias("_y"))
-        .dropna()
-        .dropDuplicates(["_key"])
-    )
+    known = lookup.select(
+        F.col(lookup_key).alias("_key"), F.col(y).cast("double").alias("_y")
+    ).dropna()
     valued = facts.select(key, F.col(x).cast("double").alias("_x")).dropna()
-    near_x, near_y = valued.select("_x").first(), pairs.select("_y").first()
+    near_x, near_y = valued.select("_x").first(), known.select("_y").first()
     if near_x is None or near_y is None:
         return facts.sparkSession.createDataFrame([(0.0,)], "correlation double")
     per_key = valued.groupBy(key).agg(
@@ -160,6 +160,8 @@ def fact_correlation(
         (F.avg("_x") - F.lit(near_x[0])).alias("_dx"),
         (F.var_pop("_x") * F.count("*")).alias("_within"),
     )
+    # One row per key, the same one in every run.
+    pairs = known.groupBy("_key").agg(F.min("_y").alias("_y"))
     joined = per_key.join(pairs, per_key[key] == pairs["_key"])
     dx, dy, n = F.col("_dx"), F.col("_y") - F.lit(near_y[0]), F.col("_n")
     sums = joined.agg(

@@ -17,7 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.operators.lookups import bounded, null_safe
+from basketlens.operators.lookups import BROADCAST_ROWS, attach, held, null_safe
+from basketlens.sources.scratch import written
 
 # Rows of one group that a single task may rank or hold in a percentile state.
 MAX_TASK_ROWS = 2_000_000
@@ -52,6 +53,7 @@ def order_statistics(
     *,
     rows: int | None = None,
     max_task_rows: int = MAX_TASK_ROWS,
+    max_broadcast_rows: int = BROADCAST_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Per group: row count ``n`` and, per name, an array of struct(value, less, ties).
@@ -67,26 +69,16 @@ def order_statistics(
     rows = data.count() if rows is None else rows
     rounds = rounds_for(rows, len(positions), max_task_rows, accuracy)
 
-    state = None
+    tagged = data
     for step in range(rounds):
-        state = _held(_narrow(data, by, positions, state, accuracy, first=step == 0))
-    return _pick(data, by, positions, state)
-
-
-def _held(state: DataFrame) -> DataFrame:
-    """Few groups: keep the intervals as a local table, so later rounds do not redo earlier ones."""
-    small = bounded(state)
-    return state if small is None else F.broadcast(small)
-
-
-def _attach(data: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
-    if not by:
-        return data.crossJoin(F.broadcast(state))
-    keyed = state
-    for k in by:
-        keyed = keyed.withColumnRenamed(k, f"_key_{k}")
-    joined = data.join(keyed, null_safe(data, keyed, [(k, f"_key_{k}") for k in by]), "inner")
-    return joined.drop(*[f"_key_{k}" for k in by])
+        intervals = _narrow(tagged, by, positions, accuracy, first=step == 0)
+        # Intervals of few groups become a local table, so later rounds do not redo earlier
+        # ones; those of very many groups are written once for the same reason.
+        state, small = held(intervals, max_broadcast_rows)
+        if not small:
+            state = written(state, "rank-intervals")
+        tagged = attach(data, state.drop("n"), by, small=small)
+    return _pick(tagged, by, positions, narrowed=rounds > 0)
 
 
 def _inside(name: str) -> Column:
@@ -96,10 +88,9 @@ def _inside(name: str) -> Column:
 
 
 def _narrow(
-    data: DataFrame,
+    tagged: DataFrame,
     by: list[str],
     positions: dict[str, Sequence[Position]],
-    state: DataFrame | None,
     accuracy: int,
     *,
     first: bool,
@@ -109,7 +100,7 @@ def _narrow(
     points = F.lit(np.linspace(0.0, 1.0, grid + 1))
     names = list(positions)
     if first:
-        swept = data.groupBy(*by).agg(
+        swept = tagged.groupBy(*by).agg(
             F.count("*").alias("n"), F.percentile_approx("_v", points, accuracy).alias("_grid")
         )
         for name in names:
@@ -131,7 +122,7 @@ def _narrow(
                 F.first(f"_lo_{name}").alias(f"_old_lo_{name}"),
                 F.first(f"_hi_{name}").alias(f"_old_hi_{name}"),
             ]
-        swept = _attach(data, state, by).groupBy(*by).agg(*aggregates)
+        swept = tagged.groupBy(*by).agg(*aggregates)
 
     out = [*by, "n"]
     for name, wanted in positions.items():
@@ -162,19 +153,16 @@ def _narrow(
 
 
 def _pick(
-    data: DataFrame,
+    tagged: DataFrame,
     by: list[str],
     positions: dict[str, Sequence[Position]],
-    state: DataFrame | None,
+    *,
+    narrowed: bool,
 ) -> DataFrame:
     """Count equal values, rank the counted values, read off the wanted ranks."""
-    if state is None:
-        zone, exact = F.lit(0), F.lit(True)
-        tagged = data
-    else:
-        tagged = _attach(data, state, by)
+    zone, exact = F.lit(0), F.lit(not narrowed)
+    if narrowed:
         # Values outside every interval only matter as counts: they share one row per gap.
-        zone, exact = F.lit(0), F.lit(False)
         for name in positions:
             lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
             zone = (
@@ -223,6 +211,7 @@ def exact_quantiles(
     extra: Sequence[Column] = (),
     rows: int | None = None,
     max_task_rows: int = MAX_TASK_ROWS,
+    max_broadcast_rows: int = BROADCAST_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Per group: non-null count ``n``, linear-interpolation quantiles ``q`` and ``extra`` aggregates.
@@ -244,7 +233,14 @@ def exact_quantiles(
         for i, p in enumerate(probabilities)
     }
     stats = order_statistics(
-        df, value, positions, by, rows=rows, max_task_rows=max_task_rows, accuracy=accuracy
+        df,
+        value,
+        positions,
+        by,
+        rows=rows,
+        max_task_rows=max_task_rows,
+        max_broadcast_rows=max_broadcast_rows,
+        accuracy=accuracy,
     )
     parts = []
     for i, p in enumerate(probabilities):

@@ -23,13 +23,14 @@ def fill_values(
     by: Sequence[str],
     strategy: str,
     *,
+    rows: int | None = None,
     max_task_rows: int = MAX_TASK_ROWS,
 ) -> DataFrame:
     """Per group the value a missing ``column`` gets; null where the group knows none."""
     _check_strategy(strategy)
     if strategy == "mean":
         return df.groupBy(*by).agg(F.avg(column).alias("fill"))
-    stats = exact_quantiles(df, column, [0.5], by, max_task_rows=max_task_rows)
+    stats = exact_quantiles(df, column, [0.5], by, rows=rows, max_task_rows=max_task_rows)
     return stats.select(*by, F.col("q")[0].alias("fill"))
 
 
@@ -41,21 +42,27 @@ def impute(
     *,
     known: DataFrame | None = None,
     output: str | None = None,
+    rows: int | None = None,
     max_task_rows: int = MAX_TASK_ROWS,
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``column`` filled by its group's statistic, else by the statistic of all rows.
 
     A missing group is a group of its own. ``known`` gives other rows to learn from,
-    ``output`` another name for the filled column.
+    ``output`` another name for the filled column, ``rows`` an upper bound of the rows
+    learnt from, if one is known.
     """
+    _check_strategy(strategy)
     by = [group_columns] if isinstance(group_columns, str) else list(group_columns)
     learn = df if known is None else known
-    overall = fill_values(learn, column, [], strategy, max_task_rows=max_task_rows)
+    if rows is None and strategy == "median":
+        rows = learn.count()
+    size = {"rows": rows, "max_task_rows": max_task_rows}
+    overall = fill_values(learn, column, [], strategy, **size)
     filled = F.col(column)
     joined = df
     if by:
-        groups = fill_values(learn, column, by, strategy, max_task_rows=max_task_rows)
+        groups = fill_values(learn, column, by, strategy, **size)
         joined = with_group_values(
             df, groups.withColumnRenamed("fill", "_group_fill"), by, max_rows=max_broadcast_rows
         )

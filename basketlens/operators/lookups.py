@@ -13,49 +13,59 @@ BROADCAST_ROWS = 10_000
 SALTS = 16
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The rows of ``df`` as a local table, or None when there are more than ``max_rows``."""
-    rows = df.limit(max_rows + 1).collect()
+def held(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """(local copy of the rows, True), or (``lookup``, False) if it has more than ``max_rows``."""
+    rows = lookup.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+        return lookup, False
+    return lookup.sparkSession.createDataFrame(rows, lookup.schema), True
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> Column:
     """Key equality in which a missing key equals a missing key."""
-    condition = F.lit(True)
-    for i, (a, b) in enumerate(keys):
-        equal = left[a].eqNullSafe(right[b])
-        condition = equal if i == 0 else condition & equal
-    return condition
+    first, *rest = [left[a].eqNullSafe(right[b]) for a, b in keys]
+    for equal in rest:
+        first = first & equal
+    return first
 
 
-def with_group_values(
+def attach(
     facts: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
     *,
-    max_rows: int = BROADCAST_ROWS,
+    small: bool,
     salts: int = SALTS,
 ) -> DataFrame:
     """Left join of ``facts`` with one ``lookup`` row per group; null is a group like any other.
 
-    A lookup seen to be small is broadcast and the facts do not move. Otherwise both
-    sides are shuffled on the key and a salt, so that the rows of one hot group are
-    spread over ``salts`` tasks; each lookup row is repeated once per salt.
+    A small lookup is broadcast and the facts do not move. Otherwise both sides are
+    shuffled on the key and a salt, so that the rows of one hot group are spread over
+    ``salts`` tasks; each lookup row is repeated once per salt.
     """
     values = [c for c in lookup.columns if c not in keys]
+    if not keys:
+        return facts.crossJoin(F.broadcast(lookup))  # one row
     renamed = lookup.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values)
     pairs = [(k, f"_key_{k}") for k in keys]
-    small = bounded(renamed, max_rows)
-    if small is not None:
-        joined = facts.join(F.broadcast(small), null_safe(facts, small, pairs), "left")
+    if small:
+        joined = facts.join(F.broadcast(renamed), null_safe(facts, renamed, pairs), "left")
     else:
         left = facts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-        right = renamed.withColumn(
-            "_lookup_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-        )
-        joined = left.join(
-            right, null_safe(left, right, [*pairs, ("_salt", "_lookup_salt")]), "left"
-        )
+        every_salt = F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))
+        right = renamed.withColumn("_lookup_salt", every_salt)
+        on = null_safe(left, right, pairs) & (left["_salt"] == right["_lookup_salt"])
+        joined = left.join(right, on, "left")
     return joined.select(*facts.columns, *values)
+
+
+def with_group_values(
+    facts: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    *,
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """``attach``, after looking how many groups there are."""
+    lookup, small = held(lookup, max_rows)
+    return attach(facts, lookup, keys, small=small)

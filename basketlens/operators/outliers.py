@@ -40,10 +40,13 @@ def fences(
     column: str,
     threshold: float = IQR_THRESHOLD,
     *,
+    rows: int | None = None,
     max_task_rows: int = MAX_TASK_ROWS,
 ) -> Fences:
     """Runs the quantile job; one row comes back. Missing values are ignored."""
-    row = exact_quantiles(df, column, [0.25, 0.5, 0.75], max_task_rows=max_task_rows).first()
+    row = exact_quantiles(
+        df, column, [0.25, 0.5, 0.75], rows=rows, max_task_rows=max_task_rows
+    ).first()
     if row["n"] == 0:
         raise ValueError(f"{column} has no values")
     return Fences(*row["q"], threshold)

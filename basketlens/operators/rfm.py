@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.contracts import CUSTOMER_BUCKETS
 from basketlens.functions.columns import local_time, money, stable_bucket, whole_days_between
 from basketlens.functions.scoring import Cut, quarter_score, segment
 from basketlens.operators.exact import MAX_TASK_ROWS, order_statistics
@@ -167,7 +168,9 @@ def rfm(
     )
 
 
-def customer_buckets(facts: DataFrame, customer_col: str, buckets: int) -> DataFrame:
+def customer_buckets(
+    facts: DataFrame, customer_col: str, buckets: int = CUSTOMER_BUCKETS
+) -> DataFrame:
     """Customers and facts per hash bucket; facts are counted per customer before they move."""
     per_customer = facts.groupBy(customer_col).agg(F.count("*").alias("_facts"))
     return per_customer.groupBy(stable_bucket(customer_col, buckets).alias("bucket")).agg(

@@ -69,6 +69,7 @@ def holdout_errors(
 ) -> DataFrame:
     """One row per method (grouping columns, strategy): error on values hidden from it."""
     train, test = holdout_split(df, key, column)
+    rows = df.count()
     hidden = test.withColumnRenamed(column, "_truth").withColumn(
         column, F.lit(None).cast(df.schema[column].dataType)
     )
@@ -80,6 +81,7 @@ def holdout_errors(
             strategy,
             known=train,
             output=f"_guess{i}",
+            rows=rows,
             max_task_rows=max_task_rows,
         )
     errors = []

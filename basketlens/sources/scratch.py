@@ -8,7 +8,7 @@ every later pass a columnar, pruned scan, and makes its row count a footer looku
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
 import tempfile
 import uuid
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_root: str | None = None
+_used: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -28,14 +29,29 @@ def scratch_root(spark: SparkSession) -> str:
     global _local_root
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="basketlens-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
     return _local_root
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new scratch table and return a scan of it."""
+    """Write ``df`` to a new scratch table and return a scan of it.
+
+    The tables of a session share one folder, which is removed when the driver ends or
+    ``release`` is called.
+    """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{scratch_root(spark)}/{app}/{name}-{uuid.uuid4().hex}"
+    folder = f"{scratch_root(spark)}/basketlens-{spark.sparkContext.applicationId}"
+    if folder not in _used:
+        _used.add(folder)
+        atexit.register(release, spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the scratch tables of this session; results still to be read must be stored first."""
+    with contextlib.suppress(Exception):  # the JVM may be gone at exit
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        while _used:
+            path = jvm.org.apache.hadoop.fs.Path(_used.pop())
+            path.getFileSystem(conf).delete(path, True)
