@@ -15,48 +15,60 @@ from basketlens.operators.outliers import Fences, fences, inliers
 from basketlens.operators.rfm import AMOUNT_SCALE
 
 
+def _moments(column: str) -> list[Column]:
+    c = F.col(column)
+    return [
+        F.avg(c).alias("mean"),
+        F.stddev_samp(c).alias("std"),
+        F.min(c).cast("double").alias("min"),
+        F.max(c).cast("double").alias("max"),
+    ]
+
+
+def _summary_columns() -> list[Column]:
+    return [
+        F.col("n").cast("long").alias("count"),
+        F.col("mean"),
+        F.col("q")[1].alias("median"),
+        F.coalesce("std", F.lit(0.0)).alias("std"),
+        F.col("q")[0].alias("q1"),
+        F.col("q")[2].alias("q3"),
+        F.col("min"),
+        F.col("max"),
+    ]
+
+
 def numeric_summary(
     df: DataFrame, column: str, *, max_task_rows: int = MAX_TASK_ROWS
 ) -> DataFrame:
     """One row: count, mean, median, std (sample; 0 for one value), q1, q3, min, max."""
-    c = F.col(column)
     stats = exact_quantiles(
-        df,
-        column,
-        [0.25, 0.5, 0.75],
-        extra=[
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"),
-            F.min(c).cast("double").alias("min"),
-            F.max(c).cast("double").alias("max"),
-        ],
-        max_task_rows=max_task_rows,
+        df, column, [0.25, 0.5, 0.75], extra=_moments(column), max_task_rows=max_task_rows
     )
     empty = F.raise_error(F.lit("numeric summary requires at least one value"))
-    return stats.select(
-        F.when(F.col("n") == 0, empty).otherwise(F.col("n")).cast("long").alias("count"),
-        "mean",
-        F.col("q")[1].alias("median"),
-        F.coalesce("std", F.lit(0.0)).alias("std"),
-        F.col("q")[0].alias("q1"),
-        F.col("q")[2].alias("q3"),
-        "min",
-        "max",
+    return stats.withColumn("n", F.when(F.col("n") == 0, empty).otherwise(F.col("n"))).select(
+        *_summary_columns()
     )
 
 
 def column_profile(
     df: DataFrame, columns: Sequence[str], *, max_task_rows: int = MAX_TASK_ROWS
 ) -> DataFrame:
-    """One row per numeric column: the numeric summary next to the count of missing values."""
-    rows = None
-    for name in columns:
-        row = numeric_summary(df, name, max_task_rows=max_task_rows).crossJoin(
-            F.broadcast(df.agg(F.count_if(F.col(name).isNull()).alias("missing")))
-        )
-        row = row.select(F.lit(name).alias("column_name"), "missing", *row.columns[:-1])
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    """One row per numeric column: missing values and the numeric summary, all columns at once."""
+    cells = [
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
+        for c in columns
+    ]
+    stats = exact_quantiles(
+        df.select(F.inline(F.array(*cells))),
+        "value",
+        [0.25, 0.5, 0.75],
+        ["column_name"],
+        extra=[F.count_if(F.col("value").isNull()).alias("missing"), *_moments("value")],
+        rows=df.count(),  # every column is a group of that many rows
+        max_task_rows=max_task_rows,
+    )
+    return stats.select("column_name", "missing", *_summary_columns())
 
 
 def histogram(

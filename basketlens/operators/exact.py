@@ -2,16 +2,17 @@
 
 Small inputs (checked by row count) use Spark's exact ``percentile``. Larger ones are
 narrowed first: each round asks a quantile sketch, whose size does not depend on the
-data, for a short interval around every wanted rank, and counts exactly how many rows
-lie below and inside it. After ``rounds_for(rows)`` rounds the intervals hold few enough
-distinct values to be ranked in one task per group. Ties never matter for the size: equal
-values are counted before they are shuffled.
+data, for a short interval around every wanted rank, and the next pass counts exactly how
+many rows lie below and inside it. After ``rounds_for`` rounds the intervals hold few
+enough distinct values to be ranked in one task per group. Ties never matter for the
+size: equal values are counted before they are shuffled.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -21,34 +22,45 @@ from basketlens.operators.lookups import BROADCAST_ROWS, attach, held, null_safe
 from basketlens.sources.scratch import written
 
 # Rows of one group that a single task may rank or hold in a percentile state.
-MAX_TASK_ROWS = 2_000_000
+MAX_TASK_ROWS = 200_000
 # Sketch accuracy: a sketched rank is off by at most rows / ACCURACY.
 ACCURACY = 10_000
 
-Position = Callable[[Column], Column]
 
+@dataclass(frozen=True)
+class Rank:
+    """Wanted 0-based indices into the sorted values, near ``share`` of the row count.
 
-def _grid(accuracy: int) -> int:
-    return max(4, accuracy // 4)
+    The indices are functions of the row count, are neighbours, and get one interval.
+    """
 
+    share: float
+    indices: Sequence[Callable[[Column], Column]]
 
-def _shrink(accuracy: int) -> float:
-    """Share of the rows an interval can still hold after one round."""
-    return 2 * (3 / accuracy + 1 / _grid(accuracy))
 
+def _margin(accuracy: int) -> float:
+    """Three times the promised error of the sketch."""
+    return 3 / accuracy
 
-def rounds_for(rows: int, targets: int, max_task_rows: int, accuracy: int) -> int:
-    """Narrowing rounds after which ``targets`` intervals fit one task."""
+
+def _grid(accuracy: int) -> int:
+    return max(4, accuracy // 4)
+
+
+def rounds_for(rows: int, ranks: int, max_task_rows: int, accuracy: int) -> int:
+    """Narrowing rounds after which the intervals of ``ranks`` ranks fit one task."""
     if rows <= max_task_rows:
         return 0
-    ratio = rows * targets / max_task_rows
-    return max(1, math.ceil(math.log(ratio) / -math.log(min(0.5, _shrink(accuracy)))))
+    left = rows * ranks * 2 * _margin(accuracy)
+    shrink = min(0.5, 2 * (_margin(accuracy) + 1 / _grid(accuracy)))
+    more = math.log(max(1.0, left / max_task_rows)) / -math.log(shrink)
+    return 1 + math.ceil(more)
 
 
 def order_statistics(
     df: DataFrame,
     value: str,
-    positions: dict[str, Sequence[Position]],
+    ranks: dict[str, Rank],
     by: Sequence[str] = (),
     *,
     rows: int | None = None,
@@ -58,27 +70,24 @@ def order_statistics(
 ) -> DataFrame:
     """Per group: row count ``n`` and, per name, an array of struct(value, less, ties).
 
-    ``positions`` maps an output name to functions from the group's row count to a
-    0-based index into the sorted non-null values. The indices under one name share an
-    interval, so they must be neighbours. ``less`` is the number of strictly smaller
-    values and ``ties`` the number of equal ones. A null or negative index gives a null
-    struct.
+    ``less`` is the number of strictly smaller values and ``ties`` the number of equal
+    ones. A negative index gives a null struct.
     """
     by = list(by)
     data = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     rows = data.count() if rows is None else rows
-    rounds = rounds_for(rows, len(positions), max_task_rows, accuracy)
+    rounds = rounds_for(rows, len(ranks), max_task_rows, accuracy)
 
     tagged = data
     for step in range(rounds):
-        intervals = _narrow(tagged, by, positions, accuracy, first=step == 0)
+        step_in = _first_intervals if step == 0 else _next_intervals
         # Intervals of few groups become a local table, so later rounds do not redo earlier
         # ones; those of very many groups are written once for the same reason.
-        state, small = held(intervals, max_broadcast_rows)
+        state, small = held(step_in(tagged, by, ranks, accuracy), max_broadcast_rows)
         if not small:
             state = written(state, "rank-intervals")
-        tagged = attach(data, state.drop("n"), by, small=small)
-    return _pick(tagged, by, positions, narrowed=rounds > 0)
+        tagged = attach(data, state, by, small=small)
+    return _pick(tagged, by, ranks, narrowed=rounds > 0)
 
 
 def _inside(name: str) -> Column:
@@ -87,75 +96,72 @@ def _inside(name: str) -> Column:
     return (lo.isNull() | (F.col("_v") >= lo)) & (hi.isNull() | (F.col("_v") <= hi))
 
 
-def _narrow(
-    tagged: DataFrame,
-    by: list[str],
-    positions: dict[str, Sequence[Position]],
-    accuracy: int,
-    *,
-    first: bool,
+def _first_intervals(
+    data: DataFrame, by: list[str], ranks: dict[str, Rank], accuracy: int
+) -> DataFrame:
+    """Where the wanted shares lie, from one sketch per group."""
+    margin = _margin(accuracy)
+    points = [p for rank in ranks.values() for p in (rank.share - margin, rank.share + margin)]
+    asked = F.lit(np.clip(points, 0.0, 1.0))
+    swept = data.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", asked, accuracy).alias("_sketch")
+    )
+    # In a small group the margin is less than a few ranks: all its values stay candidates.
+    wide = F.col("_n") * F.lit(margin) >= 4
+    bounds = []
+    for i, name in enumerate(ranks):
+        for j, side in ((2 * i, "lo"), (2 * i + 1, "hi")):
+            inner = 0 < points[j] < 1
+            bound = F.when(wide & F.lit(inner), F.col("_sketch")[j])
+            bounds.append(bound.alias(f"_{side}_{name}"))
+    return swept.select(*by, *bounds)
+
+
+def _next_intervals(
+    tagged: DataFrame, by: list[str], ranks: dict[str, Rank], accuracy: int
 ) -> DataFrame:
-    """One pass over the data: a shorter interval around every wanted rank."""
-    grid = _grid(accuracy)
+    """Count what lies below and inside the intervals, and shorten them by a sketch of the inside."""
+    margin, grid = _margin(accuracy), _grid(accuracy)
     points = F.lit(np.linspace(0.0, 1.0, grid + 1))
-    names = list(positions)
-    if first:
-        swept = tagged.groupBy(*by).agg(
-            F.count("*").alias("n"), F.percentile_approx("_v", points, accuracy).alias("_grid")
-        )
-        for name in names:
-            swept = (
-                swept.withColumn(f"_below_{name}", F.lit(0).cast("long"))
-                .withColumn(f"_within_{name}", F.col("n"))
-                .withColumn(f"_grid_{name}", F.col("_grid"))
-            )
-    else:
-        aggregates = [F.count("*").alias("n")]
-        for name in names:
-            inside = _inside(name)
-            aggregates += [
-                F.count_if(F.col("_v") < F.col(f"_lo_{name}")).alias(f"_below_{name}"),
-                F.count_if(inside).alias(f"_within_{name}"),
-                F.percentile_approx(F.when(inside, F.col("_v")), points, accuracy).alias(
-                    f"_grid_{name}"
-                ),
-                F.first(f"_lo_{name}").alias(f"_old_lo_{name}"),
-                F.first(f"_hi_{name}").alias(f"_old_hi_{name}"),
-            ]
-        swept = tagged.groupBy(*by).agg(*aggregates)
-
-    out = [*by, "n"]
-    for name, wanted in positions.items():
-        at = wanted[0](F.col("n"))
-        below, within = F.col(f"_below_{name}"), F.col(f"_within_{name}")
-        share = F.try_divide(at - below + F.lit(0.5), within)
-        # Twice the promised error of the sketch, and never less than two ranks.
-        margin = F.lit(3 / accuracy) + F.try_divide(F.lit(2.0), within)
-        low, high = F.floor((share - margin) * grid), F.ceil((share + margin) * grid)
-        found = (at >= below) & (at < below + within)
-        sketch = F.col(f"_grid_{name}")
-        old_lo = F.lit(None) if first else F.col(f"_old_lo_{name}")
-        old_hi = F.lit(None) if first else F.col(f"_old_hi_{name}")
-        # Outermost grid points give way to the old bound. A rank outside its interval
-        # (the sketch was worse than promised) moves on to the side where it lies.
+    aggregates = [F.count("*").alias("_n")]
+    for name in ranks:
+        inside = _inside(name)
+        sketch = F.percentile_approx(F.when(inside, F.col("_v")), points, accuracy)
+        aggregates += [
+            F.count_if(F.col("_v") < F.col(f"_lo_{name}")).alias(f"_below_{name}"),
+            F.count_if(inside).alias(f"_within_{name}"),
+            sketch.alias(f"_sketch_{name}"),
+            F.first(f"_lo_{name}").alias(f"_old_lo_{name}"),
+            F.first(f"_hi_{name}").alias(f"_old_hi_{name}"),
+        ]
+    bounds = []
+    for name, rank in ranks.items():
+        c = {k: F.col(f"_{k}_{name}") for k in ("below", "within", "sketch", "old_lo", "old_hi")}
+        at = rank.indices[0](F.col("_n"))
+        share = F.try_divide(at - c["below"] + F.lit(0.5), c["within"])
+        low, high = F.floor((share - F.lit(margin)) * grid), F.ceil((share + F.lit(margin)) * grid)
+        found = (at >= c["below"]) & (at < c["below"] + c["within"])
+        wide = c["within"] * F.lit(margin) >= 4
+        # The outermost grid points and small intervals give way to the old bound. A rank
+        # outside its interval (a sketch worse than promised) moves on to the side where it lies.
         lo = (
-            F.when(found, F.when(low <= 0, old_lo).otherwise(F.get(sketch, low.cast("int"))))
-            .when(at < below, F.lit(None))
-            .otherwise(old_hi)
+            F.when(found & wide & (low > 0), F.get(c["sketch"], low.cast("int")))
+            .when(found, c["old_lo"])
+            .when(at >= c["below"], c["old_hi"])
         )
         hi = (
-            F.when(found, F.when(high >= grid, old_hi).otherwise(F.get(sketch, high.cast("int"))))
-            .when(at < below, old_lo)
-            .otherwise(F.lit(None))
+            F.when(found & wide & (high < grid), F.get(c["sketch"], high.cast("int")))
+            .when(found, c["old_hi"])
+            .when(at < c["below"], c["old_lo"])
         )
-        out += [lo.alias(f"_lo_{name}"), hi.alias(f"_hi_{name}")]
-    return swept.select(*out)
+        bounds += [lo.alias(f"_lo_{name}"), hi.alias(f"_hi_{name}")]
+    return tagged.groupBy(*by).agg(*aggregates).select(*by, *bounds)
 
 
 def _pick(
     tagged: DataFrame,
     by: list[str],
-    positions: dict[str, Sequence[Position]],
+    ranks: dict[str, Rank],
     *,
     narrowed: bool,
 ) -> DataFrame:
@@ -163,7 +169,7 @@ def _pick(
     zone, exact = F.lit(0), F.lit(not narrowed)
     if narrowed:
         # Values outside every interval only matter as counts: they share one row per gap.
-        for name in positions:
+        for name in ranks:
             lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
             zone = (
                 zone
@@ -192,10 +198,10 @@ def _pick(
         F.col("_ties").alias("ties"),
     )
     picks = []
-    for name, wanted in positions.items():
+    for name, rank in ranks.items():
         hits = []
-        for position in wanted:
-            at = position(F.col("n"))
+        for index in rank.indices:
+            at = index(F.col("n"))
             mine = (at >= F.col("_less")) & (at < F.col("_less") + F.col("_ties"))
             hits.append(F.max(F.when(mine, hit)))
         picks.append(F.array(*hits).alias(name))
@@ -225,17 +231,20 @@ def exact_quantiles(
         q = F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]))
         return df.groupBy(*by).agg(*summary, q.alias("q"))
 
-    positions: dict[str, Sequence[Position]] = {
-        f"p{i}": (
-            lambda n, p=p: F.floor((n - 1) * F.lit(float(p))),
-            lambda n, p=p: F.ceil((n - 1) * F.lit(float(p))),
+    ranks = {
+        f"p{i}": Rank(
+            float(p),
+            [
+                lambda n, p=p: F.floor((n - 1) * F.lit(float(p))),
+                lambda n, p=p: F.ceil((n - 1) * F.lit(float(p))),
+            ],
         )
         for i, p in enumerate(probabilities)
     }
     stats = order_statistics(
         df,
         value,
-        positions,
+        ranks,
         by,
         rows=rows,
         max_task_rows=max_task_rows,
@@ -248,6 +257,8 @@ def exact_quantiles(
         part = at - F.floor(at)
         a, b = F.col(f"p{i}")[0]["value"], F.col(f"p{i}")[1]["value"]
         parts.append(((1 - part) * a + part * b).cast("double"))
+    if not by and not extra:
+        return stats.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.array(*parts).alias("q"))
     quantiles = stats.select(*[F.col(k).alias(f"_key_{k}") for k in by], F.array(*parts).alias("q"))
     totals = df.groupBy(*by).agg(*summary)
     if not by:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from basketlens.contracts import CUSTOMER_BUCKETS
 from basketlens.functions.columns import local_time, money, stable_bucket, whole_days_between
 from basketlens.functions.scoring import Cut, quarter_score, segment
-from basketlens.operators.exact import MAX_TASK_ROWS, order_statistics
-from basketlens.sources.scratch import written
+from basketlens.operators.exact import MAX_TASK_ROWS, Rank, order_statistics
+from basketlens.sources.scratch import written_with_facts
 
 # Decimal places kept when amounts are added.
 AMOUNT_SCALE = 12
@@ -68,14 +68,19 @@ def rfm_base(
     )
     if partition_count is not None:
         customers = customers.repartition(partition_count, customer_col)
-    table = written(customers, "customers-rfm")
-    known = table.agg(
-        F.count("*").alias("customers"),
-        (F.to_date(F.max("last_purchase")) + F.lit(1)).alias("day_after"),
-    ).first()
-    if known["customers"] == 0:
+    table, known = written_with_facts(
+        customers,
+        "customers-rfm",
+        F.count(F.lit(1)).alias("customers"),
+        F.max("last_purchase").alias("last"),
+    )
+    if not known.get("customers"):
         raise ValueError("cannot calculate RFM from an empty transaction table")
-    reference = local_time(F.lit(known["day_after"] if analysis_date is None else analysis_date))
+    if analysis_date is None:
+        if known["last"] is None:
+            raise ValueError("cannot calculate RFM when no transaction has a date")
+        analysis_date = known["last"].date() + dt.timedelta(days=1)
+    reference = local_time(F.lit(analysis_date))
     return table.select(
         customer_col,
         whole_days_between(F.col("last_purchase"), reference).alias("recency"),
@@ -85,7 +90,11 @@ def rfm_base(
 
 
 def score_cuts(
-    base: DataFrame, metrics: dict[str, Column], *, max_task_rows: int = MAX_TASK_ROWS
+    base: DataFrame,
+    metrics: dict[str, Column],
+    *,
+    rows: int | None = None,
+    max_task_rows: int = MAX_TASK_ROWS,
 ) -> dict[str, list[Cut | None]]:
     """Per metric the three values at which the score changes.
 
@@ -108,9 +117,9 @@ def score_cuts(
     found = order_statistics(
         long,
         "value",
-        {f"cut{k}": [lambda n, k=k: F.floor(n * k / 4) - 1] for k in (1, 2, 3)},
+        {f"cut{k}": Rank(k / 4, [lambda n, k=k: F.floor(n * k / 4) - 1]) for k in (1, 2, 3)},
         by=["metric"],
-        rows=base.count(),
+        rows=base.count() if rows is None else rows,
         max_task_rows=max_task_rows,
     ).collect()  # one row per metric
     cuts: dict[str, list[Cut | None]] = {}

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.contracts import INSIGHT_METRICS
-from basketlens.functions.columns import correlation
+from basketlens.functions.columns import correlation, money
 from basketlens.operators.quality import require_columns
+from basketlens.operators.rfm import AMOUNT_SCALE
 
 
 def segment_summary(rfm: DataFrame, customer_col: str = "customer_id") -> DataFrame:
@@ -17,13 +18,18 @@ def segment_summary(rfm: DataFrame, customer_col: str = "customer_id") -> DataFr
         F.count("*").alias("customers"),
         F.avg("recency").alias("mean_recency"),
         F.avg("frequency").alias("mean_frequency"),
-        F.avg("monetary").alias("mean_monetary"),
-        F.sum("monetary").alias("monetary_total"),
+        # Exact, so that the total does not depend on the order of the customers.
+        F.sum(money("monetary", AMOUNT_SCALE)).cast("double").alias("monetary_total"),
     )
     everything = Window.partitionBy()  # at most five rows are left here
     money_total = F.sum("monetary_total").over(everything)
     return per_segment.select(
-        "*",
+        "segment",
+        "customers",
+        "mean_recency",
+        "mean_frequency",
+        (F.col("monetary_total") / F.col("customers")).alias("mean_monetary"),
+        "monetary_total",
         (F.col("customers") / F.sum("customers").over(everything) * 100).alias("customer_share_pct"),
         F.when(money_total == 0, 0.0)
         .otherwise(F.try_divide(F.col("monetary_total"), money_total) * 100)

@@ -12,7 +12,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_root: str | None = None
@@ -48,6 +48,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_with_facts(df: DataFrame, name: str, *facts: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates over the rows that were taken while writing, without a second pass.
+
+    Use it for maxima, and for counts that only guide the next step.
+    """
+    seen = Observation(name)
+    table = written(df.observe(seen, *facts), name)
+    return table, seen.get
+
+
 def release(spark: SparkSession) -> None:
     """Remove the scratch tables of this session; results still to be read must be stored first."""
     with contextlib.suppress(Exception):  # the JVM may be gone at exit

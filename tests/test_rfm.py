@@ -116,6 +116,8 @@ def test_day_grain_counts_days(spark):
 def test_empty_facts_are_an_error(spark):
     with pytest.raises(ValueError, match="empty transaction table"):
         rfm.rfm(facts(spark, []))
+    with pytest.raises(ValueError, match="no transaction has a date"):
+        rfm.rfm(facts(spark, [("a", None, 1.0)]))
 
 
 @pytest.mark.parametrize(
