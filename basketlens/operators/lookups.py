@@ -41,7 +41,9 @@ def attach(
 
     A small lookup is broadcast and the facts do not move. Otherwise both sides are
     shuffled on the key and a salt, so that the rows of one hot group are spread over
-    ``salts`` tasks; each lookup row is repeated once per salt.
+    ``salts`` tasks; each lookup row is repeated once per salt. The salt is a function of
+    the row, so a task that runs again sends its rows to the same places. Equal rows stay
+    together, and are left to the adaptive skew join.
     """
     values = [c for c in lookup.columns if c not in keys]
     if not keys:
@@ -51,7 +53,9 @@ def attach(
     if small:
         joined = facts.join(F.broadcast(renamed), null_safe(facts, renamed, pairs), "left")
     else:
-        left = facts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+        content = [f.name for f in facts.schema if "map<" not in f.dataType.simpleString()]
+        row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in content])
+        left = facts.withColumn("_salt", F.pmod(row_hash, F.lit(salts).cast("long")))
         every_salt = F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))
         right = renamed.withColumn("_lookup_salt", every_salt)
         on = null_safe(left, right, pairs) & (left["_salt"] == right["_lookup_salt"])

@@ -12,12 +12,14 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> Dat
     """All columns as text, taken by header name.
 
     A user schema would be applied by position and would silently swap columns of a
-    reordered file, so types are given later, by name. ``multi_line`` reads line breaks
-    inside quotes, but then a file cannot be split among tasks.
+    reordered file, so types are given later, by name; in a folder of files every header
+    is checked. ``multi_line`` reads line breaks inside quotes, but then a file cannot be
+    split among tasks.
     """
     return (
         spark.read.option("header", True)
         .option("inferSchema", False)
+        .option("enforceSchema", False)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)

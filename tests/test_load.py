@@ -28,6 +28,14 @@ def test_columns_are_taken_by_name(spark, tmp_path):
     assert tuple(rows[1]) == ("008", None, 'PRE, "CREATE"')
 
 
+def test_files_of_one_table_must_agree_on_their_columns(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "t" / "b.csv").write_text("b,a\n2,1\n")
+    with pytest.raises(Exception, match="CSV header"):
+        read_csv(spark, str(tmp_path / "t")).select("a", "b").collect()
+
+
 def test_articles(spark):
     raw = spark.createDataFrame([("0010000001", "Item one", "x")], "article_id string, prod_name string, g string")
     assert tuple(load.normalize_articles(raw).first()) == (
