@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.operators.lookups import BROADCAST_ROWS, attach, held, null_safe
+from basketlens.operators.lookups import BROADCAST_ROWS, Lookup, attach, held, null_safe
 from basketlens.sources.scratch import written
 
 # Rows of one group that a single task may rank or hold in a percentile state.
@@ -68,26 +68,62 @@ def order_statistics(
     max_broadcast_rows: int = BROADCAST_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Per group: row count ``n`` and, per name, an array of struct(value, less, ties).
+    """Per group with a value: count ``n`` and, per name, an array of struct(value, less, ties).
 
     ``less`` is the number of strictly smaller values and ``ties`` the number of equal
-    ones. A negative index gives a null struct.
+    ones. An index outside the values gives a null struct.
     """
     by = list(by)
-    data = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    rows = data.count() if rows is None else rows
+    rows = df.count() if rows is None else rows
     rounds = rounds_for(rows, len(ranks), max_task_rows, accuracy)
+    if rounds == 0:
+        return _pick(_values(df, value, by), by, ranks, narrowed=False)
+    found = _narrowed(df, value, ranks, by, (), rounds, max_broadcast_rows, accuracy)
+    return found.where(F.col("n") > 0) if by else found
+
+
+def _values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    return df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
 
-    tagged = data
-    for step in range(rounds):
-        step_in = _first_intervals if step == 0 else _next_intervals
-        # Intervals of few groups become a local table, so later rounds do not redo earlier
-        # ones; those of very many groups are written once for the same reason.
-        state, small = held(step_in(tagged, by, ranks, accuracy), max_broadcast_rows)
-        if not small:
-            state = written(state, "rank-intervals")
-        tagged = attach(data, state, by, small=small)
-    return _pick(tagged, by, ranks, narrowed=rounds > 0)
+
+def _narrowed(
+    df: DataFrame,
+    value: str,
+    ranks: dict[str, Rank],
+    by: list[str],
+    extra: Sequence[Column],
+    rounds: int,
+    max_broadcast_rows: int,
+    accuracy: int,
+) -> DataFrame:
+    """Count ``n``, ``extra`` and ranks of every group; ``extra`` costs no pass of its own."""
+
+    # Intervals of few groups become a local table, so that later rounds do not redo earlier
+    # ones; those of very many groups are written once for the same reason.
+    def settled(state: DataFrame) -> Lookup:
+        known = held(state, max_broadcast_rows)
+        return known if known.small else Lookup(written(state, "rank-intervals"))
+
+    data = _values(df, value, by)
+    bounds = [f"_{side}_{name}" for name in ranks for side in ("lo", "hi")]
+    first = settled(_first_intervals(df, value, by, ranks, accuracy, extra))
+    tagged = attach(data, first, by, bounds)
+    for _ in range(rounds - 1):
+        tagged = attach(data, settled(_next_intervals(tagged, by, ranks, accuracy)), by, bounds)
+    picked = _pick(tagged, by, ranks, narrowed=True).drop("n")
+    return _beside(first.df.drop(*bounds), picked, by, small=first.small)
+
+
+def _beside(totals: DataFrame, picked: DataFrame, by: list[str], *, small: bool) -> DataFrame:
+    """``picked`` next to the ``totals`` of the same groups; a group without values has no picks."""
+    if not by:
+        return totals.crossJoin(F.broadcast(picked))  # one row each
+    keyed = picked.select(
+        *[F.col(k).alias(f"_key_{k}") for k in by], *[c for c in picked.columns if c not in by]
+    )
+    on = null_safe(totals, keyed, [(k, f"_key_{k}") for k in by])
+    joined = totals.join(F.broadcast(keyed) if small else keyed, on, "left")
+    return joined.drop(*[f"_key_{k}" for k in by])
 
 
 def _inside(name: str) -> Column:
@@ -97,24 +133,31 @@ def _inside(name: str) -> Column:
 
 
 def _first_intervals(
-    data: DataFrame, by: list[str], ranks: dict[str, Rank], accuracy: int
+    df: DataFrame,
+    value: str,
+    by: list[str],
+    ranks: dict[str, Rank],
+    accuracy: int,
+    extra: Sequence[Column],
 ) -> DataFrame:
-    """Where the wanted shares lie, from one sketch per group."""
+    """Where the wanted shares lie, from one sketch per group, and the ``extra`` aggregates."""
     margin = _margin(accuracy)
     points = [p for rank in ranks.values() for p in (rank.share - margin, rank.share + margin)]
     asked = F.lit(np.clip(points, 0.0, 1.0))
-    swept = data.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", asked, accuracy).alias("_sketch")
+    swept = df.groupBy(*by).agg(
+        F.count(value).alias("n"),
+        *extra,
+        F.percentile_approx(value, asked, accuracy).alias("_sketch"),
     )
     # In a small group the margin is less than a few ranks: all its values stay candidates.
-    wide = F.col("_n") * F.lit(margin) >= 4
+    wide = F.col("n") * F.lit(margin) >= 4
     bounds = []
     for i, name in enumerate(ranks):
         for j, side in ((2 * i, "lo"), (2 * i + 1, "hi")):
             inner = 0 < points[j] < 1
             bound = F.when(wide & F.lit(inner), F.col("_sketch")[j])
             bounds.append(bound.alias(f"_{side}_{name}"))
-    return swept.select(*by, *bounds)
+    return swept.select("*", *bounds).drop("_sketch")
 
 
 def _next_intervals(
@@ -189,7 +232,7 @@ def _pick(
         "_exact",
         "_ties",
         (F.sum("_ties").over(running) - F.col("_ties")).alias("_less"),
-        F.sum("_ties").over(group).alias("n"),
+        F.sum("_ties").over(group).alias("_n"),
     )
     missed = F.raise_error(F.lit("a rank left its interval; raise the accuracy"))
     hit = F.struct(
@@ -201,11 +244,12 @@ def _pick(
     for name, rank in ranks.items():
         hits = []
         for index in rank.indices:
-            at = index(F.col("n"))
+            at = index(F.col("_n"))
             mine = (at >= F.col("_less")) & (at < F.col("_less") + F.col("_ties"))
             hits.append(F.max(F.when(mine, hit)))
         picks.append(F.array(*hits).alias(name))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *picks)
+    n = F.coalesce(F.max("_n"), F.lit(0)).cast("long").alias("n")
+    return ranked.groupBy(*by).agg(n, *picks)
 
 
 def exact_quantiles(
@@ -226,10 +270,9 @@ def exact_quantiles(
     """
     by = list(by)
     rows = df.count() if rows is None else rows
-    summary = [F.count(value).alias("n"), *extra]
     if rows <= max_task_rows:
         q = F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]))
-        return df.groupBy(*by).agg(*summary, q.alias("q"))
+        return df.groupBy(*by).agg(F.count(value).alias("n"), *extra, q.alias("q"))
 
     ranks = {
         f"p{i}": Rank(
@@ -241,29 +284,12 @@ def exact_quantiles(
         )
         for i, p in enumerate(probabilities)
     }
-    stats = order_statistics(
-        df,
-        value,
-        ranks,
-        by,
-        rows=rows,
-        max_task_rows=max_task_rows,
-        max_broadcast_rows=max_broadcast_rows,
-        accuracy=accuracy,
-    )
+    rounds = rounds_for(rows, len(ranks), max_task_rows, accuracy)
+    stats = _narrowed(df, value, ranks, by, extra, rounds, max_broadcast_rows, accuracy)
     parts = []
-    for i, p in enumerate(probabilities):
-        at = (F.col("n") - 1) * F.lit(float(p))
+    for name, rank in ranks.items():
+        at = (F.col("n") - 1) * F.lit(rank.share)
         part = at - F.floor(at)
-        a, b = F.col(f"p{i}")[0]["value"], F.col(f"p{i}")[1]["value"]
+        a, b = F.col(name)[0]["value"], F.col(name)[1]["value"]
         parts.append(((1 - part) * a + part * b).cast("double"))
-    if not by and not extra:
-        return stats.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.array(*parts).alias("q"))
-    quantiles = stats.select(*[F.col(k).alias(f"_key_{k}") for k in by], F.array(*parts).alias("q"))
-    totals = df.groupBy(*by).agg(*summary)
-    if not by:
-        return totals.join(F.broadcast(quantiles), how="left")
-    keys = [(k, f"_key_{k}") for k in by]
-    return totals.join(quantiles, null_safe(totals, quantiles, keys), "left").select(
-        *totals.columns, "q"
-    )
+    return stats.withColumn("q", F.array(*parts)).drop(*ranks)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 # A lookup is broadcast only when it was seen to have at most this many rows.
@@ -13,12 +14,24 @@ BROADCAST_ROWS = 10_000
 SALTS = 16
 
 
-def held(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """(local copy of the rows, True), or (``lookup``, False) if it has more than ``max_rows``."""
+@dataclass(frozen=True)
+class Lookup:
+    """One row per group. ``rows`` holds them if there were seen to be few."""
+
+    df: DataFrame
+    rows: Sequence[Row] | None = None
+
+    @property
+    def small(self) -> bool:
+        return self.rows is not None
+
+
+def held(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> Lookup:
+    """Take the rows if there are at most ``max_rows``; else leave them where they are."""
     rows = lookup.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        return lookup, False
-    return lookup.sparkSession.createDataFrame(rows, lookup.schema), True
+        return Lookup(lookup)
+    return Lookup(lookup.sparkSession.createDataFrame(rows, lookup.schema), rows)
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> Column:
@@ -31,10 +44,10 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]
 
 def attach(
     facts: DataFrame,
-    lookup: DataFrame,
+    lookup: Lookup,
     keys: Sequence[str],
+    values: Sequence[str] | None = None,
     *,
-    small: bool,
     salts: int = SALTS,
 ) -> DataFrame:
     """Left join of ``facts`` with one ``lookup`` row per group; null is a group like any other.
@@ -45,12 +58,13 @@ def attach(
     the row, so a task that runs again sends its rows to the same places. Equal rows stay
     together, and are left to the adaptive skew join.
     """
-    values = [c for c in lookup.columns if c not in keys]
-    if not keys:
-        return facts.crossJoin(F.broadcast(lookup))  # one row
-    renamed = lookup.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values)
+    values = [c for c in lookup.df.columns if c not in keys] if values is None else list(values)
+    if not keys:  # one row: its values are literals, which filters can use
+        types = lookup.df.schema
+        return facts.withColumns({c: F.lit(lookup.rows[0][c]).cast(types[c].dataType) for c in values})
+    renamed = lookup.df.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values)
     pairs = [(k, f"_key_{k}") for k in keys]
-    if small:
+    if lookup.small:
         joined = facts.join(F.broadcast(renamed), null_safe(facts, renamed, pairs), "left")
     else:
         content = [f.name for f in facts.schema if "map<" not in f.dataType.simpleString()]
@@ -71,5 +85,4 @@ def with_group_values(
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``attach``, after looking how many groups there are."""
-    lookup, small = held(lookup, max_rows)
-    return attach(facts, lookup, keys, small=small)
+    return attach(facts, held(lookup, max_rows), keys)

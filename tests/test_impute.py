@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlens.operators import impute, study
-from basketlens.operators.lookups import attach
+from basketlens.operators.lookups import Lookup, attach
 
 
 def customers(spark):
@@ -42,7 +42,7 @@ def test_hot_groups_are_salted_when_the_lookup_is_not_broadcast(spark):
         "id",
     )
     lookup = facts.groupBy("g").agg(F.count("*").alias("n"))
-    joined = attach(facts, lookup, ["g"], small=False)
+    joined = attach(facts, Lookup(lookup), ["g"])
     assert joined.count() == 4000
     assert joined.where("g = 'hot'").agg(F.min("n"), F.max("n")).first() == (1334, 1334)
 
