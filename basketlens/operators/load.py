@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType
 
@@ -60,13 +60,22 @@ def normalize_articles(raw: DataFrame, columns: dict[str, str] = ARTICLE_COLUMNS
 TRANSACTION_TYPES = {"order_date": "timestamp_ntz", "unit_price": "double"}
 
 
-def parsed_transactions(renamed: DataFrame) -> DataFrame:
-    """Strict parse: a text that is no date or no number stops the job (ANSI cast)."""
+def parsed_transactions(renamed: DataFrame, *, strict: bool = True) -> DataFrame:
+    """Dates and numbers from texts; a text that is neither stops the job (ANSI cast).
+
+    Not ``strict``, it becomes null: for callers that count such texts in the same pass
+    and reject the result if there are any.
+    """
+
+    def parsed(name: str) -> Column:
+        wanted = TRANSACTION_TYPES[name]
+        return F.col(name).cast(wanted) if strict else F.col(name).try_cast(wanted)
+
     return renamed.select(
         F.col("customer_id").cast("string").alias("customer_id"),
         F.col("product_id").cast("string").alias("product_id"),
-        F.col("order_date").cast(TRANSACTION_TYPES["order_date"]).alias("order_date"),
-        nan_to_null(F.col("unit_price").cast(TRANSACTION_TYPES["unit_price"])).alias("unit_price"),
+        parsed("order_date").alias("order_date"),
+        nan_to_null(parsed("unit_price")).alias("unit_price"),
     )
 
 

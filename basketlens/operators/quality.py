@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.contracts import TableContract
@@ -68,23 +68,28 @@ def dimension_key_report(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def unparsable(column: str, wanted: str) -> Column:
+    """Number of non-null texts that are no value of the wanted type."""
+    return F.count_if(F.col(column).isNotNull() & F.col(column).try_cast(wanted).isNull())
+
+
+def missing_ids(ids: Sequence[str]) -> Column:
+    """Number of rows in which at least one identifier is missing."""
+    missing = F.lit(False)
+    for c in ids:
+        missing = missing | F.col(c).isNull()
+    return F.count_if(missing)
+
+
 def unparsable_report(raw: DataFrame, types: dict[str, str]) -> DataFrame:
-    """One row per text column: non-null texts that are not a value of the wanted type."""
-    bad = raw.agg(
-        *[
-            F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(c)
-            for c, t in types.items()
-        ]
-    )
+    """One row per text column: how many of its texts cannot be parsed."""
+    bad = raw.agg(*[unparsable(c, t).alias(c) for c, t in types.items()])
     return bad.unpivot([], list(types), "column_name", "unparsable")
 
 
 def missing_id_report(facts: DataFrame, ids: Sequence[str]) -> DataFrame:
     """One row: facts in which at least one identifier is missing."""
-    missing = F.lit(False)
-    for c in ids:
-        missing = missing | F.col(c).isNull()
-    return facts.agg(F.count_if(missing).alias("facts_with_missing_id"))
+    return facts.agg(missing_ids(ids).alias("facts_with_missing_id"))
 
 
 def unknown_keys(facts: DataFrame, key: str, dimension: DataFrame, dimension_key: str) -> DataFrame:
@@ -104,35 +109,30 @@ def dimension_errors(df: DataFrame, key: str, name: str) -> list[str]:
     return []
 
 
+TRANSACTION_IDS = ("customer_id", "product_id")
+
+
+def transaction_faults(types: dict[str, str]) -> list[Column]:
+    """Faults that one look at a row shows; they can be counted while the rows are written."""
+    return [
+        missing_ids(TRANSACTION_IDS).alias("contains missing identifiers"),
+        *[unparsable(c, t).alias(f"has unparsable {c}") for c, t in types.items()],
+    ]
+
+
 def transaction_errors(
-    raw: DataFrame, customers: DataFrame, articles: DataFrame, types: dict[str, str]
+    faults: dict[str, int], facts: DataFrame, customers: DataFrame, articles: DataFrame
 ) -> list[str]:
-    """Every way in which raw transactions break the rules, found before anything is written."""
-    checks = [
-        missing_id_report(raw, ("customer_id", "product_id")).select(
-            F.lit("contains missing identifiers").alias("problem"),
-            F.col("facts_with_missing_id").alias("facts"),
-        )
-    ]
+    """All faults, the counted ones and references to customers or articles nobody knows."""
+    unknown = None
     for key, dimension, what in (
         ("customer_id", customers, "customer"),
         ("product_id", articles, "article"),
     ):
-        checks.append(
-            unknown_keys(raw, key, dimension, key)
-            .agg(F.coalesce(F.sum("facts"), F.lit(0)).cast("long").alias("facts"))
-            .select(F.lit(f"references an unknown {what}").alias("problem"), "facts")
-        )
-    checks.append(
-        unparsable_report(raw, types).select(
-            F.concat(F.lit("has unparsable "), "column_name").alias("problem"),
-            F.col("unparsable").alias("facts"),
+        row = unknown_keys(facts, key, dimension, key).agg(
+            F.lit(f"references an unknown {what}").alias("problem"),
+            F.coalesce(F.sum("facts"), F.lit(0)).alias("facts"),
         )
-    )
-    report = checks[0]
-    for check in checks[1:]:
-        report = report.unionByName(check)
-    return [
-        f"transactions {row['problem']} ({row['facts']} rows)"
-        for row in report.where(F.col("facts") > 0).collect()  # one row per check
-    ]
+        unknown = row if unknown is None else unknown.unionByName(row)
+    found = dict(faults) | {r["problem"]: r["facts"] for r in unknown.collect()}  # two rows
+    return [f"transactions {problem} ({rows} rows)" for problem, rows in found.items() if rows]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens import contracts
@@ -54,13 +55,20 @@ class DataAnalyzer:
     def load_data(self, *, force: bool = False) -> dict[str, int]:
         """Load, check and store the three tables; missing ages stay missing."""
         self.customers = self.store.load_or_compute(
-            contracts.CUSTOMERS, self._read_customers, force=force
-        )
-        self.articles = self.store.load_or_compute(
-            contracts.ARTICLES, self._read_articles, force=force
+            contracts.CUSTOMERS,
+            lambda: load.normalize_customers(self._read(contracts.RAW_CUSTOMERS_FILE)),
+            force=force,
+            check=self._unique_key("customer_id", contracts.RAW_CUSTOMERS_FILE),
         )
+        self.articles = self._load_articles(force=force)
+        faults = Observation()
         self.transactions = self.store.load_or_compute(
-            contracts.TRANSACTIONS, self._read_transactions, force=force
+            contracts.TRANSACTIONS,
+            lambda: self._read_transactions(faults),
+            force=force,
+            check=lambda facts: self._raise(
+                quality.transaction_errors(faults.get, facts, self.customers, self.articles)
+            ),
         )
         return load.load_summary(self.transactions, self.customers, self.articles).first().asDict()
 
@@ -74,24 +82,24 @@ class DataAnalyzer:
     def _read(self, name: str) -> DataFrame:
         return read_csv(self.spark, self._raw(name), multi_line=self.multi_line_csv)
 
-    def _read_customers(self) -> DataFrame:
-        customers = load.normalize_customers(self._read(contracts.RAW_CUSTOMERS_FILE))
-        self._raise(quality.dimension_errors(customers, "customer_id", contracts.RAW_CUSTOMERS_FILE))
-        return customers
-
-    def _read_articles(self) -> DataFrame:
-        articles = load.normalize_articles(self._read(contracts.RAW_ARTICLES_FILE))
-        self._raise(quality.dimension_errors(articles, "product_id", contracts.RAW_ARTICLES_FILE))
-        return articles
+    def _load_articles(self, *, force: bool = False) -> DataFrame:
+        return self.store.load_or_compute(
+            contracts.ARTICLES,
+            lambda: load.normalize_articles(self._read(contracts.RAW_ARTICLES_FILE)),
+            force=force,
+            check=self._unique_key("product_id", contracts.RAW_ARTICLES_FILE),
+        )
 
-    def _read_transactions(self) -> DataFrame:
+    def _read_transactions(self, faults: Observation) -> DataFrame:
+        """The raw file is parsed once: faults are counted while the table is written."""
         renamed = load.selected(
             self._read(contracts.RAW_TRANSACTIONS_FILE), contracts.TRANSACTION_COLUMNS
         )
-        self._raise(
-            quality.transaction_errors(renamed, self.customers, self.articles, load.TRANSACTION_TYPES)
-        )
-        return load.parsed_transactions(renamed)
+        counted = renamed.observe(faults, *quality.transaction_faults(load.TRANSACTION_TYPES))
+        return load.parsed_transactions(counted, strict=False)
+
+    def _unique_key(self, key: str, name: str) -> Callable[[DataFrame], None]:
+        return lambda df: self._raise(quality.dimension_errors(df, key, name))
 
     @staticmethod
     def _raise(errors: list[str]) -> None:
@@ -150,7 +158,7 @@ class DataAnalyzer:
     def _build_features(self) -> DataFrame:
         images = self._raw(contracts.IMAGE_FOLDER)
         if self.articles is None:
-            self.articles = self.store.load_or_compute(contracts.ARTICLES, self._read_articles)
+            self.articles = self._load_articles()
         if self.store.exists(images):
             stats = features.image_stats(read_images(self.spark, self.raw_root), "image_path")
         else:

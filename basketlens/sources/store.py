@@ -18,7 +18,8 @@ from basketlens.operators.load import normalize_nulls
 from basketlens.operators.quality import contract_violation
 from basketlens.sources.raw import read_csv
 
-SUCCESS = "_SUCCESS"
+# Marks a version that was written completely and passed its checks.
+ACCEPTED = "_ACCEPTED"
 
 
 def _digest(params: Mapping[str, object]) -> str:
@@ -29,7 +30,7 @@ class TableStore:
     """Parquet tables under ``root``, keyed by name and by every parameter they depend on.
 
     Each computation writes a new version and never touches a version somebody may be
-    reading. A version counts once its job has committed, so a failed write is never
+    reading. A version counts once it is written and checked, so a failed one is never
     reused. ``precomputed`` is a second, read-only place: the own copy wins over it.
     """
 
@@ -53,12 +54,12 @@ class TableStore:
         return fs.exists(jvm_path)
 
     def _versions(self, folder: str) -> list[str]:
-        """Committed versions, newest first."""
+        """Accepted versions, newest first."""
         fs, jvm_path = self._fs(folder)
         if not fs.exists(jvm_path):
             return []
         names = sorted((s.getPath().getName() for s in fs.listStatus(jvm_path)), reverse=True)
-        return [f"{folder}/{n}" for n in names if self.exists(f"{folder}/{n}/{SUCCESS}")]
+        return [f"{folder}/{n}" for n in names if self.exists(f"{folder}/{n}/{ACCEPTED}")]
 
     def _candidates(self, contract: TableContract, key: str, plain: bool) -> list[str]:
         found = self._versions(f"{self.root}/{contract.name}/{key}")
@@ -112,14 +113,31 @@ class TableStore:
         return None
 
     def put(
-        self, contract: TableContract, df: DataFrame, params: Mapping[str, object] | None = None
+        self,
+        contract: TableContract,
+        df: DataFrame,
+        params: Mapping[str, object] | None = None,
+        check: Callable[[DataFrame], None] | None = None,
     ) -> DataFrame:
-        """Write a new version and return a scan of it."""
+        """Write a new version and return a scan of it.
+
+        ``check`` sees the written table before it counts, and rejects it by raising.
+        """
         version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         path = f"{self.root}/{contract.name}/{_digest(params or {})}/{version}"
-        df.write.mode("errorifexists").parquet(path)
+        try:
+            df.write.mode("errorifexists").parquet(path)
+            table = self.spark.read.schema(df.schema).parquet(path)
+            if check is not None:
+                check(table)
+        except Exception:
+            fs, jvm_path = self._fs(path)
+            fs.delete(jvm_path, True)
+            raise
+        fs, marker = self._fs(f"{path}/{ACCEPTED}")
+        fs.create(marker).close()
         self._record(contract.name, "COMPUTED", path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return table
 
     def load_or_compute(
         self,
@@ -130,12 +148,14 @@ class TableStore:
         force: bool = False,
         plain: bool = True,
         accept: Callable[[DataFrame], bool] | None = None,
+        check: Callable[[DataFrame], None] | None = None,
     ) -> DataFrame:
+        """A stored copy that passes ``accept``, or else the result of ``build``, stored."""
         if not force:
             found = self.find(contract, params, plain=plain, accept=accept)
             if found is not None:
                 return found
-        return self.put(contract, build(), params)
+        return self.put(contract, build(), params, check)
 
     def _record(self, name: str, status: str, path: str) -> None:
         self.status[name] = status

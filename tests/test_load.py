@@ -67,8 +67,12 @@ def test_strict_parse(spark):
 def test_every_fault_is_reported(spark):
     customers = spark.createDataFrame([("a",)], "customer_id string")
     articles = spark.createDataFrame([("1",)], "product_id string")
-    clean = transactions(spark, [("a", "1", "2020-01-31", "1")])
-    assert quality.transaction_errors(clean, customers, articles, load.TRANSACTION_TYPES) == []
+
+    def errors_of(raw):
+        faults = raw.agg(*quality.transaction_faults(load.TRANSACTION_TYPES)).first().asDict()
+        return quality.transaction_errors(faults, raw, customers, articles)
+
+    assert errors_of(transactions(spark, [("a", "1", "2020-01-31", "1")])) == []
     broken = transactions(
         spark,
         [
@@ -80,8 +84,7 @@ def test_every_fault_is_reported(spark):
             ("a", "1", "2020-01-31", "x"),
         ],
     )
-    errors = quality.transaction_errors(broken, customers, articles, load.TRANSACTION_TYPES)
-    assert sorted(errors) == [
+    assert sorted(errors_of(broken)) == [
         "transactions contains missing identifiers (1 rows)",
         "transactions has unparsable order_date (1 rows)",
         "transactions has unparsable unit_price (1 rows)",

@@ -46,6 +46,18 @@ def test_failed_write_is_never_reused(spark, tmp_path):
     assert store.find(PROBE) is None
 
 
+def test_rejected_write_is_removed(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+
+    def check(df):
+        raise ValueError(f"{df.count()} bad rows")
+
+    with pytest.raises(ValueError, match="1 bad rows"):
+        store.put(PROBE, value(spark, 1), check=check)
+    assert store.find(PROBE) is None and "probe" not in store.status
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_newest_version_is_read_and_old_readers_survive(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     first = store.put(PROBE, value(spark, 1))
