@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.operators.lookups import BROADCAST_ROWS, Lookup, attach, held, null_safe
-from basketlens.sources.scratch import written
 
 # Rows of one group that a single task may rank or hold in a percentile state.
 MAX_TASK_ROWS = 200_000
@@ -98,18 +97,17 @@ def _narrowed(
 ) -> DataFrame:
     """Count ``n``, ``extra`` and ranks of every group; ``extra`` costs no pass of its own."""
 
-    # Intervals of few groups become a local table, so that later rounds do not redo earlier
-    # ones; those of very many groups are written once for the same reason.
-    def settled(state: DataFrame) -> Lookup:
-        known = held(state, max_broadcast_rows)
-        return known if known.small else Lookup(written(state, "rank-intervals"))
-
     data = _values(df, value, by)
     bounds = [f"_{side}_{name}" for name in ranks for side in ("lo", "hi")]
-    first = settled(_first_intervals(df, value, by, ranks, accuracy, extra))
-    tagged = attach(data, first, by, bounds)
+
+    # Intervals are held or written once, so that later rounds do not redo earlier ones.
+    def within(intervals: Lookup) -> DataFrame:
+        return attach(data, intervals, by, bounds, "n", max_rows=max_broadcast_rows)
+
+    first = held(_first_intervals(df, value, by, ranks, accuracy, extra), max_broadcast_rows)
+    tagged = within(first)
     for _ in range(rounds - 1):
-        tagged = attach(data, settled(_next_intervals(tagged, by, ranks, accuracy)), by, bounds)
+        tagged = within(held(_next_intervals(tagged, by, ranks, accuracy), max_broadcast_rows))
     picked = _pick(tagged, by, ranks, narrowed=True).drop("n")
     return _beside(first.df.drop(*bounds), picked, by, small=first.small)
 
@@ -166,7 +164,7 @@ def _next_intervals(
     """Count what lies below and inside the intervals, and shorten them by a sketch of the inside."""
     margin, grid = _margin(accuracy), _grid(accuracy)
     points = F.lit(np.linspace(0.0, 1.0, grid + 1))
-    aggregates = [F.count("*").alias("_n")]
+    aggregates = [F.count("*").alias("n")]
     for name in ranks:
         inside = _inside(name)
         sketch = F.percentile_approx(F.when(inside, F.col("_v")), points, accuracy)
@@ -180,7 +178,7 @@ def _next_intervals(
     bounds = []
     for name, rank in ranks.items():
         c = {k: F.col(f"_{k}_{name}") for k in ("below", "within", "sketch", "old_lo", "old_hi")}
-        at = rank.indices[0](F.col("_n"))
+        at = rank.indices[0](F.col("n"))
         share = F.try_divide(at - c["below"] + F.lit(0.5), c["within"])
         low, high = F.floor((share - F.lit(margin)) * grid), F.ceil((share + F.lit(margin)) * grid)
         found = (at >= c["below"]) & (at < c["below"] + c["within"])
@@ -198,7 +196,7 @@ def _next_intervals(
             .when(at < c["below"], c["old_lo"])
         )
         bounds += [lo.alias(f"_lo_{name}"), hi.alias(f"_hi_{name}")]
-    return tagged.groupBy(*by).agg(*aggregates).select(*by, *bounds)
+    return tagged.groupBy(*by).agg(*aggregates).select(*by, "n", *bounds)
 
 
 def _pick(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basketlens.contracts import IMPUTE_STRATEGIES
 from basketlens.operators.exact import MAX_TASK_ROWS, exact_quantiles
-from basketlens.operators.lookups import BROADCAST_ROWS, with_group_values
+from basketlens.operators.lookups import BROADCAST_ROWS, attach, held
 
 
 def _check_strategy(strategy: str) -> None:
@@ -26,12 +26,15 @@ def fill_values(
     rows: int | None = None,
     max_task_rows: int = MAX_TASK_ROWS,
 ) -> DataFrame:
-    """Per group the value a missing ``column`` gets; null where the group knows none."""
+    """Per group its rows and the value a missing ``column`` gets; null where it knows none."""
     _check_strategy(strategy)
+    size = F.count(F.lit(1)).alias("_rows")
     if strategy == "mean":
-        return df.groupBy(*by).agg(F.avg(column).alias("fill"))
-    stats = exact_quantiles(df, column, [0.5], by, rows=rows, max_task_rows=max_task_rows)
-    return stats.select(*by, F.col("q")[0].alias("fill"))
+        return df.groupBy(*by).agg(F.avg(column).alias("fill"), size)
+    stats = exact_quantiles(
+        df, column, [0.5], by, extra=[size], rows=rows, max_task_rows=max_task_rows
+    )
+    return stats.select(*by, F.col("q")[0].alias("fill"), "_rows")
 
 
 def impute(
@@ -63,11 +66,11 @@ def impute(
     joined = df
     if by:
         groups = fill_values(learn, column, by, strategy, **size)
-        joined = with_group_values(
-            df, groups.withColumnRenamed("fill", "_group_fill"), by, max_rows=max_broadcast_rows
-        )
+        fills = held(groups.withColumnRenamed("fill", "_group_fill"), max_broadcast_rows)
+        joined = attach(df, fills, by, ["_group_fill"], "_rows", max_rows=max_broadcast_rows)
         filled = F.coalesce(filled, F.col("_group_fill"))
-    joined = joined.crossJoin(F.broadcast(overall.withColumnRenamed("fill", "_all_fill")))
+    # One row.
+    joined = joined.crossJoin(F.broadcast(overall.select(F.col("fill").alias("_all_fill"))))
     filled = F.coalesce(filled, F.col("_all_fill"))
     if output is not None and output != column:
         return joined.select(*df.columns, filled.alias(output))

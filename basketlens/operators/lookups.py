@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from basketlens.sources.scratch import written
+
 # A lookup is broadcast only when it was seen to have at most this many rows.
 BROADCAST_ROWS = 10_000
-# Copies of each lookup row when facts and lookup are joined by a shuffle.
-SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -27,10 +27,10 @@ class Lookup:
 
 
 def held(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> Lookup:
-    """Take the rows if there are at most ``max_rows``; else leave them where they are."""
+    """Take the rows if there are at most ``max_rows``; else write them once."""
     rows = lookup.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        return Lookup(lookup)
+        return Lookup(written(lookup, "group-values"))
     return Lookup(lookup.sparkSession.createDataFrame(rows, lookup.schema), rows)
 
 
@@ -46,43 +46,32 @@ def attach(
     facts: DataFrame,
     lookup: Lookup,
     keys: Sequence[str],
-    values: Sequence[str] | None = None,
+    values: Sequence[str],
+    weight: str,
     *,
-    salts: int = SALTS,
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Left join of ``facts`` with one ``lookup`` row per group; null is a group like any other.
+    """Left join of ``facts`` with the ``values`` of their group; null is a group like any other.
 
-    A small lookup is broadcast and the facts do not move. Otherwise both sides are
-    shuffled on the key and a salt, so that the rows of one hot group are spread over
-    ``salts`` tasks; each lookup row is repeated once per salt. The salt is a function of
-    the row, so a task that runs again sends its rows to the same places. Equal rows stay
-    together, and are left to the adaptive skew join.
+    A small lookup is broadcast and the facts do not move. A large one is split by
+    ``weight``, its column with the number of rows per group: fewer than ``max_rows``
+    groups can hold more than 1/``max_rows`` of all rows. Those hot groups are broadcast
+    and their facts stay where they are; the rest is shuffled, and no key in it is hot.
     """
-    values = [c for c in lookup.df.columns if c not in keys] if values is None else list(values)
     if not keys:  # one row: its values are literals, which filters can use
         types = lookup.df.schema
         return facts.withColumns({c: F.lit(lookup.rows[0][c]).cast(types[c].dataType) for c in values})
-    renamed = lookup.df.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values)
+    columns = [*facts.columns, *values]
     pairs = [(k, f"_key_{k}") for k in keys]
+    named = lookup.df.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values, weight)
     if lookup.small:
-        joined = facts.join(F.broadcast(renamed), null_safe(facts, renamed, pairs), "left")
-    else:
-        content = [f.name for f in facts.schema if "map<" not in f.dataType.simpleString()]
-        row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in content])
-        left = facts.withColumn("_salt", F.pmod(row_hash, F.lit(salts).cast("long")))
-        every_salt = F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))
-        right = renamed.withColumn("_lookup_salt", every_salt)
-        on = null_safe(left, right, pairs) & (left["_salt"] == right["_lookup_salt"])
-        joined = left.join(right, on, "left")
-    return joined.select(*facts.columns, *values)
-
-
-def with_group_values(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    *,
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """``attach``, after looking how many groups there are."""
-    return attach(facts, held(lookup, max_rows), keys)
+        few = F.broadcast(named)
+        return facts.join(few, null_safe(facts, named, pairs), "left").select(*columns)
+
+    total = named.agg(F.sum(weight)).first()[0]
+    is_hot = F.col(weight) > F.lit(total / max_rows)
+    hot, cold = named.where(is_hot), named.where(~is_hot)
+    hot_facts = facts.join(F.broadcast(hot), null_safe(facts, hot, pairs), "inner")
+    other = facts.join(F.broadcast(hot), null_safe(facts, hot, pairs), "left_anti")
+    other = other.join(cold, null_safe(other, cold, pairs), "left")
+    return hot_facts.select(*columns).unionByName(other.select(*columns))

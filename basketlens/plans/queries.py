@@ -41,12 +41,8 @@ def query(fn: Query) -> Query:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Engines differ in the last bits of a double; results are compared rounded."""
-    return df.select(
-        *[
-            (F.round(F.col(f"`{f.name}`"), digits) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`")).alias(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    doubles = [name for name, kind in df.dtypes if kind == "double"]
+    return df.withColumns({name: F.round(name, digits) for name in doubles})
 
 
 def _rfm(facts: DataFrame, **kw) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlens.operators import impute, study
-from basketlens.operators.lookups import Lookup, attach
+from basketlens.operators.lookups import attach, held
 
 
 def customers(spark):
@@ -36,15 +36,26 @@ def test_fill_by_group_then_by_all(spark, strategy, fallback, max_broadcast_rows
     assert filled(again) == got
 
 
-def test_hot_groups_are_salted_when_the_lookup_is_not_broadcast(spark):
+@pytest.mark.parametrize("max_rows", [40, 10_000])
+def test_hot_groups_are_not_shuffled(spark, max_rows):
+    """A third of the facts is one group, some have no group, and one group is unknown."""
     facts = spark.range(4000).select(
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot"))
+        .when(F.col("id") % 50 != 7, (F.col("id") % 50).cast("string"))
+        .alias("g"),
         "id",
     )
-    lookup = facts.groupBy("g").agg(F.count("*").alias("n"))
-    joined = attach(facts, Lookup(lookup), ["g"])
-    assert joined.count() == 4000
-    assert joined.where("g = 'hot'").agg(F.min("n"), F.max("n")).first() == (1334, 1334)
+    groups = facts.groupBy("g").agg(F.count("*").alias("n")).withColumn("twice", F.col("n") * 2)
+    groups = groups.where("g <> '11' or g is null")
+    lookup = held(groups, max_rows)
+    assert lookup.small == (max_rows > 40)
+    joined = attach(facts, lookup, ["g"], ["twice"], "n", max_rows=max_rows)
+    assert joined.columns == ["g", "id", "twice"]
+    assert joined.count() == 4000 and joined.select("id").distinct().count() == 4000
+    assert joined.where("g = 'hot'").agg(F.min("twice"), F.max("twice")).first() == (2668, 2668)
+    assert joined.where("g = '11'").agg(F.count("twice"), F.count("id")).first()[0] == 0
+    without = facts.where("g is null").count()
+    assert joined.where("g is null").agg(F.min("twice"), F.count("id")).first() == (2 * without, without)
 
 
 def test_unknown_strategy(spark):
