@@ -18,7 +18,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.operators.lookups import BROADCAST_ROWS, Lookup, attach, held, null_safe
+from basketlens.operators.lookups import (
+    BROADCAST_ROWS,
+    Lookup,
+    attach,
+    expect_few,
+    held,
+    null_safe,
+)
 
 # Rows of one group that a single task may rank or hold in a percentile state.
 MAX_TASK_ROWS = 200_000
@@ -74,10 +81,9 @@ def order_statistics(
     """
     by = list(by)
     rows = df.count() if rows is None else rows
-    rounds = rounds_for(rows, len(ranks), max_task_rows, accuracy)
-    if rounds == 0:
+    if rows <= max_task_rows:
         return _pick(_values(df, value, by), by, ranks, narrowed=False)
-    found = _narrowed(df, value, ranks, by, (), rounds, max_broadcast_rows, accuracy)
+    found = _narrowed(df, value, ranks, by, (), rows, max_task_rows, max_broadcast_rows, accuracy)
     return found.where(F.col("n") > 0) if by else found
 
 
@@ -91,23 +97,29 @@ def _narrowed(
     ranks: dict[str, Rank],
     by: list[str],
     extra: Sequence[Column],
-    rounds: int,
+    rows: int,
+    max_task_rows: int,
     max_broadcast_rows: int,
     accuracy: int,
 ) -> DataFrame:
     """Count ``n``, ``extra`` and ranks of every group; ``extra`` costs no pass of its own."""
 
+    rounds = rounds_for(rows, len(ranks), max_task_rows, accuracy)
+    few = expect_few(df, by, rows, max_broadcast_rows)
     data = _values(df, value, by)
     bounds = [f"_{side}_{name}" for name in ranks for side in ("lo", "hi")]
 
     # Intervals are held or written once, so that later rounds do not redo earlier ones.
+    def settled(intervals: DataFrame) -> Lookup:
+        return held(intervals, max_broadcast_rows, expect_few=few)
+
     def within(intervals: Lookup) -> DataFrame:
         return attach(data, intervals, by, bounds, "n", max_rows=max_broadcast_rows)
 
-    first = held(_first_intervals(df, value, by, ranks, accuracy, extra), max_broadcast_rows)
+    first = settled(_first_intervals(df, value, by, ranks, accuracy, extra))
     tagged = within(first)
     for _ in range(rounds - 1):
-        tagged = within(held(_next_intervals(tagged, by, ranks, accuracy), max_broadcast_rows))
+        tagged = within(settled(_next_intervals(tagged, by, ranks, accuracy)))
     picked = _pick(tagged, by, ranks, narrowed=True).drop("n")
     return _beside(first.df.drop(*bounds), picked, by, small=first.small)
 
@@ -282,8 +294,9 @@ def exact_quantiles(
         )
         for i, p in enumerate(probabilities)
     }
-    rounds = rounds_for(rows, len(ranks), max_task_rows, accuracy)
-    stats = _narrowed(df, value, ranks, by, extra, rounds, max_broadcast_rows, accuracy)
+    stats = _narrowed(
+        df, value, ranks, by, extra, rows, max_task_rows, max_broadcast_rows, accuracy
+    )
     parts = []
     for name, rank in ranks.items():
         at = (F.col("n") - 1) * F.lit(rank.share)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basketlens.contracts import IMPUTE_STRATEGIES
 from basketlens.operators.exact import MAX_TASK_ROWS, exact_quantiles
-from basketlens.operators.lookups import BROADCAST_ROWS, attach, held
+from basketlens.operators.lookups import BROADCAST_ROWS, attach, expect_few, held
 
 
 def _check_strategy(strategy: str) -> None:
@@ -58,15 +58,17 @@ def impute(
     _check_strategy(strategy)
     by = [group_columns] if isinstance(group_columns, str) else list(group_columns)
     learn = df if known is None else known
-    if rows is None and strategy == "median":
-        rows = learn.count()
+    rows = learn.count() if rows is None else rows
     size = {"rows": rows, "max_task_rows": max_task_rows}
     overall = fill_values(learn, column, [], strategy, **size)
     filled = F.col(column)
     joined = df
     if by:
         groups = fill_values(learn, column, by, strategy, **size)
-        fills = held(groups.withColumnRenamed("fill", "_group_fill"), max_broadcast_rows)
+        few = expect_few(learn, by, rows, max_broadcast_rows)
+        fills = held(
+            groups.withColumnRenamed("fill", "_group_fill"), max_broadcast_rows, expect_few=few
+        )
         joined = attach(df, fills, by, ["_group_fill"], "_rows", max_rows=max_broadcast_rows)
         filled = F.coalesce(filled, F.col("_group_fill"))
     # One row.

@@ -12,6 +12,8 @@ from basketlens.sources.scratch import written
 
 # A lookup is broadcast only when it was seen to have at most this many rows.
 BROADCAST_ROWS = 10_000
+# Beyond this many rows it pays to estimate the number of groups before they are computed.
+SKETCH_ROWS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -26,12 +28,20 @@ class Lookup:
         return self.rows is not None
 
 
-def held(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> Lookup:
-    """Take the rows if there are at most ``max_rows``; else write them once."""
-    rows = lookup.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return Lookup(written(lookup, "group-values"))
-    return Lookup(lookup.sparkSession.createDataFrame(rows, lookup.schema), rows)
+def expect_few(df: DataFrame, by: Sequence[str], rows: int, max_rows: int = BROADCAST_ROWS) -> bool:
+    """May ``df`` have at most ``max_rows`` groups? Large tables are asked by a sketch of the keys."""
+    if not by or rows <= SKETCH_ROWS:
+        return True
+    return df.agg(F.approx_count_distinct(F.struct(*by))).first()[0] <= 2 * max_rows
+
+
+def held(lookup: DataFrame, max_rows: int = BROADCAST_ROWS, *, expect_few: bool = True) -> Lookup:
+    """Take the rows if there are at most ``max_rows``; else, or if many are expected, write them."""
+    if expect_few:
+        rows = lookup.limit(max_rows + 1).collect()
+        if len(rows) <= max_rows:
+            return Lookup(lookup.sparkSession.createDataFrame(rows, lookup.schema), rows)
+    return Lookup(written(lookup, "group-values"))
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> Column:

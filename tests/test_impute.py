@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators import impute, study
+from basketlens.operators import impute, lookups, study
 from basketlens.operators.lookups import attach, held
 
 
@@ -58,6 +58,16 @@ def test_hot_groups_are_not_shuffled(spark, max_rows):
     assert joined.where("g is null").agg(F.min("twice"), F.count("id")).first() == (2 * without, without)
 
 
+def test_many_groups_are_written_without_a_try(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "SKETCH_ROWS", 3)
+    df = customers(spark)
+    assert not lookups.expect_few(df, ["customer_id"], 6, max_rows=2)
+    assert lookups.expect_few(df, ["grp"], 6, max_rows=2)
+    assert lookups.expect_few(df, [], 6, max_rows=2)
+    got = filled(impute.impute(df, "age", "customer_id", "mean", max_broadcast_rows=2))
+    assert got["a"] == 20.0 and got["c"] == pytest.approx(100 / 3)
+
+
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError, match="'median' or 'mean'"):
         impute.impute(customers(spark), "age", "grp", "mode")
