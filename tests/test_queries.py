@@ -1,5 +1,8 @@
 """Every registered query against its SQL on an independent engine."""
 
+import importlib
+import inspect
+
 import pytest
 
 import __spark_entry__ as entry
@@ -36,3 +39,39 @@ def test_golden_segments(spark):
         "New": 121,
         "VIP": 83,
     }
+
+
+LARGE_TABLE_LIMITS = {"max_task_rows": 300, "max_broadcast_rows": 2, "accuracy": 300}
+
+
+@pytest.fixture()
+def every_table_is_large(spark, monkeypatch):
+    """Lower the limits below the test tables, so that the ways for large tables are taken."""
+    for name in ("eda", "exact", "impute", "lookups", "outliers", "rfm", "study"):
+        module = importlib.import_module(f"basketlens.operators.{name}")
+        for _, fn in inspect.getmembers(module, inspect.isfunction):
+            for limit, value in LARGE_TABLE_LIMITS.items():
+                if limit in (fn.__kwdefaults__ or {}):
+                    monkeypatch.setitem(fn.__kwdefaults__, limit, value)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "impute_group_median",
+        "group_profile",
+        "holdout_mean_vs_median",
+        "iqr_statistics",
+        "boxplot_after",
+        "numeric_summary",
+        "preview_profile",
+        "corr_price_age",
+        "rfm_segments",
+    ],
+)
+def test_query_on_large_tables(spark, sql_engine, every_table_is_large, name):
+    ok, note = compare(spark, sql_engine, SF, name)
+    assert ok, note
