@@ -13,7 +13,8 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> Dat
 
     A user schema would be applied by position and would silently swap columns of a
     reordered file, so types are given later, by name; in a folder of files every header
-    is checked. ``multi_line`` reads line breaks inside quotes, but then a file cannot be
+    is checked. A row with too few fields has nulls at its end, surplus fields are ignored.
+    ``multi_line`` reads line breaks inside quotes, but then a file cannot be
     split among tasks.
     """
     return (
@@ -23,7 +24,7 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> Dat
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .option("mode", "FAILFAST")
+        .option("mode", "PERMISSIVE")
         .csv(path)
     )
 
@@ -36,5 +37,7 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", "*.jpg")
         .load(f"{root.rstrip('/')}/{IMAGE_FOLDER}")
     )
-    relative = F.regexp_extract(F.url_decode("image.origin"), f"({IMAGE_FOLDER}/[^/]+/[^/]+)$", 1)
+    # The origin is a percent-encoded path, in which a plus sign is a plus sign.
+    origin = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
+    relative = F.regexp_extract(origin, f"({IMAGE_FOLDER}/[^/]+/[^/]+)$", 1)
     return loaded.select(relative.alias("image_path"), "image")

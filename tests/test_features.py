@@ -25,6 +25,13 @@ def test_pixels_of_image_files(spark, tmp_path):
     assert got["0010000003"] == (None, None)
 
 
+def test_image_paths_keep_their_characters(spark, tmp_path):
+    for name in ("0 1.jpg", "0+1.jpg", "0%411.jpg"):
+        write_picture(spark, tmp_path / "images/001" / name, 2, 2, 0x333333)
+    got = {r["image_path"] for r in read_images(spark, str(tmp_path)).select("image_path").collect()}
+    assert got == {"images/001/0 1.jpg", "images/001/0+1.jpg", "images/001/0%411.jpg"}
+
+
 def test_channel_rule(spark):
     """Gray has one channel; a fourth channel is dropped."""
     rows = [

@@ -36,6 +36,15 @@ def test_files_of_one_table_must_agree_on_their_columns(spark, tmp_path):
         read_csv(spark, str(tmp_path / "t")).select("a", "b").collect()
 
 
+@pytest.mark.parametrize("columns", [["a", "b", "c"], ["a", "c"]])
+def test_rows_with_too_few_or_too_many_fields(spark, tmp_path, columns):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b,c\n1,2,3\n4,5\n6,7,8,9\n")
+    got = sorted(tuple(r) for r in read_csv(spark, str(path)).select("a", *columns[1:]).collect())
+    whole = [("1", "2", "3"), ("4", "5", None), ("6", "7", "8")]
+    assert got == [tuple(row["abc".index(c)] for c in columns) for row in whole]
+
+
 def test_articles(spark):
     raw = spark.createDataFrame([("0010000001", "Item one", "x")], "article_id string, prod_name string, g string")
     assert tuple(load.normalize_articles(raw).first()) == (
