@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from basketlens.llm.licences import op7_licences
+from basketlens.llm.quality import op9_quality
+from basketlens.llm.secrets import op1_secrets
 from basketlens.llm.url_filter import op4_url_filter
 from basketlens.llm.warc import op2_warc
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_warc": op2_warc,
     "op4_url_filter": op4_url_filter,
+    "op7_licences": op7_licences,
+    "op9_quality": op9_quality,
 }
 
 ORACLES = {
