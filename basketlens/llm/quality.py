@@ -15,10 +15,12 @@ sample and the weights have fixed bounds.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,9 +31,10 @@ from basketlens.llm.tables import ascii_lower, table
 from basketlens.sources.scratch import written
 
 BUCKETS = 1 << 18
-LEXICON_DOCS = 20_000  # labelled documents that the word list is taken from
+LEXICON_DOCS = 10_000  # labelled documents that the word list is taken from
 LEXICON_WORDS = 2_000
 LEXICON_Z = 3.0
+MARKED_AT = 0.5  # sum of the log odds of marked words
 TRAIN_DOCS = 8_000
 EPOCHS = 6
 REJECT_AT = 0.5  # probability of bad
@@ -42,6 +45,7 @@ LABEL_RIGHT = 0.999
 BAD, NONE, GOOD = 0, 1, 2
 LABELLERS = ("repeats", "lines", "symbols", "cells", "shouts", "variety", "lexicon", "fluent", "labels")
 SYMBOLS = "$&*#%|~^<>{}\\"
+STEP_AT = {"marked": 20 * MARKED_AT, "repeats": 0.4, "symbols": 0.2, "cells": 0.5}  # largest step of a statistic
 WORD = re.compile(r"[^\W\d_]+")
 STATS = ("repeats", "lines", "symbols", "cells", "shouts", "variety", "length", "marked")
 
@@ -50,17 +54,17 @@ STATS = ("repeats", "lines", "symbols", "cells", "shouts", "variety", "length",
 class Scorer:
     """Everything that a worker needs to score a text."""
 
-    lexicon: frozenset[str]
+    lexicon: dict[str, float]
     weights: np.ndarray
     bias: float
 
 
-def statistics(text: str, lexicon: frozenset[str]) -> tuple[list[str], dict[str, float]]:
+def statistics(text: str, lexicon: dict[str, float]) -> tuple[list[str], dict[str, float]]:
     """The words of the text, and shares that the labellers look at."""
     words = text.split()
     n = max(1, len(words))
     lines = [x for x in text.split("\n") if x.strip()]
-    marked = sum(w in lexicon for w in WORD.findall(text.lower())) if lexicon else 0
+    marked = sum(map(lexicon.get, WORD.findall(text.lower()), repeat(0.0))) if lexicon else 0.0
     return words, {
         "repeats": sum(map(str.__eq__, words[1:], words)) / n,
         "lines": 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0,
@@ -69,7 +73,7 @@ def statistics(text: str, lexicon: frozenset[str]) -> tuple[list[str], dict[str,
         "shouts": (sum(w.isupper() and len(w) > 2 for w in words) + text.count("!!")) / n,
         "variety": len(set(words)) / n,
         "length": float(len(words)),
-        "marked": float(marked),
+        "marked": marked,
     }
 
 
@@ -83,8 +87,8 @@ def votes(s: dict[str, float]) -> int:
         BAD if s["cells"] > 0.15 else NONE,
         BAD if s["shouts"] > 0.25 else NONE,
         BAD if s["variety"] < 0.25 and s["length"] < 2000 and s["length"] > 20 else NONE,
-        BAD if s["marked"] else NONE,
-        GOOD if clean and s["length"] >= 3 and not s["marked"] else NONE,
+        BAD if s["marked"] >= MARKED_AT else NONE,
+        GOOD if clean and s["length"] >= 3 and s["marked"] < MARKED_AT else NONE,
     )
     code = 0
     for vote in cast:
@@ -98,7 +102,7 @@ def features(words: list[str], s: dict[str, float]) -> tuple[np.ndarray, np.ndar
     steps = []
     for name in STATS:
         x = s[name]
-        level = int(np.log2(x + 1)) if name in ("length", "marked") else int(np.ceil(min(1.0, x) * 20))
+        level = int(np.log2(x + 1)) if name == "length" else int(min(1.0, x / STEP_AT.get(name, 1.0)) * 20)
         upto = range(1, level + 1) if name != "length" else [level]
         steps += [zlib.crc32(f"\x00{name}:{i}".encode()) % BUCKETS for i in upto]
     buckets = np.fromiter((*own, *steps), dtype=np.int32, count=len(own) + len(steps))
@@ -158,29 +162,34 @@ def label_votes(labels: DataFrame) -> DataFrame:
     return worst.select("doc_id", "toxic", F.coalesce(vote, F.lit(NONE)).alias("label_vote"))
 
 
-def toxic_words(docs: DataFrame, labels: DataFrame) -> frozenset[str]:
-    """Words whose texts are toxic in more than half of all cases, with a margin of ``LEXICON_Z`` deviations.
+def toxic_words(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
+    """Words that stand in toxic texts in more than half of all cases, with a margin of ``LEXICON_Z`` deviations.
 
-    Counted over distinct texts of the ``LEXICON_DOCS`` labelled documents with the smallest hashes.
+    Each has the log odds of the lower bound of its share, so that a word known from few cases counts little.
+
+    A case is a family of texts: those with the same smallest hash of a word pair, so that near
+    copies of one text do not count as so many. Taken from the ``LEXICON_DOCS`` labelled documents with the smallest hashes.
     """
     some = label_votes(labels).where(F.col("toxic").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEXICON_DOCS)
-    texts = docs.join(F.broadcast(some), "doc_id").groupBy(F.xxhash64("text").alias("k")).agg(
-        F.first("text").alias("text"), F.max("toxic").alias("toxic")
-    )
-    words = F.array_distinct(F.split(ascii_lower(F.col("text")), r"[^\p{L}]+"))
-    k, n, zz = F.sum(F.col("toxic").cast("double")), F.count(F.lit(1)), LEXICON_Z**2
-    each = texts.select("toxic", F.explode(words).alias("word")).where(F.length("word") > 1)
-    p = F.col("k") / F.col("n")
-    low = (p + zz / (2 * F.col("n")) - LEXICON_Z * F.sqrt(p * (1 - p) / F.col("n") + zz / (4 * F.col("n") ** 2))) / (1 + zz / F.col("n"))
-    marks = each.groupBy("word").agg(k.alias("k"), n.alias("n")).where(low >= 0.5)
-    return frozenset(r["word"] for r in marks.orderBy(F.desc("k"), "word").limit(LEXICON_WORDS).collect())
+    words = F.split(ascii_lower(F.col("text")), r"[^\p{L}]+")
+    texts = docs.join(F.broadcast(some), "doc_id").select(F.col("toxic").cast("double").alias("toxic"), words.alias("w"))
+    pairs = F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), "w").alias("before"))
+    family = F.array_min(F.transform(pairs, lambda c: F.xxhash64(c["before"], c["word"])))
+    each = texts.select("toxic", family.alias("family"), F.explode(F.array_distinct("w")).alias("word"))
+    cases = each.where(F.length("word") > 1).groupBy("word", "family").agg(F.max("toxic").alias("toxic"))
+    n, zz = F.col("n"), LEXICON_Z**2
+    p = F.col("k") / n
+    low = (p + zz / (2 * n) - LEXICON_Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+    marks = cases.groupBy("word").agg(F.sum("toxic").alias("k"), F.count(F.lit(1)).alias("n")).withColumn("low", low)
+    chosen = marks.where("low >= 0.5").orderBy(F.desc("low"), "word").limit(LEXICON_WORDS).collect()
+    return {r["word"]: math.log(r["low"] / (1 - r["low"])) for r in chosen}
 
 
 def row_key(docs: DataFrame) -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def vote_table(docs: DataFrame, labels: DataFrame, lexicon: frozenset[str]) -> DataFrame:
+def vote_table(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     """(doc_id, key, pattern): the votes of all labellers on each row."""
 
     @F.pandas_udf("int")
