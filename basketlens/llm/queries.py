@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from basketlens.llm.decontaminate import op5_decontaminate
 from basketlens.llm.licences import op7_licences
+from basketlens.llm.packing import op3_packing
 from basketlens.llm.quality import op9_quality
-from basketlens.llm.secrets import op1_secrets
+from basketlens.llm.secret_scan import op1_secrets
 from basketlens.llm.url_filter import op4_url_filter
 from basketlens.llm.warc import op2_warc
 
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_warc": op2_warc,
+    "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
+    "op5_decontaminate": op5_decontaminate,
     "op7_licences": op7_licences,
     "op9_quality": op9_quality,
 }
