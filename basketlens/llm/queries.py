@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from basketlens.llm.decontaminate import op5_decontaminate
+from basketlens.llm.embeddings import op6_embeddings
 from basketlens.llm.licences import op7_licences
 from basketlens.llm.packing import op3_packing
 from basketlens.llm.quality import op9_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
+    "op6_embeddings": op6_embeddings,
     "op7_licences": op7_licences,
     "op9_quality": op9_quality,
 }
