@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from basketlens.llm.decontaminate import op5_decontaminate
 from basketlens.llm.embeddings import op6_embeddings
+from basketlens.llm.jaccard_join import op8_jaccard_join
 from basketlens.llm.licences import op7_licences
 from basketlens.llm.packing import op3_packing
 from basketlens.llm.quality import op9_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_embeddings": op6_embeddings,
     "op7_licences": op7_licences,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
 }
 
