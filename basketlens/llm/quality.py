@@ -20,14 +20,14 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm.tables import ascii_lower, table
+from basketlens.llm.tables import table
 from basketlens.sources.scratch import written
 
 BUCKETS = 1 << 18
@@ -171,16 +171,29 @@ def toxic_words(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
     copies of one text do not count as so many. Taken from the ``LEXICON_DOCS`` labelled documents with the smallest hashes.
     """
     some = label_votes(labels).where(F.col("toxic").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEXICON_DOCS)
-    words = F.split(ascii_lower(F.col("text")), r"[^\p{L}]+")
-    texts = docs.join(F.broadcast(some), "doc_id").select(F.col("toxic").cast("double").alias("toxic"), words.alias("w"))
-    pairs = F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), "w").alias("before"))
-    family = F.array_min(F.transform(pairs, lambda c: F.xxhash64(c["before"], c["word"])))
-    each = texts.select("toxic", family.alias("family"), F.explode(F.array_distinct("w")).alias("word"))
-    cases = each.where(F.length("word") > 1).groupBy("word", "family").agg(F.max("toxic").alias("toxic"))
+
+    def cases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words, families, toxic = [], [], []
+            for text, is_toxic in zip(batch["text"], batch["toxic"], strict=True):
+                own = WORD.findall((text or "").lower())
+                family = min((zlib.crc32(f"{a} {b}".encode("utf-8", "replace")) for a, b in pairwise(own)), default=0)
+                distinct = {w for w in own if len(w) > 1}
+                words += distinct
+                families += [family] * len(distinct)
+                toxic += [float(is_toxic)] * len(distinct)
+                if len(words) > 100_000:
+                    yield pd.DataFrame({"word": words, "family": families, "toxic": toxic})
+                    words, families, toxic = [], [], []
+            yield pd.DataFrame({"word": words, "family": families, "toxic": toxic})
+
+    texts = docs.join(F.broadcast(some), "doc_id").select("text", "toxic")
+    each = texts.mapInPandas(cases, "word string, family long, toxic double")
+    cases_of = each.groupBy("word", "family").agg(F.max("toxic").alias("toxic"))
     n, zz = F.col("n"), LEXICON_Z**2
     p = F.col("k") / n
     low = (p + zz / (2 * n) - LEXICON_Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
-    marks = cases.groupBy("word").agg(F.sum("toxic").alias("k"), F.count(F.lit(1)).alias("n")).withColumn("low", low)
+    marks = cases_of.groupBy("word").agg(F.sum("toxic").alias("k"), F.count(F.lit(1)).alias("n")).withColumn("low", low)
     chosen = marks.where("low >= 0.5").orderBy(F.desc("low"), "word").limit(LEXICON_WORDS).collect()
     return {r["word"]: math.log(r["low"] / (1 - r["low"])) for r in chosen}
 

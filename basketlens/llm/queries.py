@@ -7,6 +7,7 @@ from basketlens.llm.embeddings import op6_embeddings
 from basketlens.llm.jaccard_join import op8_jaccard_join
 from basketlens.llm.licences import op7_licences
 from basketlens.llm.packing import op3_packing
+from basketlens.llm.pitman_yor import op10_pitman_yor
 from basketlens.llm.quality import op9_quality
 from basketlens.llm.secret_scan import op1_secrets
 from basketlens.llm.url_filter import op4_url_filter
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_licences": op7_licences,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
+    "op10_pitman_yor": op10_pitman_yor,
 }
 
 ORACLES = {
