@@ -21,7 +21,7 @@ from basketlens.sources.scratch import written
 #: Kept positions of the windows: six of nine tokens each.
 MASKS = ("110110110", "101101011")
 LEAST_TOKENS = 12
-MISMATCH = -4
+MISMATCH = -2
 BROADCAST_ROWS = 1_000_000
 
 
@@ -59,7 +59,7 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def best_run(doc_words: Column, item_words: Column, diagonal: Column) -> Column:
-    """Struct of the best-scoring run along a diagonal: start in the item, length, matched; the first of equals."""
+    """Struct of the best-scoring run along a diagonal: start in the item, length, matched; the longest of equals."""
     low = F.greatest(F.lit(0), -diagonal)
     high = F.least(F.size(item_words), F.size(doc_words) - diagonal)
     zero = F.lit(0)
@@ -70,11 +70,11 @@ def best_run(doc_words: Column, item_words: Column, diagonal: Column) -> Column:
 
     def step(s: Column, at: Column) -> Column:
         same = F.get(item_words, at) == F.get(doc_words, at + diagonal)
-        fresh = s["score"] <= 0
+        fresh = s["score"] < 0
         score = F.when(fresh, 0).otherwise(s["score"]) + F.when(same, 1).otherwise(MISMATCH)
         begin = F.when(fresh, at).otherwise(s["from"])
         matched = F.when(fresh, 0).otherwise(s["matched"]) + same.cast("int")
-        better = score > s["best"]
+        better = (score >= s["best"]) & (score > 0)
         return F.struct(
             score.alias("score"), begin.alias("from"), matched.alias("matched"),
             F.when(better, score).otherwise(s["best"]).alias("best"),
@@ -91,8 +91,8 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, text_key, item_id, doc_start, item_start, length, matched): the best overlap of each pair.
 
-    A pair counts if ``least_tokens`` tokens agree in a run of which more than four fifths
-    agree; of equal runs the first counts. Texts and items shorter than a mask (nine tokens),
+    A pair counts if ``least_tokens`` tokens agree in its best-scoring run; of equal runs the
+    longest counts. Texts and items shorter than a mask (nine tokens),
     null ones included, overlap with nothing. Repeated rows of ``docs`` count once, told
     apart by id and ``text_key`` (a hash of the text); null ids are ids. Only id and text are
     read, whatever else the tables hold.

@@ -73,7 +73,7 @@ def frequent_words(docs: DataFrame, share: float = CONTEXT_SHARE) -> np.ndarray:
             if len(seen) > 2_000_000:  # a word that is frequent in all is frequent here
                 seen = Counter({w: n for w, n in seen.items() if n >= total * share / 8})
         kept = [(xxhash.xxh64_intdigest(w) - (1 << 63), n) for w, n in seen.items() if n >= total * share / 2 and n > 1]
-        yield pd.DataFrame([*kept, (None, total)], columns=["word", "n"]).astype({"word": "Int64", "n": "int64"})
+        yield pd.DataFrame([*kept, (None, total)], columns=["word", "n"], dtype=object).astype({"word": "Int64", "n": "int64"})
 
     found = written(docs.where(~F.col("held_out")).select("text").mapInPandas(count, "word long, n long"), "lm-frequent")
     total = found.where("word is null").agg(F.sum("n")).first()[0] or 0

@@ -173,6 +173,9 @@ def toxic_words(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
     some = label_votes(labels).where(F.col("toxic").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEXICON_DOCS)
 
     def cases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(words: list[str], families: list[int], toxic: list[float]) -> pd.DataFrame:
+            return pd.DataFrame({"word": pd.Series(words, dtype=object), "family": families, "toxic": toxic})
+
         for batch in batches:
             words, families, toxic = [], [], []
             for text, is_toxic in zip(batch["text"], batch["toxic"], strict=True):
@@ -183,9 +186,9 @@ def toxic_words(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
                 families += [family] * len(distinct)
                 toxic += [float(is_toxic)] * len(distinct)
                 if len(words) > 100_000:
-                    yield pd.DataFrame({"word": words, "family": families, "toxic": toxic})
+                    yield frame(words, families, toxic)
                     words, families, toxic = [], [], []
-            yield pd.DataFrame({"word": words, "family": families, "toxic": toxic})
+            yield frame(words, families, toxic)
 
     texts = docs.join(F.broadcast(some), "doc_id").select("text", "toxic")
     each = texts.mapInPandas(cases, "word string, family long, toxic double")
