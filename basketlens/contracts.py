@@ -73,8 +73,8 @@ INSIGHT_METRICS = {
 }
 
 
-# Subfolders in which precomputed results may lie.
-PRECOMPUTED_FOLDERS = ("", "processed", "features", "aggregates")
+# How many folders below their root precomputed results are looked for.
+PRECOMPUTED_DEPTH = 5
 
 
 @dataclass(frozen=True)
@@ -119,7 +119,7 @@ PRODUCT_FEATURES = _typed(
     {
         "product_id": "string",
         "image_path": "string",
-        "product_name_length": "double",
+        "product_name_length": "int",
         "image_mean": "double",
         "image_std": "double",
     },

@@ -55,10 +55,31 @@ def whole_days_between(start: Column, end: Column) -> Column:
     return (days - F.when(short, 1).otherwise(0)).cast("long")
 
 
+#: Plain decimal numbers; other languages' suffixes (1.0d, 2f) and infinity are none.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^NaN$"
+
+
+def parsed(c: Column | str, wanted: str) -> Column:
+    """Value of a text, null if it has none: finite numbers, and dates with or without separators."""
+    c = as_column(c)
+    text = c.cast("string")
+    if wanted == "double":
+        number = F.when(text.rlike(NUMBER), c.try_cast("double"))
+        return F.when(F.isnan(number) | (F.abs(number) < float("inf")), number)
+    compact = F.when(text.rlike(r"^\s*\d{8}\s*$"), F.regexp_replace(F.trim(text), r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3"))
+    return F.coalesce(compact, text).try_cast(wanted) if wanted == "timestamp_ntz" else c.try_cast(wanted)
+
+
 def money(c: Column | str, scale: int) -> Column:
-    """Exact decimal, so that a sum does not depend on the order of its rows."""
+    """Exact decimal of ``scale`` places, so that a sum does not depend on the order of its rows.
+
+    NaN is missing. An infinite amount, or one with too many digits, is an error, not null.
+    """
     digits = 18 if scale <= 4 else 28
-    return as_column(c).cast(f"decimal({digits},{scale})")
+    c = as_column(c)
+    exact = c.try_cast(f"decimal({digits},{scale})")
+    lost = exact.isNull() & c.isNotNull() & ~F.isnan(c.cast("double"))
+    return F.when(lost, F.raise_error(F.concat(F.lit("amount cannot be added exactly: "), c.cast("string")))).otherwise(exact)
 
 
 def correlation(x: Column | str, y: Column | str) -> Column:

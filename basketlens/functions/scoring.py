@@ -22,13 +22,14 @@ class Cut:
 
 
 def quarter_score(c: Column, cuts: Sequence[Cut | None]) -> Column:
-    """1 to 4 by the three cuts; a cut that no value satisfies is None."""
+    """1 to 4 by the three cuts, null for null; a cut that no value satisfies is None."""
     score = None
     for points, cut in enumerate(cuts, start=1):
         if cut is not None:
             held = cut.holds(c)
             score = F.when(held, points) if score is None else score.when(held, points)
-    return (F.lit(4) if score is None else score.otherwise(4)).cast("int")
+    last = F.when(c.isNotNull(), 4)
+    return (last if score is None else score.otherwise(last)).cast("int")
 
 
 def segment(r: Column | str, f: Column | str, m: Column | str) -> Column:

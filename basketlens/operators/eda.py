@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from basketlens.contracts import HISTOGRAM_BINS, IQR_THRESHOLD, WEAK_CORRELATION
 from basketlens.functions.columns import correlation, money, order_month
-from basketlens.operators.exact import MAX_TASK_ROWS, exact_quantiles
+from basketlens.operators.exact import TASK_VALUES, exact_quantiles
 from basketlens.operators.outliers import Fences, fences, inliers
 from basketlens.operators.rfm import AMOUNT_SCALE
+from basketlens.sources.scratch import written
 
 
 def _moments(column: str) -> list[Column]:
@@ -39,11 +40,11 @@ def _summary_columns() -> list[Column]:
 
 
 def numeric_summary(
-    df: DataFrame, column: str, *, max_task_rows: int = MAX_TASK_ROWS
+    df: DataFrame, column: str, *, task_values: int = TASK_VALUES
 ) -> DataFrame:
     """One row: count, mean, median, std (sample; 0 for one value), q1, q3, min, max."""
     stats = exact_quantiles(
-        df, column, [0.25, 0.5, 0.75], extra=_moments(column), max_task_rows=max_task_rows
+        df, column, [0.25, 0.5, 0.75], extra=_moments(column), task_values=task_values
     )
     empty = F.raise_error(F.lit("numeric summary requires at least one value"))
     return stats.withColumn("n", F.when(F.col("n") == 0, empty).otherwise(F.col("n"))).select(
@@ -52,7 +53,7 @@ def numeric_summary(
 
 
 def column_profile(
-    df: DataFrame, columns: Sequence[str], *, max_task_rows: int = MAX_TASK_ROWS
+    df: DataFrame, columns: Sequence[str], *, task_values: int = TASK_VALUES
 ) -> DataFrame:
     """One row per numeric column: missing values and the numeric summary, all columns at once."""
     cells = [
@@ -65,8 +66,7 @@ def column_profile(
         [0.25, 0.5, 0.75],
         ["column_name"],
         extra=[F.count_if(F.col("value").isNull()).alias("missing"), *_moments("value")],
-        rows=df.count(),  # every column is a group of that many rows
-        max_task_rows=max_task_rows,
+        task_values=task_values,
     )
     return stats.select("column_name", "missing", *_summary_columns())
 
@@ -130,9 +130,9 @@ def boxplot(df: DataFrame, column: str, label: str, f: Fences) -> DataFrame:
 
 
 def boxplot_before(
-    df: DataFrame, column: str, *, max_task_rows: int = MAX_TASK_ROWS
+    df: DataFrame, column: str, *, task_values: int = TASK_VALUES
 ) -> DataFrame:
-    return boxplot(df, column, "Before IQR", fences(df, column, max_task_rows=max_task_rows))
+    return boxplot(df, column, "Before IQR", fences(df, column, task_values=task_values))
 
 
 def boxplot_after(
@@ -140,13 +140,12 @@ def boxplot_after(
     column: str,
     *,
     first: Fences | None = None,
-    max_task_rows: int = MAX_TASK_ROWS,
+    task_values: int = TASK_VALUES,
 ) -> DataFrame:
     """Boxplot of the inliers: quartiles and fences are those of what is left."""
-    rows = df.count()
-    first = first or fences(df, column, IQR_THRESHOLD, rows=rows, max_task_rows=max_task_rows)
+    first = first or fences(df, column, IQR_THRESHOLD, task_values=task_values)
     kept = inliers(df, column, first)
-    second = fences(kept, column, IQR_THRESHOLD, rows=rows, max_task_rows=max_task_rows)
+    second = fences(kept, column, IQR_THRESHOLD, task_values=task_values)
     return boxplot(kept, column, "After IQR", second)
 
 
@@ -157,41 +156,39 @@ def fact_correlation(
 
     ``y`` is the same for all facts of a key. So facts are first reduced to one row per
     key (count, mean, spread of ``x``), and only those rows are joined: a hot key costs
-    one row, and no fact is shuffled. Deviations are taken from an observed value, which
-    changes nothing in the result but keeps large offsets from cancelling digits.
+    one row, and no fact is shuffled. The joined rows are written; weighted means are taken in
+    one pass over them and squared deviations from these means in a second, so neither large
+    offsets nor keys without facts cost digits.
     """
     known = lookup.select(
         F.col(lookup_key).alias("_key"), F.col(y).cast("double").alias("_y")
     ).dropna()
     valued = facts.select(key, F.col(x).cast("double").alias("_x")).dropna()
-    near_x, near_y = valued.select("_x").first(), known.select("_y").first()
-    if near_x is None or near_y is None:
-        return facts.sparkSession.createDataFrame([(0.0,)], "correlation double")
     per_key = valued.groupBy(key).agg(
         F.count("*").alias("_n"),
-        (F.avg("_x") - F.lit(near_x[0])).alias("_dx"),
+        F.avg("_x").alias("_mean"),
         (F.var_pop("_x") * F.count("*")).alias("_within"),
     )
     # One row per key, the same one in every run.
     pairs = known.groupBy("_key").agg(F.min("_y").alias("_y"))
-    joined = per_key.join(pairs, per_key[key] == pairs["_key"])
-    dx, dy, n = F.col("_dx"), F.col("_y") - F.lit(near_y[0]), F.col("_n")
-    sums = joined.agg(
-        F.sum(n).cast("double").alias("n"),
-        F.sum(n * dx).alias("x"),
-        F.sum(n * dy).alias("y"),
+    joined = per_key.join(pairs, per_key[key] == pairs["_key"]).select("_n", "_mean", "_within", "_y")
+    table = written(joined, "fact-correlation")
+    n = F.col("_n")
+    means = table.agg(
+        (F.sum(n * F.col("_mean")) / F.sum(n)).alias("_mx"),
+        (F.sum(n * F.col("_y")) / F.sum(n)).alias("_my"),
+        (F.min("_y") < F.max("_y")).alias("_varies"),
+    )
+    dx, dy = F.col("_mean") - F.col("_mx"), F.col("_y") - F.col("_my")
+    sums = table.crossJoin(F.broadcast(means)).agg(  # one row
         F.sum(F.col("_within") + n * dx * dx).alias("xx"),
         F.sum(n * dy * dy).alias("yy"),
         F.sum(n * dx * dy).alias("xy"),
-        F.min("_y").alias("y_min"),
-        F.max("_y").alias("y_max"),
+        F.any_value("_varies").alias("varies"),
     )
     c = F.col
-    xx = c("xx") - c("x") * c("x") / c("n")
-    yy = c("yy") - c("y") * c("y") / c("n")
-    xy = c("xy") - c("x") * c("y") / c("n")
-    spread = F.when((c("y_min") < c("y_max")) & (xx > 0) & (yy > 0), F.sqrt(xx) * F.sqrt(yy))
-    return sums.select(F.coalesce(F.try_divide(xy, spread), F.lit(0.0)).alias("correlation"))
+    spread = F.when(c("varies") & (c("xx") > 0) & (c("yy") > 0), F.sqrt("xx") * F.sqrt("yy"))
+    return sums.select(F.coalesce(F.try_divide(c("xy"), spread), F.lit(0.0)).alias("correlation"))
 
 
 def column_correlation(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Exact order statistics and quantiles without sorting a whole column in one task.
 
-Small inputs (checked by row count) use Spark's exact ``percentile``. Larger ones are
-narrowed first: each round asks a quantile sketch, whose size does not depend on the
-data, for a short interval around every wanted rank, and the next pass counts exactly how
-many rows lie below and inside it. After ``rounds_for`` rounds the intervals hold few
-enough distinct values to be ranked in one task per group. Ties never matter for the
-size: equal values are counted before they are shuffled.
+Tables of every size take the same way. Each round asks a quantile sketch, whose size does not
+depend on the data, for a short interval around every wanted rank, and the next pass counts
+exactly how many rows lie below and inside it. The first pass also returns the row counts,
+which decide how many rounds follow (``rounds_for``) until the intervals hold few enough
+distinct values to be ranked in one task per group; a small group's first interval is
+open and one round is enough. Ties never matter for the size: equal values are
+counted before they are shuffled.
 """
 
 from __future__ import annotations
@@ -22,13 +23,12 @@ from basketlens.operators.lookups import (
     BROADCAST_ROWS,
     Lookup,
     attach,
-    expect_few,
     held,
     null_safe,
 )
 
-# Rows of one group that a single task may rank or hold in a percentile state.
-MAX_TASK_ROWS = 200_000
+# Values that one task ranks in the last step, at most.
+TASK_VALUES = 200_000
 # Sketch accuracy: a sketched rank is off by at most rows / ACCURACY.
 ACCURACY = 10_000
 
@@ -53,13 +53,11 @@ def _grid(accuracy: int) -> int:
     return max(4, accuracy // 4)
 
 
-def rounds_for(rows: int, ranks: int, max_task_rows: int, accuracy: int) -> int:
+def rounds_for(rows: int, ranks: int, task_values: int, accuracy: int) -> int:
     """Narrowing rounds after which the intervals of ``ranks`` ranks fit one task."""
-    if rows <= max_task_rows:
-        return 0
     left = rows * ranks * 2 * _margin(accuracy)
     shrink = min(0.5, 2 * (_margin(accuracy) + 1 / _grid(accuracy)))
-    more = math.log(max(1.0, left / max_task_rows)) / -math.log(shrink)
+    more = math.log(max(1.0, left / task_values)) / -math.log(shrink)
     return 1 + math.ceil(more)
 
 
@@ -69,8 +67,7 @@ def order_statistics(
     ranks: dict[str, Rank],
     by: Sequence[str] = (),
     *,
-    rows: int | None = None,
-    max_task_rows: int = MAX_TASK_ROWS,
+    task_values: int = TASK_VALUES,
     max_broadcast_rows: int = BROADCAST_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
@@ -80,10 +77,7 @@ def order_statistics(
     ones. An index outside the values gives a null struct.
     """
     by = list(by)
-    rows = df.count() if rows is None else rows
-    if rows <= max_task_rows:
-        return _pick(_values(df, value, by), by, ranks, narrowed=False)
-    found = _narrowed(df, value, ranks, by, (), rows, max_task_rows, max_broadcast_rows, accuracy)
+    found = _narrowed(df, value, ranks, by, (), task_values, max_broadcast_rows, accuracy)
     return found.where(F.col("n") > 0) if by else found
 
 
@@ -97,30 +91,28 @@ def _narrowed(
     ranks: dict[str, Rank],
     by: list[str],
     extra: Sequence[Column],
-    rows: int,
-    max_task_rows: int,
+    task_values: int,
     max_broadcast_rows: int,
     accuracy: int,
 ) -> DataFrame:
     """Count ``n``, ``extra`` and ranks of every group; ``extra`` costs no pass of its own."""
 
-    rounds = rounds_for(rows, len(ranks), max_task_rows, accuracy)
-    few = expect_few(df, by, rows, max_broadcast_rows)
     data = _values(df, value, by)
     bounds = [f"_{side}_{name}" for name in ranks for side in ("lo", "hi")]
 
     # Intervals are held or written once, so that later rounds do not redo earlier ones.
     def settled(intervals: DataFrame) -> Lookup:
-        return held(intervals, max_broadcast_rows, expect_few=few)
+        return held(intervals, by, max_broadcast_rows)
 
     def within(intervals: Lookup) -> DataFrame:
         return attach(data, intervals, by, bounds, "n", max_rows=max_broadcast_rows)
 
     first = settled(_first_intervals(df, value, by, ranks, accuracy, extra))
     tagged = within(first)
+    rounds = rounds_for(first.total("n"), len(ranks), task_values, accuracy)
     for _ in range(rounds - 1):
         tagged = within(settled(_next_intervals(tagged, by, ranks, accuracy)))
-    picked = _pick(tagged, by, ranks, narrowed=True).drop("n")
+    picked = _pick(tagged, by, ranks).drop("n")
     return _beside(first.df.drop(*bounds), picked, by, small=first.small)
 
 
@@ -215,21 +207,18 @@ def _pick(
     tagged: DataFrame,
     by: list[str],
     ranks: dict[str, Rank],
-    *,
-    narrowed: bool,
 ) -> DataFrame:
     """Count equal values, rank the counted values, read off the wanted ranks."""
-    zone, exact = F.lit(0), F.lit(not narrowed)
-    if narrowed:
-        # Values outside every interval only matter as counts: they share one row per gap.
-        for name in ranks:
-            lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-            zone = (
-                zone
-                + F.coalesce((F.col("_v") >= lo).cast("int"), F.lit(1))
-                + F.coalesce((F.col("_v") > hi).cast("int"), F.lit(0))
-            )
-            exact = exact | _inside(name)
+    zone, exact = F.lit(0), F.lit(False)
+    # Values outside every interval only matter as counts: they share one row per gap.
+    for name in ranks:
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        zone = (
+            zone
+            + F.coalesce((F.col("_v") >= lo).cast("int"), F.lit(1))
+            + F.coalesce((F.col("_v") > hi).cast("int"), F.lit(0))
+        )
+        exact = exact | _inside(name)
     counted = (
         tagged.select(*by, zone.alias("_zone"), F.when(exact, F.col("_v")).alias("_exact"), "_v")
         .groupBy(*by, "_zone", "_exact")
@@ -269,8 +258,7 @@ def exact_quantiles(
     by: Sequence[str] = (),
     *,
     extra: Sequence[Column] = (),
-    rows: int | None = None,
-    max_task_rows: int = MAX_TASK_ROWS,
+    task_values: int = TASK_VALUES,
     max_broadcast_rows: int = BROADCAST_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
@@ -279,11 +267,6 @@ def exact_quantiles(
     Groups without a non-null value are kept, with ``n`` 0 and null quantiles.
     """
     by = list(by)
-    rows = df.count() if rows is None else rows
-    if rows <= max_task_rows:
-        q = F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]))
-        return df.groupBy(*by).agg(F.count(value).alias("n"), *extra, q.alias("q"))
-
     ranks = {
         f"p{i}": Rank(
             float(p),
@@ -295,7 +278,7 @@ def exact_quantiles(
         for i, p in enumerate(probabilities)
     }
     stats = _narrowed(
-        df, value, ranks, by, extra, rows, max_task_rows, max_broadcast_rows, accuracy
+        df, value, ranks, by, extra, task_values, max_broadcast_rows, accuracy
     )
     parts = []
     for name, rank in ranks.items():

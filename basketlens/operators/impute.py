@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.contracts import IMPUTE_STRATEGIES
-from basketlens.operators.exact import MAX_TASK_ROWS, exact_quantiles
-from basketlens.operators.lookups import BROADCAST_ROWS, attach, expect_few, held
+from basketlens.operators.exact import TASK_VALUES, exact_quantiles
+from basketlens.operators.lookups import BROADCAST_ROWS, attach, held
 
 
 def _check_strategy(strategy: str) -> None:
@@ -23,8 +23,7 @@ def fill_values(
     by: Sequence[str],
     strategy: str,
     *,
-    rows: int | None = None,
-    max_task_rows: int = MAX_TASK_ROWS,
+    task_values: int = TASK_VALUES,
 ) -> DataFrame:
     """Per group its rows and the value a missing ``column`` gets; null where it knows none."""
     _check_strategy(strategy)
@@ -32,7 +31,7 @@ def fill_values(
     if strategy == "mean":
         return df.groupBy(*by).agg(F.avg(column).alias("fill"), size)
     stats = exact_quantiles(
-        df, column, [0.5], by, extra=[size], rows=rows, max_task_rows=max_task_rows
+        df, column, [0.5], by, extra=[size], task_values=task_values
     )
     return stats.select(*by, F.col("q")[0].alias("fill"), "_rows")
 
@@ -45,31 +44,28 @@ def impute(
     *,
     known: DataFrame | None = None,
     output: str | None = None,
-    rows: int | None = None,
-    max_task_rows: int = MAX_TASK_ROWS,
+    overall: DataFrame | None = None,
+    task_values: int = TASK_VALUES,
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``column`` filled by its group's statistic, else by the statistic of all rows.
 
     A missing group is a group of its own. ``known`` gives other rows to learn from,
-    ``output`` another name for the filled column, ``rows`` an upper bound of the rows
-    learnt from, if one is known.
+    ``output`` another name for the filled column. ``overall`` is the statistic of all rows
+    learnt from (one row, column ``fill``), if it was computed before.
     """
     _check_strategy(strategy)
     by = [group_columns] if isinstance(group_columns, str) else list(group_columns)
     learn = df if known is None else known
-    rows = learn.count() if rows is None else rows
-    size = {"rows": rows, "max_task_rows": max_task_rows}
-    overall = fill_values(learn, column, [], strategy, **size)
+    if overall is None:
+        overall = fill_values(learn, column, [], strategy, task_values=task_values)
     filled = F.col(column)
     joined = df
     if by:
-        groups = fill_values(learn, column, by, strategy, **size)
-        few = expect_few(learn, by, rows, max_broadcast_rows)
-        fills = held(
-            groups.withColumnRenamed("fill", "_group_fill"), max_broadcast_rows, expect_few=few
-        )
-        joined = attach(df, fills, by, ["_group_fill"], "_rows", max_rows=max_broadcast_rows)
+        groups = fill_values(learn, column, by, strategy, task_values=task_values)
+        fills = held(groups.withColumnRenamed("fill", "_group_fill"), by, max_broadcast_rows)
+        weight = "_rows" if known is None else None  # rows learnt from say nothing about those filled
+        joined = attach(df, fills, by, ["_group_fill"], weight, max_rows=max_broadcast_rows)
         filled = F.coalesce(filled, F.col("_group_fill"))
     # One row.
     joined = joined.crossJoin(F.broadcast(overall.select(F.col("fill").alias("_all_fill"))))

@@ -12,7 +12,7 @@ from basketlens.contracts import (
     MASK,
     TRANSACTION_COLUMNS,
 )
-from basketlens.functions.columns import image_path, nan_to_null, null_texts_to_null
+from basketlens.functions.columns import image_path, nan_to_null, null_texts_to_null, parsed
 from basketlens.operators.quality import require_columns
 
 
@@ -61,21 +61,24 @@ TRANSACTION_TYPES = {"order_date": "timestamp_ntz", "unit_price": "double"}
 
 
 def parsed_transactions(renamed: DataFrame, *, strict: bool = True) -> DataFrame:
-    """Dates and numbers from texts; a text that is neither stops the job (ANSI cast).
+    """Dates and numbers from texts; a text that is neither stops the job.
 
     Not ``strict``, it becomes null: for callers that count such texts in the same pass
     and reject the result if there are any.
     """
 
-    def parsed(name: str) -> Column:
-        wanted = TRANSACTION_TYPES[name]
-        return F.col(name).cast(wanted) if strict else F.col(name).try_cast(wanted)
+    def value(name: str) -> Column:
+        found = parsed(name, TRANSACTION_TYPES[name])
+        if not strict:
+            return found
+        said = F.concat(F.lit(f"[CAST_INVALID_INPUT] {name} cannot be parsed: "), F.col(name).cast("string"))
+        return F.when(found.isNull() & F.col(name).isNotNull(), F.raise_error(said)).otherwise(found)
 
     return renamed.select(
         F.col("customer_id").cast("string").alias("customer_id"),
         F.col("product_id").cast("string").alias("product_id"),
-        parsed("order_date").alias("order_date"),
-        nan_to_null(parsed("unit_price")).alias("unit_price"),
+        value("order_date").alias("order_date"),
+        nan_to_null(value("unit_price")).alias("unit_price"),
     )
 
 

@@ -8,12 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from basketlens.sources.scratch import written
+from basketlens.sources.scratch import written_with_facts
 
-# A lookup is broadcast only when it was seen to have at most this many rows.
+# A lookup is broadcast only when it was seen to have at most this many rows and bytes.
 BROADCAST_ROWS = 10_000
-# Beyond this many rows it pays to estimate the number of groups before they are computed.
-SKETCH_ROWS = 20_000_000
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -27,21 +26,34 @@ class Lookup:
     def small(self) -> bool:
         return self.rows is not None
 
+    def total(self, column: str) -> int:
+        """Sum of a column over all groups."""
+        if self.rows is not None:
+            return sum(row[column] or 0 for row in self.rows)
+        return self.df.agg(F.sum(column)).first()[0] or 0
 
-def expect_few(df: DataFrame, by: Sequence[str], rows: int, max_rows: int = BROADCAST_ROWS) -> bool:
-    """May ``df`` have at most ``max_rows`` groups? Large tables are asked by a sketch of the keys."""
-    if not by or rows <= SKETCH_ROWS:
-        return True
-    return df.agg(F.approx_count_distinct(F.struct(*by))).first()[0] <= 2 * max_rows
 
+def held(lookup: DataFrame, by: Sequence[str], max_rows: int = BROADCAST_ROWS) -> Lookup:
+    """The groups computed once: one row is taken as it is, more are written and taken if they are small."""
+    if not by:
+        return _taken(lookup)
+    size = F.sum(F.lit(8 * len(lookup.columns)) + _text_bytes(lookup, by))
+    table, facts = written_with_facts(
+        lookup, "group-values", F.count(F.lit(1)).alias("rows"), size.alias("bytes")
+    )
+    if facts["rows"] <= max_rows and (facts["bytes"] or 0) <= BROADCAST_BYTES:
+        return _taken(table)
+    return Lookup(table)
 
-def held(lookup: DataFrame, max_rows: int = BROADCAST_ROWS, *, expect_few: bool = True) -> Lookup:
-    """Take the rows if there are at most ``max_rows``; else, or if many are expected, write them."""
-    if expect_few:
-        rows = lookup.limit(max_rows + 1).collect()
-        if len(rows) <= max_rows:
-            return Lookup(lookup.sparkSession.createDataFrame(rows, lookup.schema), rows)
-    return Lookup(written(lookup, "group-values"))
+
+def _taken(lookup: DataFrame) -> Lookup:
+    rows = lookup.collect()
+    return Lookup(lookup.sparkSession.createDataFrame(rows, lookup.schema), rows)
+
+
+def _text_bytes(lookup: DataFrame, by: Sequence[str]) -> Column:
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in by if lookup.schema[c].dataType.typeName() == "string"]
+    return sum(texts, F.lit(0))
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> Column:
@@ -57,30 +69,41 @@ def attach(
     lookup: Lookup,
     keys: Sequence[str],
     values: Sequence[str],
-    weight: str,
+    weight: str | None = None,
     *,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Left join of ``facts`` with the ``values`` of their group; null is a group like any other.
 
-    A small lookup is broadcast and the facts do not move. A large one is split by
-    ``weight``, its column with the number of rows per group: fewer than ``max_rows``
-    groups can hold more than 1/``max_rows`` of all rows. Those hot groups are broadcast
-    and their facts stay where they are; the rest is shuffled, and no key in it is hot.
+    A small lookup is broadcast and the facts do not move. A large one is split by the number
+    of facts per group: fewer than ``max_rows`` groups can hold more than 1/``max_rows`` of
+    all facts. Those hot groups are broadcast and their facts stay where they are; the rest is
+    shuffled, and no key in it is hot. ``weight`` is a column of the lookup with that
+    number, if it was learnt from these facts; else they are counted, map side first.
     """
     if not keys:  # one row: its values are literals, which filters can use
         types = lookup.df.schema
         return facts.withColumns({c: F.lit(lookup.rows[0][c]).cast(types[c].dataType) for c in values})
     columns = [*facts.columns, *values]
     pairs = [(k, f"_key_{k}") for k in keys]
-    named = lookup.df.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values, weight)
+    named = lookup.df.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values, *([weight] if weight else []))
     if lookup.small:
         few = F.broadcast(named)
         return facts.join(few, null_safe(facts, named, pairs), "left").select(*columns)
 
-    total = named.agg(F.sum(weight)).first()[0]
-    is_hot = F.col(weight) > F.lit(total / max_rows)
-    hot, cold = named.where(is_hot), named.where(~is_hot)
+    if weight is None:
+        # Hot keys of the facts; one that the lookup does not know gets nulls where it is.
+        weight = "_weight"
+        counts = facts.groupBy(*[F.col(k).alias(f"_fact_{k}") for k in keys]).agg(F.count("*").alias(weight))
+        total = facts.count()
+        often = counts.where(F.col(weight) > F.lit(total / max_rows))
+        joined = often.join(named, null_safe(often, named, [(f"_fact_{k}", f"_key_{k}") for k in keys]), "left")
+        hot = joined.select(*[F.col(f"_fact_{k}").alias(f"_key_{k}") for k in keys], *values)
+        cold = named
+    else:
+        total = named.agg(F.sum(weight)).first()[0]
+        is_hot = F.col(weight) > F.lit(total / max_rows)
+        hot, cold = named.where(is_hot), named.where(~is_hot)
     hot_facts = facts.join(F.broadcast(hot), null_safe(facts, hot, pairs), "inner")
     other = facts.join(F.broadcast(hot), null_safe(facts, hot, pairs), "left_anti")
     other = other.join(cold, null_safe(other, cold, pairs), "left")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.contracts import IQR_THRESHOLD
-from basketlens.operators.exact import MAX_TASK_ROWS, exact_quantiles
+from basketlens.operators.exact import TASK_VALUES, exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -40,12 +40,11 @@ def fences(
     column: str,
     threshold: float = IQR_THRESHOLD,
     *,
-    rows: int | None = None,
-    max_task_rows: int = MAX_TASK_ROWS,
+    task_values: int = TASK_VALUES,
 ) -> Fences:
     """Runs the quantile job; one row comes back. Missing values are ignored."""
     row = exact_quantiles(
-        df, column, [0.25, 0.5, 0.75], rows=rows, max_task_rows=max_task_rows
+        df, column, [0.25, 0.5, 0.75], task_values=task_values
     ).first()
     if row["n"] == 0:
         raise ValueError(f"{column} has no values")
@@ -57,10 +56,10 @@ def iqr_statistics(
     column: str = "unit_price",
     threshold: float = IQR_THRESHOLD,
     *,
-    max_task_rows: int = MAX_TASK_ROWS,
+    task_values: int = TASK_VALUES,
 ) -> DataFrame:
     """One row: column, threshold, q1, q3, both fences and the number of values beyond them."""
-    f = fences(df, column, threshold, max_task_rows=max_task_rows)
+    f = fences(df, column, threshold, task_values=task_values)
     return df.where(f.outside(column)).agg(F.count("*").alias("outlier_count")).select(
         F.lit(column).alias("column"),
         F.lit(float(threshold)).alias("threshold"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.contracts import TableContract
+from basketlens.functions.columns import parsed
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
@@ -70,7 +71,7 @@ def dimension_key_report(df: DataFrame, key: str) -> DataFrame:
 
 def unparsable(column: str, wanted: str) -> Column:
     """Number of non-null texts that are no value of the wanted type."""
-    return F.count_if(F.col(column).isNotNull() & F.col(column).try_cast(wanted).isNull())
+    return F.count_if(F.col(column).isNotNull() & parsed(column, wanted).isNull())
 
 
 def missing_ids(ids: Sequence[str]) -> Column:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from basketlens.contracts import CUSTOMER_BUCKETS
 from basketlens.functions.columns import local_time, money, stable_bucket, whole_days_between
 from basketlens.functions.scoring import Cut, quarter_score, segment
-from basketlens.operators.exact import MAX_TASK_ROWS, Rank, order_statistics
+from basketlens.operators.exact import TASK_VALUES, Rank, order_statistics
 from basketlens.sources.scratch import written_with_facts
 
-# Decimal places kept when amounts are added.
+# Decimal places kept when amounts are added; digits beyond them are rounded away.
 AMOUNT_SCALE = 12
 
 
@@ -73,6 +73,7 @@ def rfm_base(
         "customers-rfm",
         F.count(F.lit(1)).alias("customers"),
         F.max("last_purchase").alias("last"),
+        F.count_if(F.col("last_purchase").isNull()).alias("undated"),
     )
     if not known.get("customers"):
         raise ValueError("cannot calculate RFM from an empty transaction table")
@@ -80,6 +81,9 @@ def rfm_base(
         if known["last"] is None:
             raise ValueError("cannot calculate RFM when no transaction has a date")
         analysis_date = known["last"].date() + dt.timedelta(days=1)
+    if known["undated"]:
+        undated = table.where(F.col("last_purchase").isNull()).count()
+        raise ValueError(f"cannot calculate RFM: {undated} customers have no transaction with a date")
     reference = local_time(F.lit(analysis_date))
     return table.select(
         customer_col,
@@ -93,8 +97,7 @@ def score_cuts(
     base: DataFrame,
     metrics: dict[str, Column],
     *,
-    rows: int | None = None,
-    max_task_rows: int = MAX_TASK_ROWS,
+    task_values: int = TASK_VALUES,
 ) -> dict[str, list[Cut | None]]:
     """Per metric the three values at which the score changes.
 
@@ -119,8 +122,7 @@ def score_cuts(
         "value",
         {f"cut{k}": Rank(k / 4, [lambda n, k=k: F.floor(n * k / 4) - 1]) for k in (1, 2, 3)},
         by=["metric"],
-        rows=base.count() if rows is None else rows,
-        max_task_rows=max_task_rows,
+        task_values=task_values,
     ).collect()  # one row per metric
     cuts: dict[str, list[Cut | None]] = {}
     for row in found:
@@ -133,14 +135,14 @@ def score_cuts(
     return cuts
 
 
-def rfm_scores(base: DataFrame, *, max_task_rows: int = MAX_TASK_ROWS) -> DataFrame:
+def rfm_scores(base: DataFrame, *, task_values: int = TASK_VALUES) -> DataFrame:
     """Adds r_score, f_score, m_score; the returned plan is a map over the customer table."""
     values = {
         "r_score": -F.col("recency"),  # a small recency is good
         "f_score": F.col("frequency"),
         "m_score": F.col("monetary"),
     }
-    cuts = score_cuts(base, values, max_task_rows=max_task_rows)
+    cuts = score_cuts(base, values, task_values=task_values)
     return base.withColumns(
         {
             name: quarter_score(value.cast("double"), cuts.get(name, []))
@@ -159,7 +161,7 @@ def rfm(
     date_grain: str = "timestamp",
     amount_scale: int = AMOUNT_SCALE,
     partition_count: int | None = None,
-    max_task_rows: int = MAX_TASK_ROWS,
+    task_values: int = TASK_VALUES,
 ) -> DataFrame:
     """Every customer with a purchase: R, F, M, their scores and the segment."""
     base = rfm_base(
@@ -172,7 +174,7 @@ def rfm(
         amount_scale=amount_scale,
         partition_count=partition_count,
     )
-    return rfm_scores(base, max_task_rows=max_task_rows).withColumn(
+    return rfm_scores(base, task_values=task_values).withColumn(
         "segment", segment("r_score", "f_score", "m_score")
     )
 

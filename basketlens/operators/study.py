@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.operators.exact import MAX_TASK_ROWS, exact_quantiles
-from basketlens.operators.impute import impute
+from basketlens.operators.exact import TASK_VALUES, exact_quantiles
+from basketlens.operators.impute import fill_values, impute
+from basketlens.operators.lookups import held
 
 
 def missing_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -25,7 +26,7 @@ def _sample_skewness(c: str) -> Column:
 
 
 def group_profile(
-    df: DataFrame, column: str, group: str, *, max_task_rows: int = MAX_TASK_ROWS
+    df: DataFrame, column: str, group: str, *, task_values: int = TASK_VALUES
 ) -> DataFrame:
     """Known values per group: count, mean, median, skewness, gap between mean and median."""
     stats = exact_quantiles(
@@ -34,8 +35,7 @@ def group_profile(
         [0.5],
         [group],
         extra=[F.avg(column).alias("mean"), _sample_skewness(column).alias("skewness")],
-        rows=df.count(),
-        max_task_rows=max_task_rows,
+        task_values=task_values,
     )
     median = F.col("q")[0]
     return stats.select(
@@ -65,11 +65,12 @@ def holdout_errors(
     column: str,
     methods: dict[str, tuple[Sequence[str], str]],
     *,
-    max_task_rows: int = MAX_TASK_ROWS,
+    task_values: int = TASK_VALUES,
 ) -> DataFrame:
     """One row per method (grouping columns, strategy): error on values hidden from it."""
     train, test = holdout_split(df, key, column)
-    rows = df.count()
+    # Every statistic of all training rows is computed once, however many methods fall back to it.
+    overall = {s: held(fill_values(train, column, [], s, task_values=task_values), []).df for _, s in methods.values()}
     hidden = test.withColumnRenamed(column, "_truth").withColumn(
         column, F.lit(None).cast(df.schema[column].dataType)
     )
@@ -81,8 +82,8 @@ def holdout_errors(
             strategy,
             known=train,
             output=f"_guess{i}",
-            rows=rows,
-            max_task_rows=max_task_rows,
+            overall=overall[strategy],
+            task_values=task_values,
         )
     errors = []
     for i, name in enumerate(methods):
@@ -100,11 +101,8 @@ def holdout_errors(
 
 def with_improvement(errors: DataFrame, baseline: str) -> DataFrame:
     """Adds how much lower the MAE is than the baseline's, in percent; one row per method."""
-    base = errors.where(F.col("method") == baseline).select(F.col("mae").alias("_base"))
-    return errors.crossJoin(F.broadcast(base)).select(
-        *errors.columns,
-        ((F.col("_base") - F.col("mae")) / F.col("_base") * 100).alias("improvement_pct"),
-    )
+    base = F.max(F.when(F.col("method") == baseline, F.col("mae"))).over(Window.partitionBy())  # a row per method
+    return errors.withColumn("improvement_pct", (base - F.col("mae")) / base * 100)
 
 
 def group_coverage(df: DataFrame, column: str, groupings: dict[str, Sequence[str]]) -> DataFrame:
@@ -132,11 +130,11 @@ def group_coverage(df: DataFrame, column: str, groupings: dict[str, Sequence[str
 
 
 def group_policy(
-    df: DataFrame, key: str, column: str, group: str, *, max_task_rows: int = MAX_TASK_ROWS
+    df: DataFrame, key: str, column: str, group: str, *, task_values: int = TASK_VALUES
 ) -> DataFrame:
     """Training rows and median per group, and which statistic its missing values get."""
     train = df.where(~is_test_row(key))
-    stats = exact_quantiles(train, column, [0.5], [group], rows=df.count(), max_task_rows=max_task_rows)
+    stats = exact_quantiles(train, column, [0.5], [group], task_values=task_values)
     return stats.select(
         group,
         F.col("n").alias("training_rows"),

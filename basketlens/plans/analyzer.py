@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from basketlens import contracts
 from basketlens.operators import eda, features, impute, load, outliers, quality, rfm
-from basketlens.operators.exact import MAX_TASK_ROWS
-from basketlens.sources.raw import read_csv, read_images
+from basketlens.operators.exact import TASK_VALUES
+from basketlens.sources.raw import read_csv, read_images, require_closed_quotes
+from basketlens.sources.scratch import scope
 from basketlens.sources.store import TableStore
 
-DEFAULT_AGE_POLICY = ("club_member_status", "median")
-
 
 class DataAnalyzer:
     """Loads, cleans and describes transactions, customers and articles.
@@ -32,19 +31,16 @@ class DataAnalyzer:
         precomputed_root: str | None = None,
         *,
         amount_scale: int = rfm.AMOUNT_SCALE,
-        multi_line_csv: bool = False,
-        max_task_rows: int = MAX_TASK_ROWS,
+        task_values: int = TASK_VALUES,
     ) -> None:
         self.spark = spark
         self.raw_root = None if raw_root is None else str(raw_root).rstrip("/")
         self.store = TableStore(spark, store_root, precomputed_root)
         self.amount_scale = amount_scale
-        self.multi_line_csv = multi_line_csv
-        self.max_task_rows = max_task_rows
+        self.task_values = task_values
         self.customers: DataFrame | None = None
         self.articles: DataFrame | None = None
         self.transactions: DataFrame | None = None
-        self._age_policy = DEFAULT_AGE_POLICY
 
     @property
     def artifact_status(self) -> dict[str, str]:
@@ -80,7 +76,18 @@ class DataAnalyzer:
         return f"{self.raw_root}/{name}"
 
     def _read(self, name: str) -> DataFrame:
-        return read_csv(self.spark, self._raw(name), multi_line=self.multi_line_csv)
+        """Customers and articles may hold quoted line ends; transactions stay splittable."""
+        path = self._raw(name)
+        facts = name == contracts.RAW_TRANSACTIONS_FILE
+        if facts:
+            require_closed_quotes(self.spark, path)
+        return read_csv(self.spark, path, multi_line=not facts)
+
+    def _versions(self, *names: str) -> dict[str, str | None]:
+        """Versions of the source tables, which results computed from them are keyed by."""
+        if "transactions" in names and self.transactions is None:
+            self.transactions = self.store.find(contracts.TRANSACTIONS)
+        return {f"{name}_version": self.store.version(name) for name in names}
 
     def _load_articles(self, *, force: bool = False) -> DataFrame:
         return self.store.load_or_compute(
@@ -121,38 +128,35 @@ class DataAnalyzer:
         """Fill a customer column from its group, else from all customers, and store the table."""
         if self.customers is None:
             raise ValueError("call load_data before handle_missing_values")
-        filled = impute.impute(
-            self.customers,
-            column,
-            group_column,
-            strategy,
-            output="_filled",
-            max_task_rows=self.max_task_rows,
-        )
-        report = filled.agg(
-            F.count_if(F.col(column).isNull()).alias("missing_before"),
-            F.count_if(F.col("_filled").isNull()).alias("missing_after"),
-        ).first()
-        if report["missing_after"]:
-            raise ValueError(
-                f"could not impute all missing values in {column}: {report['missing_after']} remain"
+        with scope(self.spark):
+            filled = impute.impute(
+                self.customers,
+                column,
+                group_column,
+                strategy,
+                output="_filled",
+                task_values=self.task_values,
             )
-        kept = [
-            F.col("_filled").alias(c) if c == column else F.col(c) for c in self.customers.columns
-        ]
-        self.customers = self.store.put(
-            contracts.CUSTOMERS,
-            filled.select(*kept),
-            {"column": column, "group": group_column, "strategy": strategy},
-        )
-        if column == "age":
-            self._age_policy = (group_column, strategy)
-        return report.asDict()
+            counts = Observation()
+            counted = filled.observe(
+                counts,
+                F.count_if(F.col(column).isNull()).alias("missing_before"),
+                F.count_if(F.col("_filled").isNull()).alias("missing_after"),
+            )
+            kept = [F.col("_filled").alias(c) if c == column else F.col(c) for c in self.customers.columns]
+
+            def complete(written: DataFrame) -> None:
+                if left := written.where(F.col(column).isNull()).count():
+                    raise ValueError(f"could not impute all missing values in {column}: {left} remain")
+
+            # A newer version of the table itself: whoever loads the customers sees the filled values.
+            self.customers = self.store.put(contracts.CUSTOMERS, counted.select(*kept), check=complete)
+        return dict(counts.get)
 
     def engineer_features(self, *, force: bool = False) -> DataFrame:
         """Name length, pixel mean and pixel std of every article."""
         return self.store.load_or_compute(
-            contracts.PRODUCT_FEATURES, self._build_features, force=force
+            contracts.PRODUCT_FEATURES, self._build_features, self._versions("articles"), force=force
         )
 
     def _build_features(self) -> DataFrame:
@@ -180,9 +184,9 @@ class DataAnalyzer:
         result = self.store.load_or_compute(
             contracts.iqr_contract(column),
             lambda: outliers.iqr_statistics(
-                self._facts(), column, threshold, max_task_rows=self.max_task_rows
+                self._facts(), column, threshold, task_values=self.task_values
             ),
-            {"column": column, "threshold": float(threshold)},
+            {"column": column, "threshold": float(threshold), **self._versions("transactions")},
             force=force,
             accept=lambda df: not df.where(
                 (F.col("column") == column) & (F.col("threshold") == float(threshold))
@@ -213,6 +217,7 @@ class DataAnalyzer:
             "analysis_date": analysis_date,
             "grain": date_grain,
             "scale": self.amount_scale,
+            **self._versions("transactions"),
         }
         usual = (customer_col, date_col, amount_col) == ("customer_id", "order_date", "unit_price")
         return self.store.load_or_compute(
@@ -226,7 +231,7 @@ class DataAnalyzer:
                 date_grain=date_grain,
                 amount_scale=self.amount_scale,
                 partition_count=partition_count,
-                max_task_rows=self.max_task_rows,
+                task_values=self.task_values,
             ),
             params,
             force=force,
@@ -236,7 +241,7 @@ class DataAnalyzer:
 
     def prepare_eda_artifacts(self, *, force: bool = False) -> dict[str, object]:
         """Everything the report draws, so that drawing never scans the transactions again."""
-        params = {"age_filled_by": self._age_policy}
+        params = {"scale": self.amount_scale, **self._versions("transactions", "customers", "articles")}
         if not force:
             summary = self.store.find(contracts.EDA_SUMMARY, params)
             monthly = self.store.find(contracts.MONTHLY_SUMMARY, params)
@@ -256,8 +261,8 @@ class DataAnalyzer:
 
     def _build_eda(self, product_features: DataFrame) -> DataFrame:
         """One row. The price column is described once; its numbers steer the later passes."""
-        facts, price, limit = self._facts(), "unit_price", self.max_task_rows
-        stats = eda.numeric_summary(facts, price, max_task_rows=limit).first().asDict()
+        facts, price, limit = self._facts(), "unit_price", self.task_values
+        stats = eda.numeric_summary(facts, price, task_values=limit).first().asDict()
         first = outliers.Fences(
             stats["q1"], stats["median"], stats["q3"], contracts.IQR_THRESHOLD
         )
@@ -270,7 +275,7 @@ class DataAnalyzer:
             F.transform("h", lambda b: b["count"]).alias("histogram_counts"),
         )
         before = eda.boxplot(facts, price, "Before IQR", first)
-        after = eda.boxplot_after(facts, price, first=first, max_task_rows=limit)
+        after = eda.boxplot_after(facts, price, first=first, task_values=limit)
         age = eda.fact_correlation(
             facts, "customer_id", price, self.customers, "customer_id", "age"
         )

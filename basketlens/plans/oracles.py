@@ -6,6 +6,10 @@ TX_ORDER = """tx as (
   select o_custkey as customer_id, o_orderdate as order_date, o_totalprice as unit_price from orders)"""
 TX_EVENT = """tx as (
   select user_id as customer_id, ts as order_date, value as unit_price from events)"""
+TX_UNDATED = """tx as (
+  select * from (
+    select user_id as customer_id, case when event_id % 5 <> 0 then ts end as order_date, value as unit_price from events)
+  where customer_id in (select user_id from events where event_id % 5 <> 0 and ts is not null))"""
 TX_DAY = """tx as (
   select user_id as customer_id, date_trunc('day', ts)::timestamp as order_date, value as unit_price from events)"""
 TX_LINE = """tx as (
@@ -22,11 +26,15 @@ DOC_GAP = """docs as (
   from documents d left join labels l on d.doc_id = l.doc_id)"""
 RAW_TX = """raw as (
   select case when event_id % 101 = 0 then strftime(ts, '%Y-%m-%d') || '?'
+              when event_id % 97 = 0 then strftime(ts, '%Y%m%d')
               else strftime(ts, '%Y-%m-%d') end as order_date,
          case when event_id % 53 <> 0 then cast(user_id as varchar) end as customer_id,
          case when event_id % 59 <> 0 then cast(event_id as varchar) end as product_id,
          case when event_id % 103 = 0 then '12,5'
               when event_id % 107 = 0 then null
+              when event_id % 109 = 0 then '1.0d'
+              when event_id % 113 = 0 then '2f'
+              when event_id % 127 = 0 then 'Infinity'
               else cast(value as varchar) end as unit_price
   from events)"""
 ARTICLES = """articles as (
@@ -229,9 +237,9 @@ select cast(coalesce(sum(n) filter (where customer_id is null), 0) as bigint) as
 from c""",
     "dq_unparsable": f"""with {RAW_TX}
 select 'order_date' as column_name,
-       {_count_sum("order_date is not null and try_cast(order_date as timestamp) is null")} as unparsable from raw
+       {_count_sum("order_date is not null and try_cast(order_date as timestamp) is null and try_strptime(order_date, '%Y%m%d') is null")} as unparsable from raw
 union all
-select 'unit_price', {_count_sum("unit_price is not null and try_cast(unit_price as double) is null")} from raw""",
+select 'unit_price', {_count_sum("unit_price is not null and not regexp_full_match(unit_price, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')")} from raw""",
     "dq_missing_ids": f"""with {RAW_TX}
 select {_count_sum("customer_id is null or product_id is null")} as facts_with_missing_id from raw""",
     "dq_unknown_customer": """
@@ -415,6 +423,7 @@ select customer_id, r_score, f_score, m_score from scored""",
     "rfm_asof_date": f"with {_rfm(TX_ORDER, '''any_value(date '1999-06-30')''')} {_RFM_ROWS}",
     "rfm_lines": f"with {_rfm(TX_LINE)} {_RFM_ROWS}",
     "rfm_events": f"with {_rfm(TX_EVENT)} {_RFM_ROWS}",
+    "rfm_some_undated": f"with {_rfm(TX_UNDATED)} {_RFM_ROWS}",
     "rfm_daily_events": f"with {_rfm(TX_DAY)} {_RFM_ROWS}",
     "customer_buckets": """
 select cast(('0x' || substr(md5(cast(o_custkey as varchar)), 1, 8))::bigint % 64 as bigint) as bucket,

@@ -473,6 +473,11 @@ def rfm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_rfm(views.tx_event(spark, sf_dir)), 2)
 
 
+@query
+def rfm_some_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_rfm(views.tx_event_some_undated(spark, sf_dir)), 2)
+
+
 @query
 def rfm_daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_rfm(views.tx_event(spark, sf_dir), date_grain="day"), 2)

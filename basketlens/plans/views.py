@@ -43,6 +43,17 @@ def tx_line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tx_event_some_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events, a fifth of them without a date, of the customers that keep a dated one."""
+    facts = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("customer_id"),
+        F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("order_date"),
+        F.col("value").alias("unit_price"),
+    )
+    dated = facts.where("order_date is not null").select("customer_id").distinct()
+    return facts.join(dated, "customer_id", "left_semi")
+
+
 def tx_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions with a time of day."""
     return table(spark, sf_dir, "events").select(
@@ -96,11 +107,17 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id")
     date = F.date_format("ts", "yyyy-MM-dd")
     return table(spark, sf_dir, "events").select(
-        F.when(key % 101 == 0, F.concat(date, F.lit("?"))).otherwise(date).alias("t_dat"),
+        F.when(key % 101 == 0, F.concat(date, F.lit("?")))
+        .when(key % 97 == 0, F.date_format("ts", "yyyyMMdd"))
+        .otherwise(date)
+        .alias("t_dat"),
         F.when(key % 53 != 0, F.col("user_id").cast("string")).alias("customer_id"),
         F.when(key % 59 != 0, key.cast("string")).alias("article_id"),
         F.when(key % 103 == 0, F.lit("12,5"))
         .when(key % 107 == 0, F.lit("NaN"))
+        .when(key % 109 == 0, F.lit("1.0d"))
+        .when(key % 113 == 0, F.lit("2f"))
+        .when(key % 127 == 0, F.lit("Infinity"))
         .otherwise(F.col("value").cast("string"))
         .alias("price"),
     )

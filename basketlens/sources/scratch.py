@@ -9,27 +9,33 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_local_root: str | None = None
 _used: set[str] = set()
+_scopes: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder the cluster names for checkpoints; local sessions may fall back to a temp folder."""
+    """Folder the cluster names for checkpoints, else the session's warehouse; both are shared."""
     shared = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    global _local_root
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="basketlens-")
-    return _local_root
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end; what is still to be read must be stored before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +50,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         _used.add(folder)
         atexit.register(release, spark)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,10 +66,14 @@ def written_with_facts(df: DataFrame, name: str, *facts: Column) -> tuple[DataFr
     return table, seen.get
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Remove the scratch tables of this session; results still to be read must be stored first."""
     with contextlib.suppress(Exception):  # the JVM may be gone at exit
-        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
         while _used:
-            path = jvm.org.apache.hadoop.fs.Path(_used.pop())
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, _used.pop())

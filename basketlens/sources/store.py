@@ -10,18 +10,23 @@ from collections.abc import Callable, Mapping
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.contracts import PRECOMPUTED_FOLDERS, TableContract
+from basketlens.contracts import PRECOMPUTED_DEPTH, TRANSACTIONS, TableContract
 from basketlens.operators.load import normalize_nulls
 from basketlens.operators.quality import contract_violation
-from basketlens.sources.raw import read_csv
+from basketlens.sources.raw import read_csv, require_closed_quotes
 
 # Marks a version that was written completely and passed its checks.
 ACCEPTED = "_ACCEPTED"
 
 
+def _typed(c: Column, wanted: str) -> Column:
+    """A text of a CSV file as its contract's type; whole numbers may be written as 8.0."""
+    return c.cast("double").cast(wanted) if wanted == "int" else c.cast(wanted)
+
+
 def _digest(params: Mapping[str, object]) -> str:
     return hashlib.md5(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
@@ -44,6 +49,13 @@ class TableStore:
 
     # Files ----------------------------------------------------------------------------
 
+    def _dimension(self, contract: TableContract, path: str) -> bool:
+        """Is the file read as a whole? Facts are not: there a quoted line end is an error."""
+        if contract.name != TRANSACTIONS.name:
+            return True
+        require_closed_quotes(self.spark, path)
+        return False
+
     def _fs(self, path: str):
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
@@ -66,11 +78,34 @@ class TableStore:
         if self.precomputed is not None:
             found += self._versions(f"{self.precomputed}/{contract.name}/{key}")
             if plain:
-                for folder in PRECOMPUTED_FOLDERS:
-                    base = "/".join(p for p in (self.precomputed, folder, contract.name) if p)
-                    found += [f"{base}.{end}" for end in ("csv", "json") if self.exists(f"{base}.{end}")]
+                found += self._plain_files(contract.name)
         return found
 
+    def _plain_files(self, name: str) -> list[str]:
+        """``name``.csv and ``name``.json in the precomputed folder or below it, sorted by path."""
+        fs, _ = self._fs(self.precomputed)
+        found = []
+        for depth in range(PRECOMPUTED_DEPTH + 1):
+            pattern = "/".join([self.precomputed, *["*"] * depth, f"{name}.{{csv,json}}"])
+            hits = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(pattern)) or []
+            found += [hit.getPath().toString() for hit in hits]
+        return sorted(found)
+
+    def prune(self, keep: int = 1) -> None:
+        """Remove all but the ``keep`` newest accepted versions of every table; nobody may be reading them."""
+        fs, root = self._fs(self.root)
+        if not fs.exists(root):
+            return
+        for table in fs.listStatus(root):
+            for key in fs.listStatus(table.getPath()):
+                for old in self._versions(key.getPath().toString())[keep:]:
+                    fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), True)
+
+    def version(self, name: str) -> str | None:
+        """The version of a table in use; results computed from it carry it in their key."""
+        path = self.paths.get(name)
+        return None if path is None else path.rsplit("/", 1)[-1]
+
     def _open(self, path: str, contract: TableContract) -> DataFrame:
         if path.endswith(".json"):
             df = self.spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -78,10 +113,10 @@ class TableStore:
                 raise ValueError("not a JSON object")
             return df
         if path.endswith(".csv"):
-            df = normalize_nulls(read_csv(self.spark, path))
+            df = normalize_nulls(read_csv(self.spark, path, multi_line=self._dimension(contract, path)))
             return df.select(
                 *[
-                    F.col(c).cast(contract.types.get(c, "string")).alias(c)
+                    _typed(F.col(c), contract.types.get(c, "string")).alias(c)
                     for c in df.columns
                 ]
             )

@@ -1,11 +1,15 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 os.environ.setdefault("BENCH_DRIVER_MEMORY", "4g")
+os.environ.setdefault(
+    "PYSPARK_SUBMIT_ARGS", f"--conf spark.checkpoint.dir={tempfile.mkdtemp(prefix='basketlens-tests-')} pyspark-shell"
+)
 
 from basketlens.session import local_session  # noqa: E402
 

@@ -155,3 +155,35 @@ def test_faulty_raw_data_stores_nothing(spark, tmp_path, raw, name, old, new, me
     with pytest.raises(ValueError, match=message):
         a.load_data()
     assert "transactions" not in a.artifact_status
+
+
+def test_results_follow_new_raw_files(spark, raw, tmp_path):
+    a = DataAnalyzer(spark, str(tmp_path / "store"), str(raw))
+    a.load_data()
+    assert a.calculate_rfm().count() == 3
+    before = a.detect_outliers()
+    (raw / "transactions_train.csv").write_text(
+        "t_dat,customer_id,article_id,price,sales_channel_id\n"
+        "20200105,customer-a,0010000001,5.0,1\n"
+        "2020-01-06,customer-b,0010000001,7.0,1\n"
+    )
+    a.load_data(force=True)
+    assert a.calculate_rfm().count() == 2
+    assert a.detect_outliers() != before and a.detect_outliers()["q1"] == pytest.approx(5.5)
+
+
+def test_filled_customers_are_loaded_again(spark, raw, tmp_path):
+    a = DataAnalyzer(spark, str(tmp_path / "store"), str(raw))
+    a.load_data()
+    report = a.handle_missing_values("age", "club_member_status")
+    assert report["missing_before"] == 1 and report["missing_after"] == 0
+    b = DataAnalyzer(spark, str(tmp_path / "store"), str(raw))
+    b.load_data()
+    ages = {r["customer_id"]: r["age"] for r in b.customers.collect()}
+    assert ages == {"customer-a": 25.0, "customer-b": 25.0, "customer-c": 45.0}
+    b.prepare_eda_artifacts()
+    b.store.prune()
+    c = DataAnalyzer(spark, str(tmp_path / "store"), str(raw))
+    c.load_data()
+    assert c.customers.where("age is null").count() == 0
+    assert len([p for p in (tmp_path / "store" / "customers").glob("*/*") if p.is_dir()]) == 1

@@ -179,5 +179,27 @@ def test_large_columns_take_the_narrowed_path(spark):
     values = np.random.default_rng(9).exponential(size=5000).round(3)
     df = column(spark, values)
     whole = eda.numeric_summary(df, "x").first().asDict()
-    narrowed = eda.numeric_summary(df, "x", max_task_rows=500).first().asDict()
+    narrowed = eda.numeric_summary(df, "x", task_values=500).first().asDict()
     assert whole == pytest.approx(narrowed) and not math.isnan(whole["std"])
+
+
+def test_fact_correlation_ignores_unused_keys_and_outliers(spark):
+    """Keys near 1e9, one attribute that no fact uses, one far fact; the same in every order of the rows."""
+    rng = np.random.default_rng(8)
+    x = 1e9 + rng.normal(size=500)
+    facts = [(i % 100, float(v)) for i, v in enumerate(x)] + [(3, -1e6)]
+    ages = [(k, 1e9 + k) for k in range(100)] + [(999, 0.0)]
+    want = np.corrcoef([v for _, v in facts], [1e9 + k for k, _ in facts])[0, 1]
+    lookup = spark.createDataFrame(ages, "id long, y double")
+    for seed in range(3):
+        order = np.random.default_rng(seed).permutation(len(facts))
+        df = spark.createDataFrame([facts[i] for i in order], "k long, x double").repartition(seed + 1)
+        got = eda.fact_correlation(df, "k", "x", lookup, "id", "y").first()[0]
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_fact_correlation_with_an_unused_far_key(spark):
+    n = 1999
+    facts = spark.createDataFrame([(k, 1e9 + k) for k in range(n)], "k long, x double")
+    lookup = spark.createDataFrame([(k, 1e9 + k) for k in range(n)] + [(-1, 0.0)], "id long, y double")
+    assert eda.fact_correlation(facts, "k", "x", lookup, "id", "y").first()[0] == pytest.approx(1.0, abs=1e-9)

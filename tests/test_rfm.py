@@ -45,7 +45,7 @@ def test_scores_equal_percentile_ranks(spark, n):
 def test_scores_of_many_customers_use_narrowed_ranks(spark):
     rng = np.random.default_rng(1)
     values = np.where(np.arange(4000) % 3 == 0, 7.0, rng.exponential(5, size=4000).round(3))
-    assert scores(spark, values, max_task_rows=1000) == pandas_scores(values)
+    assert scores(spark, values, task_values=1000) == pandas_scores(values)
 
 
 def test_customer_metrics(spark):
@@ -176,3 +176,24 @@ def test_summary_and_insights(spark):
     assert free["monetary_share_pct"] == 0.0
     with pytest.raises(ValueError, match="Missing columns"):
         segments.segment_summary(df.drop("segment"))
+
+
+def test_customers_without_a_date_are_an_error(spark):
+    facts = spark.createDataFrame([("a", "2020-01-01", 1.0), ("y", None, 2.0), ("z", None, 9.0)], "customer_id string, order_date string, unit_price double")
+    with pytest.raises(ValueError, match="2 customers have no transaction with a date"):
+        rfm.rfm(facts)
+
+
+def test_a_missing_value_has_no_score(spark):
+    from basketlens.functions.scoring import Cut, quarter_score
+
+    df = spark.createDataFrame([(None,), (1.0,), (9.0,)], "x double")
+    got = df.select(quarter_score(F.col("x"), [Cut(2.0, True), None, None]).alias("s"), quarter_score(F.col("x"), []).alias("t")).collect()
+    assert [tuple(r) for r in got] == [(None, None), (1, 4), (4, 4)]
+
+
+@pytest.mark.parametrize("amount", [float("inf"), float("-inf"), 1e17])
+def test_an_amount_that_cannot_be_added_is_an_error(spark, amount):
+    facts = spark.createDataFrame([("a", "2020-01-01", amount)], "customer_id string, order_date string, unit_price double")
+    with pytest.raises(Exception, match="cannot be added exactly"):
+        rfm.purchases_per_customer(facts).collect()

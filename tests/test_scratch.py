@@ -1,8 +1,8 @@
 from pathlib import Path
 
-import pytest
 from pyspark.sql import functions as F
 
+from basketlens.operators import rfm
 from basketlens.sources import scratch
 
 
@@ -35,9 +35,19 @@ class Fake:
         return self
 
 
-def test_shared_folder_is_read_from_the_session(monkeypatch):
-    monkeypatch.setattr(scratch, "_local_root", None)
+def test_shared_folder_is_read_from_the_session():
     assert scratch.scratch_root(Fake("hdfs:/tmp/x/", "yarn")) == "hdfs:/tmp/x"
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch.scratch_root(Fake(None, "yarn"))
-    assert "basketlens-" in scratch.scratch_root(Fake(None, "local[2]"))
+    plain = Fake(None, "local[2]")
+    plain.settings["spark.sql.warehouse.dir"] = "hdfs:/warehouse"
+    assert scratch.scratch_root(plain) == "hdfs:/warehouse/scratch"
+
+
+def test_a_scope_removes_its_tables(spark):
+    facts = spark.createDataFrame([("a", "2020-01-01", 1.0), ("b", "2020-01-02", 2.0)], "c string, d string, x double")
+    sizes = []
+    for _ in range(10):
+        with scratch.scope(spark):
+            folder = Path(scratch.written(spark.range(1), "probe").inputFiles()[0].removeprefix("file:")).parents[1]
+            rfm.rfm(facts, "c", "d", "x").collect()
+        sizes.append(len(list(folder.iterdir())))
+    assert len(set(sizes)) == 1
