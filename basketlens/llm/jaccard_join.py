@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm.components import components, roots
 from basketlens.llm.shingles import mix, shingle_set
-from basketlens.llm.tables import table
+from basketlens.llm.tables import arrow_rows, table
 from basketlens.sources.scratch import written
 
 SIMILARITY = Fraction(4, 5)
@@ -44,6 +44,7 @@ SMALL_GROUP = 8
 BINS = 256
 BLOCK = 1_000
 BROADCAST_ROWS = 1_000_000
+BATCH_ROWS = 1_000
 
 BASE = "n_shingles long, node long, signatures array<long>, bins binary"
 
@@ -279,13 +280,16 @@ def jaccard_classes(docs: DataFrame, similarity: Fraction = SIMILARITY, doc_id:
     and repeated rows are always linked. Only id and text are read. No documents, no rows.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = written(signature_table(docs, common_shingles(docs), similarity), "shingle-signatures")
+    common = common_shingles(docs)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        base = written(signature_table(docs, common, similarity), "shingle-signatures")
     # Of a node's texts any serves; the rows with signatures hold the histogram.
     first = F.min(F.when(F.col("bins").isNotNull(), F.struct("doc_id", "text_key", "n_shingles", "bins")))
     nodes = base.where(F.col("node").isNotNull()).groupBy("node").agg(first.alias("f")).select("node", "f.*")
     nodes = written(nodes, "shingle-nodes")
     units = components(candidate_edges(base, nodes, similarity))
-    links = written(similar_links(docs, nodes, units, similarity), "shingle-links")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        links = written(similar_links(docs, nodes, units, similarity), "shingle-links")
     classes = components(links).withColumnRenamed("component", "class")
     rows = base.select("doc_id", "text_key", "n_shingles", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     named = rows.where(F.col("class").isNotNull()).groupBy(F.col("class").alias("c")).agg(F.min("doc_id").alias("component_id"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,3 +25,15 @@ def ascii_lower(text: Column) -> Column:
 def parts_for(amount: float, per_part: float, least: int = 1) -> int:
     """Number of partitions that keeps ``per_part`` of ``amount`` in each."""
     return max(least, math.ceil(amount / per_part))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables written inside send at most ``rows`` rows at once to a Python worker, which bounds its memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
