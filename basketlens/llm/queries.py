@@ -39,4 +39,50 @@ ORACLES = {
                CASE WHEN o.original <> p.page_id THEN o.original END AS refers_to
         FROM p LEFT JOIN o ON p.payload_digest = o.payload_digest AND p.payload_bytes >= 1000
     """,
+    "op6_embeddings": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+        links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y
+            FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+        reach AS (
+            SELECT vec_id AS x, vec_id AS y FROM embeddings
+            UNION
+            SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+        SELECT t.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, r.component_id, t.vec_id = r.component_id AS kept
+        FROM embeddings t
+        LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = t.vec_id
+        JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = t.vec_id
+    """,
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS shingle
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y
+            FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+            HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+        reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM documents
+            UNION
+            SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.component_id
+        FROM documents d
+        LEFT JOIN n ON n.doc_id = d.doc_id
+        JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id
+    """,
 }
