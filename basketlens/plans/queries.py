@@ -428,8 +428,8 @@ def correlation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corr_freq_monetary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = rfm.rfm_base(views.tx_order(spark, sf_dir), amount_scale=MONEY_SCALE)
-    return rounded(segments.frequency_monetary_correlation(base))
+    customers = rfm.purchases_per_customer(views.tx_order(spark, sf_dir), amount_scale=MONEY_SCALE)
+    return rounded(segments.frequency_monetary_correlation(customers))
 
 
 @query

@@ -6,6 +6,8 @@ import inspect
 import pytest
 
 import __spark_entry__ as entry
+from basketlens.plans.oracles import ORACLES
+from basketlens.plans.queries import QUERIES
 from tools.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -16,8 +18,10 @@ def sql_engine():
     return connect(SF)
 
 
-def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+def test_every_analytics_query_has_sql():
+    """Of the corpus queries only some can be told in SQL; their own tests hold them against brute force."""
+    assert set(QUERIES) == set(ORACLES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", list(entry.queries()))
