@@ -38,13 +38,12 @@ def scope(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new scratch table and return a scan of it.
+def reserve(spark: SparkSession, name: str) -> str:
+    """Path of a new scratch table or folder, for callers that write it themselves.
 
     The tables of a session share one folder, which is removed when the driver ends or
-    ``release`` is called.
+    ``release`` is called; those of a ``scope`` go with it.
     """
-    spark = df.sparkSession
     folder = f"{scratch_root(spark)}/basketlens-{spark.sparkContext.applicationId}"
     if folder not in _used:
         _used.add(folder)
@@ -52,6 +51,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a new scratch table and return a scan of it."""
+    spark = df.sparkSession
+    path = reserve(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
