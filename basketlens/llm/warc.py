@@ -13,7 +13,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.llm.tables import table
-from basketlens.sources.scratch import scratch_root, written
+from basketlens.sources.scratch import reserve, written
 
 END = "\r\n\r\n"
 VERSION = "WARC/1.1"
@@ -207,7 +206,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}"
+    path = reserve(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path, payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
