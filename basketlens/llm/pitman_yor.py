@@ -20,7 +20,6 @@ gives the same result.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,12 +31,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.llm.shingles import mix, word_hashes, word_list
-from basketlens.llm.tables import parts_for, table
-from basketlens.sources.scratch import scratch_root, written
+from basketlens.llm.tables import arrow_rows, parts_for, table
+from basketlens.sources.scratch import reserve, written
 
 CONTEXT_SHARE = 2e-5
-BUCKET_TOKENS = 3_000_000
-CHUNK_TOKENS = 1_000_000
+COUNTED_WORDS = 300_000  # a task that counts more forgets the rarest
+BUCKET_TOKENS = 2_000_000
+CHUNK_TOKENS = 500_000
+BLOCKS_AT_ONCE = 100  # rows in an Arrow batch; units come singly
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the contexts
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
 BURN_IN, SAMPLES = 3, 3
@@ -70,7 +71,7 @@ def frequent_words(docs: DataFrame, share: float = CONTEXT_SHARE) -> np.ndarray:
                 words = word_list(text)
                 seen.update(words)
                 total += len(words) + 1
-            if len(seen) > 2_000_000:  # a word that is frequent in all is frequent here
+            if len(seen) > COUNTED_WORDS:  # a word that is frequent in all is frequent here
                 seen = Counter({w: n for w, n in seen.items() if n >= total * share / 8})
         kept = [(xxhash.xxh64_intdigest(w) - (1 << 63), n) for w, n in seen.items() if n >= total * share / 2 and n > 1]
         yield pd.DataFrame([*kept, (None, total)], columns=["word", "n"], dtype=object).astype({"word": "Int64", "n": "int64"})
@@ -123,7 +124,6 @@ def token_blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent = held.value
         words: list[np.ndarray] = []
-        before: list[np.ndarray] = []
         keys: list[int] = []
         train: list[bool] = []
         total = 0
@@ -147,7 +147,7 @@ def token_blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
                 total += len(own)
                 if total >= CHUNK_TOKENS:
                     yield flush()
-                    words, before, keys, train, total = [], [], [], [], 0
+                    words, keys, train, total = [], [], [], 0
         if words:
             yield flush()
 
@@ -202,9 +202,10 @@ def units(blocks: DataFrame) -> DataFrame:
             yield pd.DataFrame([merge_blocks(held)], columns=names)
 
     spark = blocks.sparkSession
-    path = f"{scratch_root(spark)}/lm-units-{uuid.uuid4().hex}"
+    path = reserve(spark, "lm-units")
     dealt = blocks.repartition("bucket").sortWithinPartitions("bucket")
-    dealt.mapInPandas(merged, UNIT).write.option("compression", "zstd").parquet(path)
+    with arrow_rows(spark, BLOCKS_AT_ONCE):
+        dealt.mapInPandas(merged, UNIT).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(UNIT).parquet(path)
 
 
@@ -339,7 +340,8 @@ def totals(table: DataFrame, shared: Shared, sweeps: int) -> Shared:
         yield pd.DataFrame([*rows, ("words", 0, float(words)), ("parent", 0, float(parent))], columns=["kind", "id", "value"])
 
     each = table.mapInPandas(summed, "kind string, id int, value double")
-    merged = each.groupBy("kind", "id").agg(F.sum("value").alias("sum"), F.max("value").alias("max")).toPandas()
+    with arrow_rows(table.sparkSession, 1):
+        merged = each.groupBy("kind", "id").agg(F.sum("value").alias("sum"), F.max("value").alias("max")).toPandas()
     out = Shared(shared.frequent, *(np.zeros_like(x, float) for x in (shared.customers, shared.tables, shared.word_count, shared.word_tables)))
     one = merged[merged["kind"].isin(["words", "parent"])].set_index("kind")["sum"]
     for kind in ("customers", "tables", "word_count", "word_tables"):
@@ -380,6 +382,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
 
     each = table.mapInPandas(scored, "key long, score double, base_score double, tokens long")
     sums = each.groupBy(F.col("key").alias("k")).agg(*[F.sum(c).alias(c) for c in ("score", "base_score", "tokens")])
+    with arrow_rows(docs.sparkSession, 1):
+        sums = written(sums, "lm-sums")
     rows = docs.select("doc_id", "held_out", "key")
     copies = rows.groupBy(F.col("key").alias("k2")).agg(F.count(F.lit(1)).alias("copies"))  # equal rows share one sum
     sums = sums.join(copies, F.col("k") == F.col("k2"))
