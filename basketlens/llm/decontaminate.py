@@ -15,14 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm.tables import ascii_lower, table
+from basketlens.llm.tables import ascii_lower, few, table
 from basketlens.sources.scratch import written
 
 #: Kept positions of the windows: six of nine tokens each.
 MASKS = ("110110110", "101101011")
 LEAST_TOKENS = 12
 MISMATCH = -2
-BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -53,11 +52,6 @@ def seed_rows(tokens: DataFrame, *keys: str) -> DataFrame:
     return each.select(*keys, "pos", F.explode("of_window").alias("seed"))
 
 
-def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, a written table, marked for broadcast if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def best_run(doc_words: Column, item_words: Column, diagonal: Column) -> Column:
     """Struct of the best-scoring run along a diagonal: start in the item, length, matched; the longest of equals."""
     low = F.greatest(F.lit(0), -diagonal)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm.tables import table
+from basketlens.llm.tables import few, table
 from basketlens.sources.scratch import written
 
 # The base patterns; letters of the first group in either case.
@@ -150,6 +150,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep_text: bool = True, re
     rows = written(rows, "secret-parts")
     linked = link_parts(_one_each(rows), "_key", reach)
     spans = linked.groupBy("_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_weak"))
+    spans = few(written(spans, "secret-links"))  # broadcast if there are few: the texts stay where they are
     base = F.transform(
         F.filter("parts", lambda p: p["kind"].isin(*KINDS)),
         lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,11 @@ def parts_for(amount: float, per_part: float, least: int = 1) -> int:
     return max(least, math.ceil(amount / per_part))
 
 
+def few(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df``, a written table of short rows, marked for broadcast if it has at most ``most`` of them."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Tables written inside send at most ``rows`` rows at once to a Python worker, which bounds its memory."""

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm.decontaminate import few, find_leaks
+from basketlens.llm.decontaminate import find_leaks
 from basketlens.llm.jaccard_join import jaccard_classes
 from basketlens.llm.packing import pack_documents
 from basketlens.llm.quality import classify
 from basketlens.llm.secret_scan import redact, scan_secrets
-from basketlens.llm.tables import table
+from basketlens.llm.tables import few, table
 from basketlens.sources.scratch import written
 
 

@@ -1,6 +1,7 @@
 import random
 
 from basketlens.llm import decontaminate as d
+from basketlens.llm import tables
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -76,7 +77,7 @@ def test_the_other_join_gives_the_same(spark, monkeypatch):
     text = " ".join(f"t{i}" for i in range(30))
     docs = [(i, f"a{i} {text} b{i}", None) for i in range(20)]
     first = leaks(spark, docs, [(1, text, None)])
-    monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
     assert leaks(spark, docs, [(1, text, None)]) == first and len(first) == 20
 
 
