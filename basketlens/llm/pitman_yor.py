@@ -38,6 +38,8 @@ CONTEXT_SHARE = 2e-5
 COUNTED_WORDS = 300_000  # a task that counts more forgets the rarest
 BUCKET_TOKENS = 2_000_000
 CHUNK_TOKENS = 500_000
+TASKS_PER_CORE = 2
+SUMS_AT_ONCE = 1_000_000  # texts whose sums a scoring task holds
 BLOCKS_AT_ONCE = 100  # rows in an Arrow batch; units come singly
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the contexts
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
@@ -309,6 +311,29 @@ class Bucket:
         )
 
 
+def combined(frames: Iterator[pd.DataFrame], most: int = SUMS_AT_ONCE) -> Iterator[pd.DataFrame]:
+    """The frames' rows summed by text, as far as ``most`` texts at once allow."""
+
+    def summed(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        key, place = np.unique(np.concatenate([p["key"] for p in parts]), return_inverse=True)
+        out = {"key": key}
+        for name in ("score", "base_score"):
+            out[name] = np.bincount(place, np.concatenate([p[name] for p in parts]), len(key))
+        out["tokens"] = np.zeros(len(key), np.int64)
+        np.add.at(out["tokens"], place, np.concatenate([p["tokens"] for p in parts]))
+        return pd.DataFrame(out)
+
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) > most:
+            held = [summed(held)]
+            if len(held[0]) > most // 2:
+                yield held.pop()
+    if held:
+        yield summed(held)
+
+
 def totals(table: DataFrame, shared: Shared, sweeps: int) -> Shared:
     """``shared`` anew from all buckets: counts, and the tables after so many sweeps (one per cell for 0)."""
     held = table.sparkSession.sparkContext.broadcast(shared)
@@ -376,11 +401,11 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
     held = docs.sparkSession.sparkContext.broadcast(shared)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                yield Bucket(row, held.value).scores(BURN_IN, samples)
+        rows = (row for batch in batches for row in batch.itertuples(index=False))
+        yield from combined(Bucket(row, held.value).scores(BURN_IN, samples) for row in rows)
 
-    each = table.mapInPandas(scored, "key long, score double, base_score double, tokens long")
+    # A few tasks for each core take several buckets each, so that their sums meet before they travel.
+    each = table.coalesce(TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(scored, "key long, score double, base_score double, tokens long")
     sums = each.groupBy(F.col("key").alias("k")).agg(*[F.sum(c).alias(c) for c in ("score", "base_score", "tokens")])
     with arrow_rows(docs.sparkSession, 1):
         sums = written(sums, "lm-sums")

@@ -38,6 +38,20 @@ def corpus(seed, n=400):
     return rows
 
 
+@pytest.mark.parametrize("most", [1, 7, 10**6])
+def test_sums_are_combined_whole(most):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    frames = [
+        pd.DataFrame({"key": rng.permutation(20)[:n], "score": rng.random(n), "base_score": rng.random(n), "tokens": rng.integers(0, 1 << 40, n)})
+        for n in rng.integers(0, 20, 12)
+    ]
+    every, got = pd.concat(frames), pd.concat(list(p.combined(iter(frames), most)))
+    pd.testing.assert_frame_equal(every.groupby("key").sum(), got.groupby("key").sum(), check_dtype=False)
+    assert len(got) <= len(every) and (most < 100 or len(got) == 20)
+
+
 @pytest.mark.parametrize("chunk, bucket", [(10**6, 3 * 10**6), (300, 500)])
 def test_base_columns_equal_brute_force(spark, monkeypatch, chunk, bucket):
     monkeypatch.setattr(p, "CHUNK_TOKENS", chunk)
