@@ -1,25 +1,26 @@
 """Language-model scores from a hierarchical Pitman-Yor model, trained and applied where the words are.
 
-The model has one restaurant for each context (the word before, if it is frequent; one for all
-rarer words; one for the start of a text) and their common parent, the unigram restaurant, whose
-base measure is uniform. Seating is sampled by Gibbs: given the parent, the tables of a
-(context, word) cell are drawn customer by customer; given the tables, so are the parent's.
-Probabilities are averaged over samples of the seating.
-
-1. Frequent words are found in one scan. They are at most 1/``CONTEXT_SHARE``.
-2. Tokens are shuffled once, as compact blocks of (word, context, text). A rare word is in one
-   bucket with all its contexts; the cells of a frequent word are spread over all buckets.
-   Each bucket is written as one row that holds all about its cells.
-3. What cells of different buckets share are totals per context and per frequent word: small
-   tables of bounded size. They are summed before and after the first sweeps.
-4. Every bucket seats its customers again and adds up the scores of its tokens by text.
-
-Words are told apart by 64-bit hashes. Sampling is seeded by bucket, so a task that runs again
-gives the same result.
+The model has one restaurant for each context (every word that comes before another, and the
+start of a text) and their common parent, the unigram restaurant, whose base measure is
+uniform. Seating is sampled by Gibbs: each sweep draws the tables of every (context, word) cell
+from their conditional given all others as the last sweep left them, and then the parent's
+tables of each word given its tables in all contexts. Probabilities are averaged over samples.
+
+1. Tokens are shuffled once, as compact blocks of (word, context, text). A word is in one bucket
+   with all its contexts; the cells of very frequent words and of the end of a text are spread
+   over all buckets. Each bucket is written as one row that holds all about its cells.
+2. A cell of one customer has one table. The others travel between parts by context, where
+   their tables are drawn, and parts by word, where those of the parent are. Their seating and the
+   totals are written by each sweep and summed anew for the next.
+3. Every bucket asks for the totals of its contexts and adds up the scores of its tokens by text.
+
+Cells are drawn side by side, each from totals of the sweep before. Words are told apart by
+64-bit hashes. Sampling is seeded by part and sweep, so a task that runs again gives the same result.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,10 +44,13 @@ SUMS_AT_ONCE = 1_000_000  # texts whose sums a scoring task holds
 BLOCKS_AT_ONCE = 100  # rows in an Arrow batch; units come singly
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the contexts
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
-BURN_IN, SAMPLES = 3, 3
+BURN_IN, SAMPLES = 3, 3  # sweeps before the samples at least, and samples
+MOST_BURN_IN, SETTLED = 20, 0.005  # sweeps before the samples at most; change of all tables that counts as none
+EXACT = 2048  # customers of a cell whose number of tables is drawn at once; others are seated one by one
 ONE_BY_ONE = 48  # customers seated singly; later ones in blocks of a sixteenth of those before
-START, RARE = 0, 1  # contexts; the frequent words follow
+START, RARE = 0, 1  # contexts of ``Bucket``; the frequent words follow
 END = b"\x00end"
+START_CONTEXT = np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
 SMOOTH = 0.1  # of the base score
 
 UNIT = "bucket int, word binary, context binary, count binary, size binary, text binary, texts binary"
@@ -62,7 +66,8 @@ def held_out(doc_id: Column) -> Column:
 def frequent_words(docs: DataFrame, share: float = CONTEXT_SHARE) -> np.ndarray:
     """Sorted hashes of the words with about ``share`` of all training tokens or more, at most 1/``share``.
 
-    Each task reports the words with half that share of its own tokens.
+    Ends of texts count as a word. Each task reports the words with half that share of its own
+    tokens. The choice says only which cells are spread over the buckets, not what the model is.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,6 +77,7 @@ def frequent_words(docs: DataFrame, share: float = CONTEXT_SHARE) -> np.ndarray:
             for text in batch["text"]:
                 words = word_list(text)
                 seen.update(words)
+                seen[END] += 1
                 total += len(words) + 1
             if len(seen) > COUNTED_WORDS:  # a word that is frequent in all is frequent here
                 seen = Counter({w: n for w, n in seen.items() if n >= total * share / 8})
@@ -96,10 +102,18 @@ def context_of(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 # --- blocks of tokens ---------------------------------------------------------------------
 
 
-def block_rows(words: np.ndarray, contexts: np.ndarray, own: np.ndarray, texts: np.ndarray, train: np.ndarray, own_context: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """One row per bucket for a chunk of tokens; ``own``: which text each token is of, ``own_context``: that of the word itself."""
-    spread = np.where(own_context > RARE, mix(words ^ (contexts.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), mix(words))
-    bucket = (spread % np.uint64(buckets)).astype(np.int32)
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(keys) % np.uint64(parts)).astype(np.int32)
+
+
+def bucket_of(words: np.ndarray, contexts: np.ndarray, spread: np.ndarray, buckets: int) -> np.ndarray:
+    """By word, or by word and context for words that are spread."""
+    return part_of(np.where(spread, words ^ mix(contexts + np.uint64(1)), words), buckets)
+
+
+def block_rows(words: np.ndarray, contexts: np.ndarray, own: np.ndarray, texts: np.ndarray, train: np.ndarray, spread: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """One row per bucket for a chunk of tokens; ``own``: which text each token is of, ``spread``: is its word in all buckets?"""
+    bucket = bucket_of(words, contexts, spread, buckets)
     order = np.lexsort((contexts, words, bucket))
     words, contexts, own, bucket = words[order], contexts[order], own[order], bucket[order]
     ends = np.flatnonzero(np.diff(bucket)) + 1
@@ -133,11 +147,11 @@ def token_blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
         def flush() -> pd.DataFrame:
             lengths = [len(w) for w in words]
             every = np.concatenate(words)
-            own_context = context_of(every, frequent)
-            contexts = np.r_[np.uint16(START), own_context[:-1]].astype(np.uint16)
-            contexts[np.cumsum([0, *lengths[:-1]])] = START
+            spread = context_of(every, frequent) > RARE
+            contexts = np.r_[START_CONTEXT, every[:-1]]
+            contexts[np.cumsum([0, *lengths[:-1]])] = START_CONTEXT
             own = np.repeat(np.arange(len(words)), lengths)
-            rows = block_rows(every, contexts, own, np.array(keys, np.int64), np.array(train), own_context, buckets)
+            rows = block_rows(every, contexts, own, np.array(keys, np.int64), np.array(train), spread, buckets)
             return pd.DataFrame(list(rows), columns=[x.split()[0] for x in UNIT.split(", ")])
 
         for batch in batches:
@@ -160,9 +174,10 @@ def unpack(row) -> tuple[np.ndarray, ...]:
     """word, context, count, size by cell; text by token; texts."""
     texts = np.frombuffer(row.texts, np.int64)
     size = np.frombuffer(row.size, np.uint32)
+    wide = np.uint16 if len(row.context) == 2 * len(size) else np.uint64
     kind = np.uint16 if len(row.text) == 2 * int(size.sum()) else np.uint32
     return (
-        np.frombuffer(row.word, np.uint64), np.frombuffer(row.context, np.uint16), np.frombuffer(row.count, np.uint32),
+        np.frombuffer(row.word, np.uint64), np.frombuffer(row.context, wide), np.frombuffer(row.count, np.uint32),
         size, np.frombuffer(row.text, kind), texts,
     )
 
@@ -254,7 +269,7 @@ def seat(rng: np.random.Generator, customers: np.ndarray, new_weight: np.ndarray
 
 
 class Bucket:
-    """The cells of one bucket and their seating."""
+    """The cells of a model held in one place, whose seating the formulas are tested with."""
 
     def __init__(self, row, shared: Shared):
         self.word, self.context, self.count, self.size, self.text, self.texts = unpack(row)
@@ -287,29 +302,6 @@ class Bucket:
         self.parent_tables = own
         return (np.maximum(tables - PARENT_DISCOUNT * own, 0) + opens) / (PARENT_STRENGTH + s.all_tables)
 
-    def sweep(self) -> np.ndarray:
-        """Seat all customers once; the probability of each cell."""
-        s = self.shared
-        above = self.parent()[self.name]
-        opens = (STRENGTH + DISCOUNT * s.tables[self.context]) * above
-        self.tables = seat(self.rng, self.count, opens, DISCOUNT)
-        return (np.maximum(self.count - DISCOUNT * self.tables, 0) + opens) / (STRENGTH + s.customers[self.context])
-
-    def scores(self, burn_in: int, samples: int) -> pd.DataFrame:
-        """Sums over the tokens of each text in this bucket."""
-        for _ in range(burn_in):
-            self.sweep()
-        mean = sum(self.sweep() for _ in range(samples)) / samples
-        s = self.shared
-        base = np.log10((self.total + SMOOTH) / (s.tokens + SMOOTH * (s.words + 1)))[self.name]
-        sizes = self.size.astype(np.int64)
-        by_text = lambda x: np.bincount(self.text, np.repeat(x, sizes), len(self.texts))
-        known = by_text((self.total[self.name] > 0).astype(float)).astype(np.int64)
-        tokens = np.bincount(self.text, minlength=len(self.texts))
-        return pd.DataFrame(
-            {"key": self.texts, "score": by_text(np.log10(mean)), "base_score": by_text(base), "tokens": tokens * (1 << 32) + known}
-        )
-
 
 def combined(frames: Iterator[pd.DataFrame], most: int = SUMS_AT_ONCE) -> Iterator[pd.DataFrame]:
     """The frames' rows summed by text, as far as ``most`` texts at once allow."""
@@ -334,50 +326,422 @@ def combined(frames: Iterator[pd.DataFrame], most: int = SUMS_AT_ONCE) -> Iterat
         yield summed(held)
 
 
-def totals(table: DataFrame, shared: Shared, sweeps: int) -> Shared:
-    """``shared`` anew from all buckets: counts, and the tables after so many sweeps (one per cell for 0)."""
-    held = table.sparkSession.sparkContext.broadcast(shared)
+# --- sweeps -------------------------------------------------------------------------------
+
+#: What parts and buckets send each other. ``source``: of a bucket, part or sample.
+SENT = "bucket int, source int, keys binary, others binary, counts binary, tables binary, extra binary, n double, m double, v double, kind int"
+CELLS, WORDS, CONTEXTS, ASKED, WORD_TOTALS, SPREAD_TOTALS, ANSWERS, MEANS, UNITS = range(9)
+NONE = b""
+
+_stirling: list[np.ndarray] = []
+
+
+def stirling() -> np.ndarray:
+    """Logs of the generalised Stirling numbers for ``DISCOUNT``, [customers, tables] up to ``EXACT``."""
+    if not _stirling:
+        out = np.full((EXACT + 1, EXACT + 2), -np.inf)
+        out[1, 1] = 0.0
+        number = np.arange(EXACT + 2)
+        with np.errstate(divide="ignore"):
+            for n in range(1, EXACT):
+                top = n + 2
+                stay = out[n, 1:top] + np.log(np.maximum(n - DISCOUNT * number[1:top], 0))
+                out[n + 1, 1:top] = np.logaddexp(out[n, : top - 1], stay)
+        _stirling.append(out)
+    return _stirling[0]
+
+
+def pick(rng: np.random.Generator, length: np.ndarray, log_ratio, first, log_base=None) -> np.ndarray:
+    """For each row a number from 1 to ``length``, by weights given as logs of the ratio of each to the one before.
+
+    ``log_ratio(row, number)`` is the ratio of the weights of number + 1 and number, without
+    ``log_base(row, number)``, the log of a factor. Numbers below ``first`` have no weight.
+    """
+    row = np.repeat(np.arange(len(length)), length)
+    begin = np.r_[0, np.cumsum(length)[:-1]]
+    number = np.arange(len(row)) - begin[row] + 1
+    step = np.where(number >= first[row], log_ratio(row, number), 0.0)
+    total = np.cumsum(step) - step
+    weight = total - total[begin][row]
+    if log_base is not None:
+        weight += log_base(row, number)
+    weight = np.where(number >= first[row], weight, -np.inf) + rng.gumbel(size=len(row))
+    best = np.flatnonzero(weight == np.maximum.reduceat(weight, begin)[row])
+    out = np.zeros(len(length), np.int64)
+    out[row[best]] = number[best]
+    return out
+
+
+def draw_parent(rng: np.random.Generator, tables: np.ndarray, before: np.ndarray, all_parent: float, base: float) -> np.ndarray:
+    """The parent's tables of words that have so many in all contexts, from their exact conditional for a discount of a half.
+
+    ``before``: the parent's tables of each word in the last sweep, which are part of
+    ``all_parent``. Stirling numbers of a half have the ratio 4 (n - k) / (k (2n - k - 1)) from k to k + 1.
+    """
+    out = np.minimum(tables, 1)
+    open_ = np.flatnonzero(tables > 1)
+    for some in np.array_split(open_, max(1, int(tables[open_].sum()) // CHUNK_TOKENS)):
+        if len(some):
+            n, others = tables[some], all_parent - before[some]
+
+            def ratio(row, k, n=n, others=others):
+                number = np.maximum(n[row] - k, 1e-300) * 4 / (k * np.maximum(2 * n[row] - k - 1, 1))
+                return np.log(number * (PARENT_STRENGTH + PARENT_DISCOUNT * (others[row] + k)) * base)
+
+            out[some] = pick(rng, n, ratio, np.ones(len(n), np.int64))
+    return out
+
+
+def table_weight(n, k):
+    """Weight in the parent of one more table of a word with ``n`` tables, ``k`` of the parent's; Stirling numbers of a half."""
+    return (2 * n - k + 1) * (2 * n - k) / (4 * (n - k + 1))
+
+
+def draw_cells(rng: np.random.Generator, count, tables, context_tables, word_tables, word_parent, all_tables: float) -> np.ndarray:
+    """Tables of cells of ``EXACT`` customers at most from their exact conditional, given the totals without their own."""
+    out = tables.copy()
+    for some in np.array_split(np.arange(len(count)), max(1, int(count.sum()) // CHUNK_TOKENS)):
+        if not len(some):
+            continue
+        c, t = count[some], tables[some]
+        above, of_word, parent = context_tables[some] - t, word_tables[some] - t, word_parent[some]
+        numbers = stirling()
+
+        def ratio(row, number, t=t, above=above, of_word=of_word, parent=parent):
+            n = of_word[row] + number
+            opens = STRENGTH + DISCOUNT * (above[row] + number)
+            n = np.maximum(n, parent[row])
+            return np.log(opens * table_weight(n, parent[row]) / (PARENT_STRENGTH + all_tables - t[row] + number))
+
+        first = np.maximum(1, parent - of_word)
+        out[some] = pick(rng, c, ratio, first, lambda row, number, c=c, numbers=numbers: numbers[c[row], number])
+    return out
+
+
+def reseat(rng: np.random.Generator, sizes: np.ndarray, context_tables: int, word_tables: int, parent: int, all_tables: float) -> np.ndarray:
+    """Each customer of a cell leaves its table and sits down again, given the totals without the cell's tables."""
+    held = sizes.tolist()
+    at = rng.permutation(np.repeat(np.arange(len(held)), sizes)).tolist()  # in any order, as sizes do not say who sits where
+    n, t, free = len(at), len(held), []
+    for i, (u, (a, b)) in enumerate(zip(rng.random(n).tolist(), rng.random((n, 2)).tolist(), strict=True)):
+        k = at[i]
+        if held[k] == 1 and word_tables + t <= parent:
+            continue  # the parent has a table for each of the word's: none can go
+        held[k] -= 1
+        if not held[k]:
+            t -= 1
+            free.append(k)
+        opens = (STRENGTH + DISCOUNT * (context_tables + t)) * table_weight(word_tables + t, parent) / (PARENT_STRENGTH + all_tables + t)
+        if u * (opens + n - 1 - DISCOUNT * t) < opens:
+            k = free.pop() if free else len(held)
+            if k == len(held):
+                held.append(0)
+            t += 1
+        else:
+            while True:  # with another customer, then less the discount of the table
+                j = int(a * n)
+                k = at[j]
+                if j != i and b * held[k] < held[k] - DISCOUNT:
+                    break
+                a, b = rng.random(), rng.random()
+        held[k] += 1
+        at[i] = k
+    return np.array([x for x in held if x], np.int64)
+
+
+def sums_of(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys and the sums of each value."""
+    names, at = np.unique(keys, return_inverse=True)
+    return (names, *[np.bincount(at, v, len(names)) for v in values])
+
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = held.value
-        n_context, n_word = len(s.customers), len(s.word_count)
-        parts = {k: np.zeros(n_context) for k in ("customers", "tables")} | {k: np.zeros(n_word) for k in ("word_count", "word_tables", "word_parent")}
-        words = parent = 0.0
+@dataclass
+class Cells:
+    """Cells of two customers and more. ``sizes``: of the tables of those with more than ``EXACT``; ``mean``: sums of probabilities."""
+
+    word: np.ndarray
+    context: np.ndarray
+    count: np.ndarray
+    tables: np.ndarray
+    more: np.ndarray  # mean, tables of the word, the parent's tables of the word
+    sizes: list[np.ndarray]
+
+    @classmethod
+    def read(cls, rows: list) -> Cells:
+        get = lambda name, kind: np.concatenate([np.frombuffer(getattr(r, name), kind) for r in rows] or [np.zeros(0, kind)])
+        word, context = get("keys", np.uint64), get("others", np.uint64)
+        count, tables = get("counts", np.uint32).astype(np.int64), get("tables", np.uint32).astype(np.int64)
+        big = [np.frombuffer(r.extra, np.float64) for r in rows]
+        n = [len(r.keys) // 8 for r in rows]
+        more = np.concatenate([x[: 3 * k].reshape(k, 3) for x, k in zip(big, n, strict=True)] or [np.zeros((0, 3))])
+        flat = np.concatenate([x[3 * k :] for x, k in zip(big, n, strict=True)] or [np.zeros(0)]).astype(np.int64)
+        lengths = tables[count > EXACT]
+        return cls(word, context, count, tables, more.copy(), np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else [])
+
+    def rows(self, parts: np.ndarray, kind: int = CELLS) -> Iterator[tuple]:
+        sizes = np.full(len(self.word), None, object)
+        for i, x in zip(np.flatnonzero(self.count > EXACT), self.sizes, strict=True):
+            sizes[i] = x
+        order = np.lexsort((self.context, self.word, parts))
+        for at in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
+            if len(at):
+                flat = np.concatenate([self.more[at].ravel(), *[x for x in sizes[at] if x is not None]])
+                yield (
+                    int(parts[at[0]]), 0, self.word[at].tobytes(), self.context[at].tobytes(), self.count[at].astype(np.uint32).tobytes(),
+                    self.tables[at].astype(np.uint32).tobytes(), flat.tobytes(), 0.0, 0.0, 0.0, kind,
+                )
+
+
+def dealt(parts: np.ndarray, keys: np.ndarray, values: np.ndarray, kind: int, source: int = 0) -> Iterator[tuple]:
+    """A row per part: its keys, and the matrix of their values."""
+    order = np.argsort(parts, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
+        if len(at):
+            yield (int(parts[at[0]]), source, keys[at].tobytes(), NONE, NONE, NONE, values[at].astype(np.float64).tobytes(), 0.0, 0.0, 0.0, kind)
+
+
+def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of rows from ``dealt``."""
+    keys = np.concatenate([np.frombuffer(r.keys, np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
+    values = np.concatenate([np.frombuffer(r.extra, np.float64) for r in rows] or [np.zeros(0)])
+    return keys, values.reshape(len(keys), -1) if len(keys) else np.zeros((0, 2))
+
+
+def sent(rows) -> pd.DataFrame:
+    return pd.DataFrame(list(rows), columns=[x.split()[0] for x in SENT.split(", ")])
+
+
+def exchange(tables: list[DataFrame], of_bucket, name: str) -> DataFrame:
+    """Rows of ``SENT`` brought together by bucket; what ``of_bucket(bucket, rows)`` yields, written by kind."""
+    every = tables[0]
+    for other in tables[1:]:
+        every = every.unionByName(other)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
         for batch in batches:
             for row in batch.itertuples(index=False):
-                b = Bucket(row, s)
-                for _ in range(sweeps):
-                    b.sweep()
-                if sweeps:
-                    b.parent()
-                parts["customers"] += np.bincount(b.context, b.count, n_context)
-                parts["tables"] += np.bincount(b.context, b.tables, n_context)
-                if n_word:
-                    at = b.place[b.frequent]
-                    parts["word_count"] += np.bincount(at, np.bincount(b.name, b.count, len(b.names))[b.frequent], n_word)
-                    parts["word_tables"] += np.bincount(at, b.by_word()[b.frequent], n_word)
-                    if sweeps:  # each bucket seats the shared tables of the word; one of them counts
-                        np.maximum.at(parts["word_parent"], at, b.parent_tables[b.frequent])
-                rare = ~b.frequent & (b.total > 0)
-                words += rare.sum()
-                parent += b.parent_tables[rare].sum() if sweeps else rare.sum()
-        rows = [(k, i, v) for k, x in parts.items() for i, v in zip(np.flatnonzero(x).tolist(), x[np.flatnonzero(x)].tolist(), strict=True)]
-        yield pd.DataFrame([*rows, ("words", 0, float(words)), ("parent", 0, float(parent))], columns=["kind", "id", "value"])
-
-    each = table.mapInPandas(summed, "kind string, id int, value double")
-    with arrow_rows(table.sparkSession, 1):
-        merged = each.groupBy("kind", "id").agg(F.sum("value").alias("sum"), F.max("value").alias("max")).toPandas()
-    out = Shared(shared.frequent, *(np.zeros_like(x, float) for x in (shared.customers, shared.tables, shared.word_count, shared.word_tables)))
-    one = merged[merged["kind"].isin(["words", "parent"])].set_index("kind")["sum"]
-    for kind in ("customers", "tables", "word_count", "word_tables"):
-        own = merged[merged["kind"] == kind]
-        getattr(out, kind)[own["id"].to_numpy()] = own["sum"].to_numpy()
-    seen = int((out.word_count > 0).sum())
-    out.tokens = round(float(out.customers.sum()))
-    out.words = round(float(one.get("words", 0.0))) + seen
-    shared_parent = merged.loc[merged["kind"] == "word_parent", "max"].sum() if sweeps else seen
-    out.parent_tables = float(one.get("parent", 0.0)) + float(shared_parent)
-    return out
+                if held and row.bucket != held[0].bucket:
+                    yield sent(of_bucket(int(held[0].bucket), held))
+                    held = []
+                held.append(row)
+        if held:
+            yield sent(of_bucket(int(held[0].bucket), held))
+
+    return kept(every.repartition("bucket").sortWithinPartitions("bucket", "kind", "source", "keys").mapInPandas(run, SENT), name)
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    spark = rows.sparkSession
+    path = reserve(spark, name)
+    with arrow_rows(spark, BLOCKS_AT_ONCE):
+        rows.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # shuffles that are done with leave the disks
+    return spark.read.schema(SENT).parquet(path)
+
+
+def of_kind(rows: DataFrame, *kinds: int) -> DataFrame:
+    return rows.where(F.col("kind").isin(*kinds))
+
+
+@dataclass
+class All:
+    """Totals of everything after a sweep."""
+
+    tokens: int = 0
+    words: int = 0
+    tables: float = 0.0
+    parent: float = 0.0
+
+    @property
+    def base(self) -> float:
+        return 1.0 / (self.words + 1)
+
+    def of_word(self, tables, parent):
+        """The parent's probability of a word."""
+        opens = (PARENT_STRENGTH + PARENT_DISCOUNT * self.parent) * self.base
+        return (tables - PARENT_DISCOUNT * parent + opens) / (PARENT_STRENGTH + self.tables)
+
+
+def started(table: DataFrame, parts: int) -> DataFrame:
+    """What the buckets tell at first: cells to draw, and what does not change of words and contexts."""
+
+    def rows(row) -> Iterator[tuple]:
+        word, context, count, *_ = unpack(row)
+        count = count.astype(np.int64)
+        single, many = count == 1, count > 1
+        names, total, ones = sums_of(word[count > 0], count[count > 0], single[count > 0])
+        yield from dealt(part_of(names, parts), names, np.c_[total, ones], WORDS)
+        names, total, ones = sums_of(context, count, single)
+        yield from dealt(part_of(names, parts), names, np.c_[total, ones], CONTEXTS)
+        yield from dealt(part_of(names, parts), names, np.zeros((len(names), 0)), ASKED, int(row.bucket))
+        n = int(many.sum())
+        sizes = [np.array([c]) for c in count[many] if c > EXACT]
+        yield from Cells(word[many], context[many], count[many], np.ones(n, np.int64), np.zeros((n, 3)), sizes).rows(part_of(word[many], parts))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                yield sent(rows(row))
+
+    return kept(table.mapInPandas(run, SENT), "lm-start")
+
+
+def by_word(tables: list[DataFrame], parts: int, spread: np.ndarray, last: All, sweep: int) -> tuple[DataFrame, All]:
+    """Sum the tables of each word and draw the parent's (one each at first)."""
+
+    def of_part(part: int, rows: list) -> Iterator[tuple]:
+        keys, values = matrix([r for r in rows if r.kind in (WORDS, WORD_TOTALS)])
+        cells = Cells.read([r for r in rows if r.kind == CELLS])
+        names, total, ones, *before = sums_of(keys, *values.T)  # before: the parent's tables after the last sweep
+        at = np.searchsorted(names, cells.word)
+        tables = (ones + np.bincount(at, cells.tables, len(names))).astype(np.int64)
+        rng = np.random.default_rng([12, part, sweep])
+        parent = draw_parent(rng, tables, before[0], last.parent, last.base) if sweep else np.minimum(tables, 1)
+        cells.more[:, 1:] = np.c_[tables, parent][at]
+        yield from cells.rows(part_of(cells.context, parts))
+        values = np.c_[total, ones, parent, tables]
+        yield from dealt(np.full(len(names), part), names, values, WORD_TOTALS, sweep)
+        often = context_of(names, spread) > RARE
+        yield from dealt(np.full(int(often.sum()), part), names[often], values[often], SPREAD_TOTALS, sweep)
+        yield (part, 0, NONE, NONE, NONE, NONE, NONE, float(total.sum()), float(tables.sum()), float(parent.sum()), UNITS)
+        yield (part, 1, NONE, NONE, NONE, NONE, NONE, float(len(names)), 0.0, 0.0, UNITS)
+
+    out = exchange(tables, of_part, "lm-words")
+    found = {r["source"]: r for r in of_kind(out, UNITS).groupBy("source").agg(*[F.sum(c).alias(c) for c in ("n", "m", "v")]).collect()}
+    if not found:
+        return out, All()
+    return out, All(round(found[0]["n"]), round(found[1]["n"]), found[0]["m"], found[0]["v"])
+
+
+def by_context(tables: list[DataFrame], parts: int, spread: np.ndarray, last: All, sweep: int, sample: bool, final: bool = False) -> DataFrame:
+    """Take a sample of the seating if told so; then draw the tables of all cells anew, or, at the end, answer the buckets."""
+
+    def of_part(part: int, rows: list) -> Iterator[tuple]:
+        keys, values = matrix([r for r in rows if r.kind == CONTEXTS])
+        names, at = np.unique(keys, return_inverse=True)
+        totals = np.stack([np.bincount(at, v, len(names)) for v in values.T], axis=1) if len(names) else values
+        cells = Cells.read([r for r in rows if r.kind == CELLS])
+        place = np.searchsorted(names, cells.context)
+        tables = (totals[:, 1] + np.bincount(place, cells.tables, len(names))).astype(np.int64)
+        if sample:
+            opens = (STRENGTH + DISCOUNT * tables[place]) * last.of_word(cells.more[:, 1], cells.more[:, 2])
+            cells.more[:, 0] += (cells.count - DISCOUNT * cells.tables + opens) / (STRENGTH + totals[place, 0])
+            totals = np.c_[totals, tables]
+        if final:
+            yield from cells.rows(bucket_of(cells.word, cells.context, context_of(cells.word, spread) > RARE, parts), MEANS)
+            for r in rows:
+                if r.kind == ASKED:
+                    there = totals[np.searchsorted(names, np.frombuffer(r.keys, np.uint64))]
+                    yield (int(r.source), part, NONE, NONE, NONE, NONE, np.delete(there, 1, axis=1).astype(np.float32).tobytes(), 0.0, 0.0, 0.0, ANSWERS)
+            return
+        rng = np.random.default_rng([13, part, sweep])
+        small = cells.count <= EXACT
+        of_word, parent = cells.more[:, 1].astype(np.int64), cells.more[:, 2].astype(np.int64)
+        new = cells.tables.copy()
+        new[small] = draw_cells(rng, cells.count[small], cells.tables[small], tables[place][small], of_word[small], parent[small], last.tables)
+        for k, i in enumerate(np.flatnonzero(~small)):
+            t = int(cells.tables[i])
+            cells.sizes[k] = reseat(rng, cells.sizes[k], int(tables[place[i]]) - t, int(of_word[i]) - t, int(parent[i]), last.tables - t)
+            new[i] = len(cells.sizes[k])
+        cells.tables = new
+        yield from cells.rows(part_of(cells.word, parts))
+        if sample:
+            yield from dealt(np.full(len(names), part), names, totals, CONTEXTS)
+
+    return exchange(tables, of_part, "lm-contexts")
+
+
+def scored(table: DataFrame, spread: np.ndarray, buckets: int, samples: int) -> tuple[DataFrame, int]:
+    """(key, score, base_score, tokens) sums by bucket and text, and the number of training tokens."""
+    spark = table.sparkSession
+    start = started(table, buckets)
+    contexts = of_kind(start, CONTEXTS)
+    state, last = by_word([of_kind(start, WORDS), of_kind(start, CELLS)], buckets, spread, All(), 0)
+    taken: list[tuple[DataFrame, All]] = []
+    sweep, burnt = 0, False
+    while len(taken) < samples:
+        sweep += 1
+        seated = by_context([contexts, of_kind(state, CELLS)], buckets, spread, last, sweep, bool(taken))
+        if taken:
+            contexts = of_kind(seated, CONTEXTS)
+        before = last.tables
+        state, last = by_word([of_kind(state, WORD_TOTALS), of_kind(seated, CELLS)], buckets, spread, last, sweep)
+        change = abs(last.tables - before)
+        burnt = burnt or sweep >= MOST_BURN_IN or (sweep > BURN_IN and change <= max(SETTLED * before, 4 * before**0.5))
+        if burnt:
+            taken.append((state, last))
+    final = by_context([contexts, of_kind(state, CELLS), of_kind(start, ASKED)], buckets, spread, last, sweep + 1, True, True)
+    often = [{} for _ in taken]
+    for i, (each, _) in enumerate(taken):
+        for r in of_kind(each, SPREAD_TOTALS).select("keys", "extra").toLocalIterator():
+            keys, values = matrix([r])
+            often[i].update(zip(keys.tolist(), values.tolist(), strict=True))
+    # Spread words by their place in the sorted hashes, by sample.
+    known = np.array([[o.get(w, [0.0] * 4) for w in spread.tolist()] for o in often]).reshape(len(taken), len(spread), 4)
+    held = spark.sparkContext.broadcast((spread, known, [a for _, a in taken]))
+
+    def of_bucket(rows: list) -> pd.DataFrame | None:
+        unit = next((r for r in rows if r.kind == UNITS), None)
+        if unit is None:
+            return None
+        spread, known, everything = held.value
+        bucket = dict(zip(("word", "context", "count", "size", "text", "texts"), (unit.keys, unit.others, unit.counts, unit.tables, *pickle.loads(unit.extra)), strict=True))
+        word, context, count, size, text, texts = unpack(type("Unit", (), bucket))
+        count = count.astype(np.int64)
+        names, name = np.unique(word, return_inverse=True)
+        place = context_of(names, spread).astype(np.int64) - RARE - 1
+        asked, of_context = np.unique(context, return_inverse=True)
+        part, answers = part_of(asked, buckets), np.zeros((len(asked), 1 + len(everything)))
+        for r in rows:
+            if r.kind == ANSWERS:
+                answers[part == r.source] = np.frombuffer(r.extra, np.float32).reshape(-1, answers.shape[1])
+        mean = np.zeros(len(word))
+        for i, a in enumerate(everything):
+            keys, values = matrix([r for r in rows if r.kind == WORD_TOTALS and r.source == i])
+            own = np.zeros((len(names), 4))
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, names), len(keys) - 1)
+                there = keys[at] == names
+                own[there] = values[at[there]]
+            own[place >= 0] = known[i][place[place >= 0]]
+            opens = (STRENGTH + DISCOUNT * answers[:, 1 + i])[of_context] * a.of_word(own[:, 3], own[:, 2])[name]
+            mean += ((1 - DISCOUNT) * count + opens) / (STRENGTH + answers[:, 0])[of_context]
+        drawn = Cells.read([r for r in rows if r.kind == MEANS])
+        mean[count > 1] = drawn.more[np.lexsort((drawn.context, drawn.word)), 0]
+        mean /= len(everything)
+        s = everything[0]
+        base = np.log10((own[:, 0] + SMOOTH) / (s.tokens + SMOOTH * (s.words + 1)))[name]
+        sizes = size.astype(np.int64)
+        by_text = lambda x: np.bincount(text, np.repeat(x, sizes), len(texts))
+        seen = by_text((own[:, 0] > 0)[name].astype(float)).astype(np.int64)
+        tokens = np.bincount(text, minlength=len(texts))
+        return pd.DataFrame({"key": texts, "score": by_text(np.log10(mean)), "base_score": by_text(base), "tokens": tokens * (1 << 32) + seen})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def each() -> Iterator[pd.DataFrame]:
+            rows: list = []
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    if rows and row.bucket != rows[0].bucket:
+                        yield of_bucket(rows)
+                        rows = []
+                    rows.append(row)
+            if rows:
+                yield of_bucket(rows)
+
+        yield from combined(x for x in each() if x is not None)
+
+    def as_sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                yield sent([(int(r.bucket), 0, r.word, r.context, r.count, r.size, pickle.dumps((r.text, r.texts)), 0.0, 0.0, 0.0, UNITS)])
+
+    every = table.mapInPandas(as_sent, SENT).unionByName(of_kind(final, MEANS, ANSWERS))
+    for i, (each, _) in enumerate(taken):
+        every = every.unionByName(of_kind(each, WORD_TOTALS).withColumn("source", F.lit(i)))
+    out = every.repartition("bucket").sortWithinPartitions("bucket", "kind", "source")
+    return out.mapInPandas(run, "key long, score double, base_score double, tokens long"), last.tokens
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -394,18 +758,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
     buckets = parts_for((size["chars"] or 0) / 6 + size["n"], BUCKET_TOKENS, 8)
     frequent = frequent_words(docs)
     table = units(token_blocks(docs, frequent, buckets))
-    n = len(frequent)
-    shared = Shared(frequent, np.zeros(n + RARE + 1), np.zeros(n + RARE + 1), np.zeros(n), np.zeros(n))
-    shared = totals(table, shared, 0)
-    shared = totals(table, shared, BURN_IN)
-    held = docs.sparkSession.sparkContext.broadcast(shared)
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for batch in batches for row in batch.itertuples(index=False))
-        yield from combined(Bucket(row, held.value).scores(BURN_IN, samples) for row in rows)
-
-    # A few tasks for each core take several buckets each, so that their sums meet before they travel.
-    each = table.coalesce(TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(scored, "key long, score double, base_score double, tokens long")
+    each, tokens = scored(table, frequent, buckets, samples)
     sums = each.groupBy(F.col("key").alias("k")).agg(*[F.sum(c).alias(c) for c in ("score", "base_score", "tokens")])
     with arrow_rows(docs.sparkSession, 1):
         sums = written(sums, "lm-sums")
@@ -418,7 +771,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
         "held_out",
         F.floor(F.shiftright("tokens", 32) / F.col("copies")).alias("n_tokens"),
         F.floor(F.col("tokens").bitwiseAND(F.lit((1 << 32) - 1)) / F.col("copies")).alias("n_known"),
-        F.lit(shared.tokens).cast("long").alias("train_tokens"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
         part("base_score").alias("base_score"),
         part("score").alias("score"),
     )

@@ -127,3 +127,47 @@ def test_repeated_rows_and_empty_table(spark):
     only = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
     held = p.score_texts(spark.createDataFrame([(i, "a b") for i in only], "doc_id long, text string")).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in held)
+
+
+def held_ids():
+    return (i for i in range(10**6, 10**8) if zlib.crc32(str(i).encode()) % 10 == 0)
+
+
+def test_scores_of_all_texts_sum_to_one(spark):
+    """Every text of known words and an unknown one: the sum over all lengths, from texts of two words at most."""
+    rng, ids = random.Random(8), held_ids()
+    train = [(i, " ".join(f"w{min(rng.randrange(12), rng.randrange(12))}" for _ in range(rng.randint(1, 30)))) for i in range(400)]
+    words = [f"w{i}" for i in range(12)] + ["unknown"]
+    asked = [()] + [(w,) for w in words] + [(u, w) for u in words for w in words]
+    rows = [(next(ids), " ".join(t)) for t in asked]
+    got = {r["doc_id"]: 10 ** r["score"] for r in p.score_texts(spark.createDataFrame(train + rows, "doc_id long, text string"), samples=1).collect()}
+    chance = {t: got[i] for t, (i, _) in zip(asked, rows, strict=True)}
+    one = np.array([chance[w,] for w in words])
+    step = np.array([[chance[u, w] for w in words] for u in words]) / one  # P(u | start) P(w | u) / P(w | start)
+    total = chance[()] + np.linalg.solve(np.eye(len(words)) - step, one).sum()
+    assert total == pytest.approx(1, rel=1e-5)
+
+
+def test_number_of_tables_follows_its_exact_conditional(monkeypatch):
+    c, above, of_word, parent, everything = 6, 3, 4, 2, 50.0
+    log = []
+    for t in range(1, c + 1):
+        new = math.prod((p.STRENGTH + p.DISCOUNT * (above + j)) / (p.PARENT_STRENGTH + everything - 1 + j) for j in range(t))
+        half = lambda n, k: math.comb(2 * n - k - 1, n - 1) * 4.0 ** (k - n) * math.gamma(n) / math.gamma(k)
+        log.append(p.stirling()[c, t] + math.log(new * half(of_word + t, parent)))
+    want = np.exp(log) / np.exp(log).sum()
+    n = 20_000
+    full = lambda x: np.full(n, x)
+    rng = np.random.default_rng(4)
+    got = p.draw_cells(rng, full(c), full(1), full(above + 1), full(of_word + 1), full(parent), everything)
+    assert np.bincount(got, minlength=c + 1)[1:] / n == pytest.approx(want, abs=0.015)
+    sizes, seen = np.array([c]), []
+    for _ in range(n // 2):
+        sizes = p.reseat(rng, sizes, above, of_word, parent, everything - 1)
+        assert sizes.sum() == c
+        seen.append(len(sizes))
+    assert np.bincount(seen, minlength=c + 1)[1:] / len(seen) == pytest.approx(want, abs=0.03)
+    base, others = 0.01, 40.0
+    log = [math.log(half(5, k) * math.prod((p.PARENT_STRENGTH + p.PARENT_DISCOUNT * (others + j)) * base for j in range(k))) for k in range(1, 6)]
+    got = p.draw_parent(rng, full(5), full(3), others + 3, base)
+    assert np.bincount(got, minlength=6)[1:] / n == pytest.approx(np.exp(log) / np.exp(log).sum(), abs=0.015)
