@@ -1,9 +1,9 @@
 """Secret scan: base patterns, and weak parts of credentials that count only together.
 
 A weak part alone (a user name, a short password-like value, an address of a service) says
-little. Each is an interval in its text with a scope: the paragraph it stands in. An interval
-join on text and position bucket brings parts of one scope within ``REACH`` code points
-together; a weak part is reported only if its complements are there:
+little. Each is an interval in its text with a scope: the paragraph it stands in. Parts of one
+scope are brought together by the join on text and scope, or with a ``reach`` by an interval join on
+text and position bucket; a weak part is reported only if its complements are there:
 
 - a weak secret needs an access identifier,
 - an access identifier (weak) needs a secret, strong or weak,
@@ -35,20 +35,28 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex")
 
-#: Weak parts: what they are, by the kind of their spans.
+#: Weak parts: a key (any prefix, then one of these names), a sign of assignment and a value, by the kind of their spans.
+KEY = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)[\"']?[ \t]*+[:=][ \t]*+")
 WEAK = {
-    "identifier": re.compile(
-        r"(?i:\b(?:user(?:_?name)?|login|client_?id|access_?key_?id|account)\b)[\"']?[ \t]*[:=][ \t]*[\"']?([\w.@+-]{2,128})"
+    "identifier": (
+        re.compile(r"(?i:user(?:[_.-]?name)?|login|client[_.-]?id|access[_.-]?key[_.-]?id|account)\Z"),
+        re.compile(r"[\"']?[\w.@+-]{2,128}"),
     ),
-    "weak_secret": re.compile(
-        r"(?i:\b(?:pwd|pass|passphrase|credential|private_?key|client_?key|auth)\b)[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"',;]{4,256})"
+    "weak_secret": (
+        re.compile(
+            r"(?i:pwd|pass|passphrase|credential|auth|password|passwd|secret|token"
+            r"|(?:api|private|client|secret|secret[_.-]?access)[_.-]?key)\Z"
+        ),
+        re.compile(r"\"[^\"\r\n]{4,}(?=\")|'[^'\r\n]{4,}(?=')|[\"']?[^\s\"',;]{4,}"),
     ),
-    "endpoint": re.compile(r"(?i:\bhttps?|\bjdbc:[a-z]+|\bamqps?|\bs3|\bpostgres(?:ql)?|\bmongodb)://[\w.-]+(?::[0-9]{1,5})?|(?i:\b(?:host|endpoint|server)\b)[\"']?[ \t]*[:=][ \t]*[\"']?[\w.-]{3,253}"),
+    "endpoint": (re.compile(r"(?i:host|endpoint|server)\Z"), re.compile(r"[\"']?[\w.-]{3,253}")),
 }
+ADDRESS = re.compile(r"(?i:\bhttps?|\bjdbc:[a-z]+|\bamqps?|\bs3|\bpostgres(?:ql)?|\bmongodb)://[\w.-]+(?::[0-9]{1,5})?")
 #: What a part of a kind stands for when complements are looked for.
 ROLE = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "id", "identifier": "id", "endpoint": "endpoint"}
 ORDER = (*KINDS, *WEAK)
 REACH = 400
+REST = re.compile(r"\w")
 PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
 PART = "struct<kind:string,start:long,end:long,scope_start:long,scope_end:long>"
@@ -61,12 +69,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def weak_spans(text: str) -> list[tuple[str, int, int]]:
+    """Keys with their values, and addresses; parts of one kind do not overlap."""
+    found = [("endpoint", *m.span()) for m in ADDRESS.finditer(text)]
+    addresses, ends = iter(found.copy()), dict.fromkeys(WEAK, 0)
+    ahead = next(addresses, None)
+    for m in KEY.finditer(text):
+        for kind, (name, value) in WEAK.items():
+            if m.start() >= ends[kind] and name.search(m[1]) and (v := value.match(text, m.end())):
+                while ahead and ahead[2] <= m.start():
+                    ahead = next(addresses, None)
+                if kind != "endpoint" or not ahead or ahead[1] >= v.end():
+                    found.append((kind, m.start(), v.end()))
+                    ends[kind] = v.end()
+    return found
+
+
 def find_parts(text: str) -> list[tuple[str, int, int, int, int]]:
     """All base and weak parts with the paragraph each stands in, by start and kind."""
     found = base_spans(text)
     taken = sorted((s, e) for _, s, e in found)
-    for kind, pattern in WEAK.items():
-        found += [(kind, *m.span()) for m in pattern.finditer(text)]
+    found += weak_spans(text)
     if not found:
         return []
     found.sort(key=lambda p: (p[1], ORDER.index(p[0]), p[2]))
@@ -80,7 +103,8 @@ def find_parts(text: str) -> list[tuple[str, int, int, int, int]]:
         if kind in WEAK:
             while i < len(taken) and taken[i][1] <= start:
                 i += 1
-            if any(s < end and e > start for s, e in taken[i : i + 3]):  # part of a base span
+            # Part of a base span; a secret that goes on behind it has its end only here.
+            if i < len(taken) and taken[i][0] < end and (kind != "weak_secret" or not REST.search(text, taken[i][1], end)):
                 continue
         out.append((kind, start, end, low, breaks[at][0] if at < len(breaks) else len(text)))
     return out
@@ -96,16 +120,19 @@ def parts(text: Column) -> Column:
     return found(F.coalesce(text, F.lit("")))
 
 
-def link_parts(rows: DataFrame, key: str, reach: int = REACH) -> DataFrame:
+def link_parts(rows: DataFrame, key: str, reach: int | None = REACH) -> DataFrame:
     """Interval join: ``key, kind, start, end`` of the weak parts of ``rows.parts`` whose complements are near.
 
-    ``key`` stands for the text. Two parts are near if they share a paragraph and their starts
-    differ by at most ``reach``.
+    ``key`` stands for the text. Two parts are near if they share a paragraph and, unless
+    ``reach`` is None, their starts differ by at most ``reach``.
     """
     # Without a weak part there is nothing to link.
     weak = rows.where(F.exists("parts", lambda p: p["kind"].isin(*WEAK))).select(key, F.explode("parts").alias("p"))
     role = F.create_map(*[F.lit(x) for pair in ROLE.items() for x in pair])
-    each = weak.select(key, "p.*", role[F.col("p.kind")].alias("role"), F.floor(F.col("p.start") / reach).alias("bucket"))
+    each = weak.select(key, "p.*", role[F.col("p.kind")].alias("role"))
+    if reach is None:
+        return _linked_by_scope(each, key)
+    each = each.withColumn("bucket", F.floor(F.col("start") / reach))
     left = each.where(F.col("kind").isin(*WEAK)).select(
         key, "kind", "start", "end", "scope_start", "scope_end", "role", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket")
     )
@@ -125,20 +152,31 @@ def link_parts(rows: DataFrame, key: str, reach: int = REACH) -> DataFrame:
         .groupBy(key, "kind", "start", "end")
         .agg(has("id").alias("has_id"), has("secret").alias("has_secret"))
     )
-    role = role[F.col("kind")]
-    full = (
+    return together.where(_full(role[F.col("kind")])).select(key, "kind", "start", "end")
+
+
+def _full(role: Column) -> Column:
+    """Are the complements of a part there?"""
+    return (
         ((role == "secret") & F.col("has_id"))
         | ((role == "id") & F.col("has_secret"))
         | ((role == "endpoint") & F.col("has_id") & F.col("has_secret"))
     )
-    return together.where(full).select(key, "kind", "start", "end")
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", keep_text: bool = True, reach: int = REACH) -> DataFrame:
+def _linked_by_scope(each: DataFrame, key: str) -> DataFrame:
+    """Two aggregates per paragraph, without pairs."""
+    has = lambda role: F.max(F.col("role") == role)
+    scopes = each.groupBy(key, "scope_start").agg(has("id").alias("has_id"), has("secret").alias("has_secret"))
+    weak = each.where(F.col("kind").isin(*WEAK))
+    return weak.join(scopes, [key, "scope_start"]).where(_full(F.col("role"))).select(key, "kind", "start", "end")
+
+
+def scan_secrets(docs: DataFrame, text: str = "text", keep_text: bool = True, reach: int | None = REACH) -> DataFrame:
     """``docs`` with ``secret_spans``: array of (kind, start, end) by start, then kind.
 
     Base spans are always there, weak ones only when their complements co-occur. Null is an
-    empty text without spans. Rows are told apart by all their columns; rows that repeat
+    empty text without spans. ``reach`` limits how far apart parts of a paragraph may be; None is without limit. Rows are told apart by all their columns; rows that repeat
     entirely get equal results. A column named secret_spans is replaced. ``keep_text=False``
     leaves the text out of the result.
     """

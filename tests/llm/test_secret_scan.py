@@ -92,3 +92,32 @@ def test_redaction_leaves_the_rest(spark, text):
 
 def test_query_digest(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+@pytest.mark.parametrize(
+    "identifier, secret",
+    [
+        ("user: bob", "password: hunt3r"),
+        ("user=bob", "password=P@ssw0rd!2024"),
+        ("DB_USER=bob", "DB_PASS=abcd!efg"),
+        ("aws.account = me", "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+        ('"dbUser": "bob"', '"apiKey": "a b,c d"'),
+        ("login=bob", "token=ab" + "!x" * 300),
+    ],
+)
+def test_pairs_of_common_names(spark, identifier, secret):
+    shut = len(secret) - secret.endswith('"')
+    got = spans(spark, [f"{identifier}\n{secret}", identifier, secret])
+    at = len(identifier) + 1
+    end = len(identifier) - identifier.endswith('"')
+    low = int(identifier.startswith('"'))
+    assert got[0] == f"identifier:{low}:{end},weak_secret:{at + int(secret.startswith(chr(34)))}:{at + shut}"
+    assert got[1] == got[2] == ""
+
+
+def test_access_id_with_its_secret_key_and_cut_base_values(spark):
+    key = "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    got = spans(spark, [f"{KEY} {key}", key, "user=bob password=longenough1!rest", "password=longenough1!rest", "user=bob password=longenough1)."])
+    assert got[0] == f"access:0:{len(KEY)},weak_secret:{len(KEY) + 1}:{len(KEY) + 1 + len(key)}" and got[1] == ""
+    assert got[2] == "identifier:0:8,assign:9:29,weak_secret:9:34"
+    assert got[3] == "assign:0:20" and got[4] == "identifier:0:8,assign:9:29"
