@@ -232,7 +232,7 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False, reach=None)
     base = F.filter("secret_spans", lambda s: s["kind"].isin(*KINDS))
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(

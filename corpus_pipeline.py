@@ -69,7 +69,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked; ``n_chars`` follows the text."""
-    found = scan_secrets(docs)
+    found = scan_secrets(docs, reach=None)
     clean = found.withColumn("text", redact(F.col("text"), F.col("secret_spans")))
     if "n_chars" in docs.columns:
         hit = F.size("secret_spans") > 0

@@ -121,3 +121,16 @@ def test_access_id_with_its_secret_key_and_cut_base_values(spark):
     assert got[0] == f"access:0:{len(KEY)},weak_secret:{len(KEY) + 1}:{len(KEY) + 1 + len(key)}" and got[1] == ""
     assert got[2] == "identifier:0:8,assign:9:29,weak_secret:9:34"
     assert got[3] == "assign:0:20" and got[4] == "identifier:0:8,assign:9:29"
+
+
+def test_a_paragraph_links_however_long(spark, tmp_path):
+    far = "user=alice" + " x" * 4000 + " pwd=hunter2"
+    texts = [far, "host=db.internal" + " x" * 4000 + "\n" + far, far.replace(" pwd", "\n\npwd")]
+    got = spans(spark, texts, reach=None)
+    n = len(far)
+    assert got[0] == f"identifier:0:10,weak_secret:{n - 11}:{n}" and got[2] == ""
+    assert [x.split(":")[0] for x in got[1].split(",")] == ["endpoint", "identifier", "weak_secret"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    asked = {r["doc_id"]: r["spans"] for r in s.op1_secrets(spark, str(tmp_path)).collect()}
+    assert asked == got
