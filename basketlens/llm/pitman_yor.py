@@ -23,6 +23,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,13 +34,12 @@ from pyspark.sql import functions as F
 
 from basketlens.llm.shingles import mix, word_hashes, word_list
 from basketlens.llm.tables import arrow_rows, parts_for, table
-from basketlens.sources.scratch import reserve, written
+from basketlens.sources.scratch import _delete, reserve, written
 
 CONTEXT_SHARE = 2e-5
 COUNTED_WORDS = 300_000  # a task that counts more forgets the rarest
 BUCKET_TOKENS = 2_000_000
 CHUNK_TOKENS = 500_000
-TASKS_PER_CORE = 2
 SUMS_AT_ONCE = 1_000_000  # texts whose sums a scoring task holds
 BLOCKS_AT_ONCE = 100  # rows in an Arrow batch; units come singly
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the contexts
@@ -221,7 +221,7 @@ def units(blocks: DataFrame) -> DataFrame:
     spark = blocks.sparkSession
     path = reserve(spark, "lm-units")
     dealt = blocks.repartition("bucket").sortWithinPartitions("bucket")
-    with arrow_rows(spark, BLOCKS_AT_ONCE):
+    with arrow_rows(spark, BLOCKS_AT_ONCE), shuffles_dropped(spark):
         dealt.mapInPandas(merged, UNIT).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(UNIT).parquet(path)
 
@@ -534,12 +534,31 @@ def exchange(tables: list[DataFrame], of_bucket, name: str) -> DataFrame:
 def kept(rows: DataFrame, name: str) -> DataFrame:
     spark = rows.sparkSession
     path = reserve(spark, name)
-    with arrow_rows(spark, BLOCKS_AT_ONCE):
+    with arrow_rows(spark, BLOCKS_AT_ONCE), shuffles_dropped(spark):
         rows.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()  # shuffles that are done with leave the disks
     return spark.read.schema(SENT).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of tables written inside leave the disks once the table is there."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    spark._jvm.System.gc()  # what the setting does not reach goes with its plan
+
+
+def drop_cells(rows: DataFrame) -> None:
+    """Remove the cells of a table from ``kept`` that the next sweep has replaced."""
+    for path in {f.rsplit("/", 1)[0] for f in of_kind(rows, CELLS).inputFiles()}:
+        if path.endswith(f"/kind={CELLS}"):
+            _delete(rows.sparkSession, path)
+
+
 def of_kind(rows: DataFrame, *kinds: int) -> DataFrame:
     return rows.where(F.col("kind").isin(*kinds))
 
@@ -666,7 +685,10 @@ def scored(table: DataFrame, spread: np.ndarray, buckets: int, samples: int) ->
         if taken:
             contexts = of_kind(seated, CONTEXTS)
         before = last.tables
-        state, last = by_word([of_kind(state, WORD_TOTALS), of_kind(seated, CELLS)], buckets, spread, last, sweep)
+        old = state
+        state, last = by_word([of_kind(old, WORD_TOTALS), of_kind(seated, CELLS)], buckets, spread, last, sweep)
+        drop_cells(old)
+        drop_cells(seated)
         change = abs(last.tables - before)
         burnt = burnt or sweep >= MOST_BURN_IN or (sweep > BURN_IN and change <= max(SETTLED * before, 4 * before**0.5))
         if burnt:
@@ -760,7 +782,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
     table = units(token_blocks(docs, frequent, buckets))
     each, tokens = scored(table, frequent, buckets, samples)
     sums = each.groupBy(F.col("key").alias("k")).agg(*[F.sum(c).alias(c) for c in ("score", "base_score", "tokens")])
-    with arrow_rows(docs.sparkSession, 1):
+    with arrow_rows(docs.sparkSession, 1), shuffles_dropped(docs.sparkSession):
         sums = written(sums, "lm-sums")
     rows = docs.select("doc_id", "held_out", "key")
     copies = rows.groupBy(F.col("key").alias("k2")).agg(F.count(F.lit(1)).alias("copies"))  # equal rows share one sum
