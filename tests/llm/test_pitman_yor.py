@@ -171,3 +171,14 @@ def test_number_of_tables_follows_its_exact_conditional(monkeypatch):
     log = [math.log(half(5, k) * math.prod((p.PARENT_STRENGTH + p.PARENT_DISCOUNT * (others + j)) * base for j in range(k))) for k in range(1, 6)]
     got = p.draw_parent(rng, full(5), full(3), others + 3, base)
     assert np.bincount(got, minlength=6)[1:] / n == pytest.approx(np.exp(log) / np.exp(log).sum(), abs=0.015)
+
+
+def test_rare_words_are_contexts_whatever_the_size(spark):
+    """Each of 400 words occurs four times in 400,000 tokens, always before its own word."""
+    rng, ids = random.Random(6), held_ids()
+    train = [(10 * i + 1, " ".join(f"w{rng.randrange(50)}" for _ in range(4000))) for i in range(110)]
+    train += [(10**5 + i, f"rare{i % 400} w{i % 50}") for i in range(1600)]
+    asked = [(next(ids), f"rare{i} w{(i + d) % 50}") for i in range(0, 400, 10) for d in (0, 7)]
+    got = {r["doc_id"]: r["score"] for r in p.score_texts(spark.createDataFrame(train + asked, "doc_id long, text string")).collect()}
+    gain = [got[right] - got[wrong] for (right, _), (wrong, _) in zip(asked[::2], asked[1::2], strict=True)]
+    assert np.median(gain) > math.log10(5)
