@@ -73,10 +73,6 @@ INSIGHT_METRICS = {
 }
 
 
-# How many folders below their root precomputed results are looked for.
-PRECOMPUTED_DEPTH = 5
-
-
 @dataclass(frozen=True)
 class TableContract:
     """Columns a stored table must have, and obsolete columns it must not have.

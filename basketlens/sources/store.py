@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.contracts import PRECOMPUTED_DEPTH, TRANSACTIONS, TableContract
+from basketlens.contracts import TRANSACTIONS, TableContract
 from basketlens.operators.load import normalize_nulls
 from basketlens.operators.quality import contract_violation
 from basketlens.sources.raw import read_csv, require_closed_quotes
@@ -83,12 +83,17 @@ class TableStore:
 
     def _plain_files(self, name: str) -> list[str]:
         """``name``.csv and ``name``.json in the precomputed folder or below it, sorted by path."""
-        fs, _ = self._fs(self.precomputed)
-        found = []
-        for depth in range(PRECOMPUTED_DEPTH + 1):
-            pattern = "/".join([self.precomputed, *["*"] * depth, f"{name}.{{csv,json}}"])
-            hits = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(pattern)) or []
-            found += [hit.getPath().toString() for hit in hits]
+        fs, root = self._fs(self.precomputed)
+        if not fs.exists(root):
+            return []
+        found, wanted = set(), {f"{name}.csv", f"{name}.json"}
+        top = fs.makeQualified(root).toString().rstrip("/")
+        files = fs.listFiles(root, True)
+        while files.hasNext():
+            below = files.next().getPath().toString()[len(top) + 1 :].split("/")
+            at = next((i for i, part in enumerate(below) if part in wanted), None)  # a file, or a folder of part files
+            if at is not None:
+                found.add("/".join([top, *below[: at + 1]]))
         return sorted(found)
 
     def prune(self, keep: int = 1) -> None:

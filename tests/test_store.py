@@ -98,3 +98,14 @@ def test_export(spark, tmp_path, kind):
 def test_export_kind(spark, tmp_path):
     with pytest.raises(ValueError, match="kind must be"):
         export(value(spark, 5), str(tmp_path), "xml")
+
+
+def test_precomputed_files_are_found_at_any_depth(spark, tmp_path):
+    deep = tmp_path / "pre" / "/".join("abcdefgh")
+    deep.mkdir(parents=True)
+    (deep / "probe.csv").write_text("value\n7\n")
+    export(value(spark, 8), str(tmp_path / "folders" / "x" / "probe.csv"))
+    for top, want in (("pre", 7), ("folders", 8)):
+        store = TableStore(spark, str(tmp_path / "own"), str(tmp_path / top))
+        assert store.find(PROBE).first()["value"] == want
+    assert TableStore(spark, str(tmp_path / "own"), str(tmp_path / "none")).find(PROBE) is None
