@@ -272,11 +272,11 @@ def similar_links(docs: DataFrame, nodes: DataFrame, units: DataFrame, similarit
 
 
 def jaccard_classes(docs: DataFrame, similarity: Fraction = SIMILARITY, doc_id: str = "doc_id") -> DataFrame:
-    """A row per row of ``docs``: doc_id, text_key, n_shingles, component_id.
+    """A row per row of ``docs``: doc_id, text_key, n_shingles, component_id, class_id.
 
     Texts are linked if their sets of five-word shingles reach ``similarity``, decided in whole
     numbers. component_id is the smallest doc_id reachable; rows without an id do not name a
-    class. Null, empty and blank texts have no shingles and link with nothing; equal texts
+    class. class_id tells classes apart whatever their ids; it is null without shingles. Null, empty and blank texts have no shingles and link with nothing; equal texts
     and repeated rows are always linked. Only id and text are read. No documents, no rows.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -295,7 +295,7 @@ def jaccard_classes(docs: DataFrame, similarity: Fraction = SIMILARITY, doc_id:
     named = rows.where(F.col("class").isNotNull()).groupBy(F.col("class").alias("c")).agg(F.min("doc_id").alias("component_id"))
     out = rows.join(named, F.col("class") == F.col("c"), "left")
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.col("class").alias("class_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

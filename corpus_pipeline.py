@@ -42,13 +42,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar texts: the one with the smallest id.
 
-    Of rows that repeat id and text one stays. Rows without an id stay unless they
-    are similar to others.
+    Of rows that repeat id and text one stays. Rows without an id come after all others of
+    their class.
     """
     classes = written(jaccard_classes(docs), "classes")
-    first = classes.where("component_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    members = classes.join(first, "component_id")
-    gone = members.where(~F.struct("doc_id", "text_key").eqNullSafe(F.col("first")))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    first = classes.where("class_id is not null").groupBy("class_id").agg(F.min(row).alias("first"))
+    members = classes.join(first, "class_id")
+    gone = members.where(~row.eqNullSafe(F.col("first")))
     kept = _without(docs, gone)
     repeated = written(
         classes.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_key"), "repeated"

@@ -118,3 +118,13 @@ def check_packing(rows, texts):
             ends += length
         assert ends <= 2048
     assert len(held) <= -(-total // 2048) + 1
+
+
+def test_classes_are_told_apart_by_their_texts_not_their_ids(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
+    near = {k: t + " more" for k, t in text.items()}
+    rows = [(5, text["a"]), (5, text["b"]), (6, near["b"]), (None, text["c"]), (None, near["c"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"]) for r in c.deduplicate(spark, docs, "").collect()}
+    assert {(5, text["a"]), (5, text["b"])} <= kept and len(kept) == 3
+    assert kept - {(5, text["a"]), (5, text["b"])} <= {(None, text["c"]), (None, near["c"])}
