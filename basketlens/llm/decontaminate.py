@@ -3,8 +3,8 @@
 A seed is the hash of the tokens that a fixed mask keeps in a window; the positions it ignores
 may hold other tokens. Seeds of all windows of the benchmark are joined with those of all
 windows of the documents. Each hit gives a diagonal (document position less item position), and
-the best-scoring run along it is verified token by token: equal tokens score 1, others -4, so a
-run that scores above 0 has more than four fifths of its tokens equal.
+the best-scoring run along it is verified token by token: equal tokens score 1, others -2, so a
+run that scores above 0 has more than two thirds of its tokens equal.
 
 Documents are scanned for seeds where they lie. The benchmark's seeds are broadcast after their
 number was seen to be at most ``BROADCAST_ROWS``; beyond that Spark picks a join by size.
@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from basketlens.llm.tables import ascii_lower, few, table
 from basketlens.sources.scratch import written
 
-#: Kept positions of the windows: six of nine tokens each.
-MASKS = ("110110110", "101101011")
+#: Kept positions of the windows: six of nine tokens each. Every position is ignored by one mask, and the last
+#: ignores two that lie four apart.
+MASKS = ("110110110", "101101011", "011011101")
 LEAST_TOKENS = 12
+LEAST_SHARE = (7, 9)  # of an item's tokens, for items too short for ``LEAST_TOKENS``
 MISMATCH = -2
 
 
@@ -85,8 +87,8 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, text_key, item_id, doc_start, item_start, length, matched): the best overlap of each pair.
 
-    A pair counts if ``least_tokens`` tokens agree in its best-scoring run; of equal runs the
-    longest counts. Texts and items shorter than a mask (nine tokens),
+    A pair counts if ``least_tokens`` tokens, or seven ninths of the item's tokens if that is less, agree
+    in its best-scoring run; of equal runs the longest counts. Texts and items shorter than a mask (nine tokens),
     null ones included, overlap with nothing. Repeated rows of ``docs`` count once, told
     apart by id and ``text_key`` (a hash of the text); null ids are ids. Only id and text are
     read, whatever else the tables hold.
@@ -112,9 +114,11 @@ def find_leaks(
     both = hits.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key"))).join(
         item_words, F.col("i") == F.col("item_key")
     )
+    part, of = LEAST_SHARE
+    needed = F.least(F.lit(least_tokens), F.ceil(F.size("item_words") * part / of).cast("int"))
     run = both.select(
-        "doc_id", "text_key", "item_id", "diagonal", best_run(F.col("doc_words"), F.col("item_words"), F.col("diagonal")).alias("r")
-    ).where(F.col("r.best_matched") >= least_tokens)
+        "doc_id", "text_key", "item_id", "diagonal", needed.alias("needed"), best_run(F.col("doc_words"), F.col("item_words"), F.col("diagonal")).alias("r")
+    ).where(F.col("r.best_matched") >= F.col("needed"))
     overlap = F.struct(
         F.col("r.best_matched").alias("matched"),
         (-F.col("r.best_length")).alias("less"),

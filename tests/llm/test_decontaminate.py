@@ -85,3 +85,20 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = d.find_leaks(docs, docs.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_short_items_and_every_fourth_token(spark):
+    docs, items, want = [], [], set()
+    for n in range(9, 15):
+        item = [f"n{n}t{i}" for i in range(n)]
+        items.append((n, " ".join(item), None))
+        for j in range(-1, n):  # whole, then each token replaced
+            docs.append((100 * n + j + 1, "a b " + " ".join("zz" if i == j else w for i, w in enumerate(item)) + " c", None))
+            want.add((docs[-1][0], n))
+        docs.append((100 * n + 50, " ".join(item[: n * 2 // 3]), None))
+    long = [f"x{i}" for i in range(40)]
+    items.append((1, " ".join(long), None))
+    for r in range(4):
+        docs.append((r, " ".join(f"y{i}" if i % 4 == r else w for i, w in enumerate(long)), None))
+        want.add((r, 1))
+    assert set(leaks(spark, docs, items)) == want
