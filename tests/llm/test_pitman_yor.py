@@ -182,3 +182,11 @@ def test_rare_words_are_contexts_whatever_the_size(spark):
     got = {r["doc_id"]: r["score"] for r in p.score_texts(spark.createDataFrame(train + asked, "doc_id long, text string")).collect()}
     gain = [got[right] - got[wrong] for (right, _), (wrong, _) in zip(asked[::2], asked[1::2], strict=True)]
     assert np.median(gain) > math.log10(5)
+
+
+def test_ends_of_texts_are_spread_over_the_buckets(spark):
+    rows = [(i, f"w{i % 300} w{i % 7}", False) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "key long, text string, held_out boolean")
+    end = p.word_hashes([p.END])[0]
+    blocks = p.token_blocks(docs, p.frequent_words(docs), 16).collect()
+    assert len({r["bucket"] for r in blocks if end in np.frombuffer(r["word"], np.uint64)}) > 3
