@@ -234,7 +234,8 @@ def opened(row: pa.Table) -> Block:
 
 def search(blocks: DataFrame, queries: DataFrame, size: int, k: int = TOP, chunk: int = CHUNK) -> DataFrame:
     """The k best rows of every block of the index for every row of ``queries`` (vec_id, x, copies)."""
-    chunks, parts = parts_for(queries.count(), chunk), blocks.count()
+    # Blocks are numbered by a hash, so a number may be without rows.
+    chunks, last = parts_for(queries.count(), chunk), blocks.agg(F.max("block")).first()[0]
 
     def unit(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4]
@@ -251,7 +252,7 @@ def search(blocks: DataFrame, queries: DataFrame, size: int, k: int = TOP, chunk
         return asked
 
     asked = queries.select(
-        place("vec_id", "x", chunks).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"),
+        place("vec_id", "x", chunks).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block"),
         F.col("vec_id").alias("query_id"), F.xxhash64("x").alias("query_hash"), F.hash("x", F.lit(1)).alias("query_hash2"),
         F.col("copies").alias("repeats"), "x",
     )
