@@ -3,53 +3,52 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.contracts import HISTOGRAM_BINS, IQR_THRESHOLD, WEAK_CORRELATION
-from basketlens.functions.columns import correlation, money, order_month
-from basketlens.operators.exact import TASK_VALUES, exact_quantiles
-from basketlens.operators.outliers import Fences, fences, inliers
+from basketlens.functions.columns import correlation, money, nan_to_null, order_month
+from basketlens.operators.cells import (
+    TASK_VALUES,
+    Cells,
+    Profile,
+    Range,
+    cell_counts,
+    first_cell,
+    gathered,
+    number,
+    profile,
+    settled,
+    split,
+)
+from basketlens.operators.exact import exact_quantiles
+from basketlens.operators.outliers import QUARTILES, fences_of
 from basketlens.operators.rfm import AMOUNT_SCALE
 from basketlens.sources.scratch import written
 
 
-def _moments(column: str) -> list[Column]:
-    c = F.col(column)
-    return [
-        F.avg(c).alias("mean"),
-        F.stddev_samp(c).alias("std"),
-        F.min(c).cast("double").alias("min"),
-        F.max(c).cast("double").alias("max"),
-    ]
+SUMMARY = "count long, mean double, median double, std double, q1 double, q3 double, min double, max double"
 
 
-def _summary_columns() -> list[Column]:
-    return [
-        F.col("n").cast("long").alias("count"),
-        F.col("mean"),
-        F.col("q")[1].alias("median"),
-        F.coalesce("std", F.lit(0.0)).alias("std"),
-        F.col("q")[0].alias("q1"),
-        F.col("q")[2].alias("q3"),
-        F.col("min"),
-        F.col("max"),
-    ]
+def _summary_row(seen: Profile, quartiles: Sequence[float]) -> tuple:
+    if not seen.n:
+        raise ValueError("numeric summary requires at least one value")
+    q1, median, q3 = map(float, quartiles)
+    ends = float(seen.cells.low[0]), float(seen.cells.high[-1])
+    return (seen.n, seen.mean, median, seen.std, q1, q3, *ends)
 
 
 def numeric_summary(
     df: DataFrame, column: str, *, task_values: int = TASK_VALUES
 ) -> DataFrame:
     """One row: count, mean, median, std (sample; 0 for one value), q1, q3, min, max."""
-    stats = exact_quantiles(
-        df, column, [0.25, 0.5, 0.75], extra=_moments(column), task_values=task_values
-    )
-    empty = F.raise_error(F.lit("numeric summary requires at least one value"))
-    return stats.withColumn("n", F.when(F.col("n") == 0, empty).otherwise(F.col("n"))).select(
-        *_summary_columns()
-    )
+    seen = profile(df, column)
+    ask = lambda cells: [cells.quantile(p).low for p in QUARTILES] if seen.n else []
+    quartiles, _ = settled(seen.cells, df, column, ask, task_values)
+    return df.sparkSession.createDataFrame([_summary_row(seen, quartiles)], SUMMARY)
 
 
 def column_profile(
@@ -60,15 +59,49 @@ def column_profile(
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
         for c in columns
     ]
-    stats = exact_quantiles(
-        df.select(F.inline(F.array(*cells))),
-        "value",
-        [0.25, 0.5, 0.75],
-        ["column_name"],
-        extra=[F.count_if(F.col("value").isNull()).alias("missing"), *_moments("value")],
-        task_values=task_values,
+    long = df.select(F.inline(F.array(*cells)))
+    stats = exact_quantiles(long, "value", QUARTILES, ["column_name"], task_values=task_values)
+    spread = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).otherwise(0.0)
+    return stats.select(
+        "column_name",
+        "missing",
+        F.col("n").alias("count"),
+        "mean",
+        F.col("q")[1].alias("median"),
+        spread.alias("std"),
+        F.col("q")[0].alias("q1"),
+        F.col("q")[2].alias("q3"),
+        F.col("low").alias("min"),
+        F.col("high").alias("max"),
     )
-    return stats.select("column_name", "missing", *_summary_columns())
+
+
+@dataclass(frozen=True)
+class Bars:
+    """Equal bins from ``low`` to ``high``; a bin holds its left edge, the last one both."""
+
+    low: float
+    high: float
+    bins: int
+
+    @classmethod
+    def over(cls, low: float, high: float, bins: int) -> Bars:
+        return cls(low - 0.5, high + 0.5, bins) if low == high else cls(low, high, bins)
+
+    def edge(self, i: Column) -> Column:
+        step = (self.high - self.low) / self.bins
+        return F.when(i == self.bins, F.lit(self.high)).otherwise(i * F.lit(step) + F.lit(self.low))
+
+    def edges(self) -> list[float]:
+        step = (self.high - self.low) / self.bins
+        return [i * step + self.low for i in range(self.bins)] + [self.high]
+
+    def of(self, v: Column) -> Column:
+        """The bin of a value; one that rounding put on the wrong side of a computed edge is moved to the bin whose edges hold it."""
+        last = self.bins - 1
+        first = F.least(F.lit(last), F.floor((v - F.lit(self.low)) / F.lit(self.high - self.low) * self.bins))
+        below, beyond = v < self.edge(first), (first < last) & (v >= self.edge(first + 1))
+        return F.when(below, first - 1).when(beyond, first + 1).otherwise(first)
 
 
 def histogram(
@@ -88,107 +121,173 @@ def histogram(
     ).first()
     if lo is None:
         raise ValueError(f"{column} has no values")
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
-    step = (hi - lo) / bins
-
-    def edge(i: Column) -> Column:
-        return F.when(i == bins, F.lit(hi)).otherwise(i * F.lit(step) + F.lit(lo))
-
+    bars = Bars.over(lo, hi, bins)
     v = F.col(column).cast("double")
-    first = F.least(F.lit(bins - 1), F.floor((v - F.lit(lo)) / F.lit(hi - lo) * bins))
-    placed = df.where(v.isNotNull()).select(v.alias("_v"), first.alias("_b"))
-    settled = (
-        F.when(F.col("_v") < edge(F.col("_b")), F.col("_b") - 1)
-        .when(
-            (F.col("_b") < bins - 1) & (F.col("_v") >= edge(F.col("_b") + 1)), F.col("_b") + 1
-        )
-        .otherwise(F.col("_b"))
-    )
-    counts = placed.groupBy(settled.alias("_bin")).agg(F.count("*").alias("_count"))
+    counts = df.where(v.isNotNull()).groupBy(bars.of(v).alias("_bin")).agg(F.count("*").alias("_count"))
     frame = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
     return frame.join(F.broadcast(counts), F.col("bin") == F.col("_bin"), "left").select(
         F.col("bin").cast("int").alias("bin"),
-        edge(F.col("bin")).alias("left_edge"),
-        edge(F.col("bin") + 1).alias("right_edge"),
+        bars.edge(F.col("bin")).alias("left_edge"),
+        bars.edge(F.col("bin") + 1).alias("right_edge"),
         F.coalesce("_count", F.lit(0)).cast("long").alias("count"),
     )
 
 
-def boxplot(df: DataFrame, column: str, label: str, f: Fences) -> DataFrame:
-    """One row: quartiles, and as whiskers the outermost values within the fences."""
-    return df.where(f.inside(column)).agg(
-        F.min(column).cast("double").alias("whislo"), F.max(column).cast("double").alias("whishi")
-    ).select(
-        F.lit(label).alias("label"),
-        F.lit(f.q1).alias("q1"),
-        F.lit(f.median).alias("med"),
-        F.lit(f.q3).alias("q3"),
-        "whislo",
-        "whishi",
-    )
+BOX = "label string, q1 double, med double, q3 double, whislo double, whishi double"
 
 
-def boxplot_before(
-    df: DataFrame, column: str, *, task_values: int = TASK_VALUES
-) -> DataFrame:
-    return boxplot(df, column, "Before IQR", fences(df, column, task_values=task_values))
+@dataclass(frozen=True)
+class Box:
+    """Quartiles, and as whiskers the outermost values within the fences."""
 
+    quartiles: list[Range]
+    whislo: Range
+    whishi: Range
 
-def boxplot_after(
-    df: DataFrame,
-    column: str,
-    *,
-    first: Fences | None = None,
-    task_values: int = TASK_VALUES,
-) -> DataFrame:
-    """Boxplot of the inliers: quartiles and fences are those of what is left."""
-    first = first or fences(df, column, IQR_THRESHOLD, task_values=task_values)
-    kept = inliers(df, column, first)
-    second = fences(kept, column, IQR_THRESHOLD, task_values=task_values)
-    return boxplot(kept, column, "After IQR", second)
+    def row(self, label: str) -> tuple:
+        return (label, *(float(x.low) for x in (*self.quartiles, self.whislo, self.whishi)))
 
 
-def fact_correlation(
-    facts: DataFrame, key: str, x: str, lookup: DataFrame, lookup_key: str, y: str
-) -> DataFrame:
-    """One row: correlation of a fact column with an attribute of its key, 0 if one is constant.
+def boxes(cells: Cells) -> tuple[Box, Box]:
+    """Boxplots of all values and of those within the fences, as far as the cells know them.
 
-    ``y`` is the same for all facts of a key. So facts are first reduced to one row per
-    key (count, mean, spread of ``x``), and only those rows are joined: a hot key costs
-    one row, and no fact is shuffled. The joined rows are written; weighted means are taken in
-    one pass over them and squared deviations from these means in a second, so neither large
-    offsets nor keys without facts cost digits.
+    Quartiles and fences of the second one are those of what is left: order statistics of all
+    values, shifted by the number of values below the first fence.
     """
-    known = lookup.select(
-        F.col(lookup_key).alias("_key"), F.col(y).cast("double").alias("_y")
-    ).dropna()
-    valued = facts.select(key, F.col(x).cast("double").alias("_x")).dropna()
-    per_key = valued.groupBy(key).agg(
+    q, lower, upper = fences_of(cells, IQR_THRESHOLD)
+    first = Box(q, cells.first_from(lower), cells.last_to(upper))
+    below, above = cells.below(lower), cells.above(upper)
+    inside = Range(cells.n - below.high - above.high, cells.n - below.low - above.low)
+    kept, low, high = fences_of(cells, IQR_THRESHOLD, below, inside)
+    low = Range(max(lower.low, low.low), max(lower.high, low.high))
+    high = Range(min(upper.low, high.low), min(upper.high, high.high))
+    return first, Box(kept, cells.first_from(low), cells.last_to(high))
+
+
+def _boxplot(df: DataFrame, column: str, which: int, label: str, task_values: int) -> DataFrame:
+    seen = profile(df, column)
+    if not seen.n:
+        raise ValueError(f"{column} has no values")
+    both, _ = settled(seen.cells, df, column, boxes, task_values)
+    return df.sparkSession.createDataFrame([both[which].row(label)], BOX)
+
+
+def boxplot_before(df: DataFrame, column: str, *, task_values: int = TASK_VALUES) -> DataFrame:
+    """One row: the boxplot of all values."""
+    return _boxplot(df, column, 0, "Before IQR", task_values)
+
+
+def boxplot_after(df: DataFrame, column: str, *, task_values: int = TASK_VALUES) -> DataFrame:
+    """One row: the boxplot of the inliers, whose quartiles and fences are those of what is left."""
+    return _boxplot(df, column, 1, "After IQR", task_values)
+
+
+@dataclass(frozen=True)
+class Description:
+    """Everything a report says about an amount of the facts, from shared passes."""
+
+    summary: dict[str, float | int]
+    histogram_edges: list[float]
+    histogram_counts: list[int]
+    before: dict[str, float | str]
+    after: dict[str, float | str]
+    per_month: DataFrame
+    per_key: DataFrame
+
+
+def describe(
+    facts: DataFrame, column: str, date_col: str, key: str, *, bins: int = HISTOGRAM_BINS,
+    amount_scale: int = AMOUNT_SCALE, task_values: int = TASK_VALUES,
+) -> Description:
+    """Summary, histogram, both boxplots, totals per month and moments per key of ``column``.
+
+    One pass counts by cell, by month and by key side by side; its result, partial sums of bounded
+    or key-sized number, is written. The second splits the cells that quartiles, fences and whiskers
+    lie in and counts the histogram's bins; the third usually settles the rest.
+    """
+    v = F.col("_v")
+    keyed = facts.select(
+        number(column).alias("_v"), money(column, amount_scale).alias("_amount"), order_month(date_col).alias("order_month"), F.col(key).alias("_key")
+    ).select("*", first_cell(v).alias("_cell"))
+    sets = keyed.groupingSets([["_cell"], ["order_month"], ["_key"]], "_cell", "order_month", "_key")
+    partial = sets.agg(F.grouping_id().alias("_set"), F.count(v).alias("_n"), F.sum("_amount").alias("_total"), *cell_counts(v))
+    partial = written(partial, "fact-partials")
+    seen = gathered(partial.where("_set = 3"))
+    if not seen.n:
+        raise ValueError("numeric summary requires at least one value")
+    bars = Bars.over(float(seen.cells.low[0]), float(seen.cells.high[-1]), bins)
+    boxes(seen.cells)  # opens the cells it depends on
+    cells, counts = split(seen.cells, facts, column, task_values, bars.of(number(column)))
+    both, _ = settled(cells, facts, column, boxes, task_values)
+    names = [n.split()[0] for n in SUMMARY.split(", ")]
+    box = [n.split()[0] for n in BOX.split(", ")]
+    month = partial.where("_set = 5 and order_month is not null")
+    return Description(
+        summary=dict(zip(names, _summary_row(seen, [x.low for x in both[0].quartiles]), strict=True)),
+        histogram_edges=bars.edges(),
+        histogram_counts=[counts.get(i, 0) for i in range(bins)],
+        before=dict(zip(box, both[0].row("Before IQR"), strict=True)),
+        after=dict(zip(box, both[1].row("After IQR"), strict=True)),
+        per_month=month.select("order_month", F.coalesce("_total", F.lit(0)).cast("double").alias("monetary")).orderBy("order_month"),
+        per_key=partial.where("_set = 6 and _key is not null and _n > 0").select("_key", "_n", "_mean", F.col("_squares").alias("_within")),
+    )
+
+
+def moments_per_key(facts: DataFrame, key: str, x: str) -> DataFrame:
+    """(_key, _n, _mean, _within): count, mean and squared distances from it of ``x``, a row per key."""
+    valued = facts.select(F.col(key).alias("_key"), F.col(x).cast("double").alias("_x")).dropna()
+    return valued.groupBy("_key").agg(
         F.count("*").alias("_n"),
         F.avg("_x").alias("_mean"),
         (F.var_pop("_x") * F.count("*")).alias("_within"),
     )
-    # One row per key, the same one in every run.
-    pairs = known.groupBy("_key").agg(F.min("_y").alias("_y"))
-    joined = per_key.join(pairs, per_key[key] == pairs["_key"]).select("_n", "_mean", "_within", "_y")
-    table = written(joined, "fact-correlation")
-    n = F.col("_n")
+
+
+def key_correlations(per_key: DataFrame, lookup: DataFrame, lookup_key: str, ys: Sequence[str]) -> DataFrame:
+    """(attribute, keys, facts, correlation) of ``moments_per_key`` with each attribute ``ys`` of the keys.
+
+    The attributes are the same for all facts of a key, so only rows per key are joined, once for all
+    attributes: a hot key costs one row, and no fact is shuffled. The joined rows are written; weighted
+    means are taken in one pass over them and co-moments about these means in a second, so neither large
+    offsets nor keys without facts cost digits. An attribute counts over the keys that have it; its correlation is 0 if
+    it or the amount is constant there. Of several rows of a key the smallest value counts.
+    """
+    names = [f"_y{i}" for i in range(len(ys))]
+    known = lookup.select(F.col(lookup_key).alias("_lookup"), *[nan_to_null(F.col(y).cast("double")).alias(n) for y, n in zip(ys, names, strict=True)])
+    known = known.where("_lookup is not null").groupBy("_lookup").agg(*[F.min(n).alias(n) for n in names])
+    joined = per_key.join(known, F.col("_key") == F.col("_lookup")).select("_n", "_mean", "_within", *names)
+    table = written(joined, "key-correlation")
+
+    def with_y(y: str, c: Column) -> Column:
+        return F.when(F.col(y).isNotNull(), c)
+
+    n, x = F.col("_n"), F.col("_mean")
+    total = {y: F.sum(with_y(y, n)) for y in names}
     means = table.agg(
-        (F.sum(n * F.col("_mean")) / F.sum(n)).alias("_mx"),
-        (F.sum(n * F.col("_y")) / F.sum(n)).alias("_my"),
-        (F.min("_y") < F.max("_y")).alias("_varies"),
-    )
-    dx, dy = F.col("_mean") - F.col("_mx"), F.col("_y") - F.col("_my")
-    sums = table.crossJoin(F.broadcast(means)).agg(  # one row
-        F.sum(F.col("_within") + n * dx * dx).alias("xx"),
-        F.sum(n * dy * dy).alias("yy"),
-        F.sum(n * dx * dy).alias("xy"),
-        F.any_value("_varies").alias("varies"),
+        *[(F.sum(with_y(y, n * x)) / total[y]).alias(f"{y}_mx") for y in names],
+        *[(F.sum(n * F.col(y)) / total[y]).alias(f"{y}_my") for y in names],
+        *[(F.min(y) < F.max(y)).alias(f"{y}_varies") for y in names],
     )
-    c = F.col
-    spread = F.when(c("varies") & (c("xx") > 0) & (c("yy") > 0), F.sqrt("xx") * F.sqrt("yy"))
-    return sums.select(F.coalesce(F.try_divide(c("xy"), spread), F.lit(0.0)).alias("correlation"))
+    cells = []
+    for y, name in zip(names, ys, strict=True):
+        dx, dy = x - F.col(f"{y}_mx"), F.col(y) - F.col(f"{y}_my")
+        xx, yy, xy = F.sum(with_y(y, F.col("_within") + n * dx * dx)), F.sum(n * dy * dy), F.sum(with_y(y, n * dx * dy))
+        spread = F.when(F.any_value(f"{y}_varies") & (xx > 0) & (yy > 0), F.sqrt(xx) * F.sqrt(yy))
+        found = F.coalesce(F.try_divide(xy, spread), F.lit(0.0))
+        cells.append(F.struct(F.lit(name).alias("attribute"), F.count(y).alias("keys"), F.coalesce(total[y], F.lit(0)).alias("facts"), found.alias("correlation")))
+    return table.crossJoin(F.broadcast(means)).agg(F.array(*cells).alias("c")).select(F.inline("c"))  # means: one row
+
+
+def fact_correlations(facts: DataFrame, key: str, x: str, lookup: DataFrame, lookup_key: str, ys: Sequence[str]) -> DataFrame:
+    """``key_correlations`` of a fact column with several attributes of its key: one pass over the facts."""
+    return key_correlations(moments_per_key(facts, key, x), lookup, lookup_key, ys)
+
+
+def fact_correlation(
+    facts: DataFrame, key: str, x: str, lookup: DataFrame, lookup_key: str, y: str
+) -> DataFrame:
+    """One row: correlation of a fact column with an attribute of its key, 0 if one is constant."""
+    return fact_correlations(facts, key, x, lookup, lookup_key, [y]).select("correlation")
 
 
 def column_correlation(df: DataFrame, x: str, y: str) -> DataFrame:

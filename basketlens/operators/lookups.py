@@ -26,27 +26,23 @@ class Lookup:
     def small(self) -> bool:
         return self.rows is not None
 
-    def total(self, column: str) -> int:
-        """Sum of a column over all groups."""
-        if self.rows is not None:
-            return sum(row[column] or 0 for row in self.rows)
-        return self.df.agg(F.sum(column)).first()[0] or 0
 
 
 def held(lookup: DataFrame, by: Sequence[str], max_rows: int = BROADCAST_ROWS) -> Lookup:
     """The groups computed once: one row is taken as it is, more are written and taken if they are small."""
     if not by:
-        return _taken(lookup)
+        return taken(lookup)
     size = F.sum(F.lit(8 * len(lookup.columns)) + _text_bytes(lookup, by))
     table, facts = written_with_facts(
         lookup, "group-values", F.count(F.lit(1)).alias("rows"), size.alias("bytes")
     )
     if facts["rows"] <= max_rows and (facts["bytes"] or 0) <= BROADCAST_BYTES:
-        return _taken(table)
+        return taken(table)
     return Lookup(table)
 
 
-def _taken(lookup: DataFrame) -> Lookup:
+def taken(lookup: DataFrame) -> Lookup:
+    """The rows of a lookup that is known to be small."""
     rows = lookup.collect()
     return Lookup(lookup.sparkSession.createDataFrame(rows, lookup.schema), rows)
 

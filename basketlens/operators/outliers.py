@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.contracts import IQR_THRESHOLD
-from basketlens.operators.exact import TASK_VALUES, exact_quantiles
+from basketlens.operators.cells import TASK_VALUES, Cells, Profile, Range, profile, settled
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,26 @@ class Fences:
         return (F.col(column) < F.lit(self.lower)) | (F.col(column) > F.lit(self.upper))
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def fences_of(cells: Cells, threshold: float, *population: Range) -> tuple[list[Range], Range, Range]:
+    """Quartiles and both fences as far as the cells know them; ``population`` as for ``Cells.quantile``."""
+    q = [cells.quantile(p, *population) for p in QUARTILES]
+    if all(x.settled for x in q):
+        f = Fences(*(float(x.low) for x in q), threshold)
+        return q, Range(f.lower, f.lower), Range(f.upper, f.upper)
+    spread = q[2].plus(q[0], -1)
+    return q, q[0].plus(spread, -threshold), q[2].plus(spread, threshold)
+
+
+def _known(df: DataFrame, column: str) -> Profile:
+    seen = profile(df, column)
+    if not seen.n:
+        raise ValueError(f"{column} has no values")
+    return seen
+
+
 def fences(
     df: DataFrame,
     column: str,
@@ -42,13 +62,9 @@ def fences(
     *,
     task_values: int = TASK_VALUES,
 ) -> Fences:
-    """Runs the quantile job; one row comes back. Missing values are ignored."""
-    row = exact_quantiles(
-        df, column, [0.25, 0.5, 0.75], task_values=task_values
-    ).first()
-    if row["n"] == 0:
-        raise ValueError(f"{column} has no values")
-    return Fences(*row["q"], threshold)
+    """Exact quartiles and fences; only counters come back. Missing values are ignored."""
+    (q, _, _), _ = settled(_known(df, column).cells, df, column, lambda cells: fences_of(cells, threshold), task_values)
+    return Fences(*(float(x.low) for x in q), threshold)
 
 
 def iqr_statistics(
@@ -58,17 +74,20 @@ def iqr_statistics(
     *,
     task_values: int = TASK_VALUES,
 ) -> DataFrame:
-    """One row: column, threshold, q1, q3, both fences and the number of values beyond them."""
-    f = fences(df, column, threshold, task_values=task_values)
-    return df.where(f.outside(column)).agg(F.count("*").alias("outlier_count")).select(
-        F.lit(column).alias("column"),
-        F.lit(float(threshold)).alias("threshold"),
-        F.lit(f.q1).alias("q1"),
-        F.lit(f.q3).alias("q3"),
-        F.lit(f.lower).alias("lower_fence"),
-        F.lit(f.upper).alias("upper_fence"),
-        "outlier_count",
-    )
+    """One row: column, threshold, q1, q3, both fences and the number of values beyond them.
+
+    The rows beyond the fences are counted in the cells as well, so the quartiles and they share their passes.
+    """
+
+    def ask(cells: Cells) -> tuple[list[Range], Range, Range]:
+        q, lower, upper = fences_of(cells, threshold)
+        return q, cells.below(lower), cells.above(upper)
+
+    (q, below, above), _ = settled(_known(df, column).cells, df, column, ask, task_values)
+    f = Fences(*(float(x.low) for x in q), threshold)
+    row = (column, float(threshold), f.q1, f.q3, f.lower, f.upper, int(below.low + above.low))
+    kinds = "column string, threshold double, q1 double, q3 double, lower_fence double, upper_fence double, outlier_count long"
+    return df.sparkSession.createDataFrame([row], kinds)
 
 
 def inliers(df: DataFrame, column: str, f: Fences) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from basketlens.contracts import CUSTOMER_BUCKETS
 from basketlens.functions.columns import local_time, money, stable_bucket, whole_days_between
 from basketlens.functions.scoring import Cut, quarter_score, segment
-from basketlens.operators.exact import TASK_VALUES, Rank, order_statistics
+from basketlens.operators.cells import TASK_VALUES
+from basketlens.operators.exact import order_statistics
+from basketlens.operators.ranks import percentile_ranks
 from basketlens.sources.scratch import written_with_facts
 
 # Decimal places kept when amounts are added; digits beyond them are rounded away.
@@ -120,7 +122,7 @@ def score_cuts(
     found = order_statistics(
         long,
         "value",
-        {f"cut{k}": Rank(k / 4, [lambda n, k=k: F.floor(n * k / 4) - 1]) for k in (1, 2, 3)},
+        {f"cut{k}": [lambda n, m, k=k: m.floor(n * k / 4) - 1] for k in (1, 2, 3)},
         by=["metric"],
         task_values=task_values,
     ).collect()  # one row per metric
@@ -135,13 +137,19 @@ def score_cuts(
     return cuts
 
 
+def _metrics() -> dict[str, Column]:
+    """What is ranked and scored; a small recency is good."""
+    return {"r": -F.col("recency"), "f": F.col("frequency"), "m": F.col("monetary")}
+
+
+def rfm_ranks(base: DataFrame, **limits: int) -> DataFrame:
+    """Adds r_rank, f_rank and m_rank, the average percentile ranks whose quarters are the scores."""
+    return percentile_ranks(base, {f"{name}_rank": value for name, value in _metrics().items()}, **limits)
+
+
 def rfm_scores(base: DataFrame, *, task_values: int = TASK_VALUES) -> DataFrame:
     """Adds r_score, f_score, m_score; the returned plan is a map over the customer table."""
-    values = {
-        "r_score": -F.col("recency"),  # a small recency is good
-        "f_score": F.col("frequency"),
-        "m_score": F.col("monetary"),
-    }
+    values = {f"{name}_score": value for name, value in _metrics().items()}
     cuts = score_cuts(base, values, task_values=task_values)
     return base.withColumns(
         {

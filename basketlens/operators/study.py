@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.operators.exact import TASK_VALUES, exact_quantiles
-from basketlens.operators.impute import fill_values, impute
-from basketlens.operators.lookups import held
+from basketlens.operators.cells import TASK_VALUES
+from basketlens.operators.exact import exact_quantiles
+from basketlens.operators.impute import impute_each
 
 
 def missing_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -18,32 +18,26 @@ def missing_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rates.unpivot([], list(columns), "column_name", "missing_rate")
 
 
-def _sample_skewness(c: str) -> Column:
-    """Skewness corrected for sample size; null below three values or without spread."""
-    n = F.count(c)
-    corrected = F.skewness(c) * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
-    return F.when((n > 2) & (F.min(c) < F.max(c)), corrected)
+def _sample_skewness() -> Column:
+    """Skewness corrected for sample size, from a group's moments; null below three values or without spread."""
+    n, spread = F.col("n"), F.col("m2") / F.col("n")
+    skewness = F.try_divide(F.col("m3") / n, F.pow(spread, 1.5))
+    corrected = skewness * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
+    return F.when((n > 2) & (F.col("low") < F.col("high")), corrected)
 
 
 def group_profile(
     df: DataFrame, column: str, group: str, *, task_values: int = TASK_VALUES
 ) -> DataFrame:
     """Known values per group: count, mean, median, skewness, gap between mean and median."""
-    stats = exact_quantiles(
-        df.where(F.col(column).isNotNull()),
-        column,
-        [0.5],
-        [group],
-        extra=[F.avg(column).alias("mean"), _sample_skewness(column).alias("skewness")],
-        task_values=task_values,
-    )
+    stats = exact_quantiles(df.where(F.col(column).isNotNull()), column, [0.5], [group], task_values=task_values)
     median = F.col("q")[0]
     return stats.select(
         group,
         F.col("n").alias("known"),
         "mean",
         median.alias("median"),
-        "skewness",
+        _sample_skewness().alias("skewness"),
         (F.col("mean") - median).alias("mean_median_gap"),
     )
 
@@ -69,22 +63,11 @@ def holdout_errors(
 ) -> DataFrame:
     """One row per method (grouping columns, strategy): error on values hidden from it."""
     train, test = holdout_split(df, key, column)
-    # Every statistic of all training rows is computed once, however many methods fall back to it.
-    overall = {s: held(fill_values(train, column, [], s, task_values=task_values), []).df for _, s in methods.values()}
     hidden = test.withColumnRenamed(column, "_truth").withColumn(
         column, F.lit(None).cast(df.schema[column].dataType)
     )
-    for i, (by, strategy) in enumerate(methods.values()):
-        hidden = impute(
-            hidden,
-            column,
-            list(by),
-            strategy,
-            known=train,
-            output=f"_guess{i}",
-            overall=overall[strategy],
-            task_values=task_values,
-        )
+    guesses = {f"_guess{i}": method for i, method in enumerate(methods.values())}
+    hidden = impute_each(hidden, column, guesses, known=train, task_values=task_values)
     errors = []
     for i, name in enumerate(methods):
         miss = F.col(f"_guess{i}") - F.col("_truth")

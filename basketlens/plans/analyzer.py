@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from basketlens import contracts
 from basketlens.operators import eda, features, impute, load, outliers, quality, rfm
-from basketlens.operators.exact import TASK_VALUES
+from basketlens.operators.cells import TASK_VALUES
 from basketlens.sources.raw import read_csv, read_images, require_closed_quotes
 from basketlens.sources.scratch import scope
 from basketlens.sources.store import TableStore
@@ -251,46 +251,32 @@ class DataAnalyzer:
             raise ValueError("call load_data before prepare_eda_artifacts")
         if not self.customers.where(F.col("age").isNull()).isEmpty():
             raise ValueError("call handle_missing_values first; customer age still has missing values")
-        built = self._build_eda(self.engineer_features(force=force))
-        self.store.put(
-            contracts.MONTHLY_SUMMARY,
-            eda.monthly_totals(self._facts(), amount_scale=self.amount_scale),
-            params,
-        )
+        built, monthly = self._build_eda(self.engineer_features(force=force))
+        self.store.put(contracts.MONTHLY_SUMMARY, monthly, params)
         return self._eda_result(self.store.put(contracts.EDA_SUMMARY, built, params))
 
-    def _build_eda(self, product_features: DataFrame) -> DataFrame:
-        """One row. The price column is described once; its numbers steer the later passes."""
-        facts, price, limit = self._facts(), "unit_price", self.task_values
-        stats = eda.numeric_summary(facts, price, task_values=limit).first().asDict()
-        first = outliers.Fences(
-            stats["q1"], stats["median"], stats["q3"], contracts.IQR_THRESHOLD
-        )
-        bars = eda.histogram(facts, price, value_range=(stats["min"], stats["max"]))
-        bars = bars.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("h")).select(  # 40 rows
-            F.concat(
-                F.transform("h", lambda b: b["left_edge"]),
-                F.array(F.element_at("h", -1)["right_edge"]),
-            ).alias("histogram_edges"),
-            F.transform("h", lambda b: b["count"]).alias("histogram_counts"),
-        )
-        before = eda.boxplot(facts, price, "Before IQR", first)
-        after = eda.boxplot_after(facts, price, first=first, task_values=limit)
-        age = eda.fact_correlation(
-            facts, "customer_id", price, self.customers, "customer_id", "age"
-        )
+    def _build_eda(self, product_features: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """One row of numbers, and the totals per month; all from the passes of one description of the price."""
+        found = eda.describe(
+            self._facts(), "unit_price", "order_date", "customer_id",
+            amount_scale=self.amount_scale, task_values=self.task_values,
+        )
+        age = eda.key_correlations(found.per_key, self.customers, "customer_id", ["age"])
         text = eda.column_correlation(product_features, "image_mean", "product_name_length")
-        one = bars.select(
-            F.struct(*[F.lit(v).alias(k) for k, v in stats.items()]).alias("price_statistics"), "*"
+        box = f"struct<{eda.BOX.replace(' ', ':').replace(',:', ',')}>"
+        summary = f"struct<{eda.SUMMARY.replace(' ', ':').replace(',:', ',')}>"
+        row = (found.summary, found.histogram_edges, found.histogram_counts, found.before, found.after)
+        one = self.spark.createDataFrame(
+            [row],
+            f"price_statistics {summary}, histogram_edges array<double>, histogram_counts array<long>, "
+            f"boxplot_before {box}, boxplot_after {box}",
         )
         for part in (
-            before.select(F.struct("*").alias("boxplot_before")),
-            after.select(F.struct("*").alias("boxplot_after")),
             age.select(F.col("correlation").alias("price_age_correlation")),
             text.select(F.col("correlation").alias("image_text_correlation")),
         ):
             one = one.crossJoin(F.broadcast(part))  # one row each
-        return one
+        return one, found.per_month
 
     def _eda_result(self, summary: DataFrame) -> dict[str, object]:
         result = summary.first().asDict(recursive=True)

@@ -370,6 +370,17 @@ from tx join filled on tx.customer_id = filled.customer_id""",
     "corr_price_feature": f"""with {VEC}
 select round(coalesce({_corr("l_extendedprice", "image_mean")}, 0), 6) as correlation
 from lineitem join vec on l_partkey = vec_id""",
+    "corr_price_features": f"""with {VEC},
+pf as (
+  select p_partkey, p_size, p_retailprice, length(p_name) as name_length, image_mean, image_std
+  from part left join vec on p_partkey = vec_id),
+m as (select *, l_extendedprice as price from lineitem join pf on l_partkey = p_partkey)
+"""
+    + "\nunion all\n".join(
+        f"select '{c}' as attribute, count(distinct l_partkey) filter (where {c} is not null) as keys, count({c}) as facts, "
+        f"round(coalesce({_corr('price', c)}, 0), 6) as correlation from m"
+        for c in ("p_size", "p_retailprice", "name_length", "image_mean", "image_std")
+    ),
     "corr_image_text": f"""with {PRODUCT_FEATURES}
 select round({_corr("image_mean", "product_name_length")}, 6) as correlation from pf""",
     "feature_corr_matrix": f"with {PRODUCT_FEATURES}\n"
@@ -417,6 +428,13 @@ select cast(least(19, floor(cast(frequency - f0 as double) / (f1 - f0) * 20)) as
 from base, e group by 1, 2""",
     "rfm_base": f"""with {_rfm(TX_ORDER)}
 select customer_id, recency, frequency, round(monetary, 2) as monetary from base""",
+    "rfm_percentile_ranks": f"""with {_rfm(TX_ORDER)},
+k as (select customer_id, -recency as r, frequency as f, monetary as m from base)
+select customer_id,
+       round((rank() over (order by r) - 1 + (count(*) over (partition by r) + 1) / 2) / count(*) over (), 9) as r_rank,
+       round((rank() over (order by f) - 1 + (count(*) over (partition by f) + 1) / 2) / count(*) over (), 9) as f_rank,
+       round((rank() over (order by m) - 1 + (count(*) over (partition by m) + 1) / 2) / count(*) over (), 9) as m_rank
+from k""",
     "rfm_scores": f"""with {_rfm(TX_ORDER)}
 select customer_id, r_score, f_score, m_score from scored""",
     "rfm_segments": f"with {_rfm(TX_ORDER)} {_RFM_ROWS}",

@@ -383,6 +383,20 @@ def corr_price_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_corr_price_feature(spark, sf_dir))
 
 
+@query
+def corr_price_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price against every feature of a product, from one pass over the order lines."""
+    found = eda.fact_correlations(
+        views.table(spark, sf_dir, "lineitem"),
+        "l_partkey",
+        "l_extendedprice",
+        views.part_features(spark, sf_dir),
+        "p_partkey",
+        ["p_size", "p_retailprice", "name_length", "image_mean", "image_std"],
+    )
+    return rounded(found)
+
+
 @query
 def corr_image_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
@@ -434,8 +448,8 @@ def corr_freq_monetary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def freq_monetary_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = rfm.rfm_base(views.tx_order(spark, sf_dir), amount_scale=MONEY_SCALE)
-    return segments.frequency_monetary_bins(base, 20)
+    customers = rfm.purchases_per_customer(views.tx_order(spark, sf_dir), amount_scale=MONEY_SCALE)
+    return segments.frequency_monetary_bins(customers, 20)
 
 
 # Recency, frequency, monetary ---------------------------------------------------------
@@ -452,6 +466,12 @@ def rfm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rfm.rfm_scores(base).select("customer_id", "r_score", "f_score", "m_score")
 
 
+@query
+def rfm_percentile_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = rfm.rfm_base(views.tx_order(spark, sf_dir), amount_scale=MONEY_SCALE)
+    return rounded(rfm.rfm_ranks(base).select("customer_id", "r_rank", "f_rank", "m_rank"), 9)
+
+
 @query
 def rfm_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_rfm(views.tx_order(spark, sf_dir)), 2)

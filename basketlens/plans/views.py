@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.functions.columns import money
+from basketlens.functions.columns import money, name_length
+from basketlens.operators.features import array_stats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +103,15 @@ def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers known of a product: some of every product, those of its picture only where there is one."""
+    parts, vectors = table(spark, sf_dir, "part"), table(spark, sf_dir, "embeddings")
+    pictures = array_stats(vectors, "vec_id", "embedding")
+    return parts.join(pictures, parts["p_partkey"] == pictures["vec_id"], "left").select(
+        "p_partkey", "p_size", "p_retailprice", name_length("p_name").alias("name_length"), "image_mean", "image_std"
+    )
+
+
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as raw texts, with the faults a raw file can have."""
     key = F.col("event_id")

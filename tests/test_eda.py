@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import correlation
-from basketlens.operators import eda, outliers
+from basketlens.operators import cells, eda, outliers
 
 
 def column(spark, values):
@@ -203,3 +203,61 @@ def test_fact_correlation_with_an_unused_far_key(spark):
     facts = spark.createDataFrame([(k, 1e9 + k) for k in range(n)], "k long, x double")
     lookup = spark.createDataFrame([(k, 1e9 + k) for k in range(n)] + [(-1, 0.0)], "id long, y double")
     assert eda.fact_correlation(facts, "k", "x", lookup, "id", "y").first()[0] == pytest.approx(1.0, abs=1e-9)
+
+
+def sales(spark, n=30_000):
+    key = F.col("id")
+    return spark.range(n).select(
+        F.when(key % 3 == 0, F.lit(1)).otherwise(key % 500).alias("who"),
+        F.date_add(F.lit("2020-01-15").cast("date"), (key % 400).cast("int")).alias("day"),
+        F.round(F.exp(F.randn(7)) * 20, 2).alias("paid"),
+    )
+
+
+@pytest.mark.parametrize("task_values, most_passes", [(200_000, 3), (2_000, 4)])
+def test_description_shares_its_passes(spark, monkeypatch, task_values, most_passes):
+    """Summary, histogram, both boxplots, months and keys from three passes over the facts."""
+    facts = sales(spark).persist()
+    passes = []
+    real = cells.split
+
+    def counted(*args):
+        passes.append(1)
+        return real(*args)
+
+    monkeypatch.setattr(cells, "split", counted)
+    monkeypatch.setattr(eda, "split", counted)
+    got = eda.describe(facts, "paid", "day", "who", amount_scale=2, task_values=task_values)
+    assert 1 + len(passes) <= most_passes
+    assert got.summary == eda.numeric_summary(facts, "paid").first().asDict()
+    assert got.before == eda.boxplot_before(facts, "paid").first().asDict()
+    assert got.after == eda.boxplot_after(facts, "paid").first().asDict()
+    paid = np.array([r[0] for r in facts.select("paid").collect()])
+    q1, q3 = np.quantile(paid, [0.25, 0.75])
+    kept = paid[(paid >= q1 - 1.5 * (q3 - q1)) & (paid <= q3 + 1.5 * (q3 - q1))]
+    np.testing.assert_allclose([got.after[k] for k in ("q1", "med", "q3")], np.quantile(kept, [0.25, 0.5, 0.75]), rtol=1e-12)
+    bars = eda.histogram(facts, "paid").orderBy("bin").collect()
+    assert got.histogram_counts == [b["count"] for b in bars] and got.histogram_edges[:-1] == [b["left_edge"] for b in bars]
+    assert got.per_month.collect() == eda.monthly_totals(facts, "day", "paid", amount_scale=2).collect()
+    ages = spark.range(450).select(F.col("id").alias("k"), (F.col("id") * 7 % 61).alias("age"))
+    direct = eda.fact_correlation(facts, "who", "paid", ages, "k", "age").first()[0]
+    assert eda.key_correlations(got.per_key, ages, "k", ["age"]).first()["correlation"] == pytest.approx(direct, rel=1e-9)
+
+
+def test_many_attributes_in_one_pass(spark):
+    facts = sales(spark, 3000)
+    lookup = spark.range(400).select(
+        F.col("id").alias("k"),
+        (F.col("id") % 17).alias("a"),
+        F.when(F.col("id") % 5 > 0, F.sin(F.col("id"))).alias("b"),
+        F.lit(3).alias("flat"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    lookup = lookup.unionByName(lookup.where("k = 7").withColumn("a", F.lit(900)))  # of two rows the smaller value counts
+    rows = {r["attribute"]: r for r in eda.fact_correlations(facts, "who", "paid", lookup, "k", ["a", "b", "flat", "none"]).collect()}
+    joined = facts.join(lookup.where("a < 900"), facts["who"] == lookup["k"])
+    for name in ("a", "b"):
+        want = joined.where(F.col(name).isNotNull()).agg(F.corr("paid", F.col(name).cast("double")), F.count("*")).first()
+        assert (rows[name]["correlation"], rows[name]["facts"]) == (pytest.approx(want[0], rel=1e-9), want[1])
+    assert rows["a"]["keys"] == 400 and rows["b"]["keys"] == 320
+    assert rows["flat"]["correlation"] == rows["none"]["correlation"] == 0.0 and rows["none"]["facts"] == 0

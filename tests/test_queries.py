@@ -45,18 +45,22 @@ def test_golden_segments(spark):
     }
 
 
-LARGE_TABLE_LIMITS = {"task_values": 300, "max_broadcast_rows": 2, "accuracy": 300}
+LARGE_TABLE_LIMITS = {"task_values": 300, "max_broadcast_rows": 2}
 
 
 @pytest.fixture()
 def every_table_is_large(spark, monkeypatch):
     """Lower the limits below the test tables, so that the ways for large tables are taken."""
-    for name in ("eda", "exact", "impute", "lookups", "outliers", "rfm", "study"):
+    for name in ("cells", "eda", "exact", "impute", "lookups", "outliers", "rfm", "study"):
         module = importlib.import_module(f"basketlens.operators.{name}")
         for _, fn in inspect.getmembers(module, inspect.isfunction):
             for limit, value in LARGE_TABLE_LIMITS.items():
                 if limit in (fn.__kwdefaults__ or {}):
                     monkeypatch.setitem(fn.__kwdefaults__, limit, value)
+                elif limit in inspect.signature(fn).parameters and fn.__defaults__:
+                    names = list(inspect.signature(fn).parameters)[-len(fn.__defaults__) :]
+                    changed = tuple(value if n == limit else d for n, d in zip(names, fn.__defaults__, strict=True))
+                    monkeypatch.setattr(fn, "__defaults__", changed)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

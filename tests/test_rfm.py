@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.columns import stable_bucket, whole_days_between
 from basketlens.functions.scoring import segment
-from basketlens.operators import rfm, segments
+from basketlens.operators import ranks, rfm, segments
 
 
 def facts(spark, rows):
@@ -197,3 +197,24 @@ def test_an_amount_that_cannot_be_added_is_an_error(spark, amount):
     facts = spark.createDataFrame([("a", "2020-01-01", amount)], "customer_id string, order_date string, unit_price double")
     with pytest.raises(Exception, match="cannot be added exactly"):
         rfm.purchases_per_customer(facts).collect()
+
+
+@pytest.mark.parametrize("limits", [{}, {"range_values": 40, "max_broadcast_rows": 5}])
+def test_percentile_ranks_equal_pandas(spark, limits):
+    """A third of the rows are tied; the rest is dealt over several ranges."""
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"k": range(900), "x": np.where(np.arange(900) % 3 == 0, 1.5, rng.normal(size=900).round(2)), "y": rng.integers(0, 6, 900)})
+    frame.loc[::50, "x"] = np.nan
+    df = spark.createDataFrame(frame, "k long, x double, y int")
+    got = ranks.percentile_ranks(df, {"x_rank": F.col("x"), "y_rank": -F.col("y")}, **limits).orderBy("k").toPandas()
+    np.testing.assert_allclose(got["x_rank"], frame.x.rank(pct=True), rtol=1e-12)
+    np.testing.assert_allclose(got["y_rank"], (-frame.y).rank(pct=True), rtol=1e-12)
+    assert list(got.columns) == ["k", "x", "y", "x_rank", "y_rank"]
+
+
+def test_ranks_need_no_window_over_all_rows(spark):
+    df = spark.range(5000).select((F.col("id") % 701).alias("x"))
+    plan = ranks.value_ranks(df, "x", range_values=100)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" in plan
+    empty = ranks.percentile_ranks(df.where("x < 0"), {"r": F.col("x")})
+    assert empty.columns == ["x", "r"] and empty.count() == 0
