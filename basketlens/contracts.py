@@ -121,6 +121,10 @@ PRODUCT_FEATURES = _typed(
     },
     ("image_status",),
 )
+VISITS = _typed(
+    "visits",
+    {"customer_id": "string", "order_date": "timestamp_ntz", "facts": "bigint", "amount": "decimal(38,12)"},
+)
 MONTHLY_SUMMARY = _typed("monthly_summary", {"order_month": "string", "monetary": "double"})
 EDA_SUMMARY = TableContract(
     "eda_summary",

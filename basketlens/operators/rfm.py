@@ -19,7 +19,7 @@ from basketlens.sources.scratch import written_with_facts
 AMOUNT_SCALE = 12
 
 
-def purchases_per_customer(
+def visits(
     facts: DataFrame,
     customer_col: str = "customer_id",
     date_col: str = "order_date",
@@ -28,28 +28,49 @@ def purchases_per_customer(
     date_grain: str = "timestamp",
     amount_scale: int = AMOUNT_SCALE,
 ) -> DataFrame:
-    """One row per customer: last_purchase, frequency (distinct dates), monetary.
+    """Facts added up per customer and date: (customer, order_date, facts, amount).
 
-    Two steps, so that a customer with a third of all facts is first reduced to one row
-    per date, spread over all tasks, and only then to one row.
+    Partial sums of several loads add up to the whole (``merged_visits``), and a customer with a third
+    of all facts is one row per date, spread over all tasks while it is reduced.
     """
     if date_grain not in ("timestamp", "day"):
         raise ValueError("date_grain must be 'timestamp' or 'day'")
     bought = local_time(date_col)
     if date_grain == "day":
         bought = local_time(F.to_date(bought))
-    visits = (
-        facts.where(F.col(customer_col).isNotNull())
-        .groupBy(customer_col, bought.alias("_date"))
-        .agg(F.sum(money(amount_col, amount_scale)).alias("_amount"))
-    )
-    return visits.groupBy(customer_col).agg(
-        F.max("_date").alias("last_purchase"),
-        F.count("_date").alias("frequency"),
-        F.coalesce(F.sum("_amount"), F.lit(0)).cast("double").alias("monetary"),
+    dated = facts.where(F.col(customer_col).isNotNull()).select(F.col(customer_col), bought.alias("order_date"), money(amount_col, amount_scale).alias("_amount"))
+    return dated.groupBy(customer_col, "order_date").agg(F.count(F.lit(1)).alias("facts"), F.sum("_amount").alias("amount"))
+
+
+def merged_visits(parts: DataFrame, customer_col: str = "customer_id") -> DataFrame:
+    """Visits of several loads as those of all."""
+    kind = parts.schema["amount"].dataType
+    return parts.groupBy(customer_col, "order_date").agg(F.sum("facts").alias("facts"), F.sum("amount").cast(kind).alias("amount"))
+
+
+def customers_of(visited: DataFrame, customer_col: str = "customer_id") -> DataFrame:
+    """One row per customer: last_purchase, frequency (distinct dates), monetary; ``visited`` has a row per customer and date."""
+    return visited.groupBy(customer_col).agg(
+        F.max("order_date").alias("last_purchase"),
+        F.count("order_date").alias("frequency"),
+        F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("monetary"),
     )
 
 
+def purchases_per_customer(
+    facts: DataFrame,
+    customer_col: str = "customer_id",
+    date_col: str = "order_date",
+    amount_col: str = "unit_price",
+    *,
+    date_grain: str = "timestamp",
+    amount_scale: int = AMOUNT_SCALE,
+) -> DataFrame:
+    """``customers_of`` the ``visits`` of the facts."""
+    grain = {"date_grain": date_grain, "amount_scale": amount_scale}
+    return customers_of(visits(facts, customer_col, date_col, amount_col, **grain), customer_col)
+
+
 def rfm_base(
     facts: DataFrame,
     customer_col: str = "customer_id",
@@ -68,6 +89,17 @@ def rfm_base(
     customers = purchases_per_customer(
         facts, customer_col, date_col, amount_col, date_grain=date_grain, amount_scale=amount_scale
     )
+    return recency_of(customers, customer_col, analysis_date, partition_count=partition_count)
+
+
+def recency_of(
+    customers: DataFrame,
+    customer_col: str = "customer_id",
+    analysis_date: str | dt.date | dt.datetime | None = None,
+    *,
+    partition_count: int | None = None,
+) -> DataFrame:
+    """``rfm_base`` from one row per customer."""
     if partition_count is not None:
         customers = customers.repartition(partition_count, customer_col)
     table, known = written_with_facts(
@@ -182,6 +214,11 @@ def rfm(
         amount_scale=amount_scale,
         partition_count=partition_count,
     )
+    return scored(base, task_values=task_values)
+
+
+def scored(base: DataFrame, *, task_values: int = TASK_VALUES) -> DataFrame:
+    """``rfm_base`` with its scores and segments."""
     return rfm_scores(base, task_values=task_values).withColumn(
         "segment", segment("r_score", "f_score", "m_score")
     )

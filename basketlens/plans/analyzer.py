@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from basketlens import contracts
 from basketlens.operators import eda, features, impute, load, outliers, quality, rfm
 from basketlens.operators.cells import TASK_VALUES
-from basketlens.sources.raw import read_csv, read_images, require_closed_quotes
+from basketlens.sources.buckets import default_buckets
+from basketlens.sources.raw import raw_files, read_csv, read_images, require_closed_quotes
 from basketlens.sources.scratch import scope
 from basketlens.sources.store import TableStore
 
@@ -32,12 +33,14 @@ class DataAnalyzer:
         *,
         amount_scale: int = rfm.AMOUNT_SCALE,
         task_values: int = TASK_VALUES,
+        visit_buckets: int | None = None,
     ) -> None:
         self.spark = spark
         self.raw_root = None if raw_root is None else str(raw_root).rstrip("/")
         self.store = TableStore(spark, store_root, precomputed_root)
         self.amount_scale = amount_scale
         self.task_values = task_values
+        self.visit_buckets = visit_buckets or default_buckets(spark)
         self.customers: DataFrame | None = None
         self.articles: DataFrame | None = None
         self.transactions: DataFrame | None = None
@@ -48,8 +51,13 @@ class DataAnalyzer:
 
     # Loading --------------------------------------------------------------------------
 
-    def load_data(self, *, force: bool = False) -> dict[str, int]:
-        """Load, check and store the three tables; missing ages stay missing."""
+    def load_data(self, *, force: bool = False, refresh: bool = False) -> dict[str, int]:
+        """Load, check and store the three tables; missing ages stay missing.
+
+        Stored tables are used as they are. ``refresh`` compares the raw transaction files with those the
+        stored table was read from: files that came since are read and added, and if one has changed or gone
+        all are read again. ``force`` reads everything again.
+        """
         self.customers = self.store.load_or_compute(
             contracts.CUSTOMERS,
             lambda: load.normalize_customers(self._read(contracts.RAW_CUSTOMERS_FILE)),
@@ -57,16 +65,29 @@ class DataAnalyzer:
             check=self._unique_key("customer_id", contracts.RAW_CUSTOMERS_FILE),
         )
         self.articles = self._load_articles(force=force)
+        self.transactions = self._load_transactions(force=force, refresh=refresh)
+        return load.load_summary(self.transactions, self.customers, self.articles).first().asDict()
+
+    def _load_transactions(self, *, force: bool, refresh: bool) -> DataFrame:
+        stored = None if force else self.store.find(contracts.TRANSACTIONS)
+        if stored is not None and not refresh:
+            return stored
+        files = raw_files(self.spark, self._raw(contracts.RAW_TRANSACTIONS_FILE))
+        known = None if stored is None else self.store.sources(contracts.TRANSACTIONS.name)
+        if known == files:
+            return stored
+        added = [f for f in files if known and f not in known]
+        grown = bool(known) and len(added) + len(known) == len(files)
         faults = Observation()
-        self.transactions = self.store.load_or_compute(
+        return self.store.put(
             contracts.TRANSACTIONS,
-            lambda: self._read_transactions(faults),
-            force=force,
+            self._read_transactions(faults, [path for path, _, _ in added] if grown else None),
             check=lambda facts: self._raise(
                 quality.transaction_errors(faults.get, facts, self.customers, self.articles)
             ),
+            continues=self.store.paths[contracts.TRANSACTIONS.name] if grown else None,
+            sources=files,
         )
-        return load.load_summary(self.transactions, self.customers, self.articles).first().asDict()
 
     def _raw(self, name: str) -> str:
         if self.raw_root is None:
@@ -75,9 +96,9 @@ class DataAnalyzer:
             )
         return f"{self.raw_root}/{name}"
 
-    def _read(self, name: str) -> DataFrame:
+    def _read(self, name: str, files: list[str] | None = None) -> DataFrame:
         """Customers and articles may hold quoted line ends; transactions stay splittable."""
-        path = self._raw(name)
+        path = files or self._raw(name)
         facts = name == contracts.RAW_TRANSACTIONS_FILE
         if facts:
             require_closed_quotes(self.spark, path)
@@ -97,10 +118,10 @@ class DataAnalyzer:
             check=self._unique_key("product_id", contracts.RAW_ARTICLES_FILE),
         )
 
-    def _read_transactions(self, faults: Observation) -> DataFrame:
+    def _read_transactions(self, faults: Observation, files: list[str] | None = None) -> DataFrame:
         """The raw file is parsed once: faults are counted while the table is written."""
         renamed = load.selected(
-            self._read(contracts.RAW_TRANSACTIONS_FILE), contracts.TRANSACTION_COLUMNS
+            self._read(contracts.RAW_TRANSACTIONS_FILE, files), contracts.TRANSACTION_COLUMNS
         )
         counted = renamed.observe(faults, *quality.transaction_faults(load.TRANSACTION_TYPES))
         return load.parsed_transactions(counted, strict=False)
@@ -120,6 +141,28 @@ class DataAnalyzer:
             raise ValueError("call load_data first")
         return self.transactions
 
+    def visits(self, *, force: bool = False) -> DataFrame:
+        """Transactions added up per customer and date, stored in buckets of customers.
+
+        After a load that only added files, the visits of these are added to the stored ones.
+        """
+        self._facts()
+        scale = {"scale": self.amount_scale}
+        params = scale | self._versions("transactions")
+
+        def build() -> DataFrame:
+            path = self.store.paths[contracts.TRANSACTIONS.name]
+            parts = self.store.facts(path).get("parts") if self.store.owns(path) else None
+            before = parts and self.store.find(contracts.VISITS, scale | {"transactions_version": parts[-1]}, plain=False)
+            if before:
+                added = rfm.visits(self.spark.read.parquet(path), amount_scale=self.amount_scale)
+                return rfm.merged_visits(before.unionByName(added))
+            return rfm.visits(self._facts(), amount_scale=self.amount_scale)
+
+        return self.store.load_or_compute(
+            contracts.VISITS, build, params, force=force, plain=False, buckets=("customer_id", self.visit_buckets)
+        )
+
     # Cleaning and features ------------------------------------------------------------
 
     def handle_missing_values(
@@ -220,19 +263,24 @@ class DataAnalyzer:
             **self._versions("transactions"),
         }
         usual = (customer_col, date_col, amount_col) == ("customer_id", "order_date", "unit_price")
+
+        def build() -> DataFrame:
+            if usual:  # the stored visits are dealt by customer: no shuffle
+                visited = self.visits()
+                if date_grain == "day":
+                    visited = rfm.merged_visits(visited.withColumn("order_date", F.to_date("order_date").cast("timestamp_ntz")))
+                customers = rfm.customers_of(visited)
+            else:
+                grain = {"date_grain": date_grain, "amount_scale": self.amount_scale}
+                customers = rfm.purchases_per_customer(self._facts(), customer_col, date_col, amount_col, **grain)
+            base = rfm.recency_of(customers, customer_col, analysis_date, partition_count=partition_count)
+            return rfm.scored(base, task_values=self.task_values)
+
+        if date_grain not in ("timestamp", "day"):
+            raise ValueError("date_grain must be 'timestamp' or 'day'")
         return self.store.load_or_compute(
             contracts.rfm_contract(customer_col),
-            lambda: rfm.rfm(
-                self._facts(),
-                customer_col,
-                date_col,
-                amount_col,
-                analysis_date,
-                date_grain=date_grain,
-                amount_scale=self.amount_scale,
-                partition_count=partition_count,
-                task_values=self.task_values,
-            ),
+            build,
             params,
             force=force,
             # A file without parameters can only stand for the default ones.

@@ -438,6 +438,7 @@ from k""",
     "rfm_scores": f"""with {_rfm(TX_ORDER)}
 select customer_id, r_score, f_score, m_score from scored""",
     "rfm_segments": f"with {_rfm(TX_ORDER)} {_RFM_ROWS}",
+    "rfm_bucketed_visits": f"with {_rfm(TX_ORDER)} {_RFM_ROWS}",
     "rfm_asof_date": f"with {_rfm(TX_ORDER, '''any_value(date '1999-06-30')''')} {_RFM_ROWS}",
     "rfm_lines": f"with {_rfm(TX_LINE)} {_RFM_ROWS}",
     "rfm_events": f"with {_rfm(TX_EVENT)} {_RFM_ROWS}",

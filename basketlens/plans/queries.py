@@ -20,6 +20,8 @@ from basketlens.operators import (
     study,
 )
 from basketlens.plans import views
+from basketlens.sources.buckets import default_buckets, write_bucketed
+from basketlens.sources.scratch import reserve
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -493,6 +495,15 @@ def rfm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_rfm(views.tx_event(spark, sf_dir)), 2)
 
 
+@query
+def rfm_bucketed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RFM from visits that are stored in buckets of customers: the groupings by customer shuffle nothing."""
+    visited = rfm.visits(views.tx_order(spark, sf_dir), amount_scale=MONEY_SCALE)
+    stored = write_bucketed(visited, reserve(spark, "visits"), "customer_id", default_buckets(spark))
+    base = rfm.recency_of(rfm.customers_of(stored))
+    return rounded(rfm.scored(base), 2)
+
+
 @query
 def rfm_some_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_rfm(views.tx_event_some_undated(spark, sf_dir)), 2)

@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 from basketlens.contracts import IMAGE_FOLDER
 
 
-def read_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+def raw_files(spark: SparkSession, path: str) -> list[list]:
+    """[path, length, time of the last change] of a raw file, or of every file of a raw folder."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found, files = [], fs.listFiles(top, True)
+    while files.hasNext():
+        status = files.next()
+        if not status.getPath().getName().startswith(("_", ".")):
+            found.append([status.getPath().toString(), status.getLen(), status.getModificationTime()])
+    return sorted(found)
+
+
+def read_csv(spark: SparkSession, path: str | list[str], *, multi_line: bool = True) -> DataFrame:
     """All columns as text, taken by header name.
 
     A user schema would be applied by position and would silently swap columns of a
@@ -30,7 +42,7 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> Data
     )
 
 
-def require_closed_quotes(spark: SparkSession, path: str) -> None:
+def require_closed_quotes(spark: SparkSession, path: str | list[str]) -> None:
     """Raise if a line leaves a quote open: read line by line, its record would be torn apart."""
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     torn = spark.read.text(path).where(quotes % 2 == 1).select(F.left("value", F.lit(80)).alias("v")).first()

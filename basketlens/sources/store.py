@@ -1,4 +1,8 @@
-"""Stored results: reuse a valid copy, or compute, write once, and read back."""
+"""Stored results: reuse a valid copy, or compute, write once, and read back.
+
+A version is a folder of Parquet files and a marker that says what it is: the parts it is made of (its own
+and those of the version it continues), the source files it was read from, and its buckets.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 from basketlens.contracts import TRANSACTIONS, TableContract
 from basketlens.operators.load import normalize_nulls
 from basketlens.operators.quality import contract_violation
+from basketlens.sources.buckets import read_bucketed, write_bucketed
 from basketlens.sources.raw import read_csv, require_closed_quotes
 
 # Marks a version that was written completely and passed its checks.
@@ -97,14 +102,44 @@ class TableStore:
         return sorted(found)
 
     def prune(self, keep: int = 1) -> None:
-        """Remove all but the ``keep`` newest accepted versions of every table; nobody may be reading them."""
+        """Remove all but the ``keep`` newest accepted versions of every table, and what these continue; nobody may be reading them."""
         fs, root = self._fs(self.root)
         if not fs.exists(root):
             return
         for table in fs.listStatus(root):
             for key in fs.listStatus(table.getPath()):
-                for old in self._versions(key.getPath().toString())[keep:]:
-                    fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), True)
+                versions = self._versions(key.getPath().toString())
+                needed = {part.rsplit("/", 1)[-1] for v in versions[:keep] for part in self.facts(v).get("parts", [])}
+                for old in versions[keep:]:
+                    if old.rsplit("/", 1)[-1] not in needed:
+                        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), True)
+
+    def facts(self, path: str) -> dict:
+        """What the marker of a version says."""
+        fs, marker = self._fs(f"{path}/{ACCEPTED}")
+        stream = fs.open(marker)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) if text else {}
+
+    def owns(self, path: str) -> bool:
+        """Is it a version written here, and not a file from elsewhere?"""
+        return path.startswith(f"{self.root}/")
+
+    def sources(self, name: str) -> list | None:
+        """The source files that the table in use was read from, if its version tells."""
+        path = self.paths.get(name)
+        return self.facts(path).get("sources") if path and self.owns(path) else None
+
+    def _accept(self, path: str, facts: Mapping[str, object]) -> None:
+        fs, marker = self._fs(f"{path}/{ACCEPTED}")
+        stream = fs.create(marker)
+        try:
+            stream.write(bytearray(json.dumps(facts).encode()))
+        finally:
+            stream.close()
 
     def version(self, name: str) -> str | None:
         """The version of a table in use; results computed from it carry it in their key."""
@@ -125,7 +160,15 @@ class TableStore:
                     for c in df.columns
                 ]
             )
-        return self.spark.read.parquet(path)
+        facts = self.facts(path)
+        if facts.get("buckets"):
+            return read_bucketed(self.spark, path, *facts["buckets"])
+        return self.spark.read.parquet(*self._parts(path, facts))
+
+    def _parts(self, path: str, facts: Mapping[str, list[str]]) -> list[str]:
+        """Folders of a version; those it continues are named by their version and lie beside it."""
+        beside = path.rsplit("/", 1)[0]
+        return [*[f"{beside}/{name}" for name in facts.get("parts", [])], path]
 
     # Tables ---------------------------------------------------------------------------
 
@@ -158,25 +201,41 @@ class TableStore:
         df: DataFrame,
         params: Mapping[str, object] | None = None,
         check: Callable[[DataFrame], None] | None = None,
+        *,
+        continues: str | None = None,
+        sources: list | None = None,
+        buckets: tuple[str, int] | None = None,
     ) -> DataFrame:
         """Write a new version and return a scan of it.
 
-        ``check`` sees the written table before it counts, and rejects it by raising.
+        ``check`` sees the rows written before they count, and rejects them by raising. ``continues`` is the path of
+        a version whose rows the new one has as well, without writing them again; ``sources`` is kept
+        with it. ``buckets`` (column, number) deals the rows by a hash of the column, so that groupings by it need no shuffle.
         """
         version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         path = f"{self.root}/{contract.name}/{_digest(params or {})}/{version}"
         try:
-            df.write.mode("errorifexists").parquet(path)
-            table = self.spark.read.schema(df.schema).parquet(path)
+            if buckets is None:
+                df.write.mode("errorifexists").parquet(path)
+                table = self.spark.read.schema(df.schema).parquet(path)
+            else:
+                table = write_bucketed(df, path, *buckets)
             if check is not None:
                 check(table)
         except Exception:
             fs, jvm_path = self._fs(path)
             fs.delete(jvm_path, True)
             raise
-        fs, marker = self._fs(f"{path}/{ACCEPTED}")
-        fs.create(marker).close()
-        self._record(contract.name, "COMPUTED", path)
+        facts: dict[str, object] = {}
+        if continues is not None:
+            facts["parts"] = [*self.facts(continues).get("parts", []), continues.rsplit("/", 1)[-1]]
+            table = self.spark.read.schema(df.schema).parquet(*self._parts(path, facts))
+        if sources is not None:
+            facts["sources"] = sources
+        if buckets is not None:
+            facts["buckets"] = list(buckets)
+        self._accept(path, facts)
+        self._record(contract.name, "COMPUTED" if continues is None else "CONTINUED", path)
         return table
 
     def load_or_compute(
@@ -189,13 +248,15 @@ class TableStore:
         plain: bool = True,
         accept: Callable[[DataFrame], bool] | None = None,
         check: Callable[[DataFrame], None] | None = None,
+        sources: list | None = None,
+        buckets: tuple[str, int] | None = None,
     ) -> DataFrame:
         """A stored copy that passes ``accept``, or else the result of ``build``, stored."""
         if not force:
             found = self.find(contract, params, plain=plain, accept=accept)
             if found is not None:
                 return found
-        return self.put(contract, build(), params, check)
+        return self.put(contract, build(), params, check, sources=sources, buckets=buckets)
 
     def _record(self, name: str, status: str, path: str) -> None:
         self.status[name] = status

@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketlens import DataAnalyzer
-from basketlens.operators import segments
+from basketlens.operators import rfm, segments
 
 
 def analyzer(spark, tmp_path, raw=None, precomputed=None):
@@ -187,3 +188,60 @@ def test_filled_customers_are_loaded_again(spark, raw, tmp_path):
     c.load_data()
     assert c.customers.where("age is null").count() == 0
     assert len([p for p in (tmp_path / "store" / "customers").glob("*/*") if p.is_dir()]) == 1
+
+
+def months(raw, names):
+    """The facts file as a folder with a file per month."""
+    whole = raw / "transactions_train.csv"
+    if whole.is_file():
+        whole.unlink()
+    whole.mkdir(exist_ok=True)
+    for name, lines in names.items():
+        (whole / name).write_text("t_dat,customer_id,article_id,price,sales_channel_id\n" + "".join(f"{line}\n" for line in lines))
+
+
+JANUARY = ["2020-01-01,customer-a,0010000001,0.1,1", "2020-01-02,customer-b,0010000002,0.2,1"]
+FEBRUARY = ["2020-02-03,customer-a,0010000001,0.4,2", "2020-01-02,customer-b,0010000003,0.5,2"]
+
+
+def test_new_raw_files_are_added(spark, tmp_path, raw, monkeypatch):
+    months(raw, {"jan.csv": JANUARY})
+    a = analyzer(spark, tmp_path, raw)
+    assert a.load_data()["transaction_rows"] == 2
+    first = {r["customer_id"]: r["monetary"] for r in a.calculate_rfm().collect()}
+    assert first == {"customer-a": 0.1, "customer-b": 0.2}
+
+    months(raw, {"feb.csv": FEBRUARY})
+    read = []
+    real = DataAnalyzer._read
+    monkeypatch.setattr(DataAnalyzer, "_read", lambda self, name, files=None: read.append((name, files)) or real(self, name, files))
+    b = analyzer(spark, tmp_path, raw)
+    assert b.load_data()["transaction_rows"] == 2 and not read  # stored tables are used as they are
+    assert b.load_data(refresh=True)["transaction_rows"] == 4
+    assert [(n, [f.rsplit("/", 1)[-1] for f in files]) for n, files in read] == [("transactions_train.csv", ["feb.csv"])]
+    assert b.artifact_status["transactions"] == "CONTINUED"
+    visits = {(r["customer_id"], str(r["order_date"])[:10]): (r["facts"], float(r["amount"])) for r in b.visits().collect()}
+    assert visits == {("customer-a", "2020-01-01"): (1, 0.1), ("customer-a", "2020-02-03"): (1, 0.4), ("customer-b", "2020-01-02"): (2, 0.7)}
+    scored = {r["customer_id"]: (r["recency"], r["frequency"], r["monetary"]) for r in b.calculate_rfm().collect()}
+    assert scored == {"customer-a": (1, 2, 0.5), "customer-b": (33, 1, 0.7)}
+
+    assert b.load_data(refresh=True)["transaction_rows"] == 4 and len(read) == 1  # nothing new
+    b.store.prune()
+    assert analyzer(spark, tmp_path).load_data()["transaction_rows"] == 4  # what the newest version continues is kept
+    months(raw, {"jan.csv": JANUARY[:1]})
+    assert b.load_data(refresh=True)["transaction_rows"] == 3 and read[-1][1] is None  # a changed file: all are read again
+    months(raw, {"mar.csv": ["2020-03-01,stranger,0010000001,0.4,2"]})
+    with pytest.raises(ValueError, match="unknown"):
+        b.load_data(refresh=True)
+    assert analyzer(spark, tmp_path).load_data()["transaction_rows"] == 3
+
+
+def test_stored_visits_are_grouped_without_a_shuffle(spark, tmp_path, raw):
+    a = analyzer(spark, tmp_path, raw)
+    a.load_data()
+    for visited in (a.visits(), analyzer(spark, tmp_path, raw).visits()):
+        plan = rfm.customers_of(visited)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+    days = rfm.merged_visits(a.visits().withColumn("order_date", F.to_date("order_date")))
+    assert "Exchange" not in rfm.customers_of(days)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(a.calculate_rfm(date_grain="day").collect()) == sorted(a.calculate_rfm().collect())
