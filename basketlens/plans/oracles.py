@@ -309,6 +309,19 @@ with lv as (
 px as (
   select vec_id, case when vec_id % 2 = 1 then list_filter(p, lambda v, i: (i - 1) % 4 < 3) else p end as p from lv)
 select vec_id, round(list_avg(p), 6) as image_mean, round(list_stddev_pop(p), 6) as image_std from px""",
+    "packed_image_stats": """
+with lv as (
+  select vec_id, list_transform(embedding, lambda v: cast(least(255, greatest(0, floor((cast(v as double) + 1) * 128))) as double)) as p
+  from embeddings),
+px as (
+  select vec_id, case when vec_id % 41 = 0 or vec_id % 43 = 0 or vec_id % 47 = 0 or vec_id % 53 = 0 then null
+                      when vec_id % 2 = 1 then list_filter(p, lambda v, i: (i - 1) % 4 < 3) else p end as p from lv)
+select vec_id, round(list_avg(p), 6) as image_mean, round(list_stddev_pop(p), 6) as image_std from px""",
+    "packed_image_report": """
+select case when vec_id % 41 = 0 then 'empty' when vec_id % 43 = 0 then 'unknown format'
+            when vec_id % 47 = 0 then 'truncated' when vec_id % 53 = 0 then 'JPEG' else 'decoded' end as outcome,
+       count(*) as images
+from embeddings group by 1""",
     "array_stats": f"""with {VEC}
 select product_id, round(image_mean, 6) as image_mean, round(image_std, 6) as image_std from vec""",
     "product_features": f"""with {PRODUCT_FEATURES}

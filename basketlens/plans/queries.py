@@ -21,6 +21,7 @@ from basketlens.operators import (
 )
 from basketlens.plans import views
 from basketlens.sources.buckets import default_buckets, write_bucketed
+from basketlens.sources.packed import decoding_report, read_packed
 from basketlens.sources.scratch import reserve
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -291,6 +292,21 @@ def image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.image_stats(views.image_frames(spark, sf_dir), "vec_id"))
 
 
+@query
+def packed_image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel statistics of image files that are packed into a table; those that cannot be decoded have none."""
+    images = read_packed(views.packed_images(spark, sf_dir), "vec_id")
+    return rounded(features.image_stats(images, "image_path").withColumnRenamed("image_path", "vec_id"))
+
+
+@query
+def packed_image_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_packed(views.packed_images(spark, sf_dir), "vec_id")
+    # Whether a worker has a JPEG decoder or not, these bytes are only the start of one.
+    jpeg = F.when(F.col("image.reason").isin("no JPEG decoder", "JPEG"), F.lit("JPEG")).otherwise(F.col("image.reason"))
+    return decoding_report(found.withColumn("image", F.col("image").withField("reason", jpeg)))
+
+
 @query
 def array_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.array_stats(views.vec(spark, sf_dir), "product_id", "embedding"))

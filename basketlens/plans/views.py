@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from basketlens.functions.columns import money, name_length
 from basketlens.operators.features import array_stats
+from basketlens.sources.packed import PNG
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,14 +140,18 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def image_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrays turned into decoded images: 8 x 8 gray, and 4 x 4 with alpha for odd ids."""
-    odd = F.col("vec_id") % 2 == 1
-    level = F.transform(
+def _levels() -> Column:
+    """An embedding as sample values from 0 to 255."""
+    return F.transform(
         "embedding",
         lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 1) * 128))),
     )
-    data = F.unhex(F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+
+
+def image_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays turned into decoded images: 8 x 8 gray, and 4 x 4 with alpha for odd ids."""
+    odd = F.col("vec_id") % 2 == 1
+    data = F.unhex(F.array_join(F.transform(_levels(), lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     side = F.when(odd, 4).otherwise(8)
     return table(spark, sf_dir, "embeddings").select(
         "vec_id",
@@ -151,3 +162,39 @@ def image_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
             data.alias("data"),
         ).alias("image"),
     )
+
+
+@F.pandas_udf(BinaryType())
+def _as_png(levels: pd.Series, vec_ids: pd.Series) -> pd.Series:
+    """Levels as a PNG file: 8 x 8 gray, or 4 x 4 with alpha for odd ids; every line has another filter."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    files = []
+    for level, vec_id in zip(levels, vec_ids, strict=True):
+        side, samples, colour = (4, 4, 6) if vec_id % 2 else (8, 1, 0)
+        lines = np.asarray(level, np.uint8).reshape(side, side * samples)
+        above = np.vstack([np.zeros_like(lines[:1]), lines[:-1]])
+        left = np.hstack([np.zeros_like(lines[:, :samples]), lines[:, :-samples]])
+        kinds = np.arange(side) % 4
+        mean = ((left.astype(int) + above) // 2).astype(np.uint8)
+        predicted = np.choose(kinds[:, None], [np.zeros_like(lines), left, above, mean])
+        rows = np.hstack([kinds[:, None].astype(np.uint8), lines - predicted])
+        header = struct.pack(">IIBBBBB", side, side, 8, colour, 0, 0, 0)
+        files.append(PNG + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b""))
+    return pd.Series(files)
+
+
+def packed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of image files: PNGs of the embeddings, some of them damaged, cut short, empty, missing or of another kind."""
+    key = F.col("vec_id")
+    file = _as_png(_levels(), key)
+    content = (
+        F.when(key % 41 == 0, F.lit(None).cast("binary"))
+        .when(key % 43 == 0, F.lit(b"no image"))
+        .when(key % 47 == 0, F.substring(file, 1, 40))
+        .when(key % 53 == 0, F.unhex(F.lit("FFD8FFE000104A464946")))
+        .otherwise(file)
+    )
+    return table(spark, sf_dir, "embeddings").select("vec_id", content.alias("content"))
