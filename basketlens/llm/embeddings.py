@@ -147,13 +147,10 @@ def near_vectors(
     takes_part = usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     hashes = F.when(takes_part, F.xxhash64("vector")), F.when(takes_part, F.hash("vector", F.lit(1)))
     base = base.select("*", hashes[0].alias("hash"), hashes[1].alias("hash2"))
-    # Equal vectors of a label are one node, with the smallest id as its name.
-    nodes = written(
-        base.where(F.col("hash").isNotNull())
-        .groupBy("label", "hash", "hash2")
-        .agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")),
-        "vector-nodes",
-    )
+    # Equal vectors of a label are one node. It is named by what it is, for two vectors may carry one id.
+    same = base.where(F.col("hash").isNotNull()).groupBy("label", "hash", "hash2")
+    nodes = same.agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    nodes = written(nodes.withColumn("node", F.xxhash64("label", "hash", "hash2")), "vector-nodes")
     pivots = choose_pivots(nodes)
     listed = nodes.select("label", "node", "copies", "vector", list_keys(F.col("vector"), pivots, nearest, shared).alias("k"))
     listed = written(listed.select("label", "node", "copies", "vector", "k.near", F.explode("k.keys").alias("key")), "vector-lists")
@@ -171,10 +168,12 @@ def near_vectors(
 
     reached = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("label", "hash", "hash2", "node", "copies").join(links, "node", "left").join(reached, "node", "left")
-    of_node = known.select(
+    known = nodes.select("label", "hash", "hash2", "node", "least", "copies").join(links, "node", "left").join(reached, "node", "left")
+    known = written(known, "vector-components")
+    least = known.where("component is not null").groupBy(F.col("component").alias("of")).agg(F.min("least").alias("smallest"))
+    of_node = known.join(least, F.col("component") == F.col("of"), "left").select(
         F.col("label").alias("l"), F.col("hash").alias("h"), F.col("hash2").alias("h2"),
-        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("smallest", "least").alias("component"),
     )
     joined = base.select("vec_id", "label", "hash", "hash2").join(
         of_node, (F.col("l") == F.col("label")) & (F.col("h") == F.col("hash")) & (F.col("h2") == F.col("hash2")), "left"

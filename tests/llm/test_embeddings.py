@@ -56,6 +56,15 @@ def test_counts_and_components_equal_brute_force(spark, more):
     assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
 
 
+def test_vectors_that_share_an_id_stay_apart(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.0, 1.0, 0.01], 0), (4, [0.0, 0.0, 1.0], 0)]
+    want = sorted((rows[i][0], *v) for i, v in slow(rows).items())
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in run(spark, rows)) == want == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+    more = [(5, [1.0, 0.0, 0.0], 0), (2, [0.0, 0.0, 1.0], 0)]  # an id of one component on a vector of another
+    want = sorted((r[0], *v) for r, v in zip(rows + more, slow(rows + more).values()))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in run(spark, rows + more)) == want
+
+
 def test_edges(spark):
     one, two = [1.0, 0.0], [0.0, 1.0]
     rows = [
