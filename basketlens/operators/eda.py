@@ -60,7 +60,7 @@ def column_profile(
         for c in columns
     ]
     long = df.select(F.inline(F.array(*cells)))
-    stats = exact_quantiles(long, "value", QUARTILES, ["column_name"], task_values=task_values)
+    stats = exact_quantiles(long, "value", QUARTILES, ["column_name"], few_groups=True, task_values=task_values)
     spread = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).otherwise(0.0)
     return stats.select(
         "column_name",

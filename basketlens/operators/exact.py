@@ -52,13 +52,17 @@ class Digest:
     rows: int
 
 
-def digest(df: DataFrame, value: str, by: Sequence[str]) -> Digest:
-    """The one pass over all rows; its result has a row per group and cell that occurs."""
+def _counted(df: DataFrame, value: str, by: Sequence[str], cubes: bool) -> DataFrame:
+    """The one pass over all rows: a row per group and cell that occurs."""
     v = F.col("_v")
     keyed = df.select(*by, number(value).alias("_v")).select("*", first_cell(v).alias("_cell"))
-    cubes = F.coalesce(F.nanvl(F.skewness(v), F.lit(0.0)) * F.pow(F.var_pop(v), 1.5) * F.count(v), F.lit(0.0))
-    counted = keyed.groupBy(*by, "_cell").agg(*cell_counts(v), cubes.alias("_cubes"))
-    table, facts = written_with_facts(counted, "value-digest", F.count(F.lit(1)).alias("rows"))
+    third = F.coalesce(F.nanvl(F.skewness(v), F.lit(0.0)) * F.pow(F.var_pop(v), 1.5) * F.count(v), F.lit(0.0)) if cubes else F.lit(None).cast("double")
+    return keyed.groupBy(*by, "_cell").agg(*cell_counts(v), third.alias("_cubes"))
+
+
+def digest(df: DataFrame, value: str, by: Sequence[str], cubes: bool = False) -> Digest:
+    """The counted column, written; ``cubes`` says that m3 is wanted."""
+    table, facts = written_with_facts(_counted(df, value, by, cubes), "value-digest", F.count(F.lit(1)).alias("rows"))
     return Digest(table, tuple(by), facts["rows"])
 
 
@@ -179,7 +183,7 @@ class Counters:
 
     @classmethod
     def of(cls, source: Digest, sets: Sequence[Sequence[str]]) -> Counters:
-        found = source.table.toArrow()
+        found = source.table.toArrow()  # as many rows as the caller has made sure of
         keys = list(zip(*[found[c].to_pylist() for c in source.by], strict=True)) if source.by else [()] * found.num_rows
         tracks: dict[tuple, int] = {}
         finest: dict[tuple, list[int]] = {}
@@ -187,7 +191,7 @@ class Counters:
             named = [(i, *(k if c in s else None for k, c in zip(key, source.by, strict=True))) for i, s in enumerate(sets)]
             finest[key] = [tracks.setdefault(t, len(tracks)) for t in named]
         track = np.array([finest[k] for k in keys], np.int64).reshape(len(keys), len(sets)).T.ravel()
-        columns = {c: np.tile(found[c].to_numpy(), len(sets)) for c in ("_rows", "_low", "_high", "_mean", "_squares", "_cubes")}
+        columns = {c: np.tile(np.asarray(found[c].to_numpy(), float if c == "_cubes" else None), len(sets)) for c in ("_rows", "_low", "_high", "_mean", "_squares", "_cubes")}
         known = np.tile(found["_cell"].is_valid().to_numpy(), len(sets))
         size = len(tracks)
 
@@ -268,7 +272,7 @@ class Counters:
         for t, track in enumerate(self.tracks):
             picks = [(float(now.low[c]), float(now.high[c]), int(b), int(now.rows[c])) if i else None for c, b, i in zip(cell[t], before[t], inside[t], strict=True)]
             moments = [self.moments[name][t].item() for name in ("n", "missing", "mean", "m2", "m3")]
-            moments[2:] = moments[2:] if moments[0] else [None] * 3
+            moments[2:] = [m if moments[0] and m == m else None for m in moments[2:]]
             rows.append((*track, *moments, *ends[t], *picks))
         ranks = "".join(f", _r{i} {RANK}" for i in range(len(indices)))
         stats = StructType.fromDDL(f"n long, missing long, mean double, m2 double, m3 double, low double, high double{ranks}")
@@ -292,6 +296,8 @@ def group_statistics(
     indices: Sequence[Index],
     sets: Sequence[Sequence[str]] | None = None,
     *,
+    few_groups: bool = False,
+    cubes: bool = False,
     task_values: int = TASK_VALUES,
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> Lookup:
@@ -299,12 +305,15 @@ def group_statistics(
 
     A rank is the struct (low, high, less, rows) of the value at its 0-based index: low and high are that value, less and rows
     count smaller and equal ones; an index outside the values gives null. Missing keys are a group; a group
-    without values has n 0. NaN counts as missing.
+    without values has n 0. NaN counts as missing. ``cubes`` asks for m3. ``few_groups`` says that the groups are a handful
+    by their nature, so that their counters need not be written to know their number.
     """
     by, sets = list(by), [list(by)] if sets is None else [list(s) for s in sets]
     if clash := {*by} & {*MOMENTS}:
         raise ValueError(f"rename the grouping columns {sorted(clash)}: results have columns of these names")
-    source = digest(df, value, by)
+    if few_groups:
+        return Counters.of(Digest(_counted(df, value, by, cubes), tuple(by), 0), sets).settled(df, value, indices, task_values)
+    source = digest(df, value, by, cubes)
     if source.rows * len(sets) <= COUNTERS:
         few = Counters.of(source, sets)
         if len(few.tracks) <= max_broadcast_rows:
@@ -340,6 +349,7 @@ def exact_quantiles(
     probabilities: Sequence[float],
     by: Sequence[str] = (),
     *,
+    few_groups: bool = False,
     task_values: int = TASK_VALUES,
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
@@ -349,8 +359,8 @@ def exact_quantiles(
     """
     by = list(by)
     if by:
-        limits = {"task_values": task_values, "max_broadcast_rows": max_broadcast_rows}
-        state = group_statistics(df, value, by, quantile_indices(probabilities), **limits).df
+        limits = {"few_groups": few_groups, "task_values": task_values, "max_broadcast_rows": max_broadcast_rows}
+        state = group_statistics(df, value, by, quantile_indices(probabilities), cubes=True, **limits).df
         return state.select(*by, *MOMENTS, quantiles(state, probabilities).alias("q"))
     seen = profile(df, value)
     q, low, high = [None] * len(probabilities), None, None
@@ -369,6 +379,7 @@ def order_statistics(
     ranks: dict[str, Sequence[Index]],
     by: Sequence[str] = (),
     *,
+    few_groups: bool = False,
     task_values: int = TASK_VALUES,
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
@@ -380,7 +391,8 @@ def order_statistics(
     keys = list(by) or ["_all"]
     data = df if by else df.withColumn("_all", F.lit(0))
     indices = [index for rank in ranks.values() for index in rank]
-    state = group_statistics(data, value, keys, indices, task_values=task_values, max_broadcast_rows=max_broadcast_rows).df
+    limits = {"few_groups": few_groups or not by, "task_values": task_values, "max_broadcast_rows": max_broadcast_rows}
+    state = group_statistics(data, value, keys, indices, **limits).df
     hits = [F.when(F.col(f"_r{i}").isNotNull(), F.struct(F.col(f"_r{i}.low").alias("value"), F.col(f"_r{i}.less").alias("less"), F.col(f"_r{i}.rows").alias("ties"))) for i in range(len(indices))]
     columns, at = [], 0
     for name, rank in ranks.items():

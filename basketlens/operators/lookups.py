@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from basketlens.sources.scratch import written_with_facts
+from basketlens.sources.scratch import written, written_with_facts
 
 # A lookup is broadcast only when it was seen to have at most this many rows and bytes.
 BROADCAST_ROWS = 10_000
@@ -90,8 +90,8 @@ def attach(
     if weight is None:
         # Hot keys of the facts; one that the lookup does not know gets nulls where it is.
         weight = "_weight"
-        counts = facts.groupBy(*[F.col(k).alias(f"_fact_{k}") for k in keys]).agg(F.count("*").alias(weight))
-        total = facts.count()
+        counts = written(facts.groupBy(*[F.col(k).alias(f"_fact_{k}") for k in keys]).agg(F.count("*").alias(weight)), "fact-counts")
+        total = counts.agg(F.sum(weight)).first()[0] or 0
         often = counts.where(F.col(weight) > F.lit(total / max_rows))
         joined = often.join(named, null_safe(often, named, [(f"_fact_{k}", f"_key_{k}") for k in keys]), "left")
         hot = joined.select(*[F.col(f"_fact_{k}").alias(f"_key_{k}") for k in keys], *values)

@@ -156,6 +156,7 @@ def score_cuts(
         "value",
         {f"cut{k}": [lambda n, m, k=k: m.floor(n * k / 4) - 1] for k in (1, 2, 3)},
         by=["metric"],
+        few_groups=True,
         task_values=task_values,
     ).collect()  # one row per metric
     cuts: dict[str, list[Cut | None]] = {}
