@@ -1,16 +1,15 @@
 """Secret scan: base patterns, and weak parts of credentials that count only together.
 
 A weak part alone (a user name, a short password-like value, an address of a service) says
-little. Each is an interval in its text with a scope: the paragraph it stands in. Parts of one
-scope are brought together by the join on text and scope, or with a ``reach`` by an interval join on
-text and position bucket; a weak part is reported only if its complements are there:
+little. Each is an interval in its text with a scope: the paragraph it stands in. An interval
+join brings parts together with the scopes they lie in; a weak part is reported only if its complements are there:
 
 - a weak secret needs an access identifier,
 - an access identifier (weak) needs a secret, strong or weak,
 - an endpoint needs an access identifier and a secret.
 
-Parts are found in Arrow batches. Buckets are as wide as the reach, so each part meets the
-parts of three buckets, whose number is bounded by their width: the join grows with the parts.
+Parts are found in Arrow batches. The join deals positions in buckets, so a part meets only scopes of its own
+bucket, whose number is bounded by the bucket's width: the join grows with the parts.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ KEY = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)[\"']?[ \t]*+[:=][ \t]*+
 WEAK = {
     "identifier": (
         re.compile(r"(?i:user(?:[_.-]?name)?|login|client[_.-]?id|access[_.-]?key[_.-]?id|account)\Z"),
-        re.compile(r"[\"']?[\w.@+-]{2,128}"),
+        re.compile(r"[\"']?[\w.@+-]{2,}"),
     ),
     "weak_secret": (
         re.compile(
@@ -49,13 +48,14 @@ WEAK = {
         ),
         re.compile(r"\"[^\"\r\n]{4,}(?=\")|'[^'\r\n]{4,}(?=')|[\"']?[^\s\"',;]{4,}"),
     ),
-    "endpoint": (re.compile(r"(?i:host|endpoint|server)\Z"), re.compile(r"[\"']?[\w.-]{3,253}")),
+    "endpoint": (re.compile(r"(?i:host|endpoint|server)\Z"), re.compile(r"[\"']?[\w.-]{3,}")),
 }
 ADDRESS = re.compile(r"(?i:\bhttps?|\bjdbc:[a-z]+|\bamqps?|\bs3|\bpostgres(?:ql)?|\bmongodb)://[\w.-]+(?::[0-9]{1,5})?")
 #: What a part of a kind stands for when complements are looked for.
 ROLE = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "id", "identifier": "id", "endpoint": "endpoint"}
 ORDER = (*KINDS, *WEAK)
-REACH = 400
+# Code points that a bucket of the interval join spans.
+BUCKET = 4_096
 REST = re.compile(r"\w")
 PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
@@ -120,64 +120,40 @@ def parts(text: Column) -> Column:
     return found(F.coalesce(text, F.lit("")))
 
 
-def link_parts(rows: DataFrame, key: str, reach: int | None = REACH) -> DataFrame:
-    """Interval join: ``key, kind, start, end`` of the weak parts of ``rows.parts`` whose complements are near.
+def link_parts(rows: DataFrame, key: str, width: int = BUCKET) -> DataFrame:
+    """``key, kind, start, end`` of the weak parts of ``rows.parts`` whose complements stand in their scope.
 
-    ``key`` stands for the text. Two parts are near if they share a paragraph and, unless
-    ``reach`` is None, their starts differ by at most ``reach``.
+    ``key`` stands for the text, and a paragraph is a scope: an interval of its positions. The first interval join
+    puts parts into scopes, which tells the scopes that hold an identifier and a secret; the second finds the
+    weak parts in those. Positions are dealt in buckets of ``width``: a part is in the one it starts in, a
+    scope in all that it reaches, so no pairs of parts are made, however long a scope is.
     """
     # Without a weak part there is nothing to link.
     weak = rows.where(F.exists("parts", lambda p: p["kind"].isin(*WEAK))).select(key, F.explode("parts").alias("p"))
     role = F.create_map(*[F.lit(x) for pair in ROLE.items() for x in pair])
-    each = weak.select(key, "p.*", role[F.col("p.kind")].alias("role"))
-    if reach is None:
-        return _linked_by_scope(each, key)
-    each = each.withColumn("bucket", F.floor(F.col("start") / reach))
-    left = each.where(F.col("kind").isin(*WEAK)).select(
-        key, "kind", "start", "end", "scope_start", "scope_end", "role", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket")
-    )
-    right = each.where(F.col("role") != "endpoint").select(
-        key, "bucket", F.col("role").alias("other_role"), F.col("start").alias("other_start"), F.col("end").alias("other_end")
-    )
-    near = (
-        (F.col("other_start") >= F.col("scope_start"))
-        & (F.col("other_end") <= F.col("scope_end"))
-        & (F.abs(F.col("other_start") - F.col("start")) <= reach)
-        & (F.col("other_role") != F.col("role"))
-    )
-    has = lambda role: F.max(F.when(F.col("other_role") == role, True).otherwise(False))
-    together = (
-        left.join(right, [key, "bucket"])
-        .where(near)
-        .groupBy(key, "kind", "start", "end")
-        .agg(has("id").alias("has_id"), has("secret").alias("has_secret"))
-    )
-    return together.where(_full(role[F.col("kind")])).select(key, "kind", "start", "end")
-
-
-def _full(role: Column) -> Column:
-    """Are the complements of a part there?"""
-    return (
-        ((role == "secret") & F.col("has_id"))
-        | ((role == "id") & F.col("has_secret"))
-        | ((role == "endpoint") & F.col("has_id") & F.col("has_secret"))
-    )
+    each = weak.select(key, "p.*", role[F.col("p.kind")].alias("role"), F.floor(F.col("p.start") / width).alias("bucket"))
+    scopes = each.select(key, "scope_start", "scope_end").distinct()
+    inside = _within(scopes, each.select(key, "bucket", "start", "end", "role"), key, width)
+    has = lambda role: F.max(F.col("role") == role)
+    full = inside.groupBy(key, "scope_start", "scope_end").agg(has("id").alias("has_id"), has("secret").alias("has_secret"))
+    # An endpoint needs both, and an identifier or a secret is one of the two itself.
+    full = full.where("has_id and has_secret").select(key, "scope_start", "scope_end")
+    found = _within(full, each.where(F.col("kind").isin(*WEAK)).select(key, "bucket", "start", "end", "kind"), key, width)
+    return found.select(key, "kind", "start", "end")
 
 
-def _linked_by_scope(each: DataFrame, key: str) -> DataFrame:
-    """Two aggregates per paragraph, without pairs."""
-    has = lambda role: F.max(F.col("role") == role)
-    scopes = each.groupBy(key, "scope_start").agg(has("id").alias("has_id"), has("secret").alias("has_secret"))
-    weak = each.where(F.col("kind").isin(*WEAK))
-    return weak.join(scopes, [key, "scope_start"]).where(_full(F.col("role"))).select(key, "kind", "start", "end")
+def _within(scopes: DataFrame, parts: DataFrame, key: str, width: int) -> DataFrame:
+    """Interval join: the parts that lie in a scope of the same text."""
+    reached = F.sequence(F.floor(F.col("scope_start") / width), F.floor(F.col("scope_end") / width))
+    dealt = scopes.select(key, "scope_start", "scope_end", F.explode(reached).alias("bucket"))
+    return dealt.join(parts, [key, "bucket"]).where((F.col("start") >= F.col("scope_start")) & (F.col("end") <= F.col("scope_end")))
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", keep_text: bool = True, reach: int | None = REACH) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``secret_spans``: array of (kind, start, end) by start, then kind.
 
     Base spans are always there, weak ones only when their complements co-occur. Null is an
-    empty text without spans. ``reach`` limits how far apart parts of a paragraph may be; None is without limit. Rows are told apart by all their columns; rows that repeat
-    entirely get equal results. A column named secret_spans is replaced. ``keep_text=False``
+    empty text without spans. Rows are told apart by all their columns; rows that repeat entirely get equal results. A column named secret_spans is replaced. ``keep_text=False``
     leaves the text out of the result.
     """
     kept = [c for c in docs.columns if c.lower() not in ("secret_spans", "_key", "parts")]
@@ -186,7 +162,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep_text: bool = True, re
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")), *[F.col(f"`{c}`").cast("string") for c in kept if c != text])
     rows = docs.select(*names, parts(F.col(text)).alias("parts"), key.alias("_key"))
     rows = written(rows, "secret-parts")
-    linked = link_parts(_one_each(rows), "_key", reach)
+    linked = link_parts(_one_each(rows), "_key")
     spans = linked.groupBy("_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_weak"))
     spans = few(written(spans, "secret-links"))  # broadcast if there are few: the texts stay where they are
     base = F.transform(
@@ -232,7 +208,7 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False, reach=None)
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     base = F.filter("secret_spans", lambda s: s["kind"].isin(*KINDS))
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(

@@ -50,24 +50,31 @@ def test_weak_parts_count_only_together(spark):
         "host=db.internal user=alice pwd=hunter2",
         "host=db.internal user=alice",
         f"{KEY} pwd=hunter2",
-        "user=alice" + " x" * 400 + " pwd=hunter2",  # out of reach
     ]
     got = spans(spark, texts)
-    assert [got[i] for i in (0, 1, 3, 5, 7)] == [""] * 5
+    assert [got[i] for i in (0, 1, 3, 5)] == [""] * 4
     assert got[2] == "identifier:0:10,weak_secret:11:22"
     assert got[4] == "endpoint:0:16,identifier:17:27,weak_secret:28:39"
     assert got[6] == f"access:0:{len(KEY)},weak_secret:{len(KEY) + 1}:{len(KEY) + 12}"
 
 
-def test_interval_join_agrees_with_all_pairs_in_a_long_text(spark):
+@pytest.mark.parametrize("width", [1, 7, 100, 4096])
+def test_interval_join_agrees_with_all_pairs_in_a_long_text(spark, width):
     text = " ".join(f"user=u{i}" + " y" * (i % 37) + (f" pwd=secret{i}" if i % 3 else "") + ("\n\n" if i % 11 == 0 else "") for i in range(400))
     parts = s.find_parts(text)
     want = []
     for kind, start, end, low, high in parts:
-        roles = {s.ROLE[k] for k, a, b, *_ in parts if low <= a and b <= high and abs(a - start) <= s.REACH and s.ROLE[k] != s.ROLE[kind]}
-        if kind in s.KINDS or {"secret": "id" in roles, "id": "secret" in roles, "endpoint": {"id", "secret"} <= roles}[s.ROLE[kind]]:
-            want.append(f"{kind}:{start}:{end}")
-    assert spans(spark, [text])[0] == ",".join(want)
+        roles = {s.ROLE[k] for k, a, b, *_ in parts if low <= a and b <= high and s.ROLE[k] != s.ROLE[kind]}
+        if kind not in s.KINDS and {"secret": "id" in roles, "id": "secret" in roles, "endpoint": {"id", "secret"} <= roles}[s.ROLE[kind]]:
+            want.append((kind, start, end))
+    rows = spark.createDataFrame([(1, [dict(zip(("kind", "start", "end", "scope_start", "scope_end"), p)) for p in parts])], f"_key long, parts array<{s.PART}>")
+    linked = s.link_parts(rows, "_key", width)
+    assert sorted(tuple(r)[1:] for r in linked.collect()) == sorted(want) and len(want) > 300
+    if width == s.BUCKET:
+        both = sorted([*want, *s.base_spans(text)], key=lambda p: (p[1], s.ORDER.index(p[0])))
+        assert spans(spark, [text])[0] == ",".join(f"{k}:{a}:{b}" for k, a, b in both)
+        plan = re.sub(r"#\d+L?", "", linked._jdf.queryExecution().optimizedPlan().toString())
+        assert len(re.findall(r"Join Inner, .*start >= scope_start.*end <= scope_end", plan)) == 2
 
 
 def test_repeated_rows_and_empty_table(spark):
@@ -126,7 +133,7 @@ def test_access_id_with_its_secret_key_and_cut_base_values(spark):
 def test_a_paragraph_links_however_long(spark, tmp_path):
     far = "user=alice" + " x" * 4000 + " pwd=hunter2"
     texts = [far, "host=db.internal" + " x" * 4000 + "\n" + far, far.replace(" pwd", "\n\npwd")]
-    got = spans(spark, texts, reach=None)
+    got = spans(spark, texts)
     n = len(far)
     assert got[0] == f"identifier:0:10,weak_secret:{n - 11}:{n}" and got[2] == ""
     assert [x.split(":")[0] for x in got[1].split(",")] == ["endpoint", "identifier", "weak_secret"]
@@ -134,3 +141,9 @@ def test_a_paragraph_links_however_long(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     asked = {r["doc_id"]: r["spans"] for r in s.op1_secrets(spark, str(tmp_path)).collect()}
     assert asked == got
+
+
+def test_long_values_are_whole(spark):
+    name, host = "n" * 900, "h." * 400 + "internal"
+    text = f"host={host} user={name} pwd=hunter2"
+    assert spans(spark, [text])[0] == f"endpoint:0:{5 + len(host)},identifier:{6 + len(host)}:{11 + len(host) + 900},weak_secret:{len(text) - 11}:{len(text)}"
