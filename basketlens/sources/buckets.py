@@ -36,10 +36,13 @@ def default_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
-    """Write ``df`` to a new folder, one file per bucket, and return a scan that knows them."""
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, placed: bool = False, **options: str) -> DataFrame:
+    """Write ``df`` to a new folder, one file per bucket, and return a scan that knows them.
+
+    ``placed``: the rows lie where ``repartition(buckets, key)`` puts them, so they do not move.
+    """
     name = _new_name(df.sparkSession)
-    dealt = df.repartition(buckets, key).write.mode("errorifexists").format("parquet")
+    dealt = (df if placed else df.repartition(buckets, key)).write.mode("errorifexists").format("parquet").options(**options)
     dealt.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
