@@ -35,7 +35,7 @@ def scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            _delete(spark, path)
+            drop(spark, path)
 
 
 def reserve(spark: SparkSession, name: str) -> str:
@@ -72,7 +72,8 @@ def written_with_facts(df: DataFrame, name: str, *facts: Column) -> tuple[DataFr
     return table, seen.get
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table, or a part of it, that nothing will read again."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(conf).delete(folder, True)
@@ -82,4 +83,4 @@ def release(spark: SparkSession) -> None:
     """Remove the scratch tables of this session; results still to be read must be stored first."""
     with contextlib.suppress(Exception):  # the JVM may be gone at exit
         while _used:
-            _delete(spark, _used.pop())
+            drop(spark, _used.pop())
