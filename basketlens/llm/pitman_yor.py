@@ -8,11 +8,13 @@ tables of each word given its tables in all contexts. Probabilities are averaged
 
 1. Tokens are shuffled once, as compact blocks of (word, context, text). A word is in one bucket
    with all its contexts; the cells of very frequent words and of the end of a text are spread
-   over all buckets. Each bucket is written as one row that holds all about its cells.
+   over all buckets. Each bucket is written as one row that holds all about its cells, in a
+   table bucketed by that number, and stays there.
 2. A cell of one customer has one table. The others travel between parts by context, where
    their tables are drawn, and parts by word, where those of the parent are. Their seating and the
    totals are written by each sweep and summed anew for the next.
-3. Every bucket asks for the totals of its contexts and adds up the scores of its tokens by text.
+3. Every bucket asks for the totals of its contexts; the answers are brought to the buckets, which add
+   up the scores of their tokens by text.
 
 Cells are drawn side by side, each from totals of the sweep before. Words are told apart by
 64-bit hashes. Sampling is seeded by part and sweep, so a task that runs again gives the same result.
@@ -20,7 +22,7 @@ Cells are drawn side by side, each from totals of the sweep before. Words are to
 
 from __future__ import annotations
 
-import pickle
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 
 from basketlens.llm.shingles import mix, word_hashes, word_list
 from basketlens.llm.tables import arrow_rows, parts_for, table
-from basketlens.sources.scratch import _delete, reserve, written
+from basketlens.sources.buckets import default_buckets, write_bucketed
+from basketlens.sources.scratch import drop, reserve, written
 
 CONTEXT_SHARE = 2e-5
 COUNTED_WORDS = 300_000  # a task that counts more forgets the rarest
@@ -47,20 +50,20 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
 BURN_IN, SAMPLES = 3, 3  # sweeps before the samples at least, and samples
 MOST_BURN_IN, SETTLED = 20, 0.005  # sweeps before the samples at most; change of all tables that counts as none
 EXACT = 2048  # customers of a cell whose number of tables is drawn at once; others are seated one by one
-ONE_BY_ONE = 48  # customers seated singly; later ones in blocks of a sixteenth of those before
-START, RARE = 0, 1  # contexts of ``Bucket``; the frequent words follow
+RARE = 0  # place of the words that are not spread; those that are follow
 END = b"\x00end"
 START_CONTEXT = np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
 SMOOTH = 0.1  # of the base score
 
 UNIT = "bucket int, word binary, context binary, count binary, size binary, text binary, texts binary"
+CELL_COLUMNS = ["bucket", "word", "context", "count", "size"]
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-# --- contexts -----------------------------------------------------------------------------
+# --- frequent words -----------------------------------------------------------------------------
 
 
 def frequent_words(docs: DataFrame, share: float = CONTEXT_SHARE) -> np.ndarray:
@@ -91,8 +94,8 @@ def frequent_words(docs: DataFrame, share: float = CONTEXT_SHARE) -> np.ndarray:
     return np.sort((words.astype(object) + (1 << 63)).astype(np.uint64)) if len(words) else np.zeros(0, np.uint64)
 
 
-def context_of(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The context that each word makes for the next one."""
+def place_of(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """1 + the place of each word among the spread ones, ``RARE`` for all others."""
     if not len(frequent):
         return np.full(len(words), RARE, np.uint16)
     at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
@@ -127,8 +130,8 @@ def block_rows(words: np.ndarray, contexts: np.ndarray, own: np.ndarray, texts:
         count = np.add.reduceat(train[o].astype(np.int64), first)
         ids, local = np.unique(o, return_inverse=True)
         yield (
-            int(bucket[low]), w[first].tobytes(), c[first].tobytes(), count.astype(np.uint32).tobytes(),
-            size.astype(np.uint32).tobytes(), local.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes(), texts[ids].tobytes(),
+            int(bucket[low]), w[first].tobytes(), c[first].tobytes(), packed(count),
+            packed(size), local.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes(), texts[ids].tobytes(),
         )
 
 
@@ -147,7 +150,7 @@ def token_blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
         def flush() -> pd.DataFrame:
             lengths = [len(w) for w in words]
             every = np.concatenate(words)
-            spread = context_of(every, frequent) > RARE
+            spread = place_of(every, frequent) > RARE
             contexts = np.r_[START_CONTEXT, every[:-1]]
             contexts[np.cumsum([0, *lengths[:-1]])] = START_CONTEXT
             own = np.repeat(np.arange(len(words)), lengths)
@@ -170,16 +173,26 @@ def token_blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
     return docs.select("key", "text", "held_out").mapInPandas(blocks, UNIT)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Counts in four bytes each, or in eight where one needs them."""
+    return numbers.astype(np.uint32 if not len(numbers) or numbers.max() < 1 << 32 else np.uint64).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint32 if len(data) == 4 * n else np.uint64).astype(np.int64)
+
+
+def unpack_cells(row) -> tuple[np.ndarray, ...]:
+    """word, context, count and size by cell."""
+    word = np.frombuffer(row.word, np.uint64)
+    return word, np.frombuffer(row.context, np.uint64), unpacked(row.count, len(word)), unpacked(row.size, len(word))
+
+
 def unpack(row) -> tuple[np.ndarray, ...]:
     """word, context, count, size by cell; text by token; texts."""
-    texts = np.frombuffer(row.texts, np.int64)
-    size = np.frombuffer(row.size, np.uint32)
-    wide = np.uint16 if len(row.context) == 2 * len(size) else np.uint64
-    kind = np.uint16 if len(row.text) == 2 * int(size.sum()) else np.uint32
-    return (
-        np.frombuffer(row.word, np.uint64), np.frombuffer(row.context, wide), np.frombuffer(row.count, np.uint32),
-        size, np.frombuffer(row.text, kind), texts,
-    )
+    cells = unpack_cells(row)
+    kind = np.uint16 if len(row.text) == 2 * int(cells[3].sum()) else np.uint32
+    return (*cells, np.frombuffer(row.text, kind), np.frombuffer(row.texts, np.int64))
 
 
 def merge_blocks(rows: list) -> tuple:
@@ -191,20 +204,20 @@ def merge_blocks(rows: list) -> tuple:
     text = np.concatenate([place[s + e[4].astype(np.int64)] for s, e in zip(starts[:-1], each, strict=True)]).astype(np.uint32)
     order = np.lexsort((context, word))
     begin = np.r_[0, np.cumsum(size, dtype=np.int64)[:-1]][order]
-    length = size[order].astype(np.int64)
+    length = size[order]
     index = np.arange(len(text)) + np.repeat(begin - np.r_[0, np.cumsum(length)[:-1]], length)
     text = text[index]
     w, c = word[order], context[order]
     first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])])
-    total = lambda x: np.add.reduceat(x[order].astype(np.int64), first).astype(np.uint32)
+    total = lambda x: packed(np.add.reduceat(x[order], first))
     return (
-        rows[0].bucket, w[first].tobytes(), c[first].tobytes(), total(count).tobytes(), total(size).tobytes(),
+        rows[0].bucket, w[first].tobytes(), c[first].tobytes(), total(count), total(size),
         text.tobytes(), texts.tobytes(),
     )
 
 
-def units(blocks: DataFrame) -> DataFrame:
-    """A written table with one row per bucket."""
+def units(blocks: DataFrame, buckets: int) -> DataFrame:
+    """A written table with one row per bucket, in as many files as a shuffle has partitions at most."""
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in UNIT.split(", ")]
@@ -219,88 +232,10 @@ def units(blocks: DataFrame) -> DataFrame:
             yield pd.DataFrame([merge_blocks(held)], columns=names)
 
     spark = blocks.sparkSession
-    path = reserve(spark, "lm-units")
-    dealt = blocks.repartition("bucket").sortWithinPartitions("bucket")
+    files = min(buckets, default_buckets(spark))
+    dealt = blocks.repartition(files, "bucket").sortWithinPartitions("bucket")
     with arrow_rows(spark, BLOCKS_AT_ONCE), shuffles_dropped(spark):
-        dealt.mapInPandas(merged, UNIT).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(UNIT).parquet(path)
-
-
-# --- seating ------------------------------------------------------------------------------
-
-
-@dataclass
-class Shared:
-    """What buckets share: totals by context and by frequent word, and of everything."""
-
-    frequent: np.ndarray
-    customers: np.ndarray  # by context
-    tables: np.ndarray  # by context
-    word_count: np.ndarray  # training tokens of each frequent word
-    word_tables: np.ndarray  # tables of each frequent word in all contexts
-    tokens: int = 0
-    words: int = 0  # distinct
-    parent_tables: float = 0.0
-
-    @property
-    def all_tables(self) -> float:
-        return float(self.tables.sum())
-
-
-def seat(rng: np.random.Generator, customers: np.ndarray, new_weight: np.ndarray, discount: float) -> np.ndarray:
-    """Tables of each dish after its customers sit down one after the other.
-
-    A customer opens a table with weight ``new_weight`` and joins one of the dish's with
-    weight (customers there less ``discount`` for each table).
-    """
-    tables = np.minimum(customers, 1).astype(np.float64)
-    order = np.argsort(-customers, kind="stable")
-    most = customers[order]
-    seated = 1
-    while len(most) and most[0] > seated:
-        block = 1 if seated < ONE_BY_ONE else seated // 16
-        active = order[: np.searchsorted(-most, -seated, side="left")]
-        step = np.minimum(customers[active] - seated, block)
-        chance = new_weight[active] / (new_weight[active] + seated - discount * tables[active])
-        opened = rng.random(len(active)) < chance if block == 1 else rng.binomial(step, chance)
-        tables[active] += opened
-        seated += block
-    return tables
-
-
-class Bucket:
-    """The cells of a model held in one place, whose seating the formulas are tested with."""
-
-    def __init__(self, row, shared: Shared):
-        self.word, self.context, self.count, self.size, self.text, self.texts = unpack(row)
-        self.shared = shared
-        self.count = self.count.astype(np.int64)
-        self.names, self.name = np.unique(self.word, return_inverse=True)
-        own = context_of(self.names, shared.frequent).astype(np.int64)
-        self.frequent = own > RARE  # their totals are shared
-        self.place = np.maximum(own - RARE - 1, 0)
-        in_bucket = np.bincount(self.name, self.count, len(self.names))
-        known = shared.word_count[self.place] if len(shared.word_count) else np.zeros(len(self.names))
-        self.total = np.where(self.frequent, known, in_bucket)
-        self.rng = np.random.default_rng([11, int(row.bucket)])
-        self.tables = np.minimum(self.count, 1).astype(float)
-
-    def by_word(self) -> np.ndarray:
-        return np.bincount(self.name, self.tables, len(self.names))
-
-    def word_tables(self) -> np.ndarray:
-        shared = self.shared.word_tables[self.place] if len(self.shared.word_tables) else 0.0
-        return np.where(self.frequent, shared, self.by_word())
-
-    def parent(self) -> np.ndarray:
-        """Seat the tables of each word in the parent; its probabilities."""
-        s = self.shared
-        base = 1.0 / (s.words + 1)
-        tables = self.word_tables()
-        opens = np.full(len(tables), (PARENT_STRENGTH + PARENT_DISCOUNT * s.parent_tables) * base)
-        own = seat(self.rng, np.rint(tables).astype(np.int64), opens, PARENT_DISCOUNT)
-        self.parent_tables = own
-        return (np.maximum(tables - PARENT_DISCOUNT * own, 0) + opens) / (PARENT_STRENGTH + s.all_tables)
+        return write_bucketed(dealt.mapInPandas(merged, UNIT), reserve(spark, "lm-units"), "bucket", files, placed=True, compression="zstd")
 
 
 def combined(frames: Iterator[pd.DataFrame], most: int = SUMS_AT_ONCE) -> Iterator[pd.DataFrame]:
@@ -309,10 +244,10 @@ def combined(frames: Iterator[pd.DataFrame], most: int = SUMS_AT_ONCE) -> Iterat
     def summed(parts: list[pd.DataFrame]) -> pd.DataFrame:
         key, place = np.unique(np.concatenate([p["key"] for p in parts]), return_inverse=True)
         out = {"key": key}
-        for name in ("score", "base_score"):
+        for name in ("score", "base_score", "n_tokens", "n_known"):
             out[name] = np.bincount(place, np.concatenate([p[name] for p in parts]), len(key))
-        out["tokens"] = np.zeros(len(key), np.int64)
-        np.add.at(out["tokens"], place, np.concatenate([p["tokens"] for p in parts]))
+        for name in ("n_tokens", "n_known"):
+            out[name] = out[name].astype(np.int64)  # whole numbers, exact up to 2**53
         return pd.DataFrame(out)
 
     held: list[pd.DataFrame] = []
@@ -332,6 +267,7 @@ def combined(frames: Iterator[pd.DataFrame], most: int = SUMS_AT_ONCE) -> Iterat
 SENT = "bucket int, source int, keys binary, others binary, counts binary, tables binary, extra binary, n double, m double, v double, kind int"
 CELLS, WORDS, CONTEXTS, ASKED, WORD_TOTALS, SPREAD_TOTALS, ANSWERS, MEANS, UNITS = range(9)
 NONE = b""
+SUMS = "key long, score double, base_score double, n_tokens long, n_known long"
 
 _stirling: list[np.ndarray] = []
 
@@ -470,9 +406,10 @@ class Cells:
     def read(cls, rows: list) -> Cells:
         get = lambda name, kind: np.concatenate([np.frombuffer(getattr(r, name), kind) for r in rows] or [np.zeros(0, kind)])
         word, context = get("keys", np.uint64), get("others", np.uint64)
-        count, tables = get("counts", np.uint32).astype(np.int64), get("tables", np.uint32).astype(np.int64)
         big = [np.frombuffer(r.extra, np.float64) for r in rows]
         n = [len(r.keys) // 8 for r in rows]
+        whole = lambda name: np.concatenate([unpacked(getattr(r, name), k) for r, k in zip(rows, n, strict=True)] or [np.zeros(0, np.int64)])
+        count, tables = whole("counts"), whole("tables")
         more = np.concatenate([x[: 3 * k].reshape(k, 3) for x, k in zip(big, n, strict=True)] or [np.zeros((0, 3))])
         flat = np.concatenate([x[3 * k :] for x, k in zip(big, n, strict=True)] or [np.zeros(0)]).astype(np.int64)
         lengths = tables[count > EXACT]
@@ -480,15 +417,15 @@ class Cells:
 
     def rows(self, parts: np.ndarray, kind: int = CELLS) -> Iterator[tuple]:
         sizes = np.full(len(self.word), None, object)
-        for i, x in zip(np.flatnonzero(self.count > EXACT), self.sizes, strict=True):
+        for i, x in zip(np.flatnonzero(self.count > EXACT), self.sizes):  # none of them in ``MEANS``
             sizes[i] = x
         order = np.lexsort((self.context, self.word, parts))
         for at in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
             if len(at):
                 flat = np.concatenate([self.more[at].ravel(), *[x for x in sizes[at] if x is not None]])
                 yield (
-                    int(parts[at[0]]), 0, self.word[at].tobytes(), self.context[at].tobytes(), self.count[at].astype(np.uint32).tobytes(),
-                    self.tables[at].astype(np.uint32).tobytes(), flat.tobytes(), 0.0, 0.0, 0.0, kind,
+                    int(parts[at[0]]), 0, self.word[at].tobytes(), self.context[at].tobytes(), packed(self.count[at]),
+                    packed(self.tables[at]), flat.tobytes(), 0.0, 0.0, 0.0, kind,
                 )
 
 
@@ -511,8 +448,8 @@ def sent(rows) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=[x.split()[0] for x in SENT.split(", ")])
 
 
-def exchange(tables: list[DataFrame], of_bucket, name: str) -> DataFrame:
-    """Rows of ``SENT`` brought together by bucket; what ``of_bucket(bucket, rows)`` yields, written by kind."""
+def exchange(tables: list[DataFrame], of_bucket) -> DataFrame:
+    """Rows of ``SENT`` brought together by bucket; what ``of_bucket(bucket, rows)`` yields."""
     every = tables[0]
     for other in tables[1:]:
         every = every.unionByName(other)
@@ -528,7 +465,7 @@ def exchange(tables: list[DataFrame], of_bucket, name: str) -> DataFrame:
         if held:
             yield sent(of_bucket(int(held[0].bucket), held))
 
-    return kept(every.repartition("bucket").sortWithinPartitions("bucket", "kind", "source", "keys").mapInPandas(run, SENT), name)
+    return every.repartition("bucket").sortWithinPartitions("bucket", "kind", "source", "keys").mapInPandas(run, SENT)
 
 
 def kept(rows: DataFrame, name: str) -> DataFrame:
@@ -552,11 +489,11 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     spark._jvm.System.gc()  # what the setting does not reach goes with its plan
 
 
-def drop_cells(rows: DataFrame) -> None:
-    """Remove the cells of a table from ``kept`` that the next sweep has replaced."""
-    for path in {f.rsplit("/", 1)[0] for f in of_kind(rows, CELLS).inputFiles()}:
-        if path.endswith(f"/kind={CELLS}"):
-            _delete(rows.sparkSession, path)
+def drop_kinds(rows: DataFrame, *kinds: int) -> None:
+    """Remove those rows of a table from ``kept`` that the next sweep has replaced."""
+    for path in {f.rsplit("/", 1)[0] for f in of_kind(rows, *kinds).inputFiles()}:
+        if path.rpartition("/kind=")[2] in map(str, kinds):
+            drop(rows.sparkSession, path)
 
 
 def of_kind(rows: DataFrame, *kinds: int) -> DataFrame:
@@ -582,28 +519,42 @@ class All:
         return (tables - PARENT_DISCOUNT * parent + opens) / (PARENT_STRENGTH + self.tables)
 
 
+def each_bucket(table: DataFrame, of_row) -> DataFrame:
+    """What ``of_row(row)`` yields for the cells of every bucket; their tokens are not read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                yield sent(of_row(row))
+
+    return table.select(CELL_COLUMNS).mapInPandas(run, SENT)
+
+
 def started(table: DataFrame, parts: int) -> DataFrame:
     """What the buckets tell at first: cells to draw, and what does not change of words and contexts."""
 
     def rows(row) -> Iterator[tuple]:
-        word, context, count, *_ = unpack(row)
-        count = count.astype(np.int64)
+        word, context, count, _ = unpack_cells(row)
         single, many = count == 1, count > 1
         names, total, ones = sums_of(word[count > 0], count[count > 0], single[count > 0])
         yield from dealt(part_of(names, parts), names, np.c_[total, ones], WORDS)
         names, total, ones = sums_of(context, count, single)
         yield from dealt(part_of(names, parts), names, np.c_[total, ones], CONTEXTS)
-        yield from dealt(part_of(names, parts), names, np.zeros((len(names), 0)), ASKED, int(row.bucket))
         n = int(many.sum())
         sizes = [np.array([c]) for c in count[many] if c > EXACT]
         yield from Cells(word[many], context[many], count[many], np.ones(n, np.int64), np.zeros((n, 3)), sizes).rows(part_of(word[many], parts))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                yield sent(rows(row))
+    return kept(each_bucket(table, rows), "lm-start")
 
-    return kept(table.mapInPandas(run, SENT), "lm-start")
+
+def asked(table: DataFrame, parts: int) -> DataFrame:
+    """The contexts whose totals each bucket needs."""
+
+    def rows(row) -> Iterator[tuple]:
+        names = np.unique(np.frombuffer(row.context, np.uint64))
+        yield from dealt(part_of(names, parts), names, np.zeros((len(names), 0)), ASKED, int(row.bucket))
+
+    return each_bucket(table, rows)
 
 
 def by_word(tables: list[DataFrame], parts: int, spread: np.ndarray, last: All, sweep: int) -> tuple[DataFrame, All]:
@@ -621,12 +572,12 @@ def by_word(tables: list[DataFrame], parts: int, spread: np.ndarray, last: All,
         yield from cells.rows(part_of(cells.context, parts))
         values = np.c_[total, ones, parent, tables]
         yield from dealt(np.full(len(names), part), names, values, WORD_TOTALS, sweep)
-        often = context_of(names, spread) > RARE
+        often = place_of(names, spread) > RARE
         yield from dealt(np.full(int(often.sum()), part), names[often], values[often], SPREAD_TOTALS, sweep)
         yield (part, 0, NONE, NONE, NONE, NONE, NONE, float(total.sum()), float(tables.sum()), float(parent.sum()), UNITS)
         yield (part, 1, NONE, NONE, NONE, NONE, NONE, float(len(names)), 0.0, 0.0, UNITS)
 
-    out = exchange(tables, of_part, "lm-words")
+    out = kept(exchange(tables, of_part), "lm-words")
     found = {r["source"]: r for r in of_kind(out, UNITS).groupBy("source").agg(*[F.sum(c).alias(c) for c in ("n", "m", "v")]).collect()}
     if not found:
         return out, All()
@@ -647,16 +598,18 @@ def by_context(tables: list[DataFrame], parts: int, spread: np.ndarray, last: Al
             opens = (STRENGTH + DISCOUNT * tables[place]) * last.of_word(cells.more[:, 1], cells.more[:, 2])
             cells.more[:, 0] += (cells.count - DISCOUNT * cells.tables + opens) / (STRENGTH + totals[place, 0])
             totals = np.c_[totals, tables]
+        of_word, parent = cells.more[:, 1].astype(np.int64), cells.more[:, 2].astype(np.int64)
+        cells.more[:, 1:] = 0  # known to the part of the word
         if final:
-            yield from cells.rows(bucket_of(cells.word, cells.context, context_of(cells.word, spread) > RARE, parts), MEANS)
+            cells.sizes, cells.tables = [], np.zeros_like(cells.tables)  # the means are all that is asked for
+            yield from cells.rows(bucket_of(cells.word, cells.context, place_of(cells.word, spread) > RARE, parts), MEANS)
             for r in rows:
                 if r.kind == ASKED:
                     there = totals[np.searchsorted(names, np.frombuffer(r.keys, np.uint64))]
-                    yield (int(r.source), part, NONE, NONE, NONE, NONE, np.delete(there, 1, axis=1).astype(np.float32).tobytes(), 0.0, 0.0, 0.0, ANSWERS)
+                    yield (int(r.source), part, NONE, NONE, NONE, NONE, np.delete(there, 1, axis=1).tobytes(), 0.0, 0.0, 0.0, ANSWERS)
             return
         rng = np.random.default_rng([13, part, sweep])
         small = cells.count <= EXACT
-        of_word, parent = cells.more[:, 1].astype(np.int64), cells.more[:, 2].astype(np.int64)
         new = cells.tables.copy()
         new[small] = draw_cells(rng, cells.count[small], cells.tables[small], tables[place][small], of_word[small], parent[small], last.tables)
         for k, i in enumerate(np.flatnonzero(~small)):
@@ -668,32 +621,38 @@ def by_context(tables: list[DataFrame], parts: int, spread: np.ndarray, last: Al
         if sample:
             yield from dealt(np.full(len(names), part), names, totals, CONTEXTS)
 
-    return exchange(tables, of_part, "lm-contexts")
+    return exchange(tables, of_part)
 
 
 def scored(table: DataFrame, spread: np.ndarray, buckets: int, samples: int) -> tuple[DataFrame, int]:
-    """(key, score, base_score, tokens) sums by bucket and text, and the number of training tokens."""
+    """(key, score, base_score, n_tokens, n_known) sums by bucket and text, and the number of training tokens."""
     spark = table.sparkSession
     start = started(table, buckets)
     contexts = of_kind(start, CONTEXTS)
     state, last = by_word([of_kind(start, WORDS), of_kind(start, CELLS)], buckets, spread, All(), 0)
+    drop_kinds(start, WORDS, CELLS)
     taken: list[tuple[DataFrame, All]] = []
     sweep, burnt = 0, False
     while len(taken) < samples:
         sweep += 1
-        seated = by_context([contexts, of_kind(state, CELLS)], buckets, spread, last, sweep, bool(taken))
+        seated = kept(by_context([contexts, of_kind(state, CELLS)], buckets, spread, last, sweep, bool(taken)), "lm-contexts")
         if taken:
+            drop_kinds(contexts, CONTEXTS)
             contexts = of_kind(seated, CONTEXTS)
-        before = last.tables
-        old = state
+        drop_kinds(state, CELLS)
+        before, old = last.tables, state
         state, last = by_word([of_kind(old, WORD_TOTALS), of_kind(seated, CELLS)], buckets, spread, last, sweep)
-        drop_cells(old)
-        drop_cells(seated)
+        drop_kinds(seated, CELLS)
+        if not taken:
+            drop_kinds(old, WORD_TOTALS, SPREAD_TOTALS, UNITS)
         change = abs(last.tables - before)
-        burnt = burnt or sweep >= MOST_BURN_IN or (sweep > BURN_IN and change <= max(SETTLED * before, 4 * before**0.5))
+        settled = sweep > BURN_IN and change <= max(SETTLED * before, 4 * before**0.5)
+        if sweep == MOST_BURN_IN and not (burnt or settled):
+            warnings.warn(f"sampling has not settled after {sweep} sweeps: the last changed the tables by {change / before:.2%}", stacklevel=2)
+        burnt = burnt or settled or sweep >= MOST_BURN_IN
         if burnt:
             taken.append((state, last))
-    final = by_context([contexts, of_kind(state, CELLS), of_kind(start, ASKED)], buckets, spread, last, sweep + 1, True, True)
+    final = by_context([contexts, of_kind(state, CELLS), asked(table, buckets)], buckets, spread, last, sweep + 1, True, True)
     often = [{} for _ in taken]
     for i, (each, _) in enumerate(taken):
         for r in of_kind(each, SPREAD_TOTALS).select("keys", "extra").toLocalIterator():
@@ -703,21 +662,17 @@ def scored(table: DataFrame, spread: np.ndarray, buckets: int, samples: int) ->
     known = np.array([[o.get(w, [0.0] * 4) for w in spread.tolist()] for o in often]).reshape(len(taken), len(spread), 4)
     held = spark.sparkContext.broadcast((spread, known, [a for _, a in taken]))
 
-    def of_bucket(rows: list) -> pd.DataFrame | None:
-        unit = next((r for r in rows if r.kind == UNITS), None)
-        if unit is None:
-            return None
+    def of_bucket(unit: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
         spread, known, everything = held.value
-        bucket = dict(zip(("word", "context", "count", "size", "text", "texts"), (unit.keys, unit.others, unit.counts, unit.tables, *pickle.loads(unit.extra)), strict=True))
-        word, context, count, size, text, texts = unpack(type("Unit", (), bucket))
-        count = count.astype(np.int64)
+        word, context, count, size, text, texts = unpack(next(unit.itertuples(index=False)))
+        rows = list(messages.itertuples(index=False))
         names, name = np.unique(word, return_inverse=True)
-        place = context_of(names, spread).astype(np.int64) - RARE - 1
+        place = place_of(names, spread).astype(np.int64) - RARE - 1
         asked, of_context = np.unique(context, return_inverse=True)
         part, answers = part_of(asked, buckets), np.zeros((len(asked), 1 + len(everything)))
         for r in rows:
             if r.kind == ANSWERS:
-                answers[part == r.source] = np.frombuffer(r.extra, np.float32).reshape(-1, answers.shape[1])
+                answers[part == r.source] = np.frombuffer(r.extra, np.float64).reshape(-1, answers.shape[1])
         mean = np.zeros(len(word))
         for i, a in enumerate(everything):
             keys, values = matrix([r for r in rows if r.kind == WORD_TOTALS and r.source == i])
@@ -734,40 +689,22 @@ def scored(table: DataFrame, spread: np.ndarray, buckets: int, samples: int) ->
         mean /= len(everything)
         s = everything[0]
         base = np.log10((own[:, 0] + SMOOTH) / (s.tokens + SMOOTH * (s.words + 1)))[name]
-        sizes = size.astype(np.int64)
-        by_text = lambda x: np.bincount(text, np.repeat(x, sizes), len(texts))
-        seen = by_text((own[:, 0] > 0)[name].astype(float)).astype(np.int64)
-        tokens = np.bincount(text, minlength=len(texts))
-        return pd.DataFrame({"key": texts, "score": by_text(np.log10(mean)), "base_score": by_text(base), "tokens": tokens * (1 << 32) + seen})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def each() -> Iterator[pd.DataFrame]:
-            rows: list = []
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    if rows and row.bucket != rows[0].bucket:
-                        yield of_bucket(rows)
-                        rows = []
-                    rows.append(row)
-            if rows:
-                yield of_bucket(rows)
-
-        yield from combined(x for x in each() if x is not None)
-
-    def as_sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                yield sent([(int(r.bucket), 0, r.word, r.context, r.count, r.size, pickle.dumps((r.text, r.texts)), 0.0, 0.0, 0.0, UNITS)])
+        by_text = lambda x: np.bincount(text, np.repeat(x, size), len(texts))
+        return pd.DataFrame({
+            "key": texts, "score": by_text(np.log10(mean)), "base_score": by_text(base), "n_tokens": np.bincount(text, minlength=len(texts)),
+            "n_known": by_text((own[:, 0] > 0)[name].astype(float)).astype(np.int64),
+        })
 
-    every = table.mapInPandas(as_sent, SENT).unionByName(of_kind(final, MEANS, ANSWERS))
+    messages = of_kind(final, MEANS, ANSWERS)
     for i, (each, _) in enumerate(taken):
-        every = every.unionByName(of_kind(each, WORD_TOTALS).withColumn("source", F.lit(i)))
-    out = every.repartition("bucket").sortWithinPartitions("bucket", "kind", "source")
-    return out.mapInPandas(run, "key long, score double, base_score double, tokens long"), last.tokens
+        messages = messages.unionByName(of_kind(each, WORD_TOTALS).withColumn("source", F.lit(i)))
+    # The table is bucketed by this key, so the messages alone are shuffled.
+    each = table.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInPandas(of_bucket, SUMS)
+    return each.mapInPandas(combined, SUMS), last.tokens
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """A row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """A row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Rows whose id has a CRC-32 divisible by 10 (null ids among them) are held out; the others
     train the model. A null text is empty: one token, its end. Rows that repeat id and text each train, and
@@ -779,23 +716,24 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
     size = docs.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).first()
     buckets = parts_for((size["chars"] or 0) / 6 + size["n"], BUCKET_TOKENS, 8)
     frequent = frequent_words(docs)
-    table = units(token_blocks(docs, frequent, buckets))
+    table = units(token_blocks(docs, frequent, buckets), buckets)
     each, tokens = scored(table, frequent, buckets, samples)
-    sums = each.groupBy(F.col("key").alias("k")).agg(*[F.sum(c).alias(c) for c in ("score", "base_score", "tokens")])
-    with arrow_rows(docs.sparkSession, 1), shuffles_dropped(docs.sparkSession):
+    names = ["score", "base_score", "n_tokens", "n_known"]
+    sums = each.groupBy(F.col("key").alias("k")).agg(*[F.sum(c).alias(c) for c in names])
+    with shuffles_dropped(docs.sparkSession):
         sums = written(sums, "lm-sums")
     rows = docs.select("doc_id", "held_out", "key")
     copies = rows.groupBy(F.col("key").alias("k2")).agg(F.count(F.lit(1)).alias("copies"))  # equal rows share one sum
-    sums = sums.join(copies, F.col("k") == F.col("k2"))
-    part = lambda c: F.col(c) / F.col("copies")
+    sums = sums.join(copies, F.col("k") == F.col("k2")).select("k", *[(F.col(c) / F.col("copies")).alias(c) for c in names])
     return rows.join(sums, F.col("key") == F.col("k")).select(
         "doc_id",
         "held_out",
-        F.floor(F.shiftright("tokens", 32) / F.col("copies")).alias("n_tokens"),
-        F.floor(F.col("tokens").bitwiseAND(F.lit((1 << 32) - 1)) / F.col("copies")).alias("n_known"),
+        F.col("n_tokens").cast("long").alias("n_tokens"),
+        F.col("n_known").cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        part("base_score").alias("base_score"),
-        part("score").alias("score"),
+        "base_score",
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 
 

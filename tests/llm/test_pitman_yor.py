@@ -44,7 +44,7 @@ def test_sums_are_combined_whole(most):
 
     rng = np.random.default_rng(3)
     frames = [
-        pd.DataFrame({"key": rng.permutation(20)[:n], "score": rng.random(n), "base_score": rng.random(n), "tokens": rng.integers(0, 1 << 40, n)})
+        pd.DataFrame({"key": rng.permutation(20)[:n], "score": rng.random(n), "base_score": rng.random(n), "n_tokens": rng.integers(0, 1 << 40, n), "n_known": rng.integers(0, 9, n)})
         for n in rng.integers(0, 20, 12)
     ]
     every, got = pd.concat(frames), pd.concat(list(p.combined(iter(frames), most)))
@@ -74,46 +74,39 @@ def test_held_out_perplexity_beats_single_words(spark):
     assert model < 0.6 * base
 
 
-def test_probabilities_sum_to_one():
-    """Over all known words and one unknown, in every context, given a seating."""
+def test_parent_probabilities_sum_to_one():
+    """Over all known words and one unknown, given a seating."""
     rng = np.random.default_rng(5)
-    words = np.sort(rng.integers(1, 1 << 62, 30).astype(np.uint64))
-    contexts = 4
-    cells = [(w, c, int(rng.integers(0, 6))) for w in [*words, np.uint64(1 << 63)] for c in range(contexts)]
-    row = type("Row", (), {})()
-    row.bucket = 0
-    row.word = np.array([w for w, _, _ in cells], np.uint64).tobytes()
-    row.context = np.array([c for _, c, _ in cells], np.uint16).tobytes()
-    count = np.array([n if w != 1 << 63 else 0 for w, _, n in cells], np.uint32)
-    row.count, row.size = count.tobytes(), np.ones(len(cells), np.uint32).tobytes()
-    row.text, row.texts = np.zeros(len(cells), np.uint16).tobytes(), np.zeros(1, np.int64).tobytes()
-    context = np.array([c for _, c, _ in cells])
-    seats = lambda x: np.bincount(context, x, contexts)
-    shared = p.Shared(np.zeros(0, np.uint64), seats(count), seats(np.minimum(count, 1)), np.zeros(0), np.zeros(0), int(count.sum()), 0, 0.0)
-    b = p.Bucket(row, shared)
-    shared.words = int((b.total > 0).sum())
+    tables = rng.integers(1, 60, 200)
+    everything = p.All(9999, len(tables), float(tables.sum()), 300.0)
     for _ in range(4):
-        before = b.word_tables()
-        tables = b.tables.copy()
-        shared.tables = seats(tables)
-        b.parent()
-        shared.parent_tables = b.parent_tables.sum()
-        base = (p.PARENT_STRENGTH + p.PARENT_DISCOUNT * shared.parent_tables) / (shared.words + 1)
-        parent = (np.maximum(before - p.PARENT_DISCOUNT * b.parent_tables, 0) + base) / (p.PARENT_STRENGTH + shared.all_tables)
-        assert parent.sum() == pytest.approx(1)
-        opens = (p.STRENGTH + p.DISCOUNT * shared.tables[context]) * parent[b.name]
-        each = (np.maximum(b.count - p.DISCOUNT * tables, 0) + opens) / (p.STRENGTH + shared.customers[context])
-        assert np.bincount(context, each) == pytest.approx(np.ones(contexts))
-        b.tables = p.seat(b.rng, b.count, opens, p.DISCOUNT)
-
-
-def test_seating_by_blocks_has_the_mean_of_single_seating(monkeypatch):
-    customers, weight = np.full(400, 3000), np.full(400, 0.7)
-    blocks = p.seat(np.random.default_rng(1), customers, weight, 0.5).mean()
-    monkeypatch.setattr(p, "ONE_BY_ONE", 10**9)
-    single = p.seat(np.random.default_rng(2), customers, weight, 0.5).mean()
-    assert blocks == pytest.approx(single, rel=0.06)
-    assert p.seat(np.random.default_rng(0), np.array([0, 1, 2]), np.ones(3), 0.5)[:2].tolist() == [0, 1]
+        parent = p.draw_parent(rng, tables, np.minimum(tables, 1), everything.parent, everything.base)
+        everything.parent = float(parent.sum())
+        assert everything.of_word(tables, parent).sum() + everything.of_word(0, 0) == pytest.approx(1)
+
+
+def test_counts_beyond_four_bytes_stay_whole():
+    for counts in ([1, 5], [1, 5 << 32], []):
+        assert p.unpacked(p.packed(np.array(counts, np.int64)), len(counts)).tolist() == counts
+
+
+def test_unsettled_sampling_is_reported(spark, monkeypatch):
+    monkeypatch.setattr(p, "MOST_BURN_IN", 1)
+    docs = spark.createDataFrame(corpus(4, 100), "doc_id long, text string")
+    with pytest.warns(UserWarning, match="not settled after 1 sweeps"):
+        p.score_texts(docs)
+
+
+def test_tokens_stay_in_their_buckets(spark):
+    """The plan that scores the texts shuffles messages, not the table of tokens."""
+    docs = spark.createDataFrame(corpus(3, 200), "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(doc_id, text) as key", "false as held_out")
+    often = p.frequent_words(docs)
+    each, _ = p.scored(p.units(p.token_blocks(docs, often, 8), 8), often, 8, 1)
+    plan = each._jdf.queryExecution().executedPlan().toString()
+    below = plan[: plan.index("FileScan parquet")] if "Scan parquet" in plan else plan
+    scans = [line for line in plan.splitlines() if "texts" in line and "Scan" in line]
+    assert len(scans) == 1 and "Bucketed: true" in scans[0]
+    assert "Exchange" not in below.partition("FlatMapCoGroupsInPandas")[2]
 
 
 def test_repeated_rows_and_empty_table(spark):
