@@ -41,8 +41,8 @@ from basketlens.sources.scratch import drop, reserve, written
 
 CONTEXT_SHARE = 2e-5
 COUNTED_WORDS = 300_000  # a task that counts more forgets the rarest
-BUCKET_TOKENS = 2_000_000
-CHUNK_TOKENS = 500_000
+BUCKET_TOKENS = 1_000_000
+CHUNK_TOKENS = 250_000
 SUMS_AT_ONCE = 1_000_000  # texts whose sums a scoring task holds
 BLOCKS_AT_ONCE = 100  # rows in an Arrow batch; units come singly
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the contexts
