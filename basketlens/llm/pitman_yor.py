@@ -22,6 +22,7 @@ Cells are drawn side by side, each from totals of the sweep before. Words are to
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from collections import Counter
 from collections.abc import Iterator
@@ -55,8 +56,9 @@ END = b"\x00end"
 START_CONTEXT = np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
 SMOOTH = 0.1  # of the base score
 
-UNIT = "bucket int, word binary, context binary, count binary, size binary, text binary, texts binary"
-CELL_COLUMNS = ["bucket", "word", "context", "count", "size"]
+#: ``word``: distinct and sorted; ``cells``: how many contexts each of them has.
+UNIT = "bucket int, word binary, cells binary, context binary, count binary, size binary, text binary, texts binary"
+CELL_COLUMNS = ["bucket", "word", "cells", "context", "count", "size"]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -130,8 +132,7 @@ def block_rows(words: np.ndarray, contexts: np.ndarray, own: np.ndarray, texts:
         count = np.add.reduceat(train[o].astype(np.int64), first)
         ids, local = np.unique(o, return_inverse=True)
         yield (
-            int(bucket[low]), w[first].tobytes(), c[first].tobytes(), packed(count),
-            packed(size), local.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes(), texts[ids].tobytes(),
+            int(bucket[low]), *packed_cells(w[first], c[first], count, size), local.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes(), texts[ids].tobytes(),
         )
 
 
@@ -174,18 +175,25 @@ def token_blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Counts in four bytes each, or in eight where one needs them."""
-    return numbers.astype(np.uint32 if not len(numbers) or numbers.max() < 1 << 32 else np.uint64).tobytes()
+    """Counts in as many bytes each (1, 2, 4 or 8) as the largest needs."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max())) if len(numbers) else np.uint8).tobytes()
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint32 if len(data) == 4 * n else np.uint64).astype(np.int64)
+    return np.frombuffer(data, f"u{len(data) // n}" if n else np.uint8).astype(np.int64)
+
+
+def packed_cells(word: np.ndarray, context: np.ndarray, count: np.ndarray, size: np.ndarray) -> tuple[bytes, ...]:
+    """Columns of cells sorted by word."""
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    return word[first].tobytes(), packed(np.diff(np.r_[first, len(word)])), context.tobytes(), packed(count), packed(size)
 
 
 def unpack_cells(row) -> tuple[np.ndarray, ...]:
     """word, context, count and size by cell."""
-    word = np.frombuffer(row.word, np.uint64)
-    return word, np.frombuffer(row.context, np.uint64), unpacked(row.count, len(word)), unpacked(row.size, len(word))
+    names, context = np.frombuffer(row.word, np.uint64), np.frombuffer(row.context, np.uint64)
+    word = np.repeat(names, unpacked(row.cells, len(names)))
+    return word, context, unpacked(row.count, len(word)), unpacked(row.size, len(word))
 
 
 def unpack(row) -> tuple[np.ndarray, ...]:
@@ -201,7 +209,7 @@ def merge_blocks(rows: list) -> tuple:
     word, context, count, size = (np.concatenate([e[i] for e in each]) for i in range(4))
     texts, place = np.unique(np.concatenate([e[5] for e in each]), return_inverse=True)
     starts = np.r_[0, np.cumsum([len(e[5]) for e in each])]
-    text = np.concatenate([place[s + e[4].astype(np.int64)] for s, e in zip(starts[:-1], each, strict=True)]).astype(np.uint32)
+    text = np.concatenate([place[s + e[4].astype(np.int64)] for s, e in zip(starts[:-1], each, strict=True)]).astype(np.uint16 if len(texts) < 65536 else np.uint32)
     order = np.lexsort((context, word))
     begin = np.r_[0, np.cumsum(size, dtype=np.int64)[:-1]][order]
     length = size[order]
@@ -209,10 +217,9 @@ def merge_blocks(rows: list) -> tuple:
     text = text[index]
     w, c = word[order], context[order]
     first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])])
-    total = lambda x: packed(np.add.reduceat(x[order], first))
+    total = lambda x: np.add.reduceat(x[order], first)
     return (
-        rows[0].bucket, w[first].tobytes(), c[first].tobytes(), total(count), total(size),
-        text.tobytes(), texts.tobytes(),
+        rows[0].bucket, *packed_cells(w[first], c[first], total(count), total(size)), text.tobytes(), texts.tobytes(),
     )
 
 
@@ -406,14 +413,21 @@ class Cells:
     def read(cls, rows: list) -> Cells:
         get = lambda name, kind: np.concatenate([np.frombuffer(getattr(r, name), kind) for r in rows] or [np.zeros(0, kind)])
         word, context = get("keys", np.uint64), get("others", np.uint64)
-        big = [np.frombuffer(r.extra, np.float64) for r in rows]
         n = [len(r.keys) // 8 for r in rows]
         whole = lambda name: np.concatenate([unpacked(getattr(r, name), k) for r, k in zip(rows, n, strict=True)] or [np.zeros(0, np.int64)])
         count, tables = whole("counts"), whole("tables")
-        more = np.concatenate([x[: 3 * k].reshape(k, 3) for x, k in zip(big, n, strict=True)] or [np.zeros((0, 3))])
-        flat = np.concatenate([x[3 * k :] for x, k in zip(big, n, strict=True)] or [np.zeros(0)]).astype(np.int64)
+        more, flat = np.zeros((len(word), 3)), [np.zeros(0, np.int64)]
+        low = 0
+        for r, k in zip(rows, n, strict=True):
+            means, *totals, sizes = pickle.loads(r.extra)
+            if means:
+                more[low : low + k, 0] = np.frombuffer(means)
+            for column, x in enumerate(totals, 1):
+                more[low : low + k, column] = unpacked(x, k) if x else 0
+            flat.append(np.frombuffer(sizes, np.int64))
+            low += k
         lengths = tables[count > EXACT]
-        return cls(word, context, count, tables, more.copy(), np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else [])
+        return cls(word, context, count, tables, more, np.split(np.concatenate(flat), np.cumsum(lengths)[:-1]) if len(lengths) else [])
 
     def rows(self, parts: np.ndarray, kind: int = CELLS) -> Iterator[tuple]:
         sizes = np.full(len(self.word), None, object)
@@ -422,10 +436,13 @@ class Cells:
         order = np.lexsort((self.context, self.word, parts))
         for at in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
             if len(at):
-                flat = np.concatenate([self.more[at].ravel(), *[x for x in sizes[at] if x is not None]])
+                means, totals = self.more[at, 0], self.more[at, 1:].T.astype(np.int64)
+                flat = np.concatenate([np.zeros(0, np.int64), *[x for x in sizes[at] if x is not None]])
+                known = [packed(x) if x.any() else NONE for x in totals]
+                extra = pickle.dumps((means.tobytes() if means.any() else NONE, *known, flat.astype(np.int64).tobytes()))
                 yield (
                     int(parts[at[0]]), 0, self.word[at].tobytes(), self.context[at].tobytes(), packed(self.count[at]),
-                    packed(self.tables[at]), flat.tobytes(), 0.0, 0.0, 0.0, kind,
+                    packed(self.tables[at]), extra, 0.0, 0.0, 0.0, kind,
                 )
 
 

@@ -85,8 +85,8 @@ def test_parent_probabilities_sum_to_one():
         assert everything.of_word(tables, parent).sum() + everything.of_word(0, 0) == pytest.approx(1)
 
 
-def test_counts_beyond_four_bytes_stay_whole():
-    for counts in ([1, 5], [1, 5 << 32], []):
+def test_counts_are_packed_whole():
+    for counts in ([1, 5], [1, 300], [70_000, 0], [1, 5 << 32], [0], []):
         assert p.unpacked(p.packed(np.array(counts, np.int64)), len(counts)).tolist() == counts
 
 
