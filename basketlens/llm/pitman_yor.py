@@ -43,7 +43,8 @@ from basketlens.sources.scratch import drop, reserve, written
 CONTEXT_SHARE = 2e-5
 COUNTED_WORDS = 300_000  # a task that counts more forgets the rarest
 BUCKET_TOKENS = 1_000_000
-CHUNK_TOKENS = 250_000
+CHUNK_TOKENS = 1_000_000  # of a block of texts
+DRAWN_AT_ONCE = 250_000  # customers or tables
 SUMS_AT_ONCE = 1_000_000  # texts whose sums a scoring task holds
 BLOCKS_AT_ONCE = 100  # rows in an Arrow batch; units come singly
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the contexts
@@ -56,9 +57,9 @@ END = b"\x00end"
 START_CONTEXT = np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
 SMOOTH = 0.1  # of the base score
 
-#: ``word``: distinct and sorted; ``cells``: how many contexts each of them has.
-UNIT = "bucket int, word binary, cells binary, context binary, count binary, size binary, text binary, texts binary"
-CELL_COLUMNS = ["bucket", "word", "cells", "context", "count", "size"]
+#: ``word``, ``contexts``: distinct and sorted; ``cells``: how many contexts each word has; ``context``: places in ``contexts``.
+UNIT = "bucket int, word binary, cells binary, contexts binary, context binary, count binary, size binary, text binary, texts binary"
+CELL_COLUMNS = ["bucket", "word", "cells", "contexts", "context", "count", "size"]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -186,13 +187,15 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 def packed_cells(word: np.ndarray, context: np.ndarray, count: np.ndarray, size: np.ndarray) -> tuple[bytes, ...]:
     """Columns of cells sorted by word."""
     first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    return word[first].tobytes(), packed(np.diff(np.r_[first, len(word)])), context.tobytes(), packed(count), packed(size)
+    names, place = np.unique(context, return_inverse=True)
+    return word[first].tobytes(), packed(np.diff(np.r_[first, len(word)])), names.tobytes(), packed(place), packed(count), packed(size)
 
 
 def unpack_cells(row) -> tuple[np.ndarray, ...]:
     """word, context, count and size by cell."""
-    names, context = np.frombuffer(row.word, np.uint64), np.frombuffer(row.context, np.uint64)
+    names, contexts = np.frombuffer(row.word, np.uint64), np.frombuffer(row.contexts, np.uint64)
     word = np.repeat(names, unpacked(row.cells, len(names)))
+    context = contexts[unpacked(row.context, len(word))]
     return word, context, unpacked(row.count, len(word)), unpacked(row.size, len(word))
 
 
@@ -323,7 +326,7 @@ def draw_parent(rng: np.random.Generator, tables: np.ndarray, before: np.ndarray
     """
     out = np.minimum(tables, 1)
     open_ = np.flatnonzero(tables > 1)
-    for some in np.array_split(open_, max(1, int(tables[open_].sum()) // CHUNK_TOKENS)):
+    for some in np.array_split(open_, max(1, int(tables[open_].sum()) // DRAWN_AT_ONCE)):
         if len(some):
             n, others = tables[some], all_parent - before[some]
 
@@ -343,7 +346,7 @@ def table_weight(n, k):
 def draw_cells(rng: np.random.Generator, count, tables, context_tables, word_tables, word_parent, all_tables: float) -> np.ndarray:
     """Tables of cells of ``EXACT`` customers at most from their exact conditional, given the totals without their own."""
     out = tables.copy()
-    for some in np.array_split(np.arange(len(count)), max(1, int(count.sum()) // CHUNK_TOKENS)):
+    for some in np.array_split(np.arange(len(count)), max(1, int(count.sum()) // DRAWN_AT_ONCE)):
         if not len(some):
             continue
         c, t = count[some], tables[some]
@@ -568,7 +571,7 @@ def asked(table: DataFrame, parts: int) -> DataFrame:
     """The contexts whose totals each bucket needs."""
 
     def rows(row) -> Iterator[tuple]:
-        names = np.unique(np.frombuffer(row.context, np.uint64))
+        names = np.frombuffer(row.contexts, np.uint64)
         yield from dealt(part_of(names, parts), names, np.zeros((len(names), 0)), ASKED, int(row.bucket))
 
     return each_bucket(table, rows)
