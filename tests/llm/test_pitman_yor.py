@@ -103,10 +103,10 @@ def test_tokens_stay_in_their_buckets(spark):
     often = p.frequent_words(docs)
     each, _ = p.scored(p.units(p.token_blocks(docs, often, 8), 8), often, 8, 1)
     plan = each._jdf.queryExecution().executedPlan().toString()
-    below = plan[: plan.index("FileScan parquet")] if "Scan parquet" in plan else plan
-    scans = [line for line in plan.splitlines() if "texts" in line and "Scan" in line]
-    assert len(scans) == 1 and "Bucketed: true" in scans[0]
-    assert "Exchange" not in below.partition("FlatMapCoGroupsInPandas")[2]
+    below = plan.partition("FlatMapCoGroupsInPandas")[2]
+    scan = next(line for line in below.splitlines() if "FileScan parquet" in line and "bucket#" in line)
+    assert "spark_catalog.default.basketlens_" in scan and "Bucketed: true" in scan
+    assert "Exchange" not in below[: below.index(scan)]
 
 
 def test_repeated_rows_and_empty_table(spark):
