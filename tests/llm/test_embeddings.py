@@ -56,6 +56,41 @@ def test_counts_and_components_equal_brute_force(spark, more):
     assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
 
 
+def test_candidates_share_pivots_in_like_ranks_and_come_once():
+    rng = np.random.default_rng(9)
+    a, b = (np.array([rng.permutation(12)[:4] for _ in range(60)], np.int32) for _ in range(2))
+    for shared, shift in ((1, 9.0), (2, 9.0), (2, 1.0), (3, 0.5)):
+        found = []
+        for pivot in range(12):
+            found += list(zip(*e.candidates(a[(a == pivot).any(1)], b[(b == pivot).any(1)], pivot, shared, shift)))
+            rows = np.flatnonzero((a == pivot).any(1)), np.flatnonzero((b == pivot).any(1))
+            found = [x if len(x) == 3 else (int(rows[0][x[0]]), int(rows[1][x[1]]), pivot) for x in found]
+        want = []
+        for i, x in enumerate(a.tolist()):
+            for j, y in enumerate(b.tolist()):
+                both = set(x) & set(y)
+                if len(both) >= shared and sum(abs(x.index(p) - y.index(p)) for p in both) <= shift * len(both):
+                    want.append((i, j, min(both)))
+        assert sorted(found) == want
+
+
+@pytest.mark.parametrize("n", [800, 3000])
+def test_recall_and_candidates_by_size(spark, n, monkeypatch):
+    """Random families in 64 dimensions: recall of links, and the pairs that are verified by vector."""
+    rng = np.random.default_rng(n)
+    centre = rng.normal(size=(n // 4, 64))
+    x = np.repeat(centre, 4, axis=0) + rng.normal(size=(n // 4 * 4, 64)) * 0.12
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = int(((u @ u.T) >= e.THRESHOLD).sum()) - len(u)
+    got = run(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    assert want > n and sum(r["n_links"] for r in got) >= 0.95 * want
+    pivots = e.choose_pivots(spark.createDataFrame([(v.tolist(), i) for i, v in enumerate(x)], "vector array<double>, hash long"), e.number_of_pivots(n))[64]
+    near = e.nearest_pivots(u, pivots, e.NEAREST)
+    assert (np.diff(np.take_along_axis(u @ pivots.T, near, axis=1), axis=1) <= 0).all()
+    lists = np.bincount(near.ravel(), minlength=len(pivots))
+    assert len(pivots) >= min(n // 4, e.number_of_pivots(n)) and lists.max() <= 14 * e.NEAREST * len(u) / len(pivots)
+
+
 def test_vectors_that_share_an_id_stay_apart(spark):
     rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.0, 1.0, 0.01], 0), (4, [0.0, 0.0, 1.0], 0)]
     want = sorted((rows[i][0], *v) for i, v in slow(rows).items())
