@@ -30,6 +30,30 @@ def test_broken_expressions():
     assert x.scan_text("SPDX-License-Identifier: (MIT")[7] is None
 
 
+@pytest.mark.parametrize(
+    "tag, expressions, permissive",
+    [
+        ("to be decided", [], None),
+        ("foo-bar and something", [], None),
+        ("MIT and more on this line", ["mit"], True),
+        ("GPL-2.0-only WITH MIT", ["gpl-2.0-only"], False),
+        ("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT", ["gpl-2.0-only with classpath-exception-2.0 or mit"], True),
+        ("Classpath-exception-2.0", [], None),
+        ("(MIT OR ISC) WITH LLVM-exception", [], None),
+        ("LGPL-2.1+ or LicenseRef-own", ["lgpl-2.1+ or licenseref-own"], False),
+        ("Apache-2.0. It may", ["apache-2.0"], True),
+    ],
+)
+def test_only_known_names_count(tag, expressions, permissive):
+    found = x.scan_text(f"SPDX-License-Identifier: {tag}\nMIT")
+    assert found[6:8] == (expressions, permissive)
+    assert (found[8] == 0) == (not expressions)
+
+
+def test_permissive_and_lifting_names_are_known():
+    assert x.PERMISSIVE <= x.LICENCES and x.LIFTING <= x.EXCEPTIONS and not x.LICENCES & x.EXCEPTIONS
+
+
 TEXTS = [
     None, "", " \n ", "MIT License", "the mit-license, MIT LICENSE mit  license license", "General Public License" + " x" * 50_000 + " Apache\nLicense",
     "mİt license", "\u212aMIT license é", "mit license mit license", "lesser general public license", "// SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND ISC */",
