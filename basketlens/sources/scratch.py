@@ -20,11 +20,20 @@ _scopes: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder the cluster names for checkpoints, else the session's warehouse; both are shared."""
+    """Folder the cluster names for checkpoints, else the session's warehouse; both are shared.
+
+    A warehouse on a machine's own disk is refused unless Spark runs on that machine alone.
+    """
     shared = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if shared:
         return shared.rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    return _shared_warehouse(spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
+
+
+def _shared_warehouse(warehouse: str, master: str) -> str:
+    if warehouse.startswith(("file:", "/")) and not master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors reach: the warehouse {warehouse} is local to the driver")
+    return f"{warehouse.rstrip('/')}/scratch"
 
 
 @contextlib.contextmanager

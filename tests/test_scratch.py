@@ -1,5 +1,6 @@
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from basketlens.operators import rfm
@@ -51,3 +52,10 @@ def test_a_scope_removes_its_tables(spark):
             rfm.rfm(facts, "c", "d", "x").collect()
         sizes.append(len(list(folder.iterdir())))
     assert len(set(sizes)) == 1
+
+
+def test_local_warehouses_are_refused_on_a_cluster():
+    assert scratch._shared_warehouse("file:/w/", "local[4]") == "file:/w/scratch"
+    assert scratch._shared_warehouse("s3a://b/w", "spark://h:7077") == "s3a://b/w/scratch"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch._shared_warehouse("file:/w", "yarn")
