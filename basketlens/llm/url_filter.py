@@ -30,25 +30,33 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 
-# Host names of the labelled table. Both lists are as long and come in the same shapes, so the
-# shape itself (subdomain, top-level domain, language, number) tells nothing.
+# Host names of the labelled table, four of a kind. Both lists are as long and come in the same shapes, so the
+# shape itself (subdomain, domain, language, number) tells nothing.
 TO_BLOCK = (
-    "adult-videos", "adult-chat", "porn-tube", "xxx-cams", "sex-shop", "escort-girls", "casino-royal", "casino-bonus",
-    "online-casino", "poker-win", "win-jackpot", "free-bets", "sports-bets", "betting-tips", "cheap-pills",
-    "cheap-viagra", "pills-online", "cheap-meds", "spam-links", "link-farm", "spam-farm", "ads-server", "ads-track",
-    "click-track", "popup-ads", "free-warez", "crack-keygen", "torrent-free", "free-phone-win", "payday-loans",
+    "adult-videos", "adult-chat", "adult-dating", "adult-photos", "porn-tube", "porn-videos", "free-porn", "porn-stars",
+    "xxx-cams", "xxx-movies", "live-xxx", "xxx-photos", "sex-shop", "sex-chat", "sexcams", "live-sex",
+    "escort-girls", "city-escorts", "escort-service", "vip-escort", "casino-royal", "casino-bonus", "online-casino", "casino-slots",
+    "poker-win", "poker-room", "online-poker", "pokerbonus", "win-jackpot", "jackpot-slots", "free-slots", "mega-jackpot",
+    "free-bets", "sports-bets", "betting-tips", "live-betting", "cheap-pills", "pills-online", "diet-pills", "buy-pills",
+    "cheap-viagra", "viagra-online", "cheap-meds", "meds-online", "spam-links", "link-farm", "spam-farm", "buy-links",
+    "ads-server", "ads-track", "click-track", "popup-ads", "free-warez", "crack-keygen", "torrent-free", "warez-crack",
+    "payday-loans", "fast-loans", "loans-online", "free-phone-win",
 )
 TO_ALLOW = (
-    "encyclopedia", "weather", "thenews", "otherthings", "library", "thinking", "gathering", "anthem",
-    "gardening", "cooking", "history", "mountains", "station", "painter", "northern",
-    "university", "research", "travel", "theatre", "music", "there", "nation", "thirteen",
-    "house", "bathroom", "method", "brothers", "another", "earth", "school",
+    "thenews", "local-news", "newspaper", "daily-news", "weather", "the-weather", "weather-map", "weather-station",
+    "library", "public-library", "librarian", "bookshop", "school", "high-school", "schoolbooks", "education",
+    "university", "universities", "college", "uni-press", "research", "researchers", "research-lab", "science",
+    "travel", "traveller", "train-travel", "tourist-information", "music", "musician", "music-school", "orchestra",
+    "theatre", "theatres", "museum", "the-stage", "gardening", "gardeners", "garden-plants", "the-garden",
+    "cooking", "home-cooking", "cookbook", "recipes", "history", "local-history", "historian", "national-history",
+    "mountains", "mountain-guide", "northern-mountains", "hiking", "house", "bathroom", "housing", "brothers",
+    "encyclopedia", "thinking", "gathering", "earth",
 )
 SHAPES = (
     "https://{}.example.com/en/3017", "http://blog.{}.example.com/fr/28.html",
-    "https://m.{}.example.com/de/511/", "https://www.{}.example.com/es/40211?page=2",
-    "http://{}.example.org/de/95.html", "https://blog.{}.example.org/en/7044#top",
-    "http://m.{}.example.org/fr/20418", "http://www.{}.example.org/en/613/",
+    "https://m.{}.com/de/511/", "https://www.{}.example.com/es/40211?page=2",
+    "http://{}.example.org/de/95.html", "https://blog.{}.co.uk/en/7044#top",
+    "http://m.{}.example.org/fr/20418", "http://www.{}.info/en/613/",
 )
 SHAPES_EACH = 4  # names take the first and the second half of the shapes in turn
 
@@ -91,17 +99,17 @@ def features(host: Column, path: Column) -> Column:
     """
     text = F.translate(F.concat(F.lit("^"), host, F.lit("$"), ascii_lower(path)), "123456789", "000000000")
     text = F.when((host == "") & (path == ""), "").otherwise(text)
-    runs = [
-        F.when(
-            F.length(text) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.length(text) - (n - 1)),
-                lambda at, n=n: F.pmod(F.xxhash64(F.substring(text, at, F.lit(n))), F.lit(BUCKETS)).cast("int"),
-            ),
-        ).otherwise(F.array().cast("array<int>"))
-        for n in GRAMS
-    ]
-    return F.array_distinct(F.concat(*runs))
+    return F.array_distinct(F.concat(*[_grams(text, n) for n in GRAMS]))
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Buckets of all runs of ``n`` characters."""
+
+    def bucket(at: Column) -> Column:  # one parameter: a second would be the place in the array
+        return F.pmod(F.xxhash64(F.substring(text, at, F.lit(n))), F.lit(BUCKETS)).cast("int")
+
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.transform(starts, bucket)).otherwise(F.array().cast("array<int>"))
 
 
 def labelled(spark: SparkSession) -> DataFrame:
@@ -171,7 +179,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, url: str = "url") ->
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     odds = margin(host, path, train(labels))
-    name, verdict = rule_columns(host, path)
+    name, verdict = rule_columns(host, path, rules)
     results = ("host", "path", "rule", "verdict", "score")
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in results or c == url]
     judged = pages.select(
