@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -88,3 +89,68 @@ def test_edges(spark):
     assert len({r["bad_score"] for r in got if r["doc_id"] == 3}) == 1
     assert q.classify(docs.limit(0), labels).count() == 0
     assert q.classify(docs, labels.limit(0)).count() == len(rows)
+
+
+def slow_posteriors(cast):
+    """P(bad) of every document by expectation-maximisation over single documents, in plain Python."""
+    names = len(q.LABELLERS)
+    bad = []
+    for own in cast:
+        says_bad = own[-1] == q.BAD if own[-1] != q.NONE else q.BAD in own
+        bad.append(0.95 if says_bad else 0.05)
+    for _ in range(q.EM_STEPS):
+        classes = []
+        for weights in (bad, [1 - b for b in bad]):
+            total = sum(weights)
+            rates = [[(sum(w for w, own in zip(weights, cast, strict=True) if own[j] == v) + 0.5) / (total + 1.5) for v in range(3)] for j in range(names)]
+            classes.append((total + 1, rates))
+        right = q.LABEL_RIGHT
+        classes[0][1][-1], classes[1][1][-1] = [right, 1, 1 - right], [1 - right, 1, right]
+        new = []
+        for own in cast:
+            a, b = (math.log(prior) + sum(math.log(rates[j][v]) for j, v in enumerate(own)) for prior, rates in classes)
+            new.append(1 / (1 + math.exp(-max(-50, min(50, a - b)))))
+        bad = new
+    return bad
+
+
+def slow_scorer(rows):
+    """Logistic regression by AdaGrad, one weight at a time."""
+    weights, seen, bias, bias_seen = {}, {}, 0.0, 1e-2
+    order = np.random.default_rng(7)
+    for _ in range(q.EPOCHS):
+        for i in order.permutation(len(rows)):
+            buckets, values, target = rows[i]
+            z = bias + sum(weights.get(b, 0.0) * v for b, v in zip(buckets, values, strict=True))
+            error = 1 / (1 + math.exp(-z)) - target
+            for b, v in zip(buckets, values, strict=True):
+                seen[b] = seen.get(b, 1e-2) + (error * v) ** 2
+                weights[b] = weights.get(b, 0.0) - 0.3 * error * v / math.sqrt(seen[b])
+            bias_seen += error**2
+            bias -= 0.3 * error / math.sqrt(bias_seen)
+    return lambda buckets, values: 1 / (1 + math.exp(-bias - sum(weights.get(b, 0.0) * v for b, v in zip(buckets, values, strict=True))))
+
+
+def test_scores_equal_those_of_single_documents(spark):
+    """The whole way over vote patterns, joins and samples gives what plain loops over the documents give."""
+    rows = corpus(4, 150)
+    docs, labels = frames(spark, rows)
+    got = {r["doc_id"]: r["bad_score"] for r in q.classify(docs, labels).collect()}
+    lexicon = q.toxic_words(docs, labels)
+    labelled = {r["doc_id"]: q.BAD if r["quality"] == 0 or r["toxic"] == 1 else q.GOOD for r in labels.collect()}
+    key = {r["doc_id"]: r["key"] for r in docs.select("doc_id", q.row_key(docs).alias("key")).collect()}
+    cast, features = {}, {}
+    for i, own, *_ in rows:
+        words, s = q.statistics(own, lexicon)
+        code = q.votes(s)
+        cast[i] = [code // 3**j % 3 for j in range(len(q.LABELLERS) - 2, -1, -1)] + [labelled.get(i, q.NONE)]
+        features[i] = [x.tolist() for x in q.features(words, s)]
+        # distinct buckets: the plain update of one weight at a time is the same step
+        merged = {}
+        for b, v in zip(*features[i], strict=True):
+            assert merged.setdefault(b, v) == v
+        features[i] = (list(merged), list(merged.values()))
+    posterior = dict(zip(cast, slow_posteriors(list(cast.values())), strict=True))
+    score = slow_scorer([(*features[i], posterior[i]) for i in sorted(cast, key=key.get)])
+    assert len(got) == len(rows)
+    assert max(abs(got[i] - score(*features[i])) for i in got) < 1e-4
