@@ -4,8 +4,8 @@ Documents are tokenized and cut in Arrow batches. Only the number of pieces of e
 (at most ``capacity`` numbers) reaches the driver, where the packing is planned on counts:
 
 1. Exact-complement hashing. Lengths are taken from the longest. Tables of the sums that one,
-   two or three available lengths make say in constant time whether a gap can be filled
-   exactly; a combination is consumed as often as the counts of its lengths allow.
+   two or three available lengths make say in constant time whether lengths that fill a gap
+   exactly are there; their counts decide whether they suffice, and a combination is consumed as often as the counts of its lengths allow.
 2. What finds no exact complement is packed best fit, longest first, again in bulk: all
    sequences with the same gap are one entry.
 
@@ -41,20 +41,22 @@ PIECES_PER_BUCKET = 2_000
 
 
 class Sums:
-    """Counts of lengths, and how many available pairs make each sum."""
+    """Counts of lengths, and how many pairs and triples of available lengths make each sum."""
 
     def __init__(self, counts: np.ndarray):
         self.n = counts.astype(np.int64).copy()  # by length
         size = len(counts)
         self.there = self.n > 0
-        self.pairs = np.zeros(2 * size, np.int64)
+        self.pairs, self.triples = np.zeros(2 * size, np.int64), np.zeros(3 * size, np.int64)
         lengths = np.flatnonzero(self.there)
-        for a in lengths.tolist():
-            self.pairs[a + lengths[lengths >= a]] += 1
+        for i, a in enumerate(lengths.tolist()):
+            self.pairs[a + lengths[: i + 1]] += 1
+            self.triples[a : a + 2 * size] += self.pairs  # those whose largest is this length
 
     def take(self, length: int, times: int) -> None:
         self.n[length] -= times
         if self.n[length] == 0 and self.there[length]:
+            self.triples[length : length + len(self.pairs)] -= self.pairs
             self.pairs[length + np.flatnonzero(self.there)] -= 1
             self.there[length] = False
 
@@ -77,6 +79,8 @@ class Sums:
         return [fits[0], gap - fits[0]] if fits else None
 
     def triple(self, gap: int) -> list[int] | None:
+        if not self.triples[gap]:
+            return None
         first = np.flatnonzero(self.there[: gap - 1])[::-1]
         for a in first[self.pairs[gap - first] > 0].tolist():
             rest = self.pair(gap - a)

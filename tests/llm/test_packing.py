@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -94,3 +95,19 @@ def test_pieces_are_those_of_the_tokenizer(spark):
         assert [x[0] for x in own] == list(range(len(own)))
         assert all(x[2] == 100 for x in own[1:]) and all(x[4] == zlib.crc32(x[3]) for x in own)
         assert [x[1] for x in own] == np.cumsum([0, *(x[2] for x in own[:-1])]).tolist()
+
+
+def test_sums_are_indexed_while_lengths_run_out():
+    """Single, pair and triple sums equal those of the lengths left, counted as sets with repetition."""
+    rng = np.random.default_rng(5)
+    counts = np.where(rng.random(25) < 0.5, rng.integers(1, 4, 25), 0)
+    counts[0] = 0
+    sums = p.Sums(counts)
+    while True:
+        left = np.flatnonzero(sums.n).tolist()
+        for size, table in ((2, sums.pairs), (3, sums.triples)):
+            made = Counter(map(sum, itertools.combinations_with_replacement(left, size)))
+            assert {i: n for i, n in enumerate(table.tolist()) if n} == made
+        if not left:
+            break
+        sums.take(int(rng.choice(left)), 1)
