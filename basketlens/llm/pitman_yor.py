@@ -7,9 +7,10 @@ from their conditional given all others as the last sweep left them, and then th
 tables of each word given its tables in all contexts. Probabilities are averaged over samples.
 
 1. Tokens are shuffled once, as compact blocks of (word, context, text). A word is in one bucket
-   with all its contexts; the cells of very frequent words and of the end of a text are spread
-   over all buckets. Each bucket is written as one row that holds all about its cells, in a
-   table bucketed by that number, and stays there.
+   with all its contexts. Very frequent words and the end of a text are in all buckets: their cells lie by the
+   context, or by both where that is as frequent (or the start). So a rare word or context is named in few
+   blocks. Each bucket is written as one row that holds all about its cells, in a
+   table bucketed by that number, and stays there. Texts are known by number; a row beside the blocks tells their keys.
 2. A cell of one customer has one table. The others travel between parts by context, where
    their tables are drawn, and parts by word, where those of the parent are. Their seating and the
    totals are written by each sweep and summed anew for the next.
@@ -31,11 +32,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm.shingles import mix, word_hashes, word_list
+from basketlens.llm.shingles import mix, word_hashes
 from basketlens.llm.tables import arrow_rows, parts_for, table
 from basketlens.sources.buckets import default_buckets, write_bucketed
 from basketlens.sources.scratch import drop, reserve, written
@@ -44,9 +48,10 @@ CONTEXT_SHARE = 2e-5
 COUNTED_WORDS = 300_000  # a task that counts more forgets the rarest
 BUCKET_TOKENS = 1_000_000
 CHUNK_TOKENS = 1_000_000  # of a block of texts
-DRAWN_AT_ONCE = 250_000  # customers or tables
+DRAWN_AT_ONCE = 30_000  # customers or tables, so that they stay in a cache
 SUMS_AT_ONCE = 1_000_000  # texts whose sums a scoring task holds
 BLOCKS_AT_ONCE = 100  # rows in an Arrow batch; units come singly
+ZSTD = pa.Codec("zstd", compression_level=1)
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the contexts
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
 BURN_IN, SAMPLES = 3, 3  # sweeps before the samples at least, and samples
@@ -58,7 +63,10 @@ START_CONTEXT = np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
 SMOOTH = 0.1  # of the base score
 
 #: ``word``, ``contexts``: distinct and sorted; ``cells``: how many contexts each word has; ``context``: places in ``contexts``.
+#: ``text``: number of each token's; ``texts``: in units the ids and numbers at which chunks begin, in blocks the one id.
+#: Bucket ``KEYS`` has in ``contexts`` the keys of the texts from that id on.
 UNIT = "bucket int, word binary, cells binary, contexts binary, context binary, count binary, size binary, text binary, texts binary"
+KEYS = -1
 CELL_COLUMNS = ["bucket", "word", "cells", "contexts", "context", "count", "size"]
 
 
@@ -66,6 +74,31 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+# --- words --------------------------------------------------------------------------------
+
+
+def slices(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Runs of rows of at most that many tokens, or one row; with each the number of rows before it."""
+    before = 0
+    for batch in batches:
+        most = np.cumsum(pc.binary_length(batch.column("text").cast(pa.binary())).to_numpy().astype(np.int64) // 2 + 2)
+        low = 0
+        while low < len(batch):
+            high = max(low + 1, int(np.searchsorted(most, tokens + (most[low - 1] if low else 0), "right")))
+            yield batch.slice(low, high - low), before + low
+            low = high
+        before += len(batch)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in turn, as ``shingles.word_list`` tells them apart, and how many each text has."""
+    runs = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, lengths = runs.flatten(), pc.list_value_length(runs).to_numpy().astype(np.int64)
+    there = pc.not_equal(words, "")
+    ends = np.r_[0, np.cumsum(there.to_numpy(zero_copy_only=False))][np.cumsum(lengths)]
+    return words.filter(there).cast(pa.binary()), np.diff(np.r_[0, ends])
+
+
 # --- frequent words -----------------------------------------------------------------------------
 
 
@@ -76,21 +109,24 @@ def frequent_words(docs: DataFrame, share: float = CONTEXT_SHARE) -> np.ndarray:
     tokens. The choice says only which cells are spread over the buckets, not what the model is.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         total = 0
-        for batch in batches:
-            for text in batch["text"]:
-                words = word_list(text)
-                seen.update(words)
-                seen[END] += 1
-                total += len(words) + 1
+        for texts, _ in slices(batches, CHUNK_TOKENS // 2):
+            words, _ = split_words(texts.column("text"))
+            each = words.dictionary_encode()
+            seen.update(dict(zip(each.dictionary.to_numpy(zero_copy_only=False), np.bincount(each.indices.to_numpy(), minlength=len(each.dictionary)).tolist(), strict=True)))
+            seen[END] += len(texts)
+            total += len(words) + len(texts)
             if len(seen) > COUNTED_WORDS:  # a word that is frequent in all is frequent here
                 seen = Counter({w: n for w, n in seen.items() if n >= total * share / 8})
         kept = [(xxhash.xxh64_intdigest(w) - (1 << 63), n) for w, n in seen.items() if n >= total * share / 2 and n > 1]
-        yield pd.DataFrame([*kept, (None, total)], columns=["word", "n"], dtype=object).astype({"word": "Int64", "n": "int64"})
+        words, numbers = zip(*kept, (None, total), strict=True)
+        del seen
+        pa.default_memory_pool().release_unused()
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(numbers, pa.int64())], ["word", "n"])
 
-    found = written(docs.where(~F.col("held_out")).select("text").mapInPandas(count, "word long, n long"), "lm-frequent")
+    found = written(docs.where(~F.col("held_out")).select("text").mapInArrow(count, "word long, n long"), "lm-frequent")
     total = found.where("word is null").agg(F.sum("n")).first()[0] or 0
     top = found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total * share))
     words = top.orderBy(F.desc("n"), "word").limit(int(1 / share)).toPandas()["word"].to_numpy(np.int64)
@@ -112,76 +148,141 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mix(keys) % np.uint64(parts)).astype(np.int32)
 
 
-def bucket_of(words: np.ndarray, contexts: np.ndarray, spread: np.ndarray, buckets: int) -> np.ndarray:
-    """By word, or by word and context for words that are spread."""
-    return part_of(np.where(spread, words ^ mix(contexts + np.uint64(1)), words), buckets)
-
-
-def block_rows(words: np.ndarray, contexts: np.ndarray, own: np.ndarray, texts: np.ndarray, train: np.ndarray, spread: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """One row per bucket for a chunk of tokens; ``own``: which text each token is of, ``spread``: is its word in all buckets?"""
-    bucket = bucket_of(words, contexts, spread, buckets)
-    order = np.lexsort((contexts, words, bucket))
-    words, contexts, own, bucket = words[order], contexts[order], own[order], bucket[order]
-    ends = np.flatnonzero(np.diff(bucket)) + 1
-    for low, high in zip(np.r_[0, ends], np.r_[ends, len(bucket)], strict=True):
-        if low == high:
-            continue
-        w, c, o = words[low:high], contexts[low:high], own[low:high]
-        new = np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])]
-        first = np.flatnonzero(new)
-        size = np.diff(np.r_[first, len(w)])
-        count = np.add.reduceat(train[o].astype(np.int64), first)
-        ids, local = np.unique(o, return_inverse=True)
+def in_all(contexts: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which contexts do not place the cells of frequent words."""
+    return (place_of(contexts, frequent) > RARE) | (contexts == START_CONTEXT)
+
+
+def bucket_of(words: np.ndarray, contexts: np.ndarray, spread: np.ndarray, open_: np.ndarray, buckets: int) -> np.ndarray:
+    """By word; for words that are ``spread`` by context, or by both if the context is ``open_`` (``in_all``)."""
+    return part_of(np.where(spread, np.where(open_, words ^ mix(contexts + np.uint64(1)), contexts), words), buckets)
+
+
+def by_cell(bucket: np.ndarray, word: np.ndarray, context: np.ndarray, names: int) -> np.ndarray:
+    """Order by bucket, word and context; the latter two are numbers below ``names``."""
+    bits = max(1, (names - 1).bit_length())
+    if 2 * bits + int(bucket.max()).bit_length() > 63:
+        return np.lexsort((context, word, bucket))
+    key = bucket.astype(np.int64)
+    key = ((key << bits | word) << bits) | context
+    return np.argsort(key)
+
+
+def block_rows(words: pa.Array, lengths: np.ndarray, train: np.ndarray, first_text: int, frequent: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """One row per bucket for a chunk of texts, whose numbers begin with ``first_text``; all ``words`` without the ends of texts."""
+    each = words.dictionary_encode()
+    known = each.dictionary.to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+    hashes = np.r_[hashes, word_hashes([END]), START_CONTEXT]
+    names, rank = np.unique(hashes, return_inverse=True)
+    rank = rank.astype(np.int32)  # a chunk has fewer
+    own = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
+    ends = np.cumsum(lengths + 1) - 1
+    word = np.full(len(own), rank[-2])
+    inner = np.ones(len(own), bool)
+    inner[ends] = False
+    word[inner] = rank[each.indices.to_numpy()]
+    context = np.r_[rank[-1], word[:-1]]
+    context[np.r_[0, ends[:-1] + 1]] = rank[-1]
+    spread, open_ = place_of(names, frequent) > RARE, in_all(names, frequent)
+    part = part_of(names, buckets)
+    bucket = np.where(spread[word], part[context], part[word])
+    both = np.flatnonzero(spread[word] & open_[context])
+    w, c = names[word[both]], names[context[both]]
+    bucket[both] = bucket_of(w, c, np.ones(len(w), bool), np.ones(len(w), bool), buckets)
+    order = by_cell(bucket, word, context, len(names))
+    word, context, own, bucket = word[order], context[order], own[order], bucket[order]
+    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])])
+    size, count = np.diff(np.r_[first, len(word)]), np.add.reduceat(train[own].astype(np.int64), first)
+    word, context, cell_bucket = word[first], context[first], bucket[first]
+    texts = np.array([first_text]).tobytes()
+    cuts = np.flatnonzero(np.diff(cell_bucket)) + 1
+    for low, high in zip(np.r_[0, cuts], np.r_[cuts, len(word)], strict=True):
+        contexts, at = np.unique(context[low:high], return_inverse=True)
+        w = word[low:high]
+        new = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        begin, end = first[low], first[high] if high < len(first) else len(own)
         yield (
-            int(bucket[low]), *packed_cells(w[first], c[first], count, size), local.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes(), texts[ids].tobytes(),
+            int(cell_bucket[low]), names[w[new]].tobytes(), squeezed(np.diff(np.r_[new, len(w)])), names[contexts].tobytes(),
+            squeezed(at), squeezed(count[low:high]), squeezed(size[low:high]), squeezed(own[begin:end]), texts,
         )
 
 
 def token_blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """``UNIT`` rows of chunks of texts. ``docs``: key, text, held_out."""
+    """``UNIT`` rows of chunks of texts, and a row with the keys of each. ``docs``: key, text, held_out."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
-    end = np.array([xxhash.xxh64_intdigest(END)], np.uint64)
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = held.value
-        words: list[np.ndarray] = []
-        keys: list[int] = []
-        train: list[bool] = []
-        total = 0
+        context = TaskContext.get()
+        task = (context.partitionId() if context else 0) << 40
 
-        def flush() -> pd.DataFrame:
-            lengths = [len(w) for w in words]
-            every = np.concatenate(words)
-            spread = place_of(every, frequent) > RARE
-            contexts = np.r_[START_CONTEXT, every[:-1]]
-            contexts[np.cumsum([0, *lengths[:-1]])] = START_CONTEXT
-            own = np.repeat(np.arange(len(words)), lengths)
-            rows = block_rows(every, contexts, own, np.array(keys, np.int64), np.array(train), spread, buckets)
-            return pd.DataFrame(list(rows), columns=[x.split()[0] for x in UNIT.split(", ")])
+        def flush() -> Iterator[pa.RecordBatch]:
+            lengths = np.concatenate([n for _, n in parts])
+            keys, train = (np.concatenate(x) for x in zip(*columns, strict=True))
+            rows = [*block_rows(pa.concat_arrays([w for w, _ in parts]), lengths, train, task + begin, frequent, buckets)]
+            rows.append((KEYS, NONE, NONE, keys.tobytes(), *[NONE] * 4, np.array([task + begin]).tobytes()))
+            for low in range(0, len(rows), BLOCKS_AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[low : low + BLOCKS_AT_ONCE], strict=True), kinds, strict=True)], names)
 
+        names = [x.split()[0] for x in UNIT.split(", ")]
+        kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
+        parts: list[tuple] = []
+        columns: list[tuple] = []
+        total = begin = 0
+        for texts, before in slices(batches, CHUNK_TOKENS // 2):
+            if not parts:
+                begin = before
+            parts.append(split_words(texts.column("text")))
+            columns.append((texts.column("key").to_numpy(), ~texts.column("held_out").to_numpy(zero_copy_only=False)))
+            total += len(parts[-1][0]) + len(texts)
+            if total >= CHUNK_TOKENS:
+                yield from flush()
+                parts, columns, total = [], [], 0
+        if parts:
+            yield from flush()
+        parts.clear()
+        pa.default_memory_pool().release_unused()
+
+    return docs.select("key", "text", "held_out").mapInArrow(blocks, UNIT)
+
+
+def text_keys(table: DataFrame) -> DataFrame:
+    """(text, key) of all texts: their numbers, and what they were called."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, text, out in zip(batch["key"], batch["text"], batch["held_out"], strict=True):
-                own = np.concatenate([word_hashes(word_list(text)), end])
-                words.append(own)
-                keys.append(key)
-                train.append(not out)
-                total += len(own)
-                if total >= CHUNK_TOKENS:
-                    yield flush()
-                    words, keys, train, total = [], [], [], 0
-        if words:
-            yield flush()
+            for row in batch.itertuples(index=False):
+                for first, keys in pickle.loads(row.contexts):
+                    yield pd.DataFrame({"text": first + np.arange(len(keys) // 8), "key": np.frombuffer(keys, np.int64)})
 
-    return docs.select("key", "text", "held_out").mapInPandas(blocks, UNIT)
+    return table.where(F.col("bucket") == KEYS).select("contexts").mapInPandas(rows, "text long, key long")
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Counts in as many bytes each (1, 2, 4 or 8) as the largest needs."""
-    return numbers.astype(np.min_scalar_type(int(numbers.max())) if len(numbers) else np.uint8).tobytes()
+    """Counts in as many bytes each (1, 2, 4 or 8) as the largest needs; all first bytes, then all second ones and so on."""
+    whole = numbers.astype(np.min_scalar_type(int(numbers.max())) if len(numbers) else np.uint8)
+    return whole.tobytes() if whole.itemsize == 1 else whole.view(np.uint8).reshape(-1, whole.itemsize).T.tobytes()
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"u{len(data) // n}" if n else np.uint8).astype(np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
+    width = len(data) // n
+    bytes_ = np.frombuffer(data, np.uint8)
+    return bytes_.astype(np.int64) if width == 1 else np.ascontiguousarray(bytes_.reshape(width, n).T).view(f"u{width}").ravel().astype(np.int64)
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """``packed`` and compressed."""
+    data = packed(numbers)
+    return len(numbers).to_bytes(8, "little") + (len(data) // max(1, len(numbers))).to_bytes(1, "little") + ZSTD.compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    """Counts in as many bytes as they were packed in."""
+    n, width = int.from_bytes(data[:8], "little"), data[8]
+    return unpacked(ZSTD.decompress(data[9:], n * width, asbytes=True), n).astype(f"u{width or 1}")
 
 
 def packed_cells(word: np.ndarray, context: np.ndarray, count: np.ndarray, size: np.ndarray) -> tuple[bytes, ...]:
@@ -192,38 +293,57 @@ def packed_cells(word: np.ndarray, context: np.ndarray, count: np.ndarray, size:
 
 
 def unpack_cells(row) -> tuple[np.ndarray, ...]:
-    """word, context, count and size by cell."""
+    """Words and contexts; by cell the places of its word and context among them, count and size."""
     names, contexts = np.frombuffer(row.word, np.uint64), np.frombuffer(row.contexts, np.uint64)
-    word = np.repeat(names, unpacked(row.cells, len(names)))
-    context = contexts[unpacked(row.context, len(word))]
-    return word, context, unpacked(row.count, len(word)), unpacked(row.size, len(word))
+    word = np.repeat(np.arange(len(names)), unpacked(row.cells, len(names)))
+    return names, contexts, word, *(unpacked(x, len(word)) for x in (row.context, row.count, row.size))
 
 
 def unpack(row) -> tuple[np.ndarray, ...]:
-    """word, context, count, size by cell; text by token; texts."""
+    """``unpack_cells``; text by token, as places in the last: the texts' ids."""
     cells = unpack_cells(row)
-    kind = np.uint16 if len(row.text) == 2 * int(cells[3].sum()) else np.uint32
-    return (*cells, np.frombuffer(row.text, kind), np.frombuffer(row.texts, np.int64))
+    ids, starts = np.frombuffer(row.texts, np.int64).reshape(2, -1)
+    numbers = unpacked(row.text, int(cells[-1].sum()))
+    if starts[-1] + 1 > len(numbers):  # of most chunks, few texts are here
+        numbers, text = np.unique(numbers, return_inverse=True)
+    else:
+        numbers, text = np.arange(int(numbers.max()) + 1), numbers
+    chunk = np.searchsorted(starts, numbers, "right") - 1
+    return (*cells, text, ids[chunk] + numbers - starts[chunk])
+
+
+def unpack_block(row) -> tuple[np.ndarray, ...]:
+    """word, context, count, size by cell; text by token, as places in the chunk."""
+    word, contexts = np.frombuffer(row.word, np.uint64), np.frombuffer(row.contexts, np.uint64)
+    return np.repeat(word, unsqueezed(row.cells)), contexts[unsqueezed(row.context)], unsqueezed(row.count), unsqueezed(row.size), unsqueezed(row.text)
 
 
 def merge_blocks(rows: list) -> tuple:
     """One ``UNIT`` row from all blocks of a bucket."""
-    each = [unpack(r) for r in rows]
+    if rows[0].bucket == KEYS:
+        every = pickle.dumps([(int.from_bytes(r.texts, "little"), r.contexts) for r in rows])
+        return (KEYS, NONE, NONE, every, *[NONE] * 5)
+    rows = sorted(rows, key=lambda r: int.from_bytes(r.texts, "little"))
+    each = [unpack_block(r) for r in rows]
     word, context, count, size = (np.concatenate([e[i] for e in each]) for i in range(4))
-    texts, place = np.unique(np.concatenate([e[5] for e in each]), return_inverse=True)
-    starts = np.r_[0, np.cumsum([len(e[5]) for e in each])]
-    text = np.concatenate([place[s + e[4].astype(np.int64)] for s, e in zip(starts[:-1], each, strict=True)]).astype(np.uint16 if len(texts) < 65536 else np.uint32)
+    ids = np.array([int.from_bytes(r.texts, "little") for r in rows])
+    starts = np.r_[0, np.cumsum([int(e[4].max()) + 1 for e in each])]
+    kind = np.min_scalar_type(int(starts[-1]))
+    text = np.concatenate([e[4].astype(kind) + kind.type(s) for s, e in zip(starts[:-1], each, strict=True)])
+    del each  # a bucket is large
     order = np.lexsort((context, word))
-    begin = np.r_[0, np.cumsum(size, dtype=np.int64)[:-1]][order]
-    length = size[order]
-    index = np.arange(len(text)) + np.repeat(begin - np.r_[0, np.cumsum(length)[:-1]], length)
-    text = text[index]
-    w, c = word[order], context[order]
-    first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])])
-    total = lambda x: np.add.reduceat(x[order], first)
-    return (
-        rows[0].bucket, *packed_cells(w[first], c[first], total(count), total(size)), text.tobytes(), texts.tobytes(),
-    )
+    index = (np.cumsum(size, dtype=np.int64) - size)[order]
+    size = size[order]
+    index = np.repeat(index - np.r_[0, np.cumsum(size, dtype=np.int64)[:-1]], size)
+    index += np.arange(len(text))
+    text = packed(text[index])
+    del index
+    word, context, count = word[order], context[order], count[order]
+    del order
+    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])])
+    total = lambda x: np.add.reduceat(x, first, dtype=np.int64)
+    cells = packed_cells(word[first], context[first], total(count), total(size))
+    return (rows[0].bucket, *cells, text, np.stack([ids, starts[:-1]]).tobytes())
 
 
 def units(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -300,21 +420,28 @@ def stirling() -> np.ndarray:
 def pick(rng: np.random.Generator, length: np.ndarray, log_ratio, first, log_base=None) -> np.ndarray:
     """For each row a number from 1 to ``length``, by weights given as logs of the ratio of each to the one before.
 
-    ``log_ratio(row, number)`` is the ratio of the weights of number + 1 and number, without
-    ``log_base(row, number)``, the log of a factor. Numbers below ``first`` have no weight.
+    ``log_ratio(each, number)`` is the ratio of the weights of number + 1 and number, without
+    ``log_base(each, number)``, the log of a factor; ``each`` repeats a value of every row for its numbers.
+    Numbers below ``first`` have no weight.
     """
-    row = np.repeat(np.arange(len(length)), length)
+    each = lambda x: np.repeat(x, length)
     begin = np.r_[0, np.cumsum(length)[:-1]]
-    number = np.arange(len(row)) - begin[row] + 1
-    step = np.where(number >= first[row], log_ratio(row, number), 0.0)
+    number = np.arange(int(length.sum())) - each(begin - 1)
+    step = log_ratio(each, number)
+    open_ = None if (first <= 1).all() else number >= each(first)
+    if open_ is not None:
+        step[~open_] = 0.0
     total = np.cumsum(step) - step
-    weight = total - total[begin][row]
+    weight = total - each(total[begin])
     if log_base is not None:
-        weight += log_base(row, number)
-    weight = np.where(number >= first[row], weight, -np.inf) + rng.gumbel(size=len(row))
-    best = np.flatnonzero(weight == np.maximum.reduceat(weight, begin)[row])
+        weight += log_base(each, number)
+    if open_ is not None:
+        weight[~open_] = -np.inf
+    with np.errstate(divide="ignore"):
+        weight -= np.log(-np.log(1 - rng.random(len(number))))  # Gumbel
+    best = np.flatnonzero(weight == each(np.maximum.reduceat(weight, begin)))
     out = np.zeros(len(length), np.int64)
-    out[row[best]] = number[best]
+    out[np.searchsorted(begin, best, "right") - 1] = number[best]
     return out
 
 
@@ -330,9 +457,10 @@ def draw_parent(rng: np.random.Generator, tables: np.ndarray, before: np.ndarray
         if len(some):
             n, others = tables[some], all_parent - before[some]
 
-            def ratio(row, k, n=n, others=others):
-                number = np.maximum(n[row] - k, 1e-300) * 4 / (k * np.maximum(2 * n[row] - k - 1, 1))
-                return np.log(number * (PARENT_STRENGTH + PARENT_DISCOUNT * (others[row] + k)) * base)
+            def ratio(each, k, n=n, others=others):
+                n = each(n)
+                number = np.maximum(n - k, 1e-300) * 4 / (k * np.maximum(2 * n - k - 1, 1))
+                return np.log(number * (PARENT_STRENGTH + PARENT_DISCOUNT * (each(others) + k)) * base)
 
             out[some] = pick(rng, n, ratio, np.ones(len(n), np.int64))
     return out
@@ -353,14 +481,14 @@ def draw_cells(rng: np.random.Generator, count, tables, context_tables, word_tab
         above, of_word, parent = context_tables[some] - t, word_tables[some] - t, word_parent[some]
         numbers = stirling()
 
-        def ratio(row, number, t=t, above=above, of_word=of_word, parent=parent):
-            n = of_word[row] + number
-            opens = STRENGTH + DISCOUNT * (above[row] + number)
-            n = np.maximum(n, parent[row])
-            return np.log(opens * table_weight(n, parent[row]) / (PARENT_STRENGTH + all_tables - t[row] + number))
+        def ratio(each, number, t=t, above=above, of_word=of_word, parent=parent):
+            opens = STRENGTH + DISCOUNT * (each(above) + number)
+            parent = each(parent)
+            n = np.maximum(each(of_word) + number, parent)
+            return np.log(opens * table_weight(n, parent) / (PARENT_STRENGTH + all_tables - each(t) + number))
 
         first = np.maximum(1, parent - of_word)
-        out[some] = pick(rng, c, ratio, first, lambda row, number, c=c, numbers=numbers: numbers[c[row], number])
+        out[some] = pick(rng, c, ratio, first, lambda each, number, c=c, numbers=numbers: numbers.ravel()[each(c * numbers.shape[1]) + number])
     return out
 
 
@@ -449,19 +577,27 @@ class Cells:
                 )
 
 
-def dealt(parts: np.ndarray, keys: np.ndarray, values: np.ndarray, kind: int, source: int = 0) -> Iterator[tuple]:
-    """A row per part: its keys, and the matrix of their values."""
+def by_part(parts: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The distinct parts, and the rows of each in turn."""
     order = np.argsort(parts, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
-        if len(at):
-            yield (int(parts[at[0]]), source, keys[at].tobytes(), NONE, NONE, NONE, values[at].astype(np.float64).tobytes(), 0.0, 0.0, 0.0, kind)
+    each = [x for x in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1) if len(x)]
+    return [int(parts[x[0]]) for x in each], each
+
+
+def dealt(parts: np.ndarray, keys: np.ndarray, values: np.ndarray, kind: int, source: int = 0) -> Iterator[tuple]:
+    """A row per part: its keys, and the matrix of their values, which are whole numbers."""
+    for part, at in zip(*by_part(parts), strict=True):
+        yield (part, source, keys[at].tobytes(), NONE, NONE, NONE, pickle.dumps([packed(x) for x in values[at].T]), 0.0, 0.0, 0.0, kind)
+
+
+def columns(data: bytes, n: int) -> np.ndarray:
+    return np.array([unpacked(x, n) for x in pickle.loads(data)], np.float64).T
 
 
 def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
     """Keys and values of rows from ``dealt``."""
     keys = np.concatenate([np.frombuffer(r.keys, np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-    values = np.concatenate([np.frombuffer(r.extra, np.float64) for r in rows] or [np.zeros(0)])
-    return keys, values.reshape(len(keys), -1) if len(keys) else np.zeros((0, 2))
+    return keys, np.concatenate([columns(r.extra, len(r.keys) // 8) for r in rows]) if rows else np.zeros((0, 2))
 
 
 def sent(rows) -> pd.DataFrame:
@@ -539,6 +675,10 @@ class All:
         return (tables - PARENT_DISCOUNT * parent + opens) / (PARENT_STRENGTH + self.tables)
 
 
+def only_units(table: DataFrame) -> DataFrame:
+    return table.where(F.col("bucket") != KEYS)
+
+
 def each_bucket(table: DataFrame, of_row) -> DataFrame:
     """What ``of_row(row)`` yields for the cells of every bucket; their tokens are not read."""
 
@@ -547,20 +687,20 @@ def each_bucket(table: DataFrame, of_row) -> DataFrame:
             for row in batch.itertuples(index=False):
                 yield sent(of_row(row))
 
-    return table.select(CELL_COLUMNS).mapInPandas(run, SENT)
+    return only_units(table).select(CELL_COLUMNS).mapInPandas(run, SENT)
 
 
 def started(table: DataFrame, parts: int) -> DataFrame:
     """What the buckets tell at first: cells to draw, and what does not change of words and contexts."""
 
     def rows(row) -> Iterator[tuple]:
-        word, context, count, _ = unpack_cells(row)
+        words, contexts, word, context, count, _ = unpack_cells(row)
         single, many = count == 1, count > 1
-        names, total, ones = sums_of(word[count > 0], count[count > 0], single[count > 0])
-        yield from dealt(part_of(names, parts), names, np.c_[total, ones], WORDS)
-        names, total, ones = sums_of(context, count, single)
-        yield from dealt(part_of(names, parts), names, np.c_[total, ones], CONTEXTS)
-        n = int(many.sum())
+        for kind, names, at in ((WORDS, words, word), (CONTEXTS, contexts, context)):
+            totals = np.stack([np.bincount(at, count, len(names)), np.bincount(at, single, len(names))], axis=1)
+            there = totals[:, 0] > 0 if kind == WORDS else np.ones(len(names), bool)
+            yield from dealt(part_of(names[there], parts), names[there], totals[there], kind)
+        n, word, context = int(many.sum()), words[word], contexts[context]
         sizes = [np.array([c]) for c in count[many] if c > EXACT]
         yield from Cells(word[many], context[many], count[many], np.ones(n, np.int64), np.zeros((n, 3)), sizes).rows(part_of(word[many], parts))
 
@@ -621,12 +761,15 @@ def by_context(tables: list[DataFrame], parts: int, spread: np.ndarray, last: Al
         of_word, parent = cells.more[:, 1].astype(np.int64), cells.more[:, 2].astype(np.int64)
         cells.more[:, 1:] = 0  # known to the part of the word
         if final:
-            cells.sizes, cells.tables = [], np.zeros_like(cells.tables)  # the means are all that is asked for
-            yield from cells.rows(bucket_of(cells.word, cells.context, place_of(cells.word, spread) > RARE, parts), MEANS)
+            to = bucket_of(cells.word, cells.context, place_of(cells.word, spread) > RARE, in_all(cells.context, spread), parts)
+            order = np.lexsort((cells.context, cells.word, to))
+            for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):  # the bucket knows which cells these are
+                if len(at):
+                    yield (int(to[at[0]]), part, NONE, NONE, NONE, NONE, cells.more[at, 0].tobytes(), 0.0, 0.0, 0.0, MEANS)
             for r in rows:
                 if r.kind == ASKED:
                     there = totals[np.searchsorted(names, np.frombuffer(r.keys, np.uint64))]
-                    yield (int(r.source), part, NONE, NONE, NONE, NONE, np.delete(there, 1, axis=1).tobytes(), 0.0, 0.0, 0.0, ANSWERS)
+                    yield (int(r.source), part, NONE, NONE, NONE, NONE, pickle.dumps([packed(x) for x in np.delete(there, 1, axis=1).T]), 0.0, 0.0, 0.0, ANSWERS)
             return
         rng = np.random.default_rng([13, part, sweep])
         small = cells.count <= EXACT
@@ -645,7 +788,7 @@ def by_context(tables: list[DataFrame], parts: int, spread: np.ndarray, last: Al
 
 
 def scored(table: DataFrame, spread: np.ndarray, buckets: int, samples: int) -> tuple[DataFrame, int]:
-    """(key, score, base_score, n_tokens, n_known) sums by bucket and text, and the number of training tokens."""
+    """(key, score, base_score, n_tokens, n_known) sums by bucket and number of the text, and the number of training tokens."""
     spark = table.sparkSession
     start = started(table, buckets)
     contexts = of_kind(start, CONTEXTS)
@@ -684,16 +827,15 @@ def scored(table: DataFrame, spread: np.ndarray, buckets: int, samples: int) ->
 
     def of_bucket(unit: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
         spread, known, everything = held.value
-        word, context, count, size, text, texts = unpack(next(unit.itertuples(index=False)))
+        names, asked, name, of_context, count, size, text, texts = unpack(next(unit.itertuples(index=False)))
         rows = list(messages.itertuples(index=False))
-        names, name = np.unique(word, return_inverse=True)
         place = place_of(names, spread).astype(np.int64) - RARE - 1
-        asked, of_context = np.unique(context, return_inverse=True)
-        part, answers = part_of(asked, buckets), np.zeros((len(asked), 1 + len(everything)))
+        of_part = lambda contexts: dict(zip(*by_part(part_of(contexts, buckets)), strict=True))
+        at, answers = of_part(asked), np.zeros((len(asked), 1 + len(everything)))
         for r in rows:
             if r.kind == ANSWERS:
-                answers[part == r.source] = np.frombuffer(r.extra, np.float64).reshape(-1, answers.shape[1])
-        mean = np.zeros(len(word))
+                answers[at[r.source]] = columns(r.extra, len(at[r.source]))
+        mean = np.zeros(len(name))
         for i, a in enumerate(everything):
             keys, values = matrix([r for r in rows if r.kind == WORD_TOTALS and r.source == i])
             own = np.zeros((len(names), 4))
@@ -704,8 +846,11 @@ def scored(table: DataFrame, spread: np.ndarray, buckets: int, samples: int) ->
             own[place >= 0] = known[i][place[place >= 0]]
             opens = (STRENGTH + DISCOUNT * answers[:, 1 + i])[of_context] * a.of_word(own[:, 3], own[:, 2])[name]
             mean += ((1 - DISCOUNT) * count + opens) / (STRENGTH + answers[:, 0])[of_context]
-        drawn = Cells.read([r for r in rows if r.kind == MEANS])
-        mean[count > 1] = drawn.more[np.lexsort((drawn.context, drawn.word)), 0]
+        many = np.flatnonzero(count > 1)
+        at = of_part(asked[of_context[many]])
+        for r in rows:
+            if r.kind == MEANS:
+                mean[many[at[r.source]]] = np.frombuffer(r.extra)
         mean /= len(everything)
         s = everything[0]
         base = np.log10((own[:, 0] + SMOOTH) / (s.tokens + SMOOTH * (s.words + 1)))[name]
@@ -719,7 +864,7 @@ def scored(table: DataFrame, spread: np.ndarray, buckets: int, samples: int) ->
     for i, (each, _) in enumerate(taken):
         messages = messages.unionByName(of_kind(each, WORD_TOTALS).withColumn("source", F.lit(i)))
     # The table is bucketed by this key, so the messages alone are shuffled.
-    each = table.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInPandas(of_bucket, SUMS)
+    each = only_units(table).groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInPandas(of_bucket, SUMS)
     return each.mapInPandas(combined, SUMS), last.tokens
 
 
@@ -739,9 +884,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
     table = units(token_blocks(docs, frequent, buckets), buckets)
     each, tokens = scored(table, frequent, buckets, samples)
     names = ["score", "base_score", "n_tokens", "n_known"]
-    sums = each.groupBy(F.col("key").alias("k")).agg(*[F.sum(c).alias(c) for c in names])
     with shuffles_dropped(docs.sparkSession):
-        sums = written(sums, "lm-sums")
+        sums = written(each.groupBy(F.col("key").alias("text")).agg(*[F.sum(c).alias(c) for c in names]), "lm-sums")
+    sums = sums.join(text_keys(table), "text").groupBy(F.col("key").alias("k")).agg(*[F.sum(c).alias(c) for c in names])
     rows = docs.select("doc_id", "held_out", "key")
     copies = rows.groupBy(F.col("key").alias("k2")).agg(F.count(F.lit(1)).alias("copies"))  # equal rows share one sum
     sums = sums.join(copies, F.col("k") == F.col("k2")).select("k", *[(F.col(c) / F.col("copies")).alias(c) for c in names])

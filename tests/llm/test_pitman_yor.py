@@ -183,3 +183,57 @@ def test_ends_of_texts_are_spread_over_the_buckets(spark):
     end = p.word_hashes([p.END])[0]
     blocks = p.token_blocks(docs, p.frequent_words(docs), 16).collect()
     assert len({r["bucket"] for r in blocks if end in np.frombuffer(r["word"], np.uint64)}) > 3
+
+
+def test_blocks_name_rare_contexts_and_texts_once(spark):
+    """Blocks, the disk's largest share, take few bytes a token; a rare word before many frequent ones is named in one bucket."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(40)}" if j % 3 else f"rare{rng.randrange(3000)}" for j in range(90)), False) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "key long, text string, held_out boolean").repartition(2)
+    frequent = np.sort(np.array([p.word_hashes([f"w{i}".encode()])[0] for i in range(40)] + [p.word_hashes([p.END])[0]]))
+    blocks = p.token_blocks(docs, frequent, 32).collect()
+    rare = set(p.word_hashes([f"rare{i}".encode() for i in range(3000)]).tolist())
+    buckets = [{r["bucket"] for r in blocks if c in np.frombuffer(r["contexts"], np.uint64)} for c in list(rare)[:50]]
+    assert max(map(len, buckets)) <= 1
+    assert sum(len(x) for r in blocks for x in r[1:]) < 10 * 1200 * 91
+
+
+def test_texts_are_told_apart_whatever_chunk_they_are_in(spark, monkeypatch):
+    monkeypatch.setattr(p, "CHUNK_TOKENS", 50)
+    rows = [(7 * i, f"a{i} b{i % 9} c", i % 4 == 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "key long, text string, held_out boolean").repartition(3)
+    table = p.units(p.token_blocks(docs, np.zeros(0, np.uint64), 8), 8)
+    key = {r["text"]: r["key"] for r in p.text_keys(table).collect()}
+    assert sorted(key.values()) == [r[0] for r in rows]
+    got = Counter()
+    for r in p.only_units(table).toPandas().itertuples(index=False):
+        words, _, word, _, _, size, text, texts = p.unpack(r)
+        for w, t in zip(np.repeat(word, size), text, strict=True):
+            got[key[int(texts[t])], int(words[w])] += 1
+    want = Counter((k, int(h)) for k, t, _ in rows for h in p.word_hashes([*t.encode().split(), p.END]))
+    assert got == want
+
+
+def test_words_are_split_as_everywhere():
+    import pyarrow as pa
+
+    from basketlens.llm.shingles import word_list
+
+    texts = ["", " \t", "A b\x0bC\x0cd\r\n", "x\x1cy z\x85 É é \x00q ", "one", "  Two  three"]
+    words, lengths = p.split_words(pa.array(texts))
+    assert [len(word_list(t)) for t in texts] == lengths.tolist()
+    assert words.to_pylist() == [w for t in texts for w in word_list(t)]
+
+
+def test_counts_are_squeezed_whole():
+    for counts in ([1, 5], [1, 300], [70_000, 0], [1, 5 << 32], [0], []):
+        assert p.unsqueezed(p.squeezed(np.array(counts, np.int64))).tolist() == counts
+
+
+def test_long_and_empty_texts_make_slices_whole():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"text": x}) for x in (["a " * 50, "", "b"], [""] * 9, ["c d " * 4] * 5)]
+    got = [(b.column("text").to_pylist(), n) for b, n in p.slices(iter(batches), 6)]
+    assert [t for x, _ in got for t in x] == [t for b in batches for t in b.column("text").to_pylist()]
+    assert [n for _, n in got] == np.cumsum([0, *[len(x) for x, _ in got][:-1]]).tolist()
