@@ -27,7 +27,6 @@ import pickle
 import warnings
 from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +41,7 @@ from pyspark.sql import functions as F
 from basketlens.llm.shingles import mix, word_hashes
 from basketlens.llm.tables import arrow_rows, parts_for, table
 from basketlens.sources.buckets import default_buckets, write_bucketed
-from basketlens.sources.scratch import drop, reserve, written
+from basketlens.sources.scratch import drop, reserve, shuffles_dropped, written
 
 CONTEXT_SHARE = 2e-5
 COUNTED_WORDS = 300_000  # a task that counts more forgets the rarest
@@ -632,19 +631,6 @@ def kept(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(SENT).parquet(path)
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of tables written inside leave the disks once the table is there."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-    spark._jvm.System.gc()  # what the setting does not reach goes with its plan
-
-
 def drop_kinds(rows: DataFrame, *kinds: int) -> None:
     """Remove those rows of a table from ``kept`` that the next sweep has replaced."""
     for path in {f.rsplit("/", 1)[0] for f in of_kind(rows, *kinds).inputFiles()}:

@@ -88,6 +88,25 @@ def drop(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(conf).delete(folder, True)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Remove the files of a table from ``written`` that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        drop(table.sparkSession, path)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of tables written inside leave the disks once the table is there."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    spark._jvm.System.gc()  # what the setting does not reach goes with its plan
+
+
 def release(spark: SparkSession) -> None:
     """Remove the scratch tables of this session; results still to be read must be stored first."""
     with contextlib.suppress(Exception):  # the JVM may be gone at exit

@@ -1,11 +1,14 @@
+import os
 import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basketlens.llm import jaccard_join as j
 from basketlens.llm.shingles import shingle_set
+from basketlens.sources.scratch import reserve, written
 
 WORDS = [f"w{i}" for i in range(3000)]
 
@@ -109,3 +112,71 @@ def test_edges(spark):
 def test_shingles_of_bytes_are_those_of_text():
     for text in ("Ä b c d e f g", "a b c", "x " * 50, "one two three four five six seven one two three four five"):
         assert len(shingle_set(text)) == len(slow_set(text))
+
+
+def near_copies(rng, texts, copies):
+    """Texts of 200 words, each with near copies that differ by one word."""
+    rows = []
+    for _ in range(texts):
+        base = [rng.choice(WORDS) for _ in range(200)]
+        for _ in range(copies):
+            words = list(base)
+            words[rng.randrange(200)] = rng.choice(WORDS)
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_signatures_of_one_family_are_dropped_and_leave_the_disk(spark, monkeypatch):
+    tables = {}
+
+    def spied(df, name):
+        tables[name] = found = written(df, name)
+        tables[f"{name} rows"] = found.count()
+        return found
+
+    monkeypatch.setattr(j, "written", spied)
+    folder = reserve(spark, "x").rpartition("/")[0]
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = near_copies(random.Random(3), 30, 12)
+    got = j.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert tables["shared-signatures rows"] <= len(rows)  # each of a family's signatures was a row for each copy
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith("shingle-signatures")]
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == slow(rows)
+
+
+def test_families_beyond_the_limits_of_tables_sent_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(j, "MOVED_ROWS", 20)
+    monkeypatch.setattr(j, "BROADCAST_ROWS", 50)
+    monkeypatch.setattr(j, "SLICES", 3)
+    rng = random.Random(8)
+    rows = near_copies(rng, 12, 12) + [(i + 1000, t) for i, t in corpus(rng, 120)]
+    rows += [(i + 5000, t) for i, t in rows[::5]]
+    got = j.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == slow(rows)
+
+
+def test_blocks_hold_each_signature_of_each_row(monkeypatch):
+    monkeypatch.setattr(j, "BLOCK_SIGNATURES", 500)
+    rng = np.random.default_rng(4)
+    row = np.sort(np.r_[rng.choice(200_000, 150, replace=False), (1 << 33) + rng.choice(70_000, 50, replace=False)])
+    sigs = [np.unique(rng.integers(0, 400, rng.integers(0, 40))).astype(np.uint64) << np.uint64(16) for _ in row]
+    whole = pa.record_batch({"row": pa.array(row), "signatures": pa.array([j.packed(s) for s in sigs], pa.binary())})
+    batches = [whole.slice(i, 30) for i in range(0, len(row), 30)]
+    moved = (row[1::4], row[0::4][: len(row[1::4])])
+    family = dict(zip(row.tolist(), row.tolist(), strict=True)) | dict(zip(*map(np.ndarray.tolist, moved), strict=True))
+    groups = {}
+    for r, own in zip(row.tolist(), sigs, strict=True):
+        for s in own.tolist():
+            groups.setdefault(s, set()).add(family[r])
+    want = sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    buckets = {}
+    for batch in j.dealt_blocks(iter(batches), 7):
+        for bucket, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            buckets.setdefault(bucket, []).append(block)
+    found = [group for blocks in buckets.values() for group in j.met_groups(blocks, moved).to_pylist()]
+    assert len(buckets) == 7 and sorted(found) == want
+
+
+def test_texts_thaw_as_they_were():
+    for text in ("", "a", "Ä b\n" * 1000, "\x00 \u2028"):
+        assert j.thawed(j.frozen(text)) == text
