@@ -56,7 +56,9 @@ BATCH_ROWS = 1_000
 FEW = 4  # signatures that find families
 SIG_BYTES = 6  # of a signature are stored; what agrees by chance gives a candidate more
 BUCKET_SIGNATURES = 1_000_000
-BLOCK_SIGNATURES = 2_000_000
+BLOCK_SIGNATURES = 100_000  # in the blocks made at once, for each bucket a block: their size bounds what Arrow holds outside the heap
+LEAST_BLOCK = 100
+BLOCKS_AT_ONCE = 250
 BLOCK_ROWS = 1 << 16
 MOVED_ROWS = 4_000_000
 
@@ -232,7 +234,7 @@ def dealt_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         place = row // BLOCK_ROWS
         cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(place) != 0]), len(row)]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if count and (place[i] != last or count >= BLOCK_SIGNATURES):
+            if count and (place[i] != last or count >= max(BLOCK_SIGNATURES, LEAST_BLOCK * buckets)):
                 yield block_rows(*held, buckets)
                 held, count = ([], [], []), 0
             last = place[i]
@@ -351,7 +353,7 @@ def candidate_units(base: DataFrame, nodes: DataFrame, n_signatures: int, simila
     placed = written(family.join(first, "family").select("node", "first", "n_shingles", "bins"), "families")
     rows = base.where(F.col("node").isNotNull()).select("row", "node").join(placed.select("node", "first"), "node")
     moved = written(rows.where("row != first").select("row", "first"), "family-rows")
-    with arrow_rows(base.sparkSession, BATCH_ROWS):
+    with arrow_rows(base.sparkSession, BLOCKS_AT_ONCE):
         met = written(shared_signatures(base, moved, n_signatures), "shared-signatures")
     drop_table(base)
     pair = F.flatten(

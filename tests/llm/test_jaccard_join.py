@@ -157,6 +157,7 @@ def test_families_beyond_the_limits_of_tables_sent_to_all_tasks(spark, monkeypat
 
 def test_blocks_hold_each_signature_of_each_row(monkeypatch):
     monkeypatch.setattr(j, "BLOCK_SIGNATURES", 500)
+    monkeypatch.setattr(j, "LEAST_BLOCK", 1)
     rng = np.random.default_rng(4)
     row = np.sort(np.r_[rng.choice(200_000, 150, replace=False), (1 << 33) + rng.choice(70_000, 50, replace=False)])
     sigs = [np.unique(rng.integers(0, 400, rng.integers(0, 40))).astype(np.uint64) << np.uint64(16) for _ in row]

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -8,6 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as c
 from basketlens.llm import packing, secret_scan
+from basketlens.sources.scratch import reserve
 from tests.llm.test_jaccard_join import slow as slow_classes
 
 WORDS = [a + b + d for a in "bcdfgklm" for b in "aeiou" for d in ("rin", "tal", "mos", "ven", "dus", "ker")]
@@ -128,3 +130,13 @@ def test_classes_are_told_apart_by_their_texts_not_their_ids(spark):
     kept = {(r["doc_id"], r["text"]) for r in c.deduplicate(spark, docs, "").collect()}
     assert {(5, text["a"]), (5, text["b"])} <= kept and len(kept) == 3
     assert kept - {(5, text["a"]), (5, text["b"])} <= {(None, text["c"]), (None, near["c"])}
+
+
+def test_deduplicating_leaves_no_signatures_on_the_disk(spark, corpus):
+    folder = reserve(spark, "x").rpartition("/")[0]
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    once = c.deduplicate(spark, docs, corpus[0])
+    left = {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before}
+    assert "classes" in left and "shingle-signatures" not in left
+    assert 0 < once.count() < docs.count()
