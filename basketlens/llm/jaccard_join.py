@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm.components import components, roots
 from basketlens.llm.shingles import mix, shingle_set
-from basketlens.llm.tables import arrow_rows, parts_for, table
+from basketlens.llm.tables import arrow_rows, memory_returned, parts_for, table
 from basketlens.sources.buckets import default_buckets
 from basketlens.sources.scratch import drop_table, shuffles_dropped, written, written_with_facts
 
@@ -147,6 +147,7 @@ def signature_table(docs: DataFrame, common: np.ndarray, similarity: Fraction) -
 
     @F.pandas_udf(BASE)
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        memory_returned()
         seen: set[int] = set()
         for batch in batches:
             rows = []
@@ -222,6 +223,7 @@ def block_rows(rows: list[np.ndarray], raw: list[np.ndarray], sizes: list[np.nda
 
 def dealt_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Blocks of all signatures, each of rows from one range of ``BLOCK_ROWS`` numbers."""
+    memory_returned()
     held: tuple[list, list, list] = ([], [], [])
     count, last = 0, None
     for batch in batches:
@@ -288,6 +290,7 @@ def shared_signatures(base: DataFrame, moved: DataFrame, n_signatures: int) -> D
         def told() -> pa.RecordBatch:
             return pa.record_batch({"m": met_groups(blocks, held.value)})
 
+        memory_returned()
         blocks: list[bytes] = []
         last = None
         for batch in batches:
@@ -434,6 +437,7 @@ def compare_units(batches: Iterator[pd.DataFrame], similarity: Fraction) -> Iter
         nodes, root = roots(names[0][i], names[1][j]) if len(i) else (np.zeros(0, np.int64),) * 2
         return nodes[nodes != root], root[nodes != root]
 
+    memory_returned()
     held: list[tuple] = []
     last = None
     for batch in batches:
@@ -451,6 +455,8 @@ def compare_units(batches: Iterator[pd.DataFrame], similarity: Fraction) -> Iter
     if len(held) > 1:
         a, b = compared(held, last[1], last[2])
         yield pd.DataFrame({"a": a, "b": b})
+    held = []
+    memory_returned()
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, units: DataFrame, similarity: Fraction) -> list[DataFrame]:

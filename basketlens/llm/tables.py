@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,10 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def memory_returned() -> None:
+    """Free memory of this Python worker, which serves stage after stage, goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):  # only in GNU's C library
+        ctypes.CDLL(None).malloc_trim(0)
